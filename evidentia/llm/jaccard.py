@@ -16,8 +16,9 @@ Large groups of copies never expand into pairs:
 So no link between different texts is lost, and the components are exact.
 
 Rarity is counted over all documents in a table of fixed size (``RARITY_BITS``), which is the only
-thing, with a bitmap of fixed size, that is broadcast.  Any total order gives the same result; the
-counts keep shingles of common passages out of the prefixes.
+thing, with bitmaps of fixed size, that is broadcast.  Any total order gives the same result; the
+counts keep shingles of common passages out of the prefixes.  The bitmaps only save shuffled rows:
+the joins behind them are exact, also when a bitmap is full.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ from .components import connected_components
 from .shared import stored
 
 RARITY_BITS = 18
-NEEDED_BITS = 20
-PARTS = 8
+FILTER_BITS = 24
+PARTS = 256
 U64 = np.uint64
 
 
@@ -53,10 +54,24 @@ def _node(s: np.ndarray) -> int:
     return int(K.mix(np.array([np.sum(K.mix(s ^ U64(0x5851F42D4C957F2D)), dtype=U64) + U64(len(s))]))[0].astype(np.int64))
 
 
-def _parts(s: np.ndarray) -> int:
-    """Eight counts of at most 255, packed into a long."""
-    counts = np.minimum(np.bincount((s >> U64(61)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8)
-    return int(counts.view(np.int64)[0])
+def _parts(s: np.ndarray) -> bytes:
+    """How many shingles lie in each of PARTS equal ranges of the order, 255 at most."""
+    return np.minimum(np.bincount((s >> U64(56)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes()
+
+
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """A bitmap of 2**FILTER_BITS places with those of column ``key`` set; gathered as whole words."""
+    slot = F.col("key").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    words = keys.select(F.shiftright(slot, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
+    out[np.array(found.column("word"), dtype=np.int64)] = np.array(found.column("bits"), dtype=np.int64)
+    return out
+
+
+def _set(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slot = keys & ((1 << FILTER_BITS) - 1)
+    return (bitmap[slot >> 6] >> (slot & 63)) & 1 == 1
 
 
 def _profile(width: int):
@@ -69,19 +84,20 @@ def _profile(width: int):
             if sets:
                 rarity += np.bincount((np.concatenate(sets) >> U64(64 - RARITY_BITS)).astype(np.int64), minlength=1 << RARITY_BITS)
             k = len(ids)
-            columns = [pa.array([0] * k, pa.int32()), pa.array(ids, pa.int64()), pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_parts(s) for s in sets], pa.int64())]
+            columns = [pa.array([0] * k, pa.int32()), pa.array(ids, pa.int64()), pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_parts(s) for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names)
         slots = np.flatnonzero(rarity)
         for a in range(0, len(slots), 50_000):
             part = slots[a : a + 50_000]
             zero = pa.array(np.zeros(len(part), dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(part), dtype=np.int32)), pa.array(part), pa.array(rarity[part]), zero, zero], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(part), dtype=np.int32)), pa.array(part), pa.array(rarity[part]), zero, pa.nulls(len(part), pa.binary())], names)
 
     return run
 
 
-def _prefixes(width: int, num: int, den: int, rarity):
-    """Rows (token, node, place): place is n * 2**32 + the token's rank in the rare-first order."""
+def _prefixes(width: int, num: int, den: int, rarity, only=None):
+    """Rows (token, node, place): place is n * 2**32 + the token's rank in the rare-first order.
+    With a bitmap ``only``, those of the tokens whose place in it is set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = rarity.value
@@ -94,29 +110,46 @@ def _prefixes(width: int, num: int, den: int, rarity):
                 done.add((node, n))
                 take = n - -(-num * n // den) + 1
                 common = counts[(s >> U64(64 - RARITY_BITS)).astype(np.int64)]
-                first = np.argsort(common, kind="stable")[:take]
-                tokens.append(s[first])
-                nodes.append(np.full(take, node, dtype=np.int64))
-                places.append((n << 32) + np.arange(take, dtype=np.int64))
+                first = s[np.argsort(common, kind="stable")[:take]].astype(np.int64)
+                rank = np.arange(take) if only is None else np.flatnonzero(_set(only.value, first))
+                tokens.append(first[rank])
+                nodes.append(np.full(len(rank), node, dtype=np.int64))
+                places.append((n << 32) + rank)
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).astype(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(places))], ["token", "node", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(places))], ["token", "node", "place"])
 
     return run
 
 
 def _wanted(width: int, bitmap):
-    """Rows (node, n, tokens) of the sets whose slot in the bitmap is set."""
+    """Rows (node, n, tokens) of the documents whose ids' places in the bitmap are set; ids that are
+    null always count as set."""
+
+    def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id")
+            keep = _set(bitmap.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) | ids.is_null().to_numpy(zero_copy_only=False)
+            if keep.any():
+                yield batch.filter(pa.array(keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bitmap.value
-        for _, sets in _sets(batches, width):
-            nodes = np.array([_node(s) for s in sets], dtype=np.int64)
-            found = {}
-            for i in np.flatnonzero(bits[nodes & ((1 << NEEDED_BITS) - 1)]):
-                if len(sets[i]):
-                    found[int(nodes[i]), len(sets[i])] = sets[i].astype(np.int64)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.int64()), pa.array([k[1] for k in found], pa.int64()), pa.array(list(found.values()), pa.list_(pa.int64()))], ["node", "n", "tokens"])
+        for _, sets in _sets(picked(batches), width):
+            if sets := [s for s in sets if len(s)]:
+                yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "n", "tokens"])
+
+    return run
+
+
+def _close(num: int, den: int):
+    """The suffix filter: the ranges' counts bound the Hamming distance of two sets from below."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, PARTS).astype(np.int16) for c in ("pu", "pv"))
+                total = batch.column("nu").to_numpy() + batch.column("nv").to_numpy()
+                near = (total - np.abs(one - two).sum(axis=1)) * (num + den) >= 2 * num * total
+                yield batch.filter(pa.array(near)).drop_columns(["pu", "pv"])
 
     return run
 
@@ -136,31 +169,18 @@ def _may_link(p: Column, q: Column, num: int, den: int) -> Column:
     return (F.least(a, b) * den >= F.greatest(a, b) * num) & (bound * (num + den) >= (a + b) * num)
 
 
-def _distance(p: Column, q: Column) -> Column:
-    """The suffix filter's lower bound of the size of the symmetric difference."""
-    total = F.lit(0)
-    for k in range(PARTS):
-        total = total + F.abs(F.shiftrightunsigned(p, 8 * k).bitwiseAND(F.lit(255)) - F.shiftrightunsigned(q, 8 * k).bitwiseAND(F.lit(255)))
-    return total
-
-
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Of the candidate pairs (u, v) those that link, each tested once."""
-    spark = docs.sparkSession
-    left = nodes.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("parts").alias("pu"))
-    right = nodes.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("parts").alias("pv"))
-    total = F.col("nu") + F.col("nv")
-    near = (total - _distance(F.col("pu"), F.col("pv"))) * (num + den) >= total * 2 * num
-    pairs = stored(pairs.distinct().join(left, "u").join(right, "v").where(near), "pairs")
-    slots = pairs.select(F.explode(F.array("u", "v")).alias("node")).select(F.col("node").bitwiseAND(F.lit((1 << NEEDED_BITS) - 1)).alias("slot")).distinct()
-    bits = np.zeros(1 << NEEDED_BITS, dtype=bool)
-    bits[np.array(slots.toArrow().column(0), dtype=np.int64)] = True
-    bitmap = spark.sparkContext.broadcast(bits)
-    wanted = docs.mapInArrow(_wanted(width, bitmap), "node long, n long, tokens array<long>")
-    sets = stored(wanted.dropDuplicates(["node", "n"]).join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi"), "sets")
+    left = nodes.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("parts").alias("pu"), F.col("doc_id").alias("du"))
+    right = nodes.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("parts").alias("pv"), F.col("doc_id").alias("dv"))
+    pairs = pairs.distinct().join(left, "u").join(right, "v").select("u", "v", "nu", "nv", "du", "dv", "pu", "pv")
+    pairs = stored(pairs.mapInArrow(_close(num, den), "u long, v long, nu long, nv long, du long, dv long"), "pairs")
+    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(pairs.select(F.explode(F.array("du", "dv")).alias("key")).where("key is not null")))
+    sets = stored(docs.mapInArrow(_wanted(width, bitmap), "node long, n long, tokens array<long>"), "sets")
     one, two = sets.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("tokens").alias("s")), sets.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("tokens").alias("t"))
     shared = F.size(F.array_intersect("s", "t"))
-    return pairs.join(one, ["u", "nu"]).join(two, ["v", "nv"]).where(shared * (num + den) >= total * num).select("u", "v")
+    linked = pairs.join(one, ["u", "nu"]).join(two, ["v", "nv"]).where(shared * (num + den) >= (F.col("nu") + F.col("nv")) * num)
+    return linked.select("u", "v").distinct()
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100) -> DataFrame:
@@ -174,24 +194,28 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 75, den: int
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profile = stored(docs.mapInArrow(_profile(width), "kind int, a long, b long, n long, parts long"), "profile")
+    profile = stored(docs.mapInArrow(_profile(width), "kind int, a long, b long, n long, parts binary"), "profile")
     rows = profile.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), "n", "parts")
     counts = np.zeros(1 << RARITY_BITS, dtype=np.int64)
     slots = profile.where("kind = 1").groupBy("a").agg(F.sum("b").alias("b")).toArrow()
     counts[np.array(slots.column("a"), dtype=np.int64)] = np.array(slots.column("b"), dtype=np.int64)
     rarity = spark.sparkContext.broadcast(counts)
 
-    prefixes = docs.mapInArrow(_prefixes(width, num, den, rarity), "token long, node long, place long")
-    leaders = prefixes.groupBy("token").agg(F.min(F.struct("node", "place")).alias("lead"), F.max(F.struct("node", "place")).alias("last")).where("lead <> last")
-    leaders = leaders.select("token", F.col("lead.node").alias("lead"), F.col("lead.place").alias("lead_place"))
-    members = stored(prefixes.join(leaders, "token").where("node <> lead"), "members")
-    nodes = rows.where("n > 0").groupBy("node", "n", "parts").agg(F.min("doc_id").alias("doc_id"))
-
-    first = members.where(_may_link(F.col("place"), F.col("lead_place"), num, den)).select(F.greatest("node", "lead").alias("u"), F.least("node", "lead").alias("v"))
+    rows_of = "token long, node long, place long"
+    leaders = docs.mapInArrow(_prefixes(width, num, den, rarity), rows_of).groupBy("token").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last")
+    leaders = stored(leaders.select("token", "lead"), "leaders")
+    shared_tokens = spark.sparkContext.broadcast(_bitmap(leaders.select(F.col("token").alias("key"))))
+    members = docs.mapInArrow(_prefixes(width, num, den, rarity, shared_tokens), rows_of)
+    members = stored(members.join(leaders, "token").distinct(), "members")
+    nodes = rows.where("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("doc_id"), F.first("parts").alias("parts"))
+
+    led = members.where("node = lead").select("token", F.col("place").alias("lead_place"))
+    members = members.where("node <> lead")
+    first = members.join(led, "token").where(_may_link(F.col("place"), F.col("lead_place"), num, den)).select(F.greatest("node", "lead").alias("u"), F.least("node", "lead").alias("v"))
     links = stored(_verified(first, docs, nodes, width, num, den), "links")
     parts = stored(connected_components(links), "components")
 
-    inside = members.distinct().join(parts, "node", "left").select("token", "node", "place", F.coalesce("component", "node").alias("component"))
+    inside = members.join(parts, "node", "left").select("token", "node", "place", F.coalesce("component", "node").alias("component"))
     per = inside.groupBy("token", "component").agg(F.count("*").alias("k"))
     major = per.groupBy("token").agg(F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1").select("token", F.col("top.component").alias("major"))
     open_ = stored(inside.join(major, "token"), "open")
