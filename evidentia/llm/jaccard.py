@@ -15,7 +15,8 @@ Large groups of copies never expand into pairs:
 
 So no link between different texts is lost, and the components are exact.
 
-Rarity is counted over all documents in a table of fixed size (``RARITY_BITS``), which is the only
+Rarity is counted over all documents, exactly within blocks of shingles; what recurs in a block adds
+to a table of fixed size (``RARITY_BITS``), which is the only
 thing, with bitmaps of fixed size, that is broadcast.  Any total order gives the same result; the
 counts keep shingles of common passages out of the prefixes.  The bitmaps only save shuffled rows:
 the joins behind them are exact, also when a bitmap is full.
@@ -34,9 +35,13 @@ from . import kernels as K
 from .components import connected_components
 from .shared import stored
 
-RARITY_BITS = 18
+RARITY_BITS = 22
+#: Shingles that are counted exactly at a time, and how often one must occur among them to be counted
+#: on; rarer ones are as good as unique there.
+COUNTED, OFTEN = 4_000_000, 3
 FILTER_BITS = 24
 PARTS = 256
+SIGNATURE = ["s0", "s1", "s2", "s3"]
 U64 = np.uint64
 
 
@@ -59,6 +64,13 @@ def _parts(s: np.ndarray) -> bytes:
     return np.minimum(np.bincount((s >> U64(56)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes()
 
 
+def _parity(s: np.ndarray) -> np.ndarray:
+    """256 bits, each the parity of the number of shingles in its part of the order: two sets differ in
+    at least as many shingles as these differ in bits."""
+    bits = np.bincount(((s >> U64(20)) & U64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def _bitmap(keys: DataFrame) -> np.ndarray:
     """A bitmap of 2**FILTER_BITS places with those of column ``key`` set; gathered as whole words."""
     slot = F.col("key").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
@@ -77,20 +89,28 @@ def _set(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
 def _profile(width: int):
     """Rows of kind 0 for documents (doc_id, node, n, parts), and of kind 1 for rarity (slot, count)."""
 
+    names = ["kind", "a", "b", "n", "parts", "s0", "s1", "s2", "s3"]
+
+    def counted(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        tokens, counts = np.unique(np.concatenate(held), return_counts=True)
+        slots, counts = (tokens[counts >= OFTEN] >> U64(64 - RARITY_BITS)).astype(np.int64), counts[counts >= OFTEN]
+        for a in range(0, len(slots), 50_000):
+            k = len(slots[a : a + 50_000])
+            zero = pa.array(np.zeros(k, dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, dtype=np.int32)), pa.array(slots[a : a + k]), pa.array(counts[a : a + k].astype(np.int64)), zero, pa.nulls(k, pa.binary()), zero, zero, zero, zero], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "a", "b", "n", "parts"]
-        rarity = np.zeros(1 << RARITY_BITS, dtype=np.int64)
+        held: list[np.ndarray] = []
         for ids, sets in _sets(batches, width):
-            if sets:
-                rarity += np.bincount((np.concatenate(sets) >> U64(64 - RARITY_BITS)).astype(np.int64), minlength=1 << RARITY_BITS)
+            held += [s for s in sets if len(s)]
             k = len(ids)
             columns = [pa.array([0] * k, pa.int32()), pa.array(ids, pa.int64()), pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_parts(s) for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names)
-        slots = np.flatnonzero(rarity)
-        for a in range(0, len(slots), 50_000):
-            part = slots[a : a + 50_000]
-            zero = pa.array(np.zeros(len(part), dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(part), dtype=np.int32)), pa.array(part), pa.array(rarity[part]), zero, pa.nulls(len(part), pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(c) for c in np.array([_parity(s) for s in sets]).reshape(-1, 4).T.copy()]], names)
+            if sum(map(len, held)) > COUNTED:
+                yield from counted(held)
+                held = []
+        if held:
+            yield from counted(held)
 
     return run
 
@@ -194,11 +214,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 75, den: int
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profile = stored(docs.mapInArrow(_profile(width), "kind int, a long, b long, n long, parts binary"), "profile")
-    rows = profile.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), "n", "parts")
-    counts = np.zeros(1 << RARITY_BITS, dtype=np.int64)
+    profile = stored(docs.mapInArrow(_profile(width), "kind int, a long, b long, n long, parts binary, s0 long, s1 long, s2 long, s3 long"), "profile")
+    rows = profile.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), "n", "parts", *SIGNATURE)
+    counts = np.zeros(1 << RARITY_BITS, dtype=np.int32)
     slots = profile.where("kind = 1").groupBy("a").agg(F.sum("b").alias("b")).toArrow()
-    counts[np.array(slots.column("a"), dtype=np.int64)] = np.array(slots.column("b"), dtype=np.int64)
+    counts[np.array(slots.column("a"), dtype=np.int64)] = np.minimum(np.array(slots.column("b"), dtype=np.int64), 1 << 30)
     rarity = spark.sparkContext.broadcast(counts)
 
     rows_of = "token long, node long, place long"
@@ -207,7 +227,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 75, den: int
     shared_tokens = spark.sparkContext.broadcast(_bitmap(leaders.select(F.col("token").alias("key"))))
     members = docs.mapInArrow(_prefixes(width, num, den, rarity, shared_tokens), rows_of)
     members = stored(members.join(leaders, "token").distinct(), "members")
-    nodes = rows.where("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("doc_id"), F.first("parts").alias("parts"))
+    nodes = rows.where("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("doc_id"), F.first("parts").alias("parts"), *[F.first(c).alias(c) for c in SIGNATURE])
 
     led = members.where("node = lead").select("token", F.col("place").alias("lead_place"))
     members = members.where("node <> lead")
@@ -218,10 +238,13 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 75, den: int
     inside = members.join(parts, "node", "left").select("token", "node", "place", F.coalesce("component", "node").alias("component"))
     per = inside.groupBy("token", "component").agg(F.count("*").alias("k"))
     major = per.groupBy("token").agg(F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1").select("token", F.col("top.component").alias("major"))
-    open_ = stored(inside.join(major, "token"), "open")
+    open_ = stored(inside.join(major, "token").join(nodes.select("node", *SIGNATURE), "node"), "open")
     one = open_.where("component <> major").alias("x")
     two = open_.alias("y")
     other = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.major")) | (F.col("x.node") < F.col("y.node")))
+    apart = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in SIGNATURE), F.lit(0))
+    total = _size(F.col("x.place")) + _size(F.col("y.place"))
+    other = other & ((total - apart) * (num + den) >= total * (2 * num))
     second = one.join(two, (F.col("x.token") == F.col("y.token")) & other & _may_link(F.col("x.place"), F.col("y.place"), num, den))
     second = second.select(F.greatest("x.node", "y.node").alias("u"), F.least("x.node", "y.node").alias("v"))
     more = _verified(second, docs, nodes, width, num, den)
