@@ -20,11 +20,14 @@ from .shared import ascii_lower, document_key, stored
 
 #: At most this many windows (and as many shingles each as a window has words) are broadcast.
 BROADCAST_WINDOWS = 50_000
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Ids of documents with candidates (128 bits each) that are broadcast; beyond that the join shuffles.
+BROADCAST_DOCUMENTS = 200_000
+BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
-    return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    """Runs of ASCII letters, digits and characters beyond ASCII, A-Z in lower case; none for null."""
+    return F.coalesce(F.filter(F.split(ascii_lower(text), BETWEEN_WORDS), lambda w: w != ""), F.array().cast("array<string>"))
 
 
 def _hash(w: Column, i: Column, width: int) -> Column:
@@ -78,8 +81,9 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 13,
         prefix = stored(ranked.where("prefix.places > 0").select("window_id", "length", F.col("prefix.h").alias("h"), F.col("prefix.at").alias("at")), "prefixes")
         placed = found.join(small(prefix), "h").withColumn("start", F.col("pos") - F.col("at")).where("start >= 0").select("key", "start", "window_id", "length")
         spans = placed.join(small(windows.select("window_id", "words", "items")), "window_id")
-        spans = spans.groupBy("key").agg(F.collect_set(F.struct("start", "length", "words", "items")).alias("spans"))
-        near = docs.select("key", "text").dropDuplicates(["key"]).join(spans, "key").select("key", "spans", words(F.col("text")).alias("w"))
+        spans = stored(spans.groupBy("key").agg(F.collect_set(F.struct("start", "length", "words", "items")).alias("spans")), "spans")
+        keys = F.broadcast(spans.select("key")) if spans.count() <= BROADCAST_DOCUMENTS else spans.select("key")
+        near = docs.select("key", "text").join(keys, "key", "left_semi").dropDuplicates(["key"]).join(spans, "key").select("key", "spans", words(F.col("text")).alias("w"))
         exact = F.filter("spans", lambda s: (s["start"] + s["length"] <= F.size("w")) & (F.slice(F.col("w"), s["start"] + 1, s["length"]) == s["words"]))
         near = near.select("key", exact.alias("spans")).where("size(spans) > 0")
         covered = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1))))
