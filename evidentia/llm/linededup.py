@@ -32,50 +32,59 @@ TWO_BLOCKS = 1024
 BROADCAST_LINES = 400_000
 
 
-def _blocks(line: Column, longer: bool) -> Column:
-    """Structs (k, short, a, e): the hash of what surrounds block [a, e), for the longer line of a
-    pair and for lines of equal length (``longer``), or for the shorter line of a pair."""
-    total = F.length(line) + (0 if longer else 1)
-    count = F.when(total <= TWO_BLOCKS, F.lit(2)).otherwise(F.ceil(total * 2 / TWO_BLOCKS).cast("int"))
-    size = F.ceil(total / count).cast("int")
+def _measured(lines: DataFrame) -> DataFrame:
+    """Adds n, and for a pair's longer (0) and shorter (1) line the number and the size of blocks, as
+    columns, so that they are computed once a line."""
+    lines = lines.withColumn("n", F.length("line"))
+    for short in (0, 1):
+        total = F.col("n") + short
+        lines = lines.withColumn(f"count{short}", F.when(total <= TWO_BLOCKS, F.lit(2)).otherwise(F.ceil(total * 2 / TWO_BLOCKS).cast("int")))
+    return lines.withColumns({f"size{short}": F.ceil((F.col("n") + short) / F.col(f"count{short}")).cast("int") for short in (0, 1)})
+
+
+def _blocks(short: int) -> Column:
+    """Structs (k, short, a, e) of a measured line: the hash of what surrounds block [a, e), for the
+    longer line of a pair and for lines of equal length (0), or for the shorter line of a pair (1)."""
+    line, n, size = F.col("line"), F.col("n"), F.col(f"size{short}")
 
     def one(j: Column) -> Column:
-        a, e = j * size, F.least((j + 1) * size, total) - (0 if longer else 1)
-        rest = F.greatest(F.length(line) - e, F.lit(0))
-        k = F.xxhash64(total, j, F.substr(line, F.lit(1), a), F.when(rest > 0, F.substr(line, e + 1, rest)).otherwise(F.lit("")))
-        return F.struct(k.alias("k"), F.lit(not longer).alias("short"), a.alias("a"), e.alias("e"))
+        a, e = j * size, F.least((j + 1) * size, n + short) - short
+        after = F.when(e < n, F.substr(line, e + 1, n - e)).otherwise(F.lit(""))
+        k = F.xxhash64(n + short, j, F.when(j > 0, F.substr(line, F.lit(1), a)).otherwise(F.lit("")), after)
+        return F.struct(k.alias("k"), F.lit(bool(short)).alias("short"), a.alias("a"), e.alias("e"))
 
-    return F.transform(F.sequence(F.lit(0), count - 1), one)
+    return F.transform(F.sequence(F.lit(0), F.col(f"count{short}") - 1), one)
 
 
-def _keys(line: Column) -> Column:
-    return F.concat(_blocks(line, True), _blocks(line, False))
+def _keys() -> Column:
+    return F.concat(_blocks(0), _blocks(1))
 
 
 def _variants(line: Column, b: Column) -> Column:
     """Structs (v, at) for one block: every variant with a character deleted, or the block as it is."""
-    block = F.substr(line, b["a"] + 1, b["e"] - b["a"])
+    size = b["e"] - b["a"]
+    block = F.substr(line, b["a"] + 1, size)
 
     def deleted(i: Column) -> Column:
-        left = F.substr(block, F.lit(1), i)
-        right = F.substr(block, i + 2, F.greatest(F.length(block) - i - 1, F.lit(0)))
+        left = F.substr(line, b["a"] + 1, i)
+        right = F.when(i + 1 < size, F.substr(line, b["a"] + i + 2, size - i - 1)).otherwise(F.lit(""))
         return F.struct(F.xxhash64(b["k"], F.concat(left, right)).alias("v"), (b["a"] + i).alias("at"))
 
     whole = F.array(F.struct(F.xxhash64(b["k"], block).alias("v"), F.lit(-1).alias("at")))
-    each = F.transform(F.sequence(F.lit(0), F.greatest(b["e"] - b["a"] - 1, F.lit(0))), deleted)
-    return F.when(b["short"], whole).when(b["e"] > b["a"], each)
+    each = F.transform(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))), deleted)
+    return F.when(b["short"], whole).when(size > 0, each)
 
 
 def _near(lines: DataFrame, firsts: DataFrame) -> DataFrame:
     """(h1, h2) of the distinct lines that lie within one edit of an earlier line."""
-    long_lines = lines.where(F.length("line") >= FUZZY_CHARS)
-    keys = long_lines.select("h1", "h2", F.explode(F.transform(_keys(F.col("line")), lambda b: b["k"])).alias("k"))
+    long_lines = _measured(lines).where(F.col("n") >= FUZZY_CHARS)
+    keys = long_lines.select("h1", "h2", F.explode(F.transform(_keys(), lambda b: b["k"])).alias("k"))
     met = keys.groupBy("k").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("k")
     wanted = stored(keys.distinct().join(met, "k", "left_semi").select("h1", "h2").distinct(), "line-ids")
     small = F.broadcast if wanted.count() <= BROADCAST_LINES else (lambda df: df)
     texts = long_lines.select("h1", "h2", "line").join(small(wanted), ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
     texts = stored(texts.join(firsts, ["h1", "h2"]), "lines")
-    blocks = texts.select("h1", "h2", "line", F.explode(_keys(F.col("line"))).alias("b"))
+    blocks = _measured(texts).select("h1", "h2", "line", F.explode(_keys()).alias("b"))
     again = blocks.groupBy("b.k").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("k")
     blocks = blocks.withColumn("k", F.col("b.k")).join(again, "k", "left_semi")
     emitted = blocks.select("h1", "h2", F.explode(_variants(F.col("line"), F.col("b"))).alias("x")).select("h1", "h2", "x.v", "x.at")
