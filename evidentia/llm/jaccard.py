@@ -38,10 +38,10 @@ from .shared import stored
 RARITY_BITS = 22
 #: Shingles that are counted exactly at a time, and how often one must occur among them to be counted
 #: on; rarer ones are as good as unique there.
-COUNTED, OFTEN = 4_000_000, 3
+COUNTED, OFTEN = 4_000_000, 2
 FILTER_BITS = 24
 PARTS = 256
-SIGNATURE = ["s0", "s1", "s2", "s3"]
+SIGNATURE = [f"s{k}" for k in range(8)]
 U64 = np.uint64
 
 
@@ -65,9 +65,10 @@ def _parts(s: np.ndarray) -> bytes:
 
 
 def _parity(s: np.ndarray) -> np.ndarray:
-    """256 bits, each the parity of the number of shingles in its part of the order: two sets differ in
+    """64 bits for each column of SIGNATURE, each the parity of the number of shingles in its part of the order: two sets differ in
     at least as many shingles as these differ in bits."""
-    bits = np.bincount(((s >> U64(20)) & U64(255)).astype(np.int64), minlength=256) & 1
+    size = 64 * len(SIGNATURE)
+    bits = np.bincount(((s >> U64(20)) & U64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
@@ -89,7 +90,7 @@ def _set(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
 def _profile(width: int):
     """Rows of kind 0 for documents (doc_id, node, n, parts), and of kind 1 for rarity (slot, count)."""
 
-    names = ["kind", "a", "b", "n", "parts", "s0", "s1", "s2", "s3"]
+    names = ["kind", "a", "b", "n", "parts", *SIGNATURE]
 
     def counted(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         tokens, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -97,7 +98,7 @@ def _profile(width: int):
         for a in range(0, len(slots), 50_000):
             k = len(slots[a : a + 50_000])
             zero = pa.array(np.zeros(k, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, dtype=np.int32)), pa.array(slots[a : a + k]), pa.array(counts[a : a + k].astype(np.int64)), zero, pa.nulls(k, pa.binary()), zero, zero, zero, zero], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, dtype=np.int32)), pa.array(slots[a : a + k]), pa.array(counts[a : a + k].astype(np.int64)), zero, pa.nulls(k, pa.binary()), *[zero] * len(SIGNATURE)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -105,7 +106,7 @@ def _profile(width: int):
             held += [s for s in sets if len(s)]
             k = len(ids)
             columns = [pa.array([0] * k, pa.int32()), pa.array(ids, pa.int64()), pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_parts(s) for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(c) for c in np.array([_parity(s) for s in sets]).reshape(-1, 4).T.copy()]], names)
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(c) for c in np.array([_parity(s) for s in sets]).reshape(-1, len(SIGNATURE)).T.copy()]], names)
             if sum(map(len, held)) > COUNTED:
                 yield from counted(held)
                 held = []
@@ -214,7 +215,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 75, den: int
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profile = stored(docs.mapInArrow(_profile(width), "kind int, a long, b long, n long, parts binary, s0 long, s1 long, s2 long, s3 long"), "profile")
+    profile = stored(docs.mapInArrow(_profile(width), "kind int, a long, b long, n long, parts binary, " + ", ".join(f"{c} long" for c in SIGNATURE)), "profile")
     rows = profile.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), "n", "parts", *SIGNATURE)
     counts = np.zeros(1 << RARITY_BITS, dtype=np.int32)
     slots = profile.where("kind = 1").groupBy("a").agg(F.sum("b").alias("b")).toArrow()
