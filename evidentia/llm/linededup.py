@@ -60,6 +60,20 @@ def _keys() -> Column:
     return F.concat(_blocks(0), _blocks(1))
 
 
+def _hashes() -> Column:
+    """The k of ``_keys`` alone; spelled out for lines of two blocks, which are nearly all, as that
+    compiles."""
+    line, n = F.col("line"), F.col("n")
+    two = []
+    for short in (0, 1):
+        size = F.col(f"size{short}")
+        # block 0 leaves what comes after it, block 1 what comes before it
+        after = F.when(size - short < n, F.substr(line, size - short + 1, n - size + short)).otherwise(F.lit(""))
+        two.append(F.xxhash64(n + short, F.lit(0), F.lit(""), after))
+        two.append(F.xxhash64(n + short, F.lit(1), F.substr(line, F.lit(1), size), F.lit("")))
+    return F.when(n < TWO_BLOCKS, F.array(*two)).otherwise(F.transform(_keys(), lambda b: b["k"]))
+
+
 def _variants(line: Column, b: Column) -> Column:
     """Structs (v, at) for one block: every variant with a character deleted, or the block as it is."""
     size = b["e"] - b["a"]
@@ -75,14 +89,15 @@ def _variants(line: Column, b: Column) -> Column:
     return F.when(b["short"], whole).when(size > 0, each)
 
 
-def _near(lines: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(h1, h2) of the distinct lines that lie within one edit of an earlier line."""
-    long_lines = _measured(lines).where(F.col("n") >= FUZZY_CHARS)
-    keys = long_lines.select("h1", "h2", F.explode(F.transform(_keys(), lambda b: b["k"])).alias("k"))
+def _near(lines: DataFrame, table: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(h1, h2) of the distinct lines that lie within one edit of an earlier line.
+
+    ``table`` has h1, h2 and keys of every line, ``lines`` also the line itself."""
+    keys = table.select("h1", "h2", F.explode("keys").alias("k"))
     met = keys.groupBy("k").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("k")
-    wanted = stored(keys.distinct().join(met, "k", "left_semi").select("h1", "h2").distinct(), "line-ids")
+    wanted = stored(keys.join(met, "k", "left_semi").select("h1", "h2").distinct(), "line-ids")
     small = F.broadcast if wanted.count() <= BROADCAST_LINES else (lambda df: df)
-    texts = long_lines.select("h1", "h2", "line").join(small(wanted), ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
+    texts = lines.select("h1", "h2", "line").join(small(wanted), ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
     texts = stored(texts.join(firsts, ["h1", "h2"]), "lines")
     blocks = _measured(texts).select("h1", "h2", "line", F.explode(_keys()).alias("b"))
     again = blocks.groupBy("b.k").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("k")
@@ -110,22 +125,24 @@ def line_decisions(docs: DataFrame) -> DataFrame:
     the same text are one document, so neither takes lines from the other.  A null doc_id comes before
     all others.  Names of other columns do not matter.
     """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("key", document_key(F.col("id"), F.col("text")))
-    rows = rows.withColumn("lines", F.split("text", "\n", -1))
-    lines = rows.select("id", "key", F.posexplode("lines").alias("at", "line")).where(F.length("line") >= MIN_CHARS)
-    lines = lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
-    firsts = stored(lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "key", "at")).alias("first")), "firsts")
-    near = _near(lines.select("h1", "h2", "line"), firsts)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    text = F.col("row.text").cast("string")
+    rows = rows.withColumn("key", document_key(F.col("row.doc_id"), text))
+    split = rows.select(F.col("row.doc_id").alias("id"), "key", F.posexplode(F.split(text, "\n", -1)).alias("at", "line"))
+    lines = split.where(F.length("line") >= MIN_CHARS).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
+    table = _measured(lines).select("id", "key", "at", "h1", "h2", F.when(F.col("n") >= FUZZY_CHARS, _hashes()).alias("keys"))
+    table = stored(table, "line-keys")
+    firsts = stored(table.groupBy("h1", "h2").agg(F.min(F.struct("id", "key", "at")).alias("first")), "firsts")
+    near = _near(lines.select("h1", "h2", "line"), table, firsts)
     kept = firsts.join(near, ["h1", "h2"], "left_anti").groupBy("first.key").agg(F.collect_list("first.at").alias("kept"))
-    out = rows.join(kept, "key", "left")
+    out = rows.join(kept, "key", "left").withColumn("lines", F.split(text, "\n", -1))
     places = F.sequence(F.lit(0), F.size("lines") - 1)
     short = F.filter(places, lambda i: F.length(F.get("lines", i)) < MIN_CHARS)
     stay = F.array_sort(F.concat(short, F.coalesce("kept", F.array().cast("array<int>"))))
-    out = out.withColumn("stay", F.when(F.col("text").isNotNull(), stay))
-    text = F.array_join(F.transform("stay", lambda i: F.get("lines", i)), "\n")
-    dropped = F.when(F.col("text").isNotNull(), F.array_except(places, "stay")).otherwise(F.array().cast("array<int>"))
-    return out.select("row", text.alias("text"), F.coalesce(F.size("lines"), F.lit(0)).alias("n_lines"), dropped.alias("dropped"))
+    out = out.withColumn("stay", F.when(text.isNotNull(), stay))
+    cleaned = F.array_join(F.transform("stay", lambda i: F.get("lines", i)), "\n")
+    dropped = F.when(text.isNotNull(), F.array_except(places, "stay")).otherwise(F.array().cast("array<int>"))
+    return out.select("row", cleaned.alias("text"), F.coalesce(F.size("lines"), F.lit(0)).alias("n_lines"), dropped.alias("dropped"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
