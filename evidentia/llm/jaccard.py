@@ -41,7 +41,7 @@ RARITY_BITS = 22
 COUNTED, OFTEN = 4_000_000, 2
 FILTER_BITS = 24
 PARTS = 256
-SIGNATURE = [f"s{k}" for k in range(8)]
+SIGNATURE = [f"s{k}" for k in range(16)]
 U64 = np.uint64
 
 
