@@ -1,0 +1,60 @@
+"""One relational text for two SQL dialects.
+
+Plans are written once with ``${name(arguments)}`` for what Spark and an ANSI checker spell differently.
+Decimal literals become doubles in both.
+"""
+
+from __future__ import annotations
+
+import re
+
+_SPELLING = {
+    "spark": {
+        "explode": "explode({0})", "size": "size({0})", "distinct": "array_distinct({0})", "firsts": "array_distinct({0})", "common": "array_intersect({0}, {1})",
+        "except": "array_except({0}, {1})", "quantile": "percentile({0}, {1})", "sha": "sha2({0}, 256)", "find": "regexp_extract_all({0}, {1}, 0)",
+        "matches": "regexp_like({0}, {1})", "replace": "regexp_replace({0}, {1}, {2})", "list": "array_sort(collect_list({0}))", "kept": "filter({0}, x -> {1})",
+        "mapped": "transform({0}, x -> {1})", "joined": "array_join({0}, {1})", "hex": "conv({0}, 16, 10)", "dot": "aggregate(zip_with({0}, {1}, (x, y) -> cast(x as double) * cast(y as double)), 0e0, (a, x) -> a + x)",
+        "at": "try_element_at({0}, {1})", "array": "array({0})", "raw": "r'{0}'", "least_by": "min_by({0}, {1})", "split": "split({0}, {1})", "range": "sequence({0}, {1})",
+        "any": "exists({0}, x -> {1})", "json": "get_json_object({0}, '$.{1}')", "slice": "slice({0}, {1}, {2})", "pop": "stddev_pop({0})",
+    },
+    "duckdb": {
+        "explode": "unnest({0})", "size": "len({0})", "distinct": "list_distinct({0})", "firsts": "list_filter({0}, lambda x, i: list_position({0}, x) = i)", "common": "list_intersect({0}, {1})",
+        "except": "list_filter({0}, lambda x: NOT list_contains({1}, x))", "quantile": "quantile_cont({0}, {1})", "sha": "sha256({0})", "find": "regexp_extract_all({0}, {1})",
+        "matches": "regexp_matches({0}, {1})", "replace": "regexp_replace({0}, {1}, {2}, 'g')", "list": "list_sort(list({0}))", "kept": "list_filter({0}, lambda x: {1})",
+        "mapped": "list_transform({0}, lambda x: {1})", "joined": "array_to_string({0}, {1})", "hex": "('0x' || {0})::bigint", "dot": "list_dot_product({0}::double[], {1}::double[])",
+        "at": "list_extract({0}, {1})", "array": "[{0}]", "raw": "'{0}'", "least_by": "arg_min({0}, {1})", "split": "string_split({0}, {1})", "range": "range({0}, {1} + 1)",
+        "any": "len(list_filter({0}, lambda x: {1})) > 0", "json": "json_extract_string({0}, '$.{1}')", "slice": "list_slice({0}, {1}, {1} + {2} - 1)", "pop": "stddev_pop({0})",
+    },
+}
+
+
+def _arguments(text: str) -> list[str]:
+    """Split at the commas outside brackets and quotes; a ``raw`` text stays whole."""
+    out, depth, quoted, start = [], 0, False, 0
+    for i, c in enumerate(text):
+        if c == "'":
+            quoted = not quoted
+        elif not quoted:
+            depth += c in "([{"
+            depth -= c in ")]}"
+            if c == "," and depth == 0:
+                out.append(text[start:i].strip())
+                start = i + 1
+    return [*out, text[start:].strip()]
+
+
+def render(text: str, dialect: str) -> str:
+    spelling = _SPELLING[dialect]
+    while (at := text.rfind("${")) >= 0:
+        stop, depth = at + 2, 1
+        while depth:
+            depth += {"{": 1, "}": -1}.get(text[stop], 0)
+            stop += 1
+        name, _, inside = text[at + 2 : stop - 1].partition("(")
+        inside = inside[:-1]
+        parts = [inside] if name in ("raw", "array") else _arguments(inside)
+        done = spelling[name]
+        for k, part in enumerate(parts):
+            done = done.replace(f"{{{k}}}", part)
+        text = text[:at] + done + text[stop:]
+    return re.sub(r"(?<![\w.'\[(/-])(\d+\.\d+)(?![\w.'])|(?<=\()(\d+\.\d+)(?![\w.'])", lambda m: (m[1] or m[2]) + "e0", text)
