@@ -191,7 +191,7 @@ def memo(path: str) -> tuple[BPE, Memo]:
 def _round_trip(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, pieces = memo(path)
-        for batch in batches:
+        for batch in (b.slice(a, 500) for b in batches for a in range(0, b.num_rows, 500)):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             rows: tuple[list, list, list] = ([], [], [])
             for ids in pieces.texts(texts):
@@ -206,7 +206,7 @@ def _round_trip(path: str):
 def _encoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, pieces = memo(path)
-        for batch in batches:
+        for batch in (b.slice(a, 500) for b in batches for a in range(0, b.num_rows, 500)):
             ids = list(pieces.texts([t or "" for t in batch.column("text").to_pylist()]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 

@@ -8,7 +8,8 @@ Hamming distance from counts in fixed parts of the order) before its one exact v
 Large groups of copies never expand into pairs:
 
 * documents with equal sets are one *node*;
-* round one links the nodes of each prefix shingle with one leader only;
+* the nodes of each prefix shingle have one leader; round one tests a node against the ``LEADERS``
+  leaders that it shares most prefix shingles with;
 * round two takes the shingles whose nodes are still in different components, and pairs their nodes
   outside the shingle's commonest component with those of other components.  Pairs inside a
   component need no test, as they change nothing in the result.
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -38,9 +39,11 @@ from .shared import stored
 RARITY_BITS = 22
 #: Shingles that are counted exactly at a time, and how often one must occur among them to be counted
 #: on; rarer ones are as good as unique there.
-COUNTED, OFTEN = 4_000_000, 2
-FILTER_BITS = 24
+COUNTED, OFTEN = 3_000_000, 2
+FILTER_BITS = 26
 PARTS = 256
+#: Leaders that a node is tested against in round one.
+LEADERS = 3
 SIGNATURE = [f"s{k}" for k in range(16)]
 U64 = np.uint64
 
@@ -48,10 +51,12 @@ U64 = np.uint64
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[list[int | None], list[np.ndarray]]]:
     """Document ids and shingle sets, step by step."""
     for batch in batches:
-        texts, ids = batch.column("text"), batch.column("doc_id").to_pylist()
-        raw = [t.encode() if t is not None else b"" for t in texts.to_pylist()]
-        for a, b in K.steps(raw):
-            yield ids[a:b], list(K.shingles(*K.words(raw[a:b]), width))
+        for k in range(0, batch.num_rows, 512):
+            rows = batch.slice(k, 512)
+            ids = rows.column("doc_id").to_pylist()
+            raw = [t.encode() if t is not None else b"" for t in rows.column("text").to_pylist()]
+            for a, b in K.steps(raw):
+                yield ids[a:b], list(K.shingles(*K.words(raw[a:b]), width))
 
 
 def _node(s: np.ndarray) -> int:
@@ -194,7 +199,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, n
     """Of the candidate pairs (u, v) those that link, each tested once."""
     left = nodes.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("parts").alias("pu"), F.col("doc_id").alias("du"))
     right = nodes.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("parts").alias("pv"), F.col("doc_id").alias("dv"))
-    pairs = pairs.distinct().join(left, "u").join(right, "v").select("u", "v", "nu", "nv", "du", "dv", "pu", "pv")
+    pairs = pairs.join(left, "u").join(right, "v").select("u", "v", "nu", "nv", "du", "dv", "pu", "pv")
     pairs = stored(pairs.mapInArrow(_close(num, den), "u long, v long, nu long, nv long, du long, dv long"), "pairs")
     bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(pairs.select(F.explode(F.array("du", "dv")).alias("key")).where("key is not null")))
     sets = stored(docs.mapInArrow(_wanted(width, bitmap), "node long, n long, tokens array<long>"), "sets")
@@ -231,8 +236,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 75, den: int
     nodes = rows.where("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("doc_id"), F.first("parts").alias("parts"), *[F.first(c).alias(c) for c in SIGNATURE])
 
     led = members.where("node = lead").select("token", F.col("place").alias("lead_place"))
-    members = members.where("node <> lead")
-    first = members.join(led, "token").where(_may_link(F.col("place"), F.col("lead_place"), num, den)).select(F.greatest("node", "lead").alias("u"), F.least("node", "lead").alias("v"))
+    first = members.where("node <> lead").join(led, "token").where(_may_link(F.col("place"), F.col("lead_place"), num, den))
+    first = first.groupBy("node", "lead").agg(F.count("*").alias("k"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("k"), "lead"))
+    first = first.withColumn("r", rank).where(F.col("r") <= LEADERS).select(F.greatest("node", "lead").alias("u"), F.least("node", "lead").alias("v"))
+    first = stored(first.distinct(), "first")
     links = stored(_verified(first, docs, nodes, width, num, den), "links")
     parts = stored(connected_components(links), "components")
 
@@ -248,6 +256,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 75, den: int
     other = other & ((total - apart) * (num + den) >= total * (2 * num))
     second = one.join(two, (F.col("x.token") == F.col("y.token")) & other & _may_link(F.col("x.place"), F.col("y.place"), num, den))
     second = second.select(F.greatest("x.node", "y.node").alias("u"), F.least("x.node", "y.node").alias("v"))
+    second = second.distinct().join(first, ["u", "v"], "left_anti")
     more = _verified(second, docs, nodes, width, num, den)
     joined = stored(more.join(parts.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left").join(parts.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")), "joined")
     higher = connected_components(joined).select(F.col("node").alias("component"), F.col("component").alias("top"))

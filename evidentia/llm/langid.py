@@ -166,9 +166,8 @@ def keep_identified(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a in range(0, len(texts), 256):
-                part = texts[a : a + 256]
+            for a in range(0, batch.num_rows, 256):
+                part = batch.column("text").slice(a, 256).to_pylist()
                 some = [i for i, t in enumerate(part) if t and has_letter(t)]
                 if some and shared.value:
                     rejected = shared.value.predict([part[i] for i in some])[2]
