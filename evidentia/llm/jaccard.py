@@ -43,7 +43,7 @@ COUNTED, OFTEN = 3_000_000, 2
 FILTER_BITS = 26
 PARTS = 256
 #: Leaders that a node is tested against in round one.
-LEADERS = 3
+LEADERS = 2
 SIGNATURE = [f"s{k}" for k in range(16)]
 U64 = np.uint64
 
@@ -197,9 +197,11 @@ def _may_link(p: Column, q: Column, num: int, den: int) -> Column:
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Of the candidate pairs (u, v) those that link, each tested once."""
-    left = nodes.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("parts").alias("pu"), F.col("doc_id").alias("du"))
-    right = nodes.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("parts").alias("pv"), F.col("doc_id").alias("dv"))
-    pairs = pairs.join(left, "u").join(right, "v").select("u", "v", "nu", "nv", "du", "dv", "pu", "pv")
+    left = nodes.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("parts").alias("pu"), F.col("doc_id").alias("du"), *[F.col(c).alias(f"l{c}") for c in SIGNATURE])
+    right = nodes.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("parts").alias("pv"), F.col("doc_id").alias("dv"), *[F.col(c).alias(f"r{c}") for c in SIGNATURE])
+    apart = sum((F.bit_count(F.col(f"l{c}").bitwiseXOR(F.col(f"r{c}"))) for c in SIGNATURE), F.lit(0))
+    total = F.col("nu") + F.col("nv")
+    pairs = pairs.join(left, "u").join(right, "v").where((total - apart) * (num + den) >= total * (2 * num)).select("u", "v", "nu", "nv", "du", "dv", "pu", "pv")
     pairs = stored(pairs.mapInArrow(_close(num, den), "u long, v long, nu long, nv long, du long, dv long"), "pairs")
     bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(pairs.select(F.explode(F.array("du", "dv")).alias("key")).where("key is not null")))
     sets = stored(docs.mapInArrow(_wanted(width, bitmap), "node long, n long, tokens array<long>"), "sets")
