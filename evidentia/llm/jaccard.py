@@ -8,8 +8,7 @@ Hamming distance from counts in fixed parts of the order) before its one exact v
 Large groups of copies never expand into pairs:
 
 * documents with equal sets are one *node*;
-* the nodes of each prefix shingle have one leader; round one tests a node against the ``LEADERS``
-  leaders that it shares most prefix shingles with;
+* round one links the nodes of each prefix shingle with one leader only;
 * round two takes the shingles whose nodes are still in different components, and pairs their nodes
   outside the shingle's commonest component with those of other components.  Pairs inside a
   component need no test, as they change nothing in the result.
@@ -29,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -40,10 +39,8 @@ RARITY_BITS = 22
 #: Shingles that are counted exactly at a time, and how often one must occur among them to be counted
 #: on; rarer ones are as good as unique there.
 COUNTED, OFTEN = 3_000_000, 2
-FILTER_BITS = 26
+FILTER_BITS = 24
 PARTS = 256
-#: Leaders that a node is tested against in round one.
-LEADERS = 2
 SIGNATURE = [f"s{k}" for k in range(16)]
 U64 = np.uint64
 
@@ -239,14 +236,12 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 75, den: int
 
     led = members.where("node = lead").select("token", F.col("place").alias("lead_place"))
     first = members.where("node <> lead").join(led, "token").where(_may_link(F.col("place"), F.col("lead_place"), num, den))
-    first = first.groupBy("node", "lead").agg(F.count("*").alias("k"))
-    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("k"), "lead"))
-    first = first.withColumn("r", rank).where(F.col("r") <= LEADERS).select(F.greatest("node", "lead").alias("u"), F.least("node", "lead").alias("v"))
+    first = first.select(F.greatest("node", "lead").alias("u"), F.least("node", "lead").alias("v"))
     first = stored(first.distinct(), "first")
     links = stored(_verified(first, docs, nodes, width, num, den), "links")
     parts = stored(connected_components(links), "components")
 
-    inside = members.join(parts, "node", "left").select("token", "node", "place", F.coalesce("component", "node").alias("component"))
+    inside = members.where("node <> lead").join(parts, "node", "left").select("token", "node", "place", F.coalesce("component", "node").alias("component"))
     per = inside.groupBy("token", "component").agg(F.count("*").alias("k"))
     major = per.groupBy("token").agg(F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1").select("token", F.col("top.component").alias("major"))
     open_ = stored(inside.join(major, "token").join(nodes.select("node", *SIGNATURE), "node"), "open")
