@@ -186,9 +186,12 @@ def _rank(place: Column) -> Column:
 
 
 def _may_link(p: Column, q: Column, num: int, den: int) -> Column:
-    """The length and the positional filter for two places of one shared token."""
+    """The length and the positional filter for two places of one shared token.
+
+    Sets that must share m tokens have a common one among the first ``size - m + 1`` of each, so a
+    pair counts only at such tokens."""
     a, b, i, j = _size(p), _size(q), _rank(p), _rank(q)
-    bound = F.least(i, j) + 1 + F.least(a - 1 - i, b - 1 - j)
+    bound = F.least(F.least(i, j) + 1 + F.least(a - 1 - i, b - 1 - j), a - i, b - j)
     return (F.least(a, b) * den >= F.greatest(a, b) * num) & (bound * (num + den) >= (a + b) * num)
 
 
