@@ -38,7 +38,7 @@ from .shared import stored
 RARITY_BITS = 22
 #: Shingles that are counted exactly at a time, and how often one must occur among them to be counted
 #: on; rarer ones are as good as unique there.
-COUNTED, OFTEN = 3_000_000, 2
+COUNTED, OFTEN = 2_000_000, 2
 FILTER_BITS = 24
 PARTS = 256
 SIGNATURE = [f"s{k}" for k in range(16)]

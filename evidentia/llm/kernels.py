@@ -8,7 +8,7 @@ import numpy as np
 
 U64 = np.uint64
 #: Bytes of text that one vectorised step takes; a longer text is a step of its own.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
