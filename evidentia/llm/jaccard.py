@@ -11,7 +11,9 @@ Large groups of copies never expand into pairs:
 * round one links the nodes of each prefix shingle with one leader only;
 * round two takes the shingles whose nodes are still in different components, and pairs their nodes
   outside the shingle's commonest component with those of other components.  Pairs inside a
-  component need no test, as they change nothing in the result.
+  component need no test, as they change nothing in the result.  A pair is left out at a shingle when
+  it also shares one of the ``RECALL`` shingles before it in both prefixes: it was taken there, or
+  before, as nothing precedes the first that it shares.
 
 So no link between different texts is lost, and the components are exact.
 
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -41,6 +43,8 @@ RARITY_BITS = 22
 COUNTED, OFTEN = 2_000_000, 2
 FILTER_BITS = 24
 PARTS = 256
+#: How many earlier prefix shingles a row carries to leave out pairs that were taken before.
+RECALL = 12
 SIGNATURE = [f"s{k}" for k in range(16)]
 U64 = np.uint64
 
@@ -247,14 +251,16 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 75, den: int
     inside = members.where("node <> lead").join(parts, "node", "left").select("token", "node", "place", F.coalesce("component", "node").alias("component"))
     per = inside.groupBy("token", "component").agg(F.count("*").alias("k"))
     major = per.groupBy("token").agg(F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1").select("token", F.col("top.component").alias("major"))
-    open_ = stored(inside.join(major, "token").join(nodes.select("node", *SIGNATURE), "node"), "open")
+    earlier = F.collect_list("token").over(Window.partitionBy("node").orderBy("place").rowsBetween(-RECALL, -1))
+    open_ = inside.join(major, "token").withColumn("earlier", earlier)
+    open_ = stored(open_.join(nodes.select("node", *SIGNATURE), "node"), "open")
     one = open_.where("component <> major").alias("x")
     two = open_.alias("y")
     other = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.major")) | (F.col("x.node") < F.col("y.node")))
     apart = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in SIGNATURE), F.lit(0))
     total = _size(F.col("x.place")) + _size(F.col("y.place"))
     other = other & ((total - apart) * (num + den) >= total * (2 * num))
-    second = one.join(two, (F.col("x.token") == F.col("y.token")) & other & _may_link(F.col("x.place"), F.col("y.place"), num, den))
+    second = one.join(two, (F.col("x.token") == F.col("y.token")) & other & _may_link(F.col("x.place"), F.col("y.place"), num, den) & ~F.arrays_overlap("x.earlier", "y.earlier"))
     second = second.select(F.greatest("x.node", "y.node").alias("u"), F.least("x.node", "y.node").alias("v"))
     second = second.distinct().join(first, ["u", "v"], "left_anti")
     more = _verified(second, docs, nodes, width, num, den)
