@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from evidentia.functions.dialect import render
-from evidentia.plans.catalog import PLANS
+from evidentia.plans import catalog, evidence, fitted
 
+PLANS = catalog.PLANS | evidence.PLANS
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -27,8 +28,8 @@ def plan(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: plan(name) for name in PLANS}
+    return {name: plan(name) for name in PLANS} | fitted.QUERIES
 
 
 def oracles() -> dict[str, str]:
-    return {name: render(text, "duckdb") for name, text in PLANS.items()}
+    return {name: render(text, "duckdb") for name, text in PLANS.items()} | fitted.ORACLES

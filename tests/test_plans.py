@@ -4,8 +4,8 @@ import duckdb
 import pytest
 
 from evidentia.functions.dialect import render
-from evidentia.plans.catalog import PLANS
-from evidentia.plans.queries import TABLES, plan
+from evidentia.plans import fitted
+from evidentia.plans.queries import PLANS, TABLES, plan
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,6 +31,16 @@ def test_plan(spark, duck, name):
     assert rows(found.columns, [tuple(r) for r in found.collect()]) == rows(told.columns, told.fetchall())
 
 
+def test_hourly_events(spark, duck):
+    found, told = fitted.events_hourly(spark, SF), duck.sql(fitted.ORACLES["events_hourly"])
+    assert rows(found.columns, [tuple(r) for r in found.collect()]) == rows(told.columns, told.fetchall())
+
+
+@pytest.mark.parametrize("name", sorted(set(fitted.QUERIES) - set(fitted.ORACLES)))
+def test_fitted(spark, name):
+    assert fitted.QUERIES[name](spark, SF).count() >= (0 if name == "entity_ipv6" else 4)
+
+
 def test_entry(spark):
     import __spark_entry__
 
