@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import connected_components
-from .shared import stored
+from .shared import stored, trimmed
 
 RARITY_BITS = 22
 #: Shingles that are counted exactly at a time, and how often one must occur among them to be counted
@@ -208,7 +208,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, n
     pairs = pairs.join(left, "u").join(right, "v").where((total - apart) * (num + den) >= total * (2 * num)).select("u", "v", "nu", "nv", "du", "dv", "pu", "pv")
     pairs = stored(pairs.mapInArrow(_close(num, den), "u long, v long, nu long, nv long, du long, dv long"), "pairs")
     bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(pairs.select(F.explode(F.array("du", "dv")).alias("key")).where("key is not null")))
-    sets = stored(docs.mapInArrow(_wanted(width, bitmap), "node long, n long, tokens array<long>"), "sets")
+    sets = stored(docs.mapInArrow(trimmed(_wanted(width, bitmap)), "node long, n long, tokens array<long>"), "sets")
     one, two = sets.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("tokens").alias("s")), sets.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("tokens").alias("t"))
     shared = F.size(F.array_intersect("s", "t"))
     linked = pairs.join(one, ["u", "nu"]).join(two, ["v", "nv"]).where(shared * (num + den) >= (F.col("nu") + F.col("nv")) * num)
@@ -226,7 +226,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 75, den: int
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profile = stored(docs.mapInArrow(_profile(width), "kind int, a long, b long, n long, parts binary, " + ", ".join(f"{c} long" for c in SIGNATURE)), "profile")
+    profile = stored(docs.mapInArrow(trimmed(_profile(width)), "kind int, a long, b long, n long, parts binary, " + ", ".join(f"{c} long" for c in SIGNATURE)), "profile")
     rows = profile.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), "n", "parts", *SIGNATURE)
     counts = np.zeros(1 << RARITY_BITS, dtype=np.int32)
     slots = profile.where("kind = 1").groupBy("a").agg(F.sum("b").alias("b")).toArrow()
@@ -234,10 +234,10 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 75, den: int
     rarity = spark.sparkContext.broadcast(counts)
 
     rows_of = "token long, node long, place long"
-    leaders = docs.mapInArrow(_prefixes(width, num, den, rarity), rows_of).groupBy("token").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last")
+    leaders = docs.mapInArrow(trimmed(_prefixes(width, num, den, rarity)), rows_of).groupBy("token").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last")
     leaders = stored(leaders.select("token", "lead"), "leaders")
     shared_tokens = spark.sparkContext.broadcast(_bitmap(leaders.select(F.col("token").alias("key"))))
-    members = docs.mapInArrow(_prefixes(width, num, den, rarity, shared_tokens), rows_of)
+    members = docs.mapInArrow(trimmed(_prefixes(width, num, den, rarity, shared_tokens)), rows_of)
     members = stored(members.join(leaders, "token").distinct(), "members")
     nodes = rows.where("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("doc_id"), F.first("parts").alias("parts"), *[F.first(c).alias(c) for c in SIGNATURE])
 

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import trimmed
 
 BITS = 12
 DIMENSIONS = 1 << BITS
@@ -109,7 +110,7 @@ def fit(labelled: DataFrame, per_language: int = 800, clusters: int = 4) -> Mode
     for lang, n in totals.items():
         share = F.when(F.col("lang") == lang, F.lit(per_language / n)).otherwise(share)
     chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
-    sample = labelled.where(chance < share).select("lang", "text").mapInArrow(_sampled, "lang string, counts binary").toArrow()
+    sample = labelled.where(chance < share).select("lang", "text").mapInArrow(trimmed(_sampled), "lang string, counts binary").toArrow()
     if not sample.num_rows:
         return None
     order = sorted(range(sample.num_rows), key=lambda i: (sample["lang"][i].as_py(), sample["counts"][i].as_py()))
@@ -129,8 +130,8 @@ def _predicted(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                rows = batch.slice(a, 256)
+            for a in range(0, batch.num_rows, 64):
+                rows = batch.slice(a, 64)
                 texts = [t or "" for t in rows.column("text").to_pylist()]
                 langs, scores, rejected = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
                 some = [i for i, t in enumerate(texts) if has_letter(t)]
@@ -151,7 +152,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     looked at.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_predicted(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, lang_pred string, score double, rejected boolean")
+    return docs.mapInArrow(trimmed(_predicted(docs.sparkSession.sparkContext.broadcast(model))), "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def learnable(docs: DataFrame) -> DataFrame:
@@ -166,12 +167,12 @@ def keep_identified(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.column("text").slice(a, 256).to_pylist()
+            for a in range(0, batch.num_rows, 64):
+                part = batch.column("text").slice(a, 64).to_pylist()
                 some = [i for i, t in enumerate(part) if t and has_letter(t)]
                 if some and shared.value:
                     rejected = shared.value.predict([part[i] for i in some])[2]
                     keep = [a + i for i, r in zip(some, rejected, strict=True) if not r]
                     yield batch.take(pa.array(keep, pa.int64()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
