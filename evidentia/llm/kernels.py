@@ -66,9 +66,15 @@ def words(texts: list[bytes], separators: np.ndarray = SPACE) -> tuple[np.ndarra
     inside = np.concatenate(([False], ~separators[buf], [False]))
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edge[0::2], edge[1::2]
-    up, down = powers(len(buf))
-    total = np.concatenate((np.zeros(1, dtype=U64), np.cumsum(LOWER_CODE[buf] * up, dtype=U64)))
-    hashes = (total[ends] - total[starts]) * down[starts]
+    hashes = np.empty(len(starts), dtype=U64)
+    a = 0
+    while a < len(starts):  # words of about STEP_BYTES at a time, as their hashes don't depend on their place
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + STEP_BYTES, "right")))
+        s, e = starts[a:b] - starts[a], ends[a:b] - starts[a]
+        up, down = powers(int(e[-1]))
+        total = np.concatenate((np.zeros(1, dtype=U64), np.cumsum(LOWER_CODE[buf[starts[a] : ends[b - 1]]] * up, dtype=U64)))
+        hashes[a:b] = (total[e] - total[s]) * down[s]
+        a = b
     hashes = mix(hashes + (ends - starts).astype(U64) * U64(0x9E3779B97F4A7C15))
     offsets = np.cumsum([0] + [len(t) + 1 for t in texts])
     return hashes, np.searchsorted(starts, offsets)
