@@ -19,9 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pieces import Memo
+from .shared import trimmed
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NONE = np.iinfo(np.int64).max
+#: Documents of one step in a worker.
+SLICE = 150
 
 
 def byte_characters() -> dict[str, int]:
@@ -191,7 +194,7 @@ def memo(path: str) -> tuple[BPE, Memo]:
 def _round_trip(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, pieces = memo(path)
-        for batch in (b.slice(a, 500) for b in batches for a in range(0, b.num_rows, 500)):
+        for batch in (b.slice(a, SLICE) for b in batches for a in range(0, b.num_rows, SLICE)):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             rows: tuple[list, list, list] = ([], [], [])
             for ids in pieces.texts(texts):
@@ -206,7 +209,7 @@ def _round_trip(path: str):
 def _encoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, pieces = memo(path)
-        for batch in (b.slice(a, 500) for b in batches for a in range(0, b.num_rows, 500)):
+        for batch in (b.slice(a, SLICE) for b in batches for a in range(0, b.num_rows, SLICE)):
             ids = list(pieces.texts([t or "" for t in batch.column("text").to_pylist()]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
@@ -219,7 +222,7 @@ def _inputs(docs: DataFrame) -> DataFrame:
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids: array<int>) for every row of ``docs`` (doc_id, text); a null text is empty."""
-    return _inputs(docs).mapInArrow(_encoded(path), "doc_id long, ids array<int>")
+    return _inputs(docs).mapInArrow(trimmed(_encoded(path)), "doc_id long, ids array<int>")
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
@@ -229,4 +232,4 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     token.  Null texts count as empty; a null doc_id stays null; repeated rows give repeated rows;
     other columns are not looked at.
     """
-    return _inputs(docs).mapInArrow(_round_trip(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _inputs(docs).mapInArrow(trimmed(_round_trip(path)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

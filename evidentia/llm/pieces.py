@@ -15,7 +15,7 @@ from itertools import chain
 import numpy as np
 
 #: Pieces in the memo of one Python worker.  When it is full, it keeps those that came up again.
-MEMO_PIECES = 400_000
+MEMO_PIECES = 300_000
 #: Characters of text that one step takes; a longer text is a step of its own.
 STEP_CHARS = 1 << 19
 _BESIDE_SPACE = re.compile(r" \s|\s ")
