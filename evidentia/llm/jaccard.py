@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import connected_components
-from .shared import stored, trimmed
+from .shared import small_batches, stored, trimmed
 
 RARITY_BITS = 22
 #: Shingles that are counted exactly at a time, and how often one must occur among them to be counted
@@ -225,6 +225,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 75, den: int
     if nobody else is in it).  Repeated rows give repeated rows.  Other columns are not looked at.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     profile = stored(docs.mapInArrow(trimmed(_profile(width)), "kind int, a long, b long, n long, parts binary, " + ", ".join(f"{c} long" for c in SIGNATURE)), "profile")
     rows = profile.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), "n", "parts", *SIGNATURE)

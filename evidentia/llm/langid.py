@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import trimmed
+from .shared import small_batches, trimmed
 
 BITS = 12
 DIMENSIONS = 1 << BITS
@@ -152,6 +152,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     looked at.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(trimmed(_predicted(docs.sparkSession.sparkContext.broadcast(model))), "doc_id long, lang_pred string, score double, rejected boolean")
 
 
@@ -163,6 +164,7 @@ def learnable(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, lang, any others) without the documents that are rejected."""
     model = fit(learnable(docs))
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

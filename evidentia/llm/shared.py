@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder (tests, a single machine).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+#: Rows of whole texts that go to a Python worker at once; Spark's own 10,000 hold some 100 MB outside
+#: the executor's heap in each task.
+BATCH_ROWS = 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,6 +49,13 @@ def reachable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS rows in this session; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     reachable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
