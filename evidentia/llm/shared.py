@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder (tests, a single machine).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
-#: Rows of whole texts that go to a Python worker at once; Spark's own 10,000 hold some 100 MB outside
-#: the executor's heap in each task.
+#: Rows of whole texts that go to a Python worker at once.  A batch stands in each task outside the
+#: executor's heap, and again in the worker; Spark's own bound is 10,000 rows.
 BATCH_ROWS = 2000
 
 
