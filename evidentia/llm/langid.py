@@ -3,9 +3,12 @@
 A text is the counts of its hashed byte n-grams (one to four bytes of lowered words), dampened by a
 logarithm, weighted by IDF and normalised.  Each language has several centroids, found by spherical
 k-means over its sampled texts; the nearest centroid by cosine tells the language.  A text whose
-cosine stays below its language's bound is rejected as too far from all that was learned.
+cosine stays below its language's bound is rejected as too far from all that was learned.  Cosines
+grow with the number of distinct n-grams, so a language has a bound for each such size: a share of
+a low quantile over all rows that may be learned from, each held against centroids that were fitted
+on the other half of the sample.
 
-The classifier is fitted on at most ``per_language`` sampled texts of each language, chosen by a hash
+The centroids are fitted on at most ``per_language`` sampled texts of each language, chosen by a hash
 of the id; features are computed on the executors over whole texts.
 """
 
@@ -26,6 +29,12 @@ DIMENSIONS = 1 << BITS
 #: Bytes of one vectorised step; a longer text goes through several.
 STEP = 1 << 19
 UNDETERMINED = "und"
+#: Sizes by distinct n-grams, two to a doubling.
+SIZES = 2 * BITS + 1
+#: A bound is BOUND_SHARE of this quantile, over at least BOUND_ROWS rows of its size or smaller ones.
+BOUND_QUANTILE, BOUND_SHARE, BOUND_ROWS = 0.002, 0.8, 20
+#: Steps of a cosine from 0 to 1 when they are counted.
+COSINE_STEPS = 1000
 #: Bytes as they count: ASCII other than letters is a space, and runs of spaces are one.
 LETTERS = np.array([b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256)], dtype=np.uint8)
 _FOLD = {n: (0x9E3779B1 * (2 * n + 1)) & 0xFFFFFFFF for n in range(1, 5)}
@@ -65,18 +74,21 @@ class Model:
     owner: np.ndarray
     bound: np.ndarray
 
-    def vectors(self, texts: list[str]) -> np.ndarray:
-        x = _dampened(np.stack([_counts(t) for t in texts])) * self.idf
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    def nearest(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Best cosine in each language, and the size, of texts with a letter."""
+        counts = np.stack([_counts(t) for t in texts])
+        x = _dampened(counts) * self.idf
+        cosines = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) @ self.centroids.T
+        best = np.stack([cosines[:, self.owner == k].max(axis=1) for k in range(len(self.languages))], axis=1)
+        return best, (2 * np.log2(np.maximum((counts > 0).sum(axis=1), 1))).astype(int)
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score from 0 to 1 and whether the text is rejected, for texts with a letter."""
-        cosines = self.vectors(texts) @ self.centroids.T
-        best = np.stack([cosines[:, self.owner == k].max(axis=1) for k in range(len(self.languages))], axis=1)
+        best, size = self.nearest(texts)
         top = best.argmax(axis=1)
         weights = np.exp((best - best.max(axis=1, keepdims=True)) * 40)
         score = weights.max(axis=1) / weights.sum(axis=1)
-        rejected = best.max(axis=1) < self.bound[top]
+        rejected = best.max(axis=1) < self.bound[top, size]
         return [self.languages[k] for k in top], score.astype(float), rejected
 
 
@@ -97,9 +109,50 @@ def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        kept = [(lang, _counts(t)) for lang, t in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True) if has_letter(t)]
+        kept = [(lang, half, _counts(t)) for lang, half, t in zip(*(batch.column(c).to_pylist() for c in ("lang", "half", "text")), strict=True) if has_letter(t)]
         if kept:
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in kept]), pa.array([np.minimum(c, 65535).astype("<u2").tobytes() for _, c in kept], pa.binary())], ["lang", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in kept]), pa.array([h for _, h, _ in kept], pa.int32()), pa.array([np.minimum(c, 65535).astype("<u2").tobytes() for _, _, c in kept], pa.binary())], ["lang", "half", "counts"])
+
+
+def _centroids(x: np.ndarray, langs: np.ndarray, idf: np.ndarray, clusters: int) -> Model:
+    """A model that rejects nothing yet."""
+    names = sorted(set(langs.tolist()))
+    parts = [_clusters(x[langs == n], clusters) for n in names]
+    return Model(names, idf, np.concatenate(parts).astype(np.float32), np.repeat(np.arange(len(names)), [len(c) for c in parts]), np.zeros((len(names), SIZES)))
+
+
+def _measured(shared):
+    """Language, size and cosine in steps of each row, by the model of the other half."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = shared.value
+        for batch in batches:
+            for a in range(0, batch.num_rows, 64):
+                rows = [(h, t) for h, t in zip(*(batch.column(c).slice(a, 64).to_pylist() for c in ("half", "text")), strict=True) if has_letter(t)]
+                for half, model in enumerate(models):
+                    if texts := [t for h, t in rows if h == half]:
+                        best, size = model.nearest(texts)
+                        steps = (best.max(axis=1).clip(0, 1) * COSINE_STEPS).astype(np.int32)
+                        yield pa.RecordBatch.from_arrays([pa.array([model.languages[k] for k in best.argmax(axis=1)]), pa.array(size, pa.int32()), pa.array(steps)], ["lang", "size", "step"])
+
+    return run
+
+
+def _quantile(seen: np.ndarray) -> float:
+    """The low quantile of cosines that are counted by steps."""
+    return float(np.searchsorted(np.cumsum(seen), max(1, BOUND_QUANTILE * seen.sum()))) / COSINE_STEPS
+
+
+def _bounds(seen: np.ndarray) -> np.ndarray:
+    """Bounds by size from counts by size and step; 0 where too few texts are as small."""
+    out = np.zeros(SIZES)
+    for size in range(SIZES):
+        for least in range(size, -1, -1):
+            window = seen[least : size + 1].sum(axis=0)
+            if window.sum() >= BOUND_ROWS:
+                out[size] = BOUND_SHARE * _quantile(window)
+                break
+    return out
 
 
 def fit(labelled: DataFrame, per_language: int = 800, clusters: int = 4) -> Model | None:
@@ -109,21 +162,31 @@ def fit(labelled: DataFrame, per_language: int = 800, clusters: int = 4) -> Mode
     share = F.lit(0.0)
     for lang, n in totals.items():
         share = F.when(F.col("lang") == lang, F.lit(per_language / n)).otherwise(share)
-    chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
-    sample = labelled.where(chance < share).select("lang", "text").mapInArrow(trimmed(_sampled), "lang string, counts binary").toArrow()
+    key = F.xxhash64("doc_id", "text")
+    rows = labelled.withColumn("half", F.pmod(F.shiftright(key, 20), F.lit(2)).cast("int"))
+    chance = F.pmod(key, F.lit(1 << 20)) / float(1 << 20)
+    sample = rows.where(chance < share).select("lang", "half", "text").mapInArrow(trimmed(_sampled), "lang string, half int, counts binary").toArrow()
     if not sample.num_rows:
         return None
     order = sorted(range(sample.num_rows), key=lambda i: (sample["lang"][i].as_py(), sample["counts"][i].as_py()))
     sample = sample.take(order)
-    langs = np.array(sample["lang"].to_pylist())
+    langs, halves = np.array(sample["lang"].to_pylist()), np.array(sample["half"].to_pylist())
     x = _dampened(np.stack([np.frombuffer(b, dtype="<u2") for b in sample["counts"].to_pylist()]))
     idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
     x *= idf
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    names = sorted(set(langs.tolist()))
-    parts = [_clusters(x[langs == n], clusters) for n in names]
-    bound = [0.35 * float(np.quantile((x[langs == n] @ c.T).max(axis=1), 0.002)) for n, c in zip(names, parts, strict=True)]
-    return Model(names, idf, np.concatenate(parts).astype(np.float32), np.repeat(np.arange(len(names)), [len(c) for c in parts]), np.array(bound))
+    model = _centroids(x, langs, idf, clusters)
+    others = [_centroids(x[halves != h], langs[halves != h], idf, clusters) if (halves != h).any() else model for h in (0, 1)]
+    small_batches(labelled.sparkSession)
+    shared = labelled.sparkSession.sparkContext.broadcast(others)
+    counted = rows.select("half", "text").mapInArrow(trimmed(_measured(shared)), "lang string, size int, step int").groupBy("lang", "size", "step").count().collect()
+    seen = np.zeros((len(model.languages), SIZES, COSINE_STEPS + 1), dtype=np.int64)
+    for r in counted:
+        seen[model.languages.index(r["lang"]), r["size"], r["step"]] += r["count"]
+    # where a language has too few rows of a size, the bound over all languages holds
+    every = _bounds(seen.sum(axis=0))
+    model.bound = np.stack([np.where(own > 0, own, every) for own in map(_bounds, seen)])
+    return model
 
 
 def _predicted(shared):
