@@ -98,7 +98,7 @@ PLANS: dict[str, str] = {
     # D: retrieval and joins
     "bm25_topk": f"WITH {BM25} SELECT query_id, doc_id, score, rnk FROM top",
     "target_doc_rank": f"WITH {BM25} SELECT query_id, max(CASE WHEN rnk = 1 THEN doc_id END) AS best_doc, min(CASE WHEN doc_id % 7 = 0 THEN rnk END) AS target_rank, max(CASE WHEN doc_id % 7 <> 0 THEN score END) AS top_competitor FROM hits GROUP BY query_id",
-    "vector_topk": "WITH s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(${dot(q.embedding, d.embedding)}, 6) AS sim FROM embeddings q JOIN embeddings d ON q.vec_id <> d.vec_id WHERE q.vec_id < 20), r AS (SELECT query_id, doc_id, sim, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, doc_id) AS rnk FROM s) SELECT query_id, doc_id, sim, rnk FROM r WHERE rnk <= 5",
+    "vector_topk": "WITH s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(${dot(q.embedding, d.embedding)}, 6) AS sim FROM embeddings q JOIN embeddings d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0), r AS (SELECT query_id, doc_id, sim, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, doc_id) AS rnk FROM s) SELECT query_id, doc_id, sim, rnk FROM r WHERE rnk <= 5",
     "label_attach": f"WITH {BM25} SELECT query_id, top.doc_id, rnk, toxic AS label, CASE WHEN toxic = 1 THEN concat('family:', source) ELSE concat('doc:', cast(top.doc_id AS varchar(20))) END AS grp FROM top JOIN labels ON labels.doc_id = top.doc_id JOIN documents ON documents.doc_id = top.doc_id",
     "pairwise_conflict": f"WITH {SIGNALS}, pairs AS (SELECT a.query_id, a.doc_id AS doc_a, b.doc_id AS doc_b, a.source_tier AS tier_a, b.source_tier AS tier_b, abs(a.entailment - b.entailment) AS conflict FROM sig a JOIN sig b ON a.query_id = b.query_id AND a.rnk < b.rnk) SELECT query_id, round(max(conflict), 6) AS d_conflict_max, round(coalesce(max(CASE WHEN tier_a = 1 AND tier_b = 1 THEN conflict END), 0.0), 6) AS tier1_conflict_max, count(*) AS n_pairs FROM pairs GROUP BY query_id",
     "manifest_diff": "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, d.doc_id IS NULL AS missing_document, l.doc_id IS NULL AS missing_label FROM (SELECT doc_id FROM documents WHERE doc_id % 10 < 6) d FULL OUTER JOIN labels l ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL",
