@@ -20,6 +20,12 @@ INJECTION = [
     ("role_prefix", 0.60, r"(?im)^\s*(system|assistant|user)\s*:"),
     ("tag_injection", 0.80, r"(?i)</?(system|instruction|prompt|assistant)>"),
 ]
+
+def noisy_or(text: str) -> str:
+    """1 less the product of what each matched pattern leaves."""
+    return "1 - " + " * ".join(f"(1 - CASE WHEN ${{matches({text}, ${{raw({p})}})}} THEN {w} ELSE 0.0 END)" for _, w, p in INJECTION)
+
+
 CASES = [(1, "C5"), (2, "C4"), (3, "C11"), (4, "C10"), (5, "C7"), (6, "C9"), (7, "C6"), (8, "C8"), (9, "C3"), (10, "C2"), (11, "C1")]
 
 CORPUS = "corpus AS (SELECT doc_id, text AS content, source, 1 + cast(substr(source, 4) AS int) % 3 AS source_tier FROM documents)"
@@ -36,6 +42,7 @@ bm AS (SELECT query_id, tf.doc_id, round(sum(k * idf * tf * 2.5 / (tf + 1.5 * (0
 hits AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rnk FROM bm),
 top AS (SELECT query_id, doc_id, score, rnk FROM hits WHERE rnk <= 5)"""
 CLAIM = "${kept(${distinct(${find(lower(%s), ${raw([a-z0-9]+)})})}, length(x) > 2 AND x NOT IN (" + ", ".join(f"'{w}'" for w in CLAIM_STOP) + "))}"
+#: ``conflict`` is the largest of a document's pairs within a query; null for one that is retrieved alone.
 SIGNALS = f"""{BM25}, {CORPUS},
 lex AS (SELECT top.query_id, top.doc_id, score, rnk, source, source_tier, content, {CLAIM % 'benchmark.text'} AS h, {CLAIM % 'content'} AS p
   FROM top JOIN corpus ON corpus.doc_id = top.doc_id JOIN benchmark ON benchmark.item_id = top.query_id),
@@ -43,10 +50,12 @@ ent AS (SELECT query_id, doc_id, score, rnk, source, source_tier, content, coale
 dist AS (SELECT e.*, abs(ln(1 + length(content)) - avg(ln(1 + length(content))) OVER (PARTITION BY query_id)) AS d FROM ent e),
 med AS (SELECT query_id, median(d) AS m FROM dist GROUP BY query_id),
 mad AS (SELECT dist.query_id, m, median(abs(d - m)) AS mad FROM dist JOIN med ON med.query_id = dist.query_id GROUP BY dist.query_id, m),
-sig AS (SELECT dist.query_id, dist.doc_id, rnk, score, source, source_tier, entailment, 1 - entailment AS unsupport,
+raised AS (SELECT dist.query_id, dist.doc_id, rnk, score, source, source_tier, entailment, 1 - entailment AS unsupport,
   1 - exp(-greatest(CASE WHEN mad > 0 THEN (d - m) / (1.4826 * mad) ELSE 0.0 END, 0.0) / 2) AS anomaly,
-  CASE WHEN ${{matches(content, ${{raw((?i)ignore .{{0,20}}previous instructions)}})}} THEN 0.95 ELSE 0.0 END AS injection
-  FROM dist JOIN mad ON mad.query_id = dist.query_id)"""
+  {noisy_or("content")} AS injection
+  FROM dist JOIN mad ON mad.query_id = dist.query_id),
+con AS (SELECT a.query_id, a.doc_id, max(abs(a.entailment - b.entailment)) AS conflict FROM ent a JOIN ent b ON a.query_id = b.query_id AND a.rnk <> b.rnk GROUP BY a.query_id, a.doc_id),
+sig AS (SELECT raised.*, conflict FROM raised LEFT JOIN con ON con.query_id = raised.query_id AND con.doc_id = raised.doc_id)"""
 BANDED = """flag AS (SELECT s.*, CASE WHEN injection >= 0.9 THEN 1 ELSE 0 END AS inj_mal,
   CASE WHEN unsupport >= 0.85 THEN 1 ELSE 0 END + CASE WHEN anomaly >= 0.85 THEN 1 ELSE 0 END + CASE WHEN injection >= 0.9 THEN 1 ELSE 0 END + CASE WHEN conflict >= 0.85 THEN 1 ELSE 0 END AS mal,
   CASE WHEN unsupport >= 0.6 THEN 1 ELSE 0 END + CASE WHEN anomaly >= 0.6 THEN 1 ELSE 0 END + CASE WHEN injection >= 0.6 THEN 1 ELSE 0 END + CASE WHEN conflict >= 0.6 THEN 1 ELSE 0 END AS sus FROM (%s) s),
@@ -87,7 +96,7 @@ PLANS: dict[str, str] = {
     "doc_tokens_profile": "SELECT doc_id, ${size(${find(lower(text), ${raw([a-z0-9]+)})})} AS n_tokens, ${size(${distinct(${find(lower(text), ${raw([a-z0-9]+)})})})} AS n_distinct, ${size(${distinct(${kept(${find(lower(text), ${raw([a-z0-9]+)})}, length(x) > 3)})})} AS n_content FROM documents",
     "salient_terms": "SELECT item_id AS query_id, ${joined(${slice(${firsts(${kept(${find(lower(text), ${raw([a-z0-9][a-z0-9._-]*)})}, length(x) >= 3 AND x NOT IN ('the', 'and', 'for', 'with', 'that', 'this'))})}, 1, 6)}, ' ')} AS terms FROM benchmark",
     "claim_coverage": f"WITH {SIGNALS} SELECT query_id, doc_id, round(entailment, 6) AS entailment, round(unsupport, 6) AS unsupport, round(1 - entailment, 6) AS neutral FROM sig",
-    "injection_score": f"WITH {LITERALS} SELECT id, round(1 - " + " * ".join(f"(1 - CASE WHEN ${{matches(txt, ${{raw({p})}})}} THEN {w} ELSE 0.0 END)" for _, w, p in INJECTION) + ", 6) AS score, concat_ws(',', " + ", ".join(f"CASE WHEN ${{matches(txt, ${{raw({p})}})}} THEN '{n}' END" for n, _, p in INJECTION) + ") AS hits FROM lit",
+    "injection_score": f"WITH {LITERALS} SELECT id, round(" + noisy_or("txt") + ", 6) AS score, concat_ws(',', " + ", ".join(f"CASE WHEN ${{matches(txt, ${{raw({p})}})}} THEN '{n}' END" for n, _, p in INJECTION) + ") AS hits FROM lit",
     "refang": f"WITH {LITERALS} SELECT id, {REFANG} AS refanged FROM lit",
     "entity_cve_url": f"WITH {LITERALS}, r AS (SELECT id, {REFANG} AS txt FROM lit), e AS (SELECT id, 'cve' AS kind, ${{explode(${{find(upper(txt), ${{raw(CVE-\\d{{4}}-\\d{{4,7}})}})}})}} AS value FROM r UNION ALL SELECT id, 'url', ${{explode(${{find(txt, ${{raw(https?://[^\\s]+)}})}})}} FROM r UNION ALL SELECT id, 'hash', ${{explode(${{find(lower(txt), ${{raw(\\b[0-9a-f]{{32}}\\b)}})}})}} FROM r) SELECT id, kind, ${{replace(value, ${{raw([.,;:]+$)}}, '')}} AS value FROM e WHERE kind <> 'cve' OR cast(substr(value, 5, 4) AS int) BETWEEN 1999 AND 2100",
     "entity_ipv4": "WITH m AS (SELECT doc_id, ${explode(${find(text, ${raw(\\b\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}\\b)})})} AS value FROM documents), o AS (SELECT doc_id, value, ${split(value, ${raw([.])})} AS p FROM m) SELECT value, count(*) AS mentions, min(doc_id) AS first_doc, count(DISTINCT doc_id) AS docs FROM o WHERE NOT ${any(p, length(x) > 1 AND x LIKE '0%')} AND NOT ${any(p, cast(x AS int) > 255)} GROUP BY value".replace("${split(value, ${raw([.])})}", "${find(value, ${raw(\\d+)})}"),
@@ -108,11 +117,11 @@ PLANS: dict[str, str] = {
     "fit_bands": f"WITH {SIGNALS}, u AS (SELECT 'unsupport' AS signal, unsupport AS v FROM sig UNION ALL SELECT 'anomaly', anomaly FROM sig), f AS (SELECT signal, count(*) AS n, ${{quantile(v, 0.95)}} AS q95, ${{quantile(v, 0.99)}} AS q99, max(v) - min(v) AS spread FROM u GROUP BY signal) SELECT signal, n, round(CASE WHEN n < 20 THEN 0.6 ELSE q95 END, 6) AS suspicious, round(CASE WHEN n < 20 THEN 0.85 WHEN q99 <= q95 THEN q95 + 0.000001 ELSE q99 END, 6) AS malicious, spread < 0.000001 OR q95 <= 0.000001 OR q95 >= 0.999999 AS unusable FROM f",
     "assign_band": "WITH v AS (SELECT * FROM (VALUES (0, 0.1), (1, 0.7), (2, 0.95), (3, NULL)) AS t(i, x)), " + BANDED % "SELECT a.i * 64 + b.i * 16 + c.i * 4 + d.i AS id, cast(a.x AS double) AS unsupport, cast(b.x AS double) AS anomaly, cast(c.x AS double) AS injection, cast(d.x AS double) AS conflict FROM v a CROSS JOIN v b CROSS JOIN v c CROSS JOIN v d" + " SELECT id, mal, sus, band FROM band",
     "case_grid": f"WITH g AS (SELECT source_tier, band FROM (VALUES (1), (2), (3)) AS t(source_tier) CROSS JOIN (VALUES ('CLEAN'), ('SUSPICIOUS'), ('MALICIOUS')) AS b(band)), c AS (SELECT source_tier, band, {GRID} AS case_id FROM g) SELECT source_tier, band, case_id, {ACTION} AS action FROM c",
-    "classify_response": f"WITH {SIGNALS}, " + BANDED % "SELECT sig.*, cast(NULL AS double) AS conflict FROM sig" + f", q AS (SELECT query_id, max(CASE WHEN rnk = 1 THEN source_tier END) AS source_tier, max(CASE band WHEN 'MALICIOUS' THEN 2 WHEN 'SUSPICIOUS' THEN 1 ELSE 0 END) AS worst, sum(CASE WHEN anomaly >= 0.85 THEN 1 ELSE 0 END) AS outliers, sum(CASE WHEN entailment >= 0.5 THEN 1 ELSE 0 END) AS support FROM band GROUP BY query_id), b AS (SELECT query_id, source_tier, outliers, support, CASE worst WHEN 2 THEN 'MALICIOUS' WHEN 1 THEN 'SUSPICIOUS' ELSE 'CLEAN' END AS band FROM q), g AS (SELECT b.*, {GRID} AS grid FROM b) SELECT query_id, source_tier, band, grid, CASE WHEN grid IN ('C5', 'C4') THEN grid WHEN outliers = 1 AND support < 2 THEN 'C11' ELSE grid END AS case_id FROM g",
+    "classify_response": f"WITH {SIGNALS}, " + BANDED % "SELECT * FROM sig" + f", q AS (SELECT query_id, max(CASE WHEN rnk = 1 THEN source_tier END) AS source_tier, max(CASE band WHEN 'MALICIOUS' THEN 2 WHEN 'SUSPICIOUS' THEN 1 ELSE 0 END) AS worst, sum(CASE WHEN anomaly >= 0.85 THEN 1 ELSE 0 END) AS outliers, sum(CASE WHEN entailment >= 0.5 THEN 1 ELSE 0 END) AS support FROM band GROUP BY query_id), b AS (SELECT query_id, source_tier, outliers, support, CASE worst WHEN 2 THEN 'MALICIOUS' WHEN 1 THEN 'SUSPICIOUS' ELSE 'CLEAN' END AS band FROM q), g AS (SELECT b.*, {GRID} AS grid FROM b) SELECT query_id, source_tier, band, grid, CASE WHEN grid IN ('C5', 'C4') THEN grid WHEN outliers = 1 AND support < 2 THEN 'C11' ELSE grid END AS case_id FROM g",
     "dominance_matrix": f"WITH a AS (SELECT * FROM (VALUES ('ACCEPT'), ('REVIEW'), ('REJECT'), ('ESCALATE'), ('UNKNOWN')) AS t(x)) SELECT a.x AS one, b.x AS two, CASE greatest({SEVERITY % 'a.x'}, {SEVERITY % 'b.x'}) WHEN 0 THEN 'ACCEPT' WHEN 1 THEN 'REVIEW' WHEN 2 THEN 'REJECT' WHEN 3 THEN 'ESCALATE' END AS action FROM a CROSS JOIN a b",
     "headline_truth_table": f"WITH a AS (SELECT action, tier FROM (VALUES ('ACCEPT'), ('REVIEW'), ('REJECT'), ('ESCALATE'), ('UNKNOWN')) AS t(action) CROSS JOIN (VALUES (1), (2), (3), (NULL)) AS u(tier)) SELECT action, tier, {HEADLINE} AS headline, CASE WHEN action IN ('REJECT', 'ESCALATE') THEN CASE WHEN tier = 1 THEN 'TRUSTED_SOURCE_COMPROMISE' ELSE 'ATTACK_DETECTED' END END AS subtype FROM a",
     "risk_tier": "WITH a AS (SELECT p, act, CASE p WHEN 'P0' THEN 4 WHEN 'P1' THEN 3 WHEN 'P2' THEN 3 WHEN 'P3' THEN 2 WHEN 'P4' THEN 1 WHEN 'P5' THEN 0 ELSE 3 END AS base, CASE act WHEN 'ACCEPT' THEN 0 WHEN 'REVIEW' THEN 2 WHEN 'REJECT' THEN 3 ELSE 4 END AS flr FROM (VALUES ('P0'), ('P1'), ('P2'), ('P3'), ('P4'), ('P5'), ('P9')) AS t(p) CROSS JOIN (VALUES ('ACCEPT'), ('REVIEW'), ('REJECT'), ('ESCALATE')) AS u(act)) SELECT p, act, CASE greatest(base, flr) WHEN 4 THEN 'CRITICAL' WHEN 3 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' WHEN 1 THEN 'LOW' ELSE 'INFORMATIONAL' END AS risk_tier FROM a",
-    "signal_readings": f"WITH {SIGNALS}, u AS (SELECT query_id, doc_id, 'unsupport' AS signal, unsupport AS v, 0.6 AS sus, 0.85 AS mal FROM sig UNION ALL SELECT query_id, doc_id, 'anomaly', anomaly, 0.6, 0.85 FROM sig UNION ALL SELECT query_id, doc_id, 'injection', injection, 0.6, 0.9 FROM sig) SELECT query_id, doc_id, signal, CASE WHEN v IS NULL THEN 'missing' WHEN v >= mal THEN 'over_malicious' WHEN v >= sus THEN 'over_suspicious' ELSE 'below' END AS status, round(v - sus, 6) AS margin FROM u",
+    "signal_readings": f"WITH {SIGNALS}, u AS (SELECT query_id, doc_id, 'unsupport' AS signal, unsupport AS v, 0.6 AS sus, 0.85 AS mal FROM sig UNION ALL SELECT query_id, doc_id, 'anomaly', anomaly, 0.6, 0.85 FROM sig UNION ALL SELECT query_id, doc_id, 'injection', injection, 0.6, 0.9 FROM sig UNION ALL SELECT query_id, doc_id, 'conflict', conflict, 0.6, 0.85 FROM sig) SELECT query_id, doc_id, signal, CASE WHEN v IS NULL THEN 'missing' WHEN v >= mal THEN 'over_malicious' WHEN v >= sus THEN 'over_suspicious' ELSE 'below' END AS status, round(v - sus, 6) AS margin FROM u",
     # G: features, risk, confidence
     "encode_features": f"WITH {SIGNALS} SELECT query_id, doc_id, round(ln(greatest(least(unsupport, 0.999), 0.001) / (1 - greatest(least(unsupport, 0.999), 0.001))), 6) AS x_unsupport, CASE WHEN source_tier = 1 THEN 1 ELSE 0 END AS is_tier1, CASE WHEN source_tier = 3 THEN 1 ELSE 0 END AS is_tier3 FROM sig",
     "standardize": f"WITH {SIGNALS}, m AS (SELECT avg(unsupport) AS mu, CASE WHEN stddev_pop(unsupport) = 0 THEN 1.0 ELSE stddev_pop(unsupport) END AS sd FROM sig) SELECT query_id, doc_id, round((unsupport - mu) / sd, 6) AS z FROM sig CROSS JOIN m",
@@ -121,7 +130,7 @@ PLANS: dict[str, str] = {
     "n_eff": f"WITH {SIGNALS} SELECT query_id, count(DISTINCT source) AS n_sources, round(least(sum(greatest(score, 0.0)) * sum(greatest(score, 0.0)) / nullif(sum(greatest(score, 0.0) * greatest(score, 0.0)), 0), count(DISTINCT source)), 6) AS n_eff FROM sig GROUP BY query_id",
     "confidence": f"WITH {SIGNALS}, n AS (SELECT query_id, count(*) AS docs, count(DISTINCT source) AS s, count(DISTINCT source_tier) AS t, least(sum(score) * sum(score) / sum(score * score), count(DISTINCT source)) AS n_eff, max(unsupport) AS u, max(anomaly) AS a, max(injection) AS i FROM sig GROUP BY query_id), c AS (SELECT query_id, docs, n_eff, 1 - exp(-n_eff / 2) AS volume, 0.7 * least(s / 3.0, 1.0) + 0.3 * least(t / 2.0, 1.0) AS independence, 1 - sqrt(((u - (u + a + i) / 3) * (u - (u + a + i) / 3) + (a - (u + a + i) / 3) * (a - (u + a + i) / 3) + (i - (u + a + i) / 3) * (i - (u + a + i) / 3)) / 3) / 0.5 AS coherence FROM n), k AS (SELECT c.*, CASE WHEN volume <= 0 OR independence <= 0 OR coherence <= 0 THEN 0.0 ELSE exp((ln(greatest(volume, 0.000001)) + ln(greatest(independence, 0.000001)) + ln(greatest(coherence, 0.000001)) + ln(0.5)) / 5.5) END AS raw FROM c) SELECT query_id, round(volume, 6) AS volume, round(independence, 6) AS independence, round(coherence, 6) AS coherence, round(least(raw, CASE WHEN docs = 1 THEN 0.3 WHEN n_eff <= 1 THEN 0.4 ELSE 1.0 END), 6) AS confidence, least(raw, 1.0) < 0.35 AS forced_review FROM k",
     "score_action": "WITH g AS (SELECT hi, ok FROM (VALUES (0.05), (0.13), (0.4), (0.61), (0.99)) AS t(hi) CROSS JOIN (VALUES (true), (false)) AS u(ok)) SELECT cast(hi AS double) AS hi, ok, CASE WHEN NOT ok THEN CASE WHEN hi >= 0.129559 THEN 'REVIEW' ELSE 'ACCEPT' END WHEN hi >= 0.600176 THEN 'REJECT' WHEN hi >= 0.129559 THEN 'REVIEW' ELSE 'ACCEPT' END AS action FROM g",
-    "score_query": f"WITH {SIGNALS}, " + BANDED % "SELECT sig.*, cast(NULL AS double) AS conflict FROM sig" + f", q AS (SELECT query_id, max(CASE WHEN rnk = 1 THEN source_tier END) AS source_tier, max(CASE band WHEN 'MALICIOUS' THEN 2 WHEN 'SUSPICIOUS' THEN 1 ELSE 0 END) AS worst, sum(CASE WHEN anomaly >= 0.85 THEN 1 ELSE 0 END) AS outliers, sum(CASE WHEN entailment >= 0.5 THEN 1 ELSE 0 END) AS support, round(max(entailment), 6) AS best_entailment FROM band GROUP BY query_id), b AS (SELECT query_id, source_tier, outliers, support, best_entailment, CASE worst WHEN 2 THEN 'MALICIOUS' WHEN 1 THEN 'SUSPICIOUS' ELSE 'CLEAN' END AS band FROM q), g AS (SELECT b.*, {GRID} AS grid FROM b), k AS (SELECT g.*, source_tier AS tier, CASE WHEN grid IN ('C5', 'C4') THEN grid WHEN outliers = 1 AND support < 2 THEN 'C11' ELSE grid END AS case_id FROM g), a AS (SELECT k.*, {ACTION} AS action FROM k) SELECT query_id, source_tier AS governing_tier, band, case_id, action, {HEADLINE} AS headline, best_entailment FROM a",
+    "score_query": f"WITH {SIGNALS}, " + BANDED % "SELECT * FROM sig" + f", q AS (SELECT query_id, max(CASE WHEN rnk = 1 THEN source_tier END) AS source_tier, max(CASE band WHEN 'MALICIOUS' THEN 2 WHEN 'SUSPICIOUS' THEN 1 ELSE 0 END) AS worst, sum(CASE WHEN anomaly >= 0.85 THEN 1 ELSE 0 END) AS outliers, sum(CASE WHEN entailment >= 0.5 THEN 1 ELSE 0 END) AS support, round(max(entailment), 6) AS best_entailment FROM band GROUP BY query_id), b AS (SELECT query_id, source_tier, outliers, support, best_entailment, CASE worst WHEN 2 THEN 'MALICIOUS' WHEN 1 THEN 'SUSPICIOUS' ELSE 'CLEAN' END AS band FROM q), g AS (SELECT b.*, {GRID} AS grid FROM b), k AS (SELECT g.*, source_tier AS tier, CASE WHEN grid IN ('C5', 'C4') THEN grid WHEN outliers = 1 AND support < 2 THEN 'C11' ELSE grid END AS case_id FROM g), a AS (SELECT k.*, {ACTION} AS action FROM k) SELECT query_id, source_tier AS governing_tier, band, case_id, action, {HEADLINE} AS headline, best_entailment FROM a",
     # H: evaluation
     "confusion_metrics": f"WITH {SCORES}, c AS (SELECT sum(CASE WHEN y = 1 AND s >= 0.5 THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN y = 0 AND s >= 0.5 THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN y = 1 AND s < 0.5 THEN 1 ELSE 0 END) AS fn, sum(CASE WHEN y = 0 AND s < 0.5 THEN 1 ELSE 0 END) AS tn, avg((s - y) * (s - y)) AS brier FROM sc) SELECT cast(tp AS bigint) AS tp, cast(fp AS bigint) AS fp, cast(fn AS bigint) AS fn, cast(tn AS bigint) AS tn, round(coalesce(tp * 1.0 / nullif(tp + fp, 0), 0.0), 6) AS prec, round(coalesce(tp * 1.0 / nullif(tp + fn, 0), 0.0), 6) AS recall, round(coalesce(10.0 * tp / nullif(10.0 * tp + 9 * fn + fp, 0), 0.0), 6) AS f3, round(brier, 6) AS brier, cast(10 * fn + fp AS bigint) AS expected_cost FROM c",
     "prevalence_precision": f"WITH {SCORES}, r AS (SELECT sum(CASE WHEN y = 1 AND s >= 0.5 THEN 1.0 ELSE 0.0 END) / nullif(sum(y), 0) AS tpr, sum(CASE WHEN y = 0 AND s >= 0.5 THEN 1.0 ELSE 0.0 END) / nullif(sum(1 - y), 0) AS fpr FROM sc) SELECT cast(pi AS double) AS pi, round(coalesce(tpr * pi / nullif(tpr * pi + fpr * (1 - pi), 0), 0.0), 6) AS prec FROM r CROSS JOIN (VALUES (0.05), (0.01)) AS t(pi)",
