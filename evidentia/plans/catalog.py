@@ -91,7 +91,7 @@ PLANS: dict[str, str] = {
     # A: sources, projections and keys
     "corpus_scan": f"WITH {CORPUS} SELECT doc_id, source, source_tier, trim(concat_ws(' ', content)) AS embedding_text, ${{sha(content)}} AS content_sha256 FROM corpus",
     "index_id": "SELECT substr(${sha(concat_ws('|', 'hashing-384', ${joined(${mapped(${list(doc_id)}, cast(x AS varchar(20)))}, '|')}))}, 1, 16) AS index_id, count(*) AS n FROM documents",
-    "query_set": "SELECT item_id AS query_id, trim(text) AS query_text, ${sha(trim(text))} AS query_hash, 'target' AS kind FROM benchmark UNION ALL SELECT doc_id, trim(substr(text, 1, 60)), ${sha(trim(substr(text, 1, 60)))}, 'title' FROM documents WHERE doc_id < 30",
+    "query_set": "SELECT item_id AS query_id, trim(text) AS query_text, ${sha(trim(text))} AS query_hash, 'target' AS kind FROM benchmark UNION ALL SELECT doc_id, trim(text), ${sha(trim(text))}, 'title' FROM (SELECT documents.doc_id, text FROM documents JOIN (SELECT DISTINCT doc_id FROM labels WHERE toxic = 0) clean ON clean.doc_id = documents.doc_id ORDER BY documents.doc_id, text LIMIT 30) c",
     "retrieval_log_summary": f"WITH {BM25}, {CORPUS} SELECT query_id, count(*) AS n_retrieved, max(score) AS similarity_top, min(score) AS similarity_min, round(max(score) - min(score), 6) AS similarity_spread, max(source_tier) AS tier_min, max(CASE WHEN rnk = 1 THEN source_tier END) AS top_tier, ${{joined(${{mapped(${{list(top.doc_id)}}, cast(x AS varchar(20)))}}, ',')}} AS doc_ids FROM top JOIN corpus ON corpus.doc_id = top.doc_id GROUP BY query_id",
     "template_variant": "SELECT doc_id, 1 + cast(${hex(substr(${sha(cast(doc_id AS varchar(20)))}, 1, 8))} AS bigint) % 5 AS variant FROM documents",
     # C: text
@@ -112,7 +112,7 @@ PLANS: dict[str, str] = {
     "vector_topk": "WITH s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(${dot(q.embedding, d.embedding)}, 6) AS sim FROM embeddings q JOIN embeddings d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0), r AS (SELECT query_id, doc_id, sim, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, doc_id) AS rnk FROM s) SELECT query_id, doc_id, sim, rnk FROM r WHERE rnk <= 5",
     "label_attach": f"WITH {BM25} SELECT query_id, top.doc_id, rnk, toxic AS label, CASE WHEN toxic = 1 THEN concat('family:', source) ELSE concat('doc:', cast(top.doc_id AS varchar(20))) END AS grp FROM top JOIN labels ON labels.doc_id = top.doc_id JOIN documents ON documents.doc_id = top.doc_id",
     "pairwise_conflict": f"WITH {SIGNALS}, pairs AS (SELECT a.query_id, a.doc_id AS doc_a, b.doc_id AS doc_b, a.source_tier AS tier_a, b.source_tier AS tier_b, abs(a.entailment - b.entailment) AS conflict FROM sig a JOIN sig b ON a.query_id = b.query_id AND a.rnk < b.rnk) SELECT query_id, round(max(conflict), 6) AS d_conflict_max, round(coalesce(max(CASE WHEN tier_a = 1 AND tier_b = 1 THEN conflict END), 0.0), 6) AS tier1_conflict_max, count(*) AS n_pairs FROM pairs GROUP BY query_id",
-    "manifest_diff": "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, d.doc_id IS NULL AS missing_document, l.doc_id IS NULL AS missing_label FROM (SELECT doc_id FROM documents WHERE doc_id % 10 < 6) d FULL OUTER JOIN labels l ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL",
+    "manifest_diff": "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, d.doc_id IS NULL AS missing_document, l.doc_id IS NULL AS missing_label FROM documents d FULL OUTER JOIN labels l ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL",
     # E, F: signals, bands, cases
     "robust_z": f"WITH {SIGNALS} SELECT query_id, doc_id, round(anomaly, 6) AS anomaly FROM sig",
     "anomaly_centroid": "WITH e AS (SELECT vec_id, label, ${explode(${range(1, 64)})} AS i, embedding FROM embeddings), x AS (SELECT vec_id, label, i, cast(${at(embedding, i)} AS double) AS v FROM e), c AS (SELECT label, i, avg(v) AS m FROM x GROUP BY label, i), d AS (SELECT vec_id, x.label, sqrt(sum((v - m) * (v - m))) AS d FROM x JOIN c ON c.label = x.label AND c.i = x.i GROUP BY vec_id, x.label), q AS (SELECT label, median(d) AS m FROM d GROUP BY label), a AS (SELECT d.label, m, median(abs(d - m)) AS mad FROM d JOIN q ON q.label = d.label GROUP BY d.label, m) SELECT vec_id, round(d, 6) AS distance, round(1 - exp(-greatest(CASE WHEN mad > 0 THEN (d - m) / (1.4826 * mad) ELSE 0.0 END, 0.0) / 2), 6) AS anomaly FROM d JOIN a ON a.label = d.label",
@@ -147,7 +147,7 @@ PLANS: dict[str, str] = {
     "weakness_grouping_sets": f"WITH {SCORES} SELECT lang, tier, count(*) AS total, sum(CASE WHEN s >= 0.5 THEN 1 ELSE 0 END) AS caught FROM sc WHERE y = 1 GROUP BY GROUPING SETS ((lang), (tier), ())",
     "reachability": f"WITH {BM25} SELECT count(DISTINCT CASE WHEN toxic = 1 THEN query_id END) AS targets_reached, count(DISTINCT CASE WHEN toxic = 1 THEN top.doc_id END) AS poisoned_retrieved FROM top JOIN labels ON labels.doc_id = top.doc_id",
     "clean_calibration": f"WITH {SCORES} SELECT tier, count(*) AS n, round(${{quantile(s, 0.5)}}, 6) AS p50, round(${{quantile(s, 0.95)}}, 6) AS p95, round(100.0 * sum(CASE WHEN s < 0.6 THEN 1 ELSE 0 END) / count(*), 6) AS pct_clean FROM sc WHERE y = 0 GROUP BY ROLLUP (tier)",
-    "metric_diff": "SELECT coalesce(a.lang, b.lang) AS lang, a.n AS before_n, b.n AS after_n, coalesce(a.n, 0) <> coalesce(b.n, 0) AS changed FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang) a FULL OUTER JOIN (SELECT lang, count(*) AS n FROM documents WHERE doc_id % 2 = 0 GROUP BY lang) b ON a.lang = b.lang",
+    "metric_diff": "SELECT coalesce(a.lang, b.lang) AS lang, a.n AS before_n, b.n AS after_n, coalesce(a.n, 0) <> coalesce(b.n, 0) AS changed FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang) a FULL OUTER JOIN (SELECT lang, count(*) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY lang) b ON a.lang = b.lang",
     # I: quality
     "dq_document": "SELECT doc_id, 'warning' AS severity, CASE WHEN ${size(${kept(${find(text, ${raw([^ \\n]+)})}, x <> '')})} < 90 THEN 'short' ELSE 'long' END AS message FROM documents WHERE ${size(${find(text, ${raw([^ \\n]+)})})} < 90 OR ${size(${find(text, ${raw([^ \\n]+)})})} > 420",
     "dq_tiers": f"WITH {CORPUS} SELECT t.tier, count(corpus.doc_id) AS n, count(corpus.doc_id) < 8 AS below_floor FROM (VALUES (1), (2), (3), (4)) AS t(tier) LEFT JOIN corpus ON corpus.source_tier = t.tier GROUP BY t.tier",

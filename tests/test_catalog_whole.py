@@ -54,3 +54,12 @@ def test_documents_are_searched_beside_the_literals(small):
     assert scores[1007][1] >= 0.95 and "override_instruction" in scores[1007][2] and len(scores) == 11
     assert dict(small("refang", documents=documents))[1007].endswith("see https://a.test/b of cve-2024-1234")
     assert {r[1:] for r in small("entity_cve_url", documents=documents) if r[0] == 1007} == {("cve", "CVE-2024-1234"), ("url", "https://a.test/b")}
+
+
+def test_whole_tables_are_compared(small):
+    documents = ([(i, f"text {i} " + "y" * 90, "en" if i % 2 else "fr") for i in range(100)], "doc_id long, text string, lang string")
+    labels = ([(i, int(i < 40)) for i in range(98)] + [(200, 0)], "doc_id long, toxic int")
+    assert sorted(small("manifest_diff", documents=documents, labels=labels)) == [(98, False, True), (99, False, True), (200, True, False)]
+    assert {r[0]: r[1:] for r in small("metric_diff", documents=documents, labels=labels)} == {"en": (50, 49, True), "fr": (50, 49, True)}
+    titles = [r for r in small("query_set", documents=documents, labels=labels, benchmark=([(1, "a")], "item_id long, text string")) if r[3] == "title"]
+    assert sorted((r[0], r[1]) for r in titles) == [d[:2] for d in documents[0][40:70]]
