@@ -103,7 +103,7 @@ PLANS: dict[str, str] = {
     "entity_cve_url": f"WITH {TEXTS}, r AS (SELECT id, {REFANG} AS txt FROM texts), e AS (SELECT id, 'cve' AS kind, ${{explode(${{find(upper(txt), ${{raw(CVE-\\d{{4}}-\\d{{4,7}})}})}})}} AS value FROM r UNION ALL SELECT id, 'url', ${{explode(${{find(txt, ${{raw(https?://[^\\s]+)}})}})}} FROM r UNION ALL SELECT id, 'hash', ${{explode(${{find(lower(txt), ${{raw(\\b[0-9a-f]{{32}}\\b)}})}})}} FROM r) SELECT id, kind, ${{replace(value, ${{raw([.,;:]+$)}}, '')}} AS value FROM e WHERE kind <> 'cve' OR cast(substr(value, 5, 4) AS int) BETWEEN 1999 AND 2100",
     "entity_ipv4": "WITH m AS (SELECT doc_id, ${explode(${find(text, ${raw(\\b\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}\\b)})})} AS value FROM documents), o AS (SELECT doc_id, value, ${split(value, ${raw([.])})} AS p FROM m) SELECT value, count(*) AS mentions, min(doc_id) AS first_doc, count(DISTINCT doc_id) AS docs FROM o WHERE NOT ${any(p, length(x) > 1 AND x LIKE '0%')} AND NOT ${any(p, cast(x AS int) > 255)} GROUP BY value".replace("${split(value, ${raw([.])})}", "${find(value, ${raw(\\d+)})}"),
     "entity_merge": "WITH m AS (SELECT doc_id, 'hash' AS kind, ${explode(${find(lower(text), ${raw(\\b[0-9a-f]{32,64}\\b)})})} AS value FROM documents UNION ALL SELECT doc_id, 'email', ${explode(${find(lower(text), ${raw([a-z0-9._]+@[a-z0-9.-]+\\.[a-z]{2,6})})})} FROM documents) SELECT kind, value, ${joined(${mapped(${distinct(${list(doc_id)})}, cast(x AS varchar(20)))}, ',')} AS doc_ids FROM m WHERE kind = 'email' OR length(value) IN (32, 40, 64) GROUP BY kind, value".replace("${distinct(${list(doc_id)})}", "${list(DISTINCT doc_id)}"),
-    "hash_embedding": "WITH t AS (SELECT item_id AS query_id, ${explode(${find(lower(text), ${raw([a-z0-9]+)})})} AS tok FROM benchmark), b AS (SELECT query_id, cast(${hex(substr(md5(tok), 1, 8))} AS bigint) % 384 AS idx, sum(CASE WHEN cast(${hex(substr(md5(tok), 9, 2))} AS bigint) % 2 = 1 THEN 1.0 ELSE -1.0 END) AS v FROM t GROUP BY query_id, idx) SELECT query_id, idx, round(v / sqrt(sum(v * v) OVER (PARTITION BY query_id)), 6) AS v FROM b WHERE v <> 0".replace("GROUP BY query_id, idx)", "GROUP BY 1, 2)"),
+    "hash_embedding": "WITH src AS (SELECT 'query' AS kind, item_id AS id, text FROM benchmark UNION ALL SELECT 'document', doc_id, text FROM documents), q AS (SELECT kind, id, ${find(lower(text), ${raw([a-z0-9]+)})} AS t FROM src), w AS (SELECT kind, id, ${explode(t)} AS tok FROM q), wc AS (SELECT kind, id, tok, count(*) AS n FROM w GROUP BY kind, id, tok), p AS (SELECT kind, id, tok, n, ${explode(${range(1, length(tok))})} AS i FROM wc), f AS (SELECT kind, id, tok AS feat, n FROM wc UNION ALL SELECT kind, id, substr(concat('#', tok, '#'), cast(i AS int), 3), n FROM p UNION ALL SELECT kind, id, ${explode(${mapped(${range(1, ${size(t)} - 1)}, concat(${at(t, cast(x AS int))}, '_', ${at(t, cast(x AS int) + 1)}))})}, 1 FROM q WHERE ${size(t)} > 1), b AS (SELECT kind, id, cast(${hex(substr(md5(feat), 1, 8))} AS bigint) % 384 AS idx, sum(CASE WHEN cast(${hex(substr(md5(feat), 9, 2))} AS bigint) % 2 = 1 THEN 1.0 * n ELSE -1.0 * n END) AS v FROM f GROUP BY 1, 2, 3) SELECT kind, id, idx, round(v / sqrt(sum(v * v) OVER (PARTITION BY kind, id)), 6) AS v FROM b WHERE v <> 0",
     "prompt_budget": f"WITH {BM25}, w AS (SELECT query_id, top.doc_id, rnk, sum(length(text) + 40) OVER (PARTITION BY query_id ORDER BY rnk ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used FROM top JOIN documents ON documents.doc_id = top.doc_id) SELECT query_id, doc_id, rnk, used FROM w WHERE used <= 6000",
     "extractive_answer": f"WITH {BM25} SELECT query_id, concat_ws(' ', max(CASE WHEN rnk = 1 THEN substr(text, 1, 300) END), max(CASE WHEN rnk = 2 THEN substr(text, 1, 300) END), max(CASE WHEN rnk = 3 THEN substr(text, 1, 300) END)) AS answer FROM top JOIN documents ON documents.doc_id = top.doc_id WHERE rnk <= 3 GROUP BY query_id",
     # D: retrieval and joins

@@ -1,5 +1,9 @@
 """Plans over whole tables, on small tables that tell a cut from the whole."""
 
+from collections import Counter
+from hashlib import md5
+from math import sqrt
+
 import pytest
 
 from evidentia.functions.dialect import render
@@ -63,3 +67,16 @@ def test_whole_tables_are_compared(small):
     assert {r[0]: r[1:] for r in small("metric_diff", documents=documents, labels=labels)} == {"en": (50, 49, True), "fr": (50, 49, True)}
     titles = [r for r in small("query_set", documents=documents, labels=labels, benchmark=([(1, "a")], "item_id long, text string")) if r[3] == "title"]
     assert sorted((r[0], r[1]) for r in titles) == [d[:2] for d in documents[0][40:70]]
+
+
+def test_all_feature_kinds_of_all_texts_are_embedded(small):
+    found = small("hash_embedding", documents=([(5, "Alpha bravo alpha bravo"), (6, "x"), (7, None)], "doc_id long, text string"), benchmark=([(5, "alpha one")], "item_id long, text string"))
+    for kind, key, words in (("document", 5, "alpha bravo alpha bravo"), ("document", 6, "x"), ("query", 5, "alpha one")):
+        w = words.split()
+        features = w + [f"#{x}#"[i : i + 3] for x in w for i in range(len(x))] + [f"{a}_{b}" for a, b in zip(w, w[1:])]
+        want = Counter()
+        for f in features:
+            h = md5(f.encode()).hexdigest()
+            want[int(h[:8], 16) % 384] += 1 if int(h[8:10], 16) % 2 else -1
+        norm = sqrt(sum(v * v for v in want.values()))
+        assert {r[2]: r[3] for r in found if r[:2] == (kind, key)} == pytest.approx({k: v / norm for k, v in want.items() if v}, abs=1e-5)
