@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from evidentia.llm.bpe import round_trip
 from evidentia.llm.decontaminate import decontaminate
 from evidentia.llm.jaccard import jaccard_components
 from evidentia.llm.langid import keep_identified
 from evidentia.llm.linededup import dedup_lines
-from evidentia.llm.shared import stored, table
+from evidentia.llm.shared import document_key, stored, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,16 +24,31 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return dedup_lines(docs)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number that tells rows apart by id and text, a null id being an id like any other."""
+    return docs.withColumn("row_key", F.xxhash64(document_key(F.col("doc_id"), F.col("text").cast("string"))))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    groups = jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near copies one row with the smallest id stays; a null id comes last."""
+    rows = _keyed(docs)
+    groups = stored(jaccard_components(rows.select(F.col("row_key").alias("doc_id"), "text")), "groups")
+    keys = groups.groupBy(F.col("doc_id").alias("row_key")).agg(F.min("component_id").alias("component_id"), F.count("*").alias("n"))
+    named = keys.join(rows.select("row_key", "doc_id").distinct(), "row_key")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")).alias("first"))
+    dropped = keys.join(first.select("first.row_key"), "row_key", "left_anti").select("row_key")
+    repeated = keys.where("n > 1").select("row_key")
+    rest = rows.join(dropped, "row_key", "left_anti")
+    one = rest.join(repeated, "row_key", "left_semi").dropDuplicates(["row_key"])
+    return rest.join(repeated, "row_key", "left_anti").unionByName(one).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark passages in a share that matters go."""
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    rows = _keyed(docs)
+    found = decontaminate(rows.select(F.col("row_key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    found = found.where("contaminated").select(F.col("doc_id").alias("row_key")).distinct()
+    return rows.join(found, "row_key", "left_anti").select(*docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
