@@ -5,17 +5,23 @@ threshold share a shingle among their first ``n - ceil(t * n) + 1``, so only tho
 then passes the length filter, the positional filter and a suffix filter (a lower bound of the
 Hamming distance from counts in fixed parts of the order) before its one exact verification.
 
-Large groups of copies never expand into pairs:
+Groups of copies, and of texts that lie around the threshold, don't expand into all pairs:
 
 * documents with equal sets are one *node*;
-* round one links the nodes of each prefix shingle with one leader only;
-* round two takes the shingles whose nodes are still in different components, and pairs their nodes
-  outside the shingle's commonest component with those of other components.  Pairs inside a
-  component need no test, as they change nothing in the result.  A pair is left out at a shingle when
-  it also shares one of the ``RECALL`` shingles before it in both prefixes: it was taken there, or
-  before, as nothing precedes the first that it shares.
-
-So no link between different texts is lost, and the components are exact.
+* in each round a node is tested only with a leader of each of its prefix shingles: the node in which
+  that shingle comes first, as few rarer ones stand before it in a text with few changes of its own.
+  After the first round, a shingle has one leader in the component that is commonest there, and one
+  outside of it, and only nodes of other components are tested with them;
+* components are renewed after each round, and shingles whose nodes are all in one component leave.
+  Rounds end when one finds no link, or when few pairs are left;
+* then all pairs of different components that still share a prefix shingle and pass the filters
+  are tested.  Pairs inside a component need no test, as they change nothing in the result.  A pair
+  is left out at a shingle when it also shares one of the ``RECALL`` shingles before it in both
+  prefixes: it was taken there, or before, as nothing precedes the first that it shares.
+
+So no link between different texts is lost, and the components are exact.  Nodes that stay apart are
+the only ones whose pairs are counted in full, and of them only those that differ in so few shingles
+that neither the positional filter nor the parity of ``SIGNATURE`` tells them apart.
 
 Rarity is counted over all documents, exactly within blocks of shingles; what recurs in a block adds
 to a table of fixed size (``RARITY_BITS``), which is the only
@@ -45,6 +51,10 @@ FILTER_BITS = 24
 PARTS = 256
 #: How many earlier prefix shingles a row carries to leave out pairs that were taken before.
 RECALL = 12
+#: Another round of leaders is worth its tables while so many pairs for each open row could be left.
+PAIRS_LEFT = 8
+#: Ranks from here on count alike when leaders are chosen.
+MOST_RANK = (1 << 15) - 1
 SIGNATURE = [f"s{k}" for k in range(16)]
 U64 = np.uint64
 
@@ -123,13 +133,13 @@ def _profile(width: int):
 
 
 def _prefixes(width: int, num: int, den: int, rarity, only=None):
-    """Rows (token, node, place): place is n * 2**32 + the token's rank in the rare-first order.
-    With a bitmap ``only``, those of the tokens whose place in it is set."""
+    """Rows (token, key), see ``_key``.  With a bitmap ``only``, rows (token, node, place) of the tokens whose place in it is
+    set: place is n * 2**32 + the token's rank in the rare-first order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = rarity.value
         for _, sets in _sets(batches, width):
-            tokens, nodes, places, done = [], [], [], set()
+            tokens, keys, nodes, places, done = [], [], [], [], set()
             for s in sets:
                 node, n = _node(s), len(s)
                 if n == 0 or (node, n) in done:
@@ -138,12 +148,18 @@ def _prefixes(width: int, num: int, den: int, rarity, only=None):
                 take = n - -(-num * n // den) + 1
                 common = counts[(s >> U64(64 - RARITY_BITS)).astype(np.int64)]
                 first = s[np.argsort(common, kind="stable")[:take]].astype(np.int64)
-                rank = np.arange(take) if only is None else np.flatnonzero(_set(only.value, first))
-                tokens.append(first[rank])
-                nodes.append(np.full(len(rank), node, dtype=np.int64))
-                places.append((n << 32) + rank)
-            if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(places))], ["token", "node", "place"])
+                if only is None:
+                    keys.append((np.minimum(np.arange(take), MOST_RANK) << 48) | ((node >> 16) & ((1 << 48) - 1)))
+                else:
+                    rank = np.flatnonzero(_set(only.value, first))
+                    first = first[rank]
+                    nodes.append(np.full(len(rank), node, dtype=np.int64))
+                    places.append((n << 32) + rank)
+                tokens.append(first)
+            if tokens and only is None:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(keys))], ["token", "key"])
+            elif tokens:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, nodes, places)], ["token", "node", "place"])
 
     return run
 
@@ -189,6 +205,18 @@ def _rank(place: Column) -> Column:
     return place.bitwiseAND(F.lit((1 << 32) - 1))
 
 
+def _key(node: Column, place: Column) -> Column:
+    """Orders the nodes of a token by its rank in them, then by their hashes."""
+    rank = F.least(_rank(place), F.lit(MOST_RANK))
+    return F.shiftleft(rank, 48).bitwiseOR(F.shiftrightunsigned(node, 16))
+
+
+def _apart(one: str, two: str, total: Column, num: int, den: int) -> Column:
+    """Whether the parities tell two sets apart that have ``total`` shingles together."""
+    differ = sum((F.bit_count(F.col(f"{one}{c}").bitwiseXOR(F.col(f"{two}{c}"))) for c in SIGNATURE), F.lit(0))
+    return (total - differ) * (num + den) < total * (2 * num)
+
+
 def _may_link(p: Column, q: Column, num: int, den: int) -> Column:
     """The length and the positional filter for two places of one shared token.
 
@@ -203,16 +231,38 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, n
     """Of the candidate pairs (u, v) those that link, each tested once."""
     left = nodes.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("parts").alias("pu"), F.col("doc_id").alias("du"), *[F.col(c).alias(f"l{c}") for c in SIGNATURE])
     right = nodes.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("parts").alias("pv"), F.col("doc_id").alias("dv"), *[F.col(c).alias(f"r{c}") for c in SIGNATURE])
-    apart = sum((F.bit_count(F.col(f"l{c}").bitwiseXOR(F.col(f"r{c}"))) for c in SIGNATURE), F.lit(0))
-    total = F.col("nu") + F.col("nv")
-    pairs = pairs.join(left, "u").join(right, "v").where((total - apart) * (num + den) >= total * (2 * num)).select("u", "v", "nu", "nv", "du", "dv", "pu", "pv")
+    pairs = pairs.join(left, "u").join(right, "v").where(~_apart("l", "r", F.col("nu") + F.col("nv"), num, den)).select("u", "v", "nu", "nv", "du", "dv", "pu", "pv")
     pairs = stored(pairs.mapInArrow(_close(num, den), "u long, v long, nu long, nv long, du long, dv long"), "pairs")
     bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(pairs.select(F.explode(F.array("du", "dv")).alias("key")).where("key is not null")))
     sets = stored(docs.mapInArrow(trimmed(_wanted(width, bitmap)), "node long, n long, tokens array<long>"), "sets")
     one, two = sets.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("tokens").alias("s")), sets.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("tokens").alias("t"))
     shared = F.size(F.array_intersect("s", "t"))
     linked = pairs.join(one, ["u", "nu"]).join(two, ["v", "nv"]).where(shared * (num + den) >= (F.col("nu") + F.col("nv")) * num)
-    return linked.select("u", "v").distinct()
+    links = stored(linked.select("u", "v").distinct(), "links")
+    bitmap.destroy()
+    return links
+
+
+def _merged(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """The components ``parts`` (node, component) after more links (u, v)."""
+    ends = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    parts = stored(parts.unionByName(ends.join(parts, "node", "left_anti").select("node", F.col("node").alias("component"))), "known")
+    of = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+    joined = links.join(of("u"), "u").join(of("v"), "v").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+    higher = stored(connected_components(stored(joined, "joined")).select(F.col("node").alias("component"), F.col("component").alias("top")), "higher")
+    return stored(parts.join(higher, "component", "left").select("node", F.coalesce("top", "component").alias("component")), "components")
+
+
+def _open(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """The rows of tokens that nodes of different components share, each with the component that is commonest there."""
+    inside = members.join(parts, "node", "left").select("token", "node", "place", F.coalesce("component", "node").alias("component"))
+    per = inside.groupBy("token", "component").agg(F.count("*").alias("k"))
+    major = per.groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("major"), F.count("*").alias("kinds"), F.sum("k").alias("rows"), F.max("k").alias("most"))
+    return stored(inside.join(major.where("kinds > 1").drop("kinds"), "token"), "open")
+
+
+def _pairs(one: str, two: str) -> list[Column]:
+    return [F.greatest(one, two).alias("u"), F.least(one, two).alias("v")]
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100) -> DataFrame:
@@ -234,43 +284,56 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 75, den: int
     counts[np.array(slots.column("a"), dtype=np.int64)] = np.minimum(np.array(slots.column("b"), dtype=np.int64), 1 << 30)
     rarity = spark.sparkContext.broadcast(counts)
 
-    rows_of = "token long, node long, place long"
-    leaders = docs.mapInArrow(trimmed(_prefixes(width, num, den, rarity)), rows_of).groupBy("token").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last")
+    leaders = docs.mapInArrow(trimmed(_prefixes(width, num, den, rarity)), "token long, key long").groupBy("token").agg(F.min("key").alias("lead"), F.max("key").alias("last")).where("lead <> last")
     leaders = stored(leaders.select("token", "lead"), "leaders")
     shared_tokens = spark.sparkContext.broadcast(_bitmap(leaders.select(F.col("token").alias("key"))))
-    members = docs.mapInArrow(trimmed(_prefixes(width, num, den, rarity, shared_tokens)), rows_of)
+    members = docs.mapInArrow(trimmed(_prefixes(width, num, den, rarity, shared_tokens)), "token long, node long, place long")
     members = stored(members.join(leaders, "token").distinct(), "members")
+    shared_tokens.destroy()
+    rarity.destroy()
     nodes = rows.where("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("doc_id"), F.first("parts").alias("parts"), *[F.first(c).alias(c) for c in SIGNATURE])
-
-    led = members.where("node = lead").select("token", F.col("place").alias("lead_place"))
-    first = members.where("node <> lead").join(led, "token").where(_may_link(F.col("place"), F.col("lead_place"), num, den))
-    first = first.select(F.greatest("node", "lead").alias("u"), F.least("node", "lead").alias("v"))
-    first = stored(first.distinct(), "first")
-    links = stored(_verified(first, docs, nodes, width, num, den), "links")
-    parts = stored(connected_components(links), "components")
-
-    inside = members.where("node <> lead").join(parts, "node", "left").select("token", "node", "place", F.coalesce("component", "node").alias("component"))
-    per = inside.groupBy("token", "component").agg(F.count("*").alias("k"))
-    major = per.groupBy("token").agg(F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1").select("token", F.col("top.component").alias("major"))
+    nodes = stored(nodes, "nodes")
+
+    # round one: every node with the leaders of its tokens
+    leads = _key(F.col("node"), F.col("place")) == F.col("lead")
+    led = members.where(leads).select("token", F.col("node").alias("leader"), F.col("place").alias("lead_place"))
+    tested = members.join(led, "token").where((F.col("node") != F.col("leader")) & _may_link(F.col("place"), F.col("lead_place"), num, den))
+    tested = stored(tested.select(*_pairs("node", "leader")).distinct(), "first")
+    parts = stored(connected_components(_verified(tested, docs, nodes, width, num, den)), "components")
+
+    # more rounds, with the other nodes only
+    members = members.where(~leads).select("token", "node", "place")
+    while True:
+        open_ = _open(members, parts)
+        left = open_.select("token", "rows", "most").distinct().agg(F.sum("rows").alias("rows"), F.sum((F.col("rows") - F.col("most")) * F.col("rows").cast("double")).alias("pairs")).first()
+        if not left["rows"] or left["pairs"] <= PAIRS_LEFT * left["rows"]:
+            break
+        key = _key(F.col("node"), F.col("place"))
+        inner = F.col("component") == F.col("major")
+        chosen = open_.groupBy("token").agg(F.min(F.when(inner, key)).alias("in_key"), F.min(F.when(~inner, key)).alias("out_key"))
+        led = open_.join(chosen, "token").where((key == F.col("in_key")) | (key == F.col("out_key")))
+        led = led.select("token", F.col("node").alias("leader"), F.col("place").alias("lead_place"), F.col("component").alias("lead_component"))
+        more = open_.join(led, "token").where((F.col("component") != F.col("lead_component")) & _may_link(F.col("place"), F.col("lead_place"), num, den))
+        more = stored(more.select(*_pairs("node", "leader")).distinct().join(tested, ["u", "v"], "left_anti"), "more")
+        tested = tested.unionByName(more)
+        links = _verified(more, docs, nodes, width, num, den)
+        if links.isEmpty():
+            break
+        parts = _merged(parts, links)
+
+    # what is left: all pairs of different components
     earlier = F.collect_list("token").over(Window.partitionBy("node").orderBy("place").rowsBetween(-RECALL, -1))
-    open_ = inside.join(major, "token").withColumn("earlier", earlier)
-    open_ = stored(open_.join(nodes.select("node", *SIGNATURE), "node"), "open")
-    one = open_.where("component <> major").alias("x")
-    two = open_.alias("y")
+    open_ = stored(open_.withColumn("earlier", earlier).join(nodes.select("node", *SIGNATURE), "node"), "last")
+    one, two = open_.where("component <> major").alias("x"), open_.alias("y")
     other = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.major")) | (F.col("x.node") < F.col("y.node")))
-    apart = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in SIGNATURE), F.lit(0))
-    total = _size(F.col("x.place")) + _size(F.col("y.place"))
-    other = other & ((total - apart) * (num + den) >= total * (2 * num))
-    second = one.join(two, (F.col("x.token") == F.col("y.token")) & other & _may_link(F.col("x.place"), F.col("y.place"), num, den) & ~F.arrays_overlap("x.earlier", "y.earlier"))
-    second = second.select(F.greatest("x.node", "y.node").alias("u"), F.least("x.node", "y.node").alias("v"))
-    second = second.distinct().join(first, ["u", "v"], "left_anti")
-    more = _verified(second, docs, nodes, width, num, den)
-    joined = stored(more.join(parts.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left").join(parts.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")), "joined")
-    higher = connected_components(joined).select(F.col("node").alias("component"), F.col("component").alias("top"))
-
-    where = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")).join(higher, "component", "left")
-    where = where.select("node", "n", F.coalesce("top", "component").alias("class"), "doc_id")
-    least = where.groupBy("class").agg(F.min("doc_id").alias("component_id"))
+    other = other & ~_apart("x.", "y.", _size(F.col("x.place")) + _size(F.col("y.place")), num, den)
+    last = one.join(two, (F.col("x.token") == F.col("y.token")) & other & _may_link(F.col("x.place"), F.col("y.place"), num, den) & ~F.arrays_overlap("x.earlier", "y.earlier"))
+    last = last.select(*_pairs("x.node", "y.node")).distinct().join(tested, ["u", "v"], "left_anti")
+    parts = _merged(parts, _verified(last, docs, nodes, width, num, den))
+
+    where = nodes.join(parts, "node", "left").select("node", "n", F.coalesce("component", "node").alias("class"), "doc_id")
+    # written, so that a class with many nodes is an ordinary skewed side of the join
+    least = stored(where.groupBy("class").agg(F.min("doc_id").alias("component_id")), "classes")
     where = where.join(least, "class").select("node", "n", "component_id")
     out = rows.where("n > 0").join(where, ["node", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
