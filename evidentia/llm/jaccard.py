@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import connected_components
-from .shared import small_batches, stored, trimmed
+from .shared import give_back, mapped, stored
 
 RARITY_BITS = 22
 #: Shingles that are counted exactly at a time, and how often one must occur among them to be counted
@@ -52,7 +52,11 @@ PARTS = 256
 #: How many earlier prefix shingles a row carries to leave out pairs that were taken before.
 RECALL = 12
 #: Another round of leaders is worth its tables while so many pairs for each open row could be left.
-PAIRS_LEFT = 8
+PAIRS_LEFT = 64
+#: Ids of nodes that are broadcast to pick their rows; with more of them the same join shuffles.
+BROADCAST_NODES = 400_000
+#: Nodes that a task remembers, so as to ship the rows of copies once.
+REMEMBERED = 100_000
 #: Ranks from here on count alike when leaders are chosen.
 MOST_RANK = (1 << 15) - 1
 SIGNATURE = [f"s{k}" for k in range(16)]
@@ -137,9 +141,11 @@ def _prefixes(width: int, num: int, den: int, rarity, only=None):
     set: place is n * 2**32 + the token's rank in the rare-first order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = rarity.value
+        counts, done = rarity.value, set()
         for _, sets in _sets(batches, width):
-            tokens, keys, nodes, places, done = [], [], [], [], set()
+            tokens, keys, nodes, places = [], [], [], []
+            if len(done) > REMEMBERED:
+                done.clear()
             for s in sets:
                 node, n = _node(s), len(s)
                 if n == 0 or (node, n) in done:
@@ -227,14 +233,20 @@ def _may_link(p: Column, q: Column, num: int, den: int) -> Column:
     return (F.least(a, b) * den >= F.greatest(a, b) * num) & (bound * (num + den) >= (a + b) * num)
 
 
+def _picked(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Of ``rows`` those of the given nodes (distinct, stored)."""
+    return rows.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes, "node", "left_semi")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Of the candidate pairs (u, v) those that link, each tested once."""
+    """Of the candidate pairs (u, v), which are stored, those that link, each tested once."""
+    nodes = _picked(nodes, stored(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "ends"))
     left = nodes.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("parts").alias("pu"), F.col("doc_id").alias("du"), *[F.col(c).alias(f"l{c}") for c in SIGNATURE])
     right = nodes.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("parts").alias("pv"), F.col("doc_id").alias("dv"), *[F.col(c).alias(f"r{c}") for c in SIGNATURE])
     pairs = pairs.join(left, "u").join(right, "v").where(~_apart("l", "r", F.col("nu") + F.col("nv"), num, den)).select("u", "v", "nu", "nv", "du", "dv", "pu", "pv")
-    pairs = stored(pairs.mapInArrow(_close(num, den), "u long, v long, nu long, nv long, du long, dv long"), "pairs")
+    pairs = stored(mapped(pairs, _close(num, den), "u long, v long, nu long, nv long, du long, dv long"), "pairs")
     bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(pairs.select(F.explode(F.array("du", "dv")).alias("key")).where("key is not null")))
-    sets = stored(docs.mapInArrow(trimmed(_wanted(width, bitmap)), "node long, n long, tokens array<long>"), "sets")
+    sets = stored(mapped(docs, _wanted(width, bitmap), "node long, n long, tokens array<long>"), "sets")
     one, two = sets.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("tokens").alias("s")), sets.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("tokens").alias("t"))
     shared = F.size(F.array_intersect("s", "t"))
     linked = pairs.join(one, ["u", "nu"]).join(two, ["v", "nv"]).where(shared * (num + den) >= (F.col("nu") + F.col("nv")) * num)
@@ -275,22 +287,24 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 75, den: int
     if nobody else is in it).  Repeated rows give repeated rows.  Other columns are not looked at.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profile = stored(docs.mapInArrow(trimmed(_profile(width)), "kind int, a long, b long, n long, parts binary, " + ", ".join(f"{c} long" for c in SIGNATURE)), "profile")
+    profile = stored(mapped(docs, _profile(width), "kind int, a long, b long, n long, parts binary, " + ", ".join(f"{c} long" for c in SIGNATURE)), "profile")
     rows = profile.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), "n", "parts", *SIGNATURE)
     counts = np.zeros(1 << RARITY_BITS, dtype=np.int32)
     slots = profile.where("kind = 1").groupBy("a").agg(F.sum("b").alias("b")).toArrow()
     counts[np.array(slots.column("a"), dtype=np.int64)] = np.minimum(np.array(slots.column("b"), dtype=np.int64), 1 << 30)
     rarity = spark.sparkContext.broadcast(counts)
 
-    leaders = docs.mapInArrow(trimmed(_prefixes(width, num, den, rarity)), "token long, key long").groupBy("token").agg(F.min("key").alias("lead"), F.max("key").alias("last")).where("lead <> last")
-    leaders = stored(leaders.select("token", "lead"), "leaders")
+    leaders = mapped(docs, _prefixes(width, num, den, rarity), "token long, key long").groupBy("token").agg(F.min("key").alias("lead"), F.max("key").alias("last"), F.count("*").alias("k")).where("lead <> last")
+    # a token with two rows has nothing to say after round one
+    leaders = stored(leaders.select("token", "lead", (F.col("k") > 2).alias("more")), "leaders")
     shared_tokens = spark.sparkContext.broadcast(_bitmap(leaders.select(F.col("token").alias("key"))))
-    members = docs.mapInArrow(trimmed(_prefixes(width, num, den, rarity, shared_tokens)), "token long, node long, place long")
+    members = mapped(docs, _prefixes(width, num, den, rarity, shared_tokens), "token long, node long, place long")
     members = stored(members.join(leaders, "token").distinct(), "members")
     shared_tokens.destroy()
     rarity.destroy()
+    del counts, slots
+    give_back()
     nodes = rows.where("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("doc_id"), F.first("parts").alias("parts"), *[F.first(c).alias(c) for c in SIGNATURE])
     nodes = stored(nodes, "nodes")
 
@@ -302,7 +316,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 75, den: int
     parts = stored(connected_components(_verified(tested, docs, nodes, width, num, den)), "components")
 
     # more rounds, with the other nodes only
-    members = members.where(~leads).select("token", "node", "place")
+    members = members.where(~leads & F.col("more")).select("token", "node", "place")
     while True:
         open_ = _open(members, parts)
         left = open_.select("token", "rows", "most").distinct().agg(F.sum("rows").alias("rows"), F.sum((F.col("rows") - F.col("most")) * F.col("rows").cast("double")).alias("pairs")).first()
@@ -323,12 +337,13 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 75, den: int
 
     # what is left: all pairs of different components
     earlier = F.collect_list("token").over(Window.partitionBy("node").orderBy("place").rowsBetween(-RECALL, -1))
-    open_ = stored(open_.withColumn("earlier", earlier).join(nodes.select("node", *SIGNATURE), "node"), "last")
+    still = _picked(nodes.select("node", *SIGNATURE), stored(open_.select("node").distinct(), "still-open"))
+    open_ = stored(open_.withColumn("earlier", earlier).join(still, "node"), "last")
     one, two = open_.where("component <> major").alias("x"), open_.alias("y")
     other = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.major")) | (F.col("x.node") < F.col("y.node")))
     other = other & ~_apart("x.", "y.", _size(F.col("x.place")) + _size(F.col("y.place")), num, den)
     last = one.join(two, (F.col("x.token") == F.col("y.token")) & other & _may_link(F.col("x.place"), F.col("y.place"), num, den) & ~F.arrays_overlap("x.earlier", "y.earlier"))
-    last = last.select(*_pairs("x.node", "y.node")).distinct().join(tested, ["u", "v"], "left_anti")
+    last = stored(last.select(*_pairs("x.node", "y.node")).distinct().join(tested, ["u", "v"], "left_anti"), "last-pairs")
     parts = _merged(parts, _verified(last, docs, nodes, width, num, den))
 
     where = nodes.join(parts, "node", "left").select("node", "n", F.coalesce("component", "node").alias("class"), "doc_id")

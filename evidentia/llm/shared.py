@@ -1,10 +1,10 @@
-"""Storage and session helpers that the operators share."""
+"""Session, storage and worker helpers that the operators share."""
 
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
-import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -12,31 +12,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder (tests, a single machine).
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+from evidentia.functions.storage import shared_dir, written
+
+__all__ = ["ascii_lower", "document_key", "give_back", "mapped", "shared_dir", "stored", "table"]
+
 #: Rows of whole texts that go to a Python worker at once.  A batch stands in each task outside the
 #: executor's heap, and again in the worker; Spark's own bound is 10,000 rows.
 BATCH_ROWS = 2000
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and every executor can reach: ``spark.checkpoint.dir``."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    This cuts the lineage with files that outlive any executor.  The files go when the driver's
-    JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+#: Writes a table in the shared folder, which cuts the lineage, and reads it back.
+stored = written
 
 
 def reachable(spark: SparkSession) -> None:
@@ -61,24 +46,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-    """``run`` for mapInArrow in a worker that gives unused memory back after every batch.
+def give_back(collect: bool = True) -> None:
+    """Returns this process's unused memory to the machine."""
+    if collect:
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow`` with workers that find this package and give unused memory back after every batch.
 
     A worker outlives its task, and what it keeps stands beside the executor's heap in later stages.
+    Batches have at most BATCH_ROWS rows from here on in this session, as Spark has no such setting
+    for one plan.
     """
+    reachable(df.sparkSession)
+    small_batches(df.sparkSession)
 
     def watched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch
             del batch
-            pa.default_memory_pool().release_unused()
-            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-                trim(0)
+            give_back(collect=False)
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(watched(batches))
 
-    return wrapped
+    return df.mapInArrow(wrapped, schema)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -92,4 +88,4 @@ def ascii_lower(text: Column) -> Column:
 
 def document_key(doc_id: Column, text: Column) -> Column:
     """128 bits that tell documents apart: rows with the same id and the same text are one document."""
-    return F.unhex(F.md5(F.concat_ws("\x1f", F.coalesce(doc_id.cast("string"), F.lit("null")), F.coalesce(text, F.lit("\x00")))))
+    return F.unhex(F.md5(F.concat_ws("\x1f", F.coalesce(doc_id.cast("string"), F.lit("null")), F.coalesce(F.concat(F.lit("t"), text), F.lit("n")))))
