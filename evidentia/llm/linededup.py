@@ -24,36 +24,62 @@ from pyspark.sql import functions as F
 
 from .shared import document_key, stored
 
-#: Lines shorter than this stay, even when repeated; lines shorter than FUZZY_CHARS go only if equal.
+#: By default lines shorter than this stay, even when repeated; lines shorter than FUZZY_CHARS go only if equal.
 MIN_CHARS, FUZZY_CHARS = 10, 20
-#: Lines of up to this many characters have two blocks, longer ones blocks of half as many.
-TWO_BLOCKS = 1024
+#: Lines of up to this many characters have two blocks, longer ones blocks of half as many, and from
+#: MOST_BLOCKS of them on the blocks are twice as long, and so on.
+TWO_BLOCKS, MOST_BLOCKS = 1024, 2048
 #: Ids of lines (two longs) that are broadcast; with more of them the same join shuffles.
 BROADCAST_LINES = 400_000
 
 
 def _measured(lines: DataFrame) -> DataFrame:
-    """Adds n, and for a pair's longer (0) and shorter (1) line the number and the size of blocks, as
-    columns, so that they are computed once a line."""
+    """Adds n, and for a pair's longer (0) and shorter (1) line the size of blocks, as columns, so that
+    they are computed once a line."""
     lines = lines.withColumn("n", F.length("line"))
+    sizes = {}
     for short in (0, 1):
         total = F.col("n") + short
-        lines = lines.withColumn(f"count{short}", F.when(total <= TWO_BLOCKS, F.lit(2)).otherwise(F.ceil(total * 2 / TWO_BLOCKS).cast("int")))
-    return lines.withColumns({f"size{short}": F.ceil((F.col("n") + short) / F.col(f"count{short}")).cast("int") for short in (0, 1)})
+        doubled = F.greatest(F.ceil(F.log2(total / (TWO_BLOCKS // 2 * MOST_BLOCKS))), F.lit(0)).cast("int")
+        wide = F.call_function("shiftleft", F.lit(TWO_BLOCKS // 2), doubled)
+        sizes[f"size{short}"] = F.when(total <= TWO_BLOCKS, F.ceil(total / 2).cast("int")).otherwise(wide)
+    return lines.withColumns(sizes)
 
 
-def _blocks(short: int) -> Column:
-    """Structs (k, short, a, e) of a measured line: the hash of what surrounds block [a, e), for the
-    longer line of a pair and for lines of equal length (0), or for the shorter line of a pair (1)."""
-    line, n, size = F.col("line"), F.col("n"), F.col(f"size{short}")
+def _running(hashes: Column) -> Column:
+    """0, and what the first, the first two, ... of the hashes give together."""
+    return F.aggregate(hashes, F.array(F.lit(0).cast("long")), lambda seen, h: F.concat(seen, F.array(F.element_at(seen, -1).bitwiseXOR(h))))
+
 
-    def one(j: Column) -> Column:
-        a, e = j * size, F.least((j + 1) * size, n + short) - short
-        after = F.when(e < n, F.substr(line, e + 1, n - e)).otherwise(F.lit(""))
-        k = F.xxhash64(n + short, j, F.when(j > 0, F.substr(line, F.lit(1), a)).otherwise(F.lit("")), after)
-        return F.struct(k.alias("k"), F.lit(bool(short)).alias("short"), a.alias("a"), e.alias("e"))
+def _blocks(short: int) -> Column:
+    """Structs (k, short, a, text) of a measured line: the hash of what surrounds a block, where it
+    begins and what it holds, for the longer line of a pair and for lines of equal length (0), or for
+    the shorter line of a pair (1), whose block is one character shorter.
 
-    return F.transform(F.sequence(F.lit(0), F.col(f"count{short}") - 1), one)
+    A long line is cut into its pieces once, and the hashes of what comes before and after each block
+    are running ones, so that it takes time in proportion to its length."""
+    line, n, size = F.col("line"), F.col("n"), F.col(f"size{short}")
+    block = lambda k, a, text: F.struct(k.alias("k"), F.lit(bool(short)).alias("short"), a.alias("a"), text.alias("text"))
+    head, tail = _ends(short)
+    two = F.array(
+        block(F.xxhash64(n + short, F.lit(0), F.lit(""), tail), F.lit(0), F.substr(line, F.lit(1), F.greatest(size - short, F.lit(0)))),
+        block(F.xxhash64(n + short, F.lit(1), head, F.lit("")), size, F.substr(line, size + 1, F.greatest(n - size, F.lit(0)))),
+    )
+    pattern = F.concat(F.lit("(?s).{1,"), size.cast("string"), F.lit("}"))
+    pieces = F.regexp_extract_all(line, pattern, F.lit(0))
+    later = F.regexp_extract_all(F.concat(F.lit(" "), line), pattern, F.lit(0)) if short else pieces
+    hashed = lambda parts: F.transform(parts, lambda p, i: F.xxhash64(i, p))
+    before, after = _running(hashed(pieces)), F.reverse(_running(F.reverse(hashed(later))))
+    around = F.zip_with(F.slice(after, F.lit(2), F.greatest(F.size(after) - 1, F.lit(0))), before, lambda x, y: F.struct(y.alias("before"), x.alias("after")))
+    both = F.filter(F.zip_with(around, pieces, lambda x, y: F.struct(x["before"].alias("before"), x["after"].alias("after"), F.coalesce(y, F.lit("")).alias("piece"))), lambda x: x["after"].isNotNull())
+    long = F.transform(both, lambda x, j: block(F.xxhash64(n + short, j, x["before"], x["after"]), j * size, F.substr(x["piece"], F.lit(1), size - short)))
+    return F.when(n + short <= TWO_BLOCKS, two).otherwise(long)
+
+
+def _ends(short: int) -> tuple[Column, Column]:
+    """Of a line of two blocks what stands before the second one and after the first one."""
+    line, n, size = F.col("line"), F.col("n"), F.col(f"size{short}")
+    return F.substr(line, F.lit(1), size), F.when(size - short < n, F.substr(line, size - short + 1, n - size + short)).otherwise(F.lit(""))
 
 
 def _keys() -> Column:
@@ -63,28 +89,24 @@ def _keys() -> Column:
 def _hashes() -> Column:
     """The k of ``_keys`` alone; spelled out for lines of two blocks, which are nearly all, as that
     compiles."""
-    line, n = F.col("line"), F.col("n")
     two = []
     for short in (0, 1):
-        size = F.col(f"size{short}")
-        # block 0 leaves what comes after it, block 1 what comes before it
-        after = F.when(size - short < n, F.substr(line, size - short + 1, n - size + short)).otherwise(F.lit(""))
-        two.append(F.xxhash64(n + short, F.lit(0), F.lit(""), after))
-        two.append(F.xxhash64(n + short, F.lit(1), F.substr(line, F.lit(1), size), F.lit("")))
-    return F.when(n < TWO_BLOCKS, F.array(*two)).otherwise(F.transform(_keys(), lambda b: b["k"]))
+        head, tail = _ends(short)
+        two += [F.xxhash64(F.col("n") + short, F.lit(0), F.lit(""), tail), F.xxhash64(F.col("n") + short, F.lit(1), head, F.lit(""))]
+    return F.when(F.col("n") < TWO_BLOCKS, F.array(*two)).otherwise(F.transform(_keys(), lambda b: b["k"]))
 
 
-def _variants(line: Column, b: Column) -> Column:
+def _variants(b: Column) -> Column:
     """Structs (v, at) for one block: every variant with a character deleted, or the block as it is."""
-    size = b["e"] - b["a"]
-    block = F.substr(line, b["a"] + 1, size)
+    text = b["text"]
+    size = F.length(text)
 
     def deleted(i: Column) -> Column:
-        left = F.substr(line, b["a"] + 1, i)
-        right = F.when(i + 1 < size, F.substr(line, b["a"] + i + 2, size - i - 1)).otherwise(F.lit(""))
+        left = F.substr(text, F.lit(1), i)
+        right = F.when(i + 1 < size, F.substr(text, i + 2, size - i - 1)).otherwise(F.lit(""))
         return F.struct(F.xxhash64(b["k"], F.concat(left, right)).alias("v"), (b["a"] + i).alias("at"))
 
-    whole = F.array(F.struct(F.xxhash64(b["k"], block).alias("v"), F.lit(-1).alias("at")))
+    whole = F.array(F.struct(F.xxhash64(b["k"], text).alias("v"), F.lit(-1).alias("at")))
     each = F.transform(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))), deleted)
     return F.when(b["short"], whole).when(size > 0, each)
 
@@ -99,10 +121,10 @@ def _near(lines: DataFrame, table: DataFrame, firsts: DataFrame) -> DataFrame:
     small = F.broadcast if wanted.count() <= BROADCAST_LINES else (lambda df: df)
     texts = lines.select("h1", "h2", "line").join(small(wanted), ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
     texts = stored(texts.join(firsts, ["h1", "h2"]), "lines")
-    blocks = _measured(texts).select("h1", "h2", "line", F.explode(_keys()).alias("b"))
+    blocks = _measured(texts).select("h1", "h2", F.explode(_keys()).alias("b"))
     again = blocks.groupBy("b.k").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("k")
     blocks = blocks.withColumn("k", F.col("b.k")).join(again, "k", "left_semi")
-    emitted = blocks.select("h1", "h2", F.explode(_variants(F.col("line"), F.col("b"))).alias("x")).select("h1", "h2", "x.v", "x.at")
+    emitted = blocks.select("h1", "h2", F.explode(_variants(F.col("b"))).alias("x")).select("h1", "h2", "x.v", "x.at")
     equal = emitted.groupBy("v").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("v")
     rows = stored(emitted.join(equal, "v", "left_semi").distinct().join(texts.select("h1", "h2", "first"), ["h1", "h2"]), "variants")
     me = F.struct("first", "h1", "h2")
@@ -116,11 +138,13 @@ def _near(lines: DataFrame, table: DataFrame, firsts: DataFrame) -> DataFrame:
     return links.join(line, ["h1", "h2"]).join(other, ["g1", "g2"]).where(F.levenshtein("line", "other", 1) >= 0).select("h1", "h2").distinct()
 
 
-def line_decisions(docs: DataFrame) -> DataFrame:
+def line_decisions(docs: DataFrame, min_chars: int = MIN_CHARS, fuzzy_chars: int = FUZZY_CHARS) -> DataFrame:
     """For every row of ``docs`` (doc_id, text, any others): row (the whole row as a struct), text
     (without the dropped lines), n_lines, dropped (places of the dropped lines, ascending).
 
-    Lines are what newlines separate.  A null text stays null and has no lines; an empty text is one
+    Lines are what newlines separate.  Those of ``min_chars`` characters or more go if an earlier one is
+    equal, those of ``fuzzy_chars`` or more also if it is within one edit; with ``min_chars=1`` every
+    line that has a character.  A null text stays null and has no lines; an empty text is one
     empty line and stays.  A text all of whose lines go becomes empty.  Rows with the same doc_id and
     the same text are one document, so neither takes lines from the other.  A null doc_id comes before
     all others.  Names of other columns do not matter.
@@ -129,15 +153,15 @@ def line_decisions(docs: DataFrame) -> DataFrame:
     text = F.col("row.text").cast("string")
     rows = rows.withColumn("key", document_key(F.col("row.doc_id"), text))
     split = rows.select(F.col("row.doc_id").alias("id"), "key", F.posexplode(F.split(text, "\n", -1)).alias("at", "line"))
-    lines = split.where(F.length("line") >= MIN_CHARS).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
-    table = _measured(lines).select("id", "key", "at", "h1", "h2", F.when(F.col("n") >= FUZZY_CHARS, _hashes()).alias("keys"))
+    lines = split.where(F.length("line") >= min_chars).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
+    table = _measured(lines).select("id", "key", "at", "h1", "h2", F.when(F.col("n") >= fuzzy_chars, _hashes()).alias("keys"))
     table = stored(table, "line-keys")
     firsts = stored(table.groupBy("h1", "h2").agg(F.min(F.struct("id", "key", "at")).alias("first")), "firsts")
     near = _near(lines.select("h1", "h2", "line"), table, firsts)
     kept = firsts.join(near, ["h1", "h2"], "left_anti").groupBy("first.key").agg(F.collect_list("first.at").alias("kept"))
     out = rows.join(kept, "key", "left").withColumn("lines", F.split(text, "\n", -1))
     places = F.sequence(F.lit(0), F.size("lines") - 1)
-    short = F.filter(places, lambda i: F.length(F.get("lines", i)) < MIN_CHARS)
+    short = F.filter(places, lambda i: F.length(F.get("lines", i)) < min_chars)
     stay = F.array_sort(F.concat(short, F.coalesce("kept", F.array().cast("array<int>"))))
     out = out.withColumn("stay", F.when(text.isNotNull(), stay))
     cleaned = F.array_join(F.transform("stay", lambda i: F.get("lines", i)), "\n")
@@ -145,13 +169,13 @@ def line_decisions(docs: DataFrame) -> DataFrame:
     return out.select("row", cleaned.alias("text"), F.coalesce(F.size("lines"), F.lit(0)).alias("n_lines"), dropped.alias("dropped"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, fuzzy_chars: int = FUZZY_CHARS) -> DataFrame:
     """``docs`` with ``text`` freed of lines that repeat; documents that lose all their lines go.
 
     An ``n_chars`` column follows the new text; every other column stays as it is.  The cases of
     ``line_decisions`` hold.
     """
-    out = line_decisions(docs).where("n_lines = 0 or size(dropped) < n_lines")
+    out = line_decisions(docs, min_chars, fuzzy_chars).where("n_lines = 0 or size(dropped) < n_lines")
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return out.select(*[(new[c] if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
