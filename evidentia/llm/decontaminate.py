@@ -39,15 +39,20 @@ def _hashes(w: Column, width: int) -> Column:
     return F.when(F.size(w) >= width, F.transform(F.sequence(F.lit(0), F.size(w) - width), lambda i: _hash(w, i, width)))
 
 
-def _windows(benchmark: DataFrame, window: int, shingle: int) -> DataFrame:
-    """(window_id, words, items, shingles: (width, hash, at)) for the distinct windows."""
+def _occurrences(benchmark: DataFrame, window: int) -> DataFrame:
+    """(window_id, words, item): every window with every item that has it."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).where("size(w) > 0")
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)))
     each = items.select("item", "w", F.explode(starts).alias("i")).select("item", F.slice("w", F.col("i") + 1, F.lit(window)).alias("words"))
-    each = each.groupBy("words").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return each.select(F.unhex(F.md5(F.array_join("words", " "))).alias("window_id"), "words", "item").distinct()
+
+
+def _windows(occurrences: DataFrame, shingle: int) -> DataFrame:
+    """(window_id, words, width, shingles: (h, at)) for the distinct windows."""
+    each = occurrences.select("window_id", "words").distinct()
     width = F.when(F.size("words") >= shingle, F.lit(shingle)).otherwise(F.lit(1))
     placed = F.transform(F.coalesce(_hashes(F.col("words"), shingle), _hashes(F.col("words"), 1)), lambda h, i: F.struct(h.alias("h"), i.alias("at")))
-    return each.select(F.unhex(F.md5(F.array_join("words", " "))).alias("window_id"), "words", "items", width.alias("width"), placed.alias("shingles"))
+    return each.select("window_id", "words", width.alias("width"), placed.alias("shingles"))
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 13, shingle: int = 3, hit_share: int = 20) -> DataFrame:
@@ -60,7 +65,8 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 13,
     each get its figures; a null doc_id is an id like any other.  Other columns are not looked at.
     """
     docs = documents.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", document_key(F.col("doc_id"), F.col("text")))
-    windows = stored(_windows(benchmark.select("item_id", F.col("text").cast("string").alias("text")), window, shingle), "windows")
+    occurrences = stored(_occurrences(benchmark.select("item_id", F.col("text").cast("string").alias("text")), window), "occurrences")
+    windows = stored(_windows(occurrences, shingle), "windows")
     small = F.broadcast if windows.count() <= BROADCAST_WINDOWS else (lambda df: df)
     widths = sorted(r.width for r in windows.select("width").distinct().collect())
     vocabulary = windows.select(F.explode("shingles.h").alias("h")).distinct()
@@ -72,7 +78,8 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 13,
         found = part if found is None else found.union(part)
     base = docs.select("doc_id", "key", F.size(words(F.col("text"))).cast("long").alias("n_words"))
     if found is None:
-        result = base.select("key").where("false").withColumns({"n_hit": F.lit(0), "items": F.array().cast("array<string>")})
+        result = base.select("key").where("false").withColumn("n_hit", F.lit(0))
+        items = base.select("key").where("false").withColumn("items", F.array().cast("array<string>"))
     else:
         found = stored(found.distinct(), "places")
         rarity = found.groupBy("h").agg(F.count("*").alias("places"))
@@ -80,15 +87,18 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 13,
         ranked = ranked.join(rarity, "h", "left").groupBy("window_id", "length").agg(F.min(F.struct(F.coalesce("places", F.lit(0)).alias("places"), "h", "at")).alias("prefix"))
         prefix = stored(ranked.where("prefix.places > 0").select("window_id", "length", F.col("prefix.h").alias("h"), F.col("prefix.at").alias("at")), "prefixes")
         placed = found.join(small(prefix), "h").withColumn("start", F.col("pos") - F.col("at")).where("start >= 0").select("key", "start", "window_id", "length")
-        spans = placed.join(small(windows.select("window_id", "words", "items")), "window_id")
-        spans = stored(spans.groupBy("key").agg(F.collect_set(F.struct("start", "length", "words", "items")).alias("spans")), "spans")
+        spans = placed.join(small(windows.select("window_id", "words")), "window_id")
+        spans = stored(spans.groupBy("key").agg(F.collect_set(F.struct("start", "length", "window_id", "words")).alias("spans")), "spans")
         keys = F.broadcast(spans.select("key")) if spans.count() <= BROADCAST_DOCUMENTS else spans.select("key")
         near = docs.select("key", "text").join(keys, "key", "left_semi").dropDuplicates(["key"]).join(spans, "key").select("key", "spans", words(F.col("text")).alias("w"))
         exact = F.filter("spans", lambda s: (s["start"] + s["length"] <= F.size("w")) & (F.slice(F.col("w"), s["start"] + 1, s["length"]) == s["words"]))
-        near = near.select("key", exact.alias("spans")).where("size(spans) > 0")
+        near = stored(near.select("key", exact.alias("spans")).where("size(spans) > 0"), "hits")
         covered = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1))))
-        result = near.select("key", F.size(covered).alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("spans.items"))).alias("items"))
-    out = base.join(result, "key", "left")
+        result = near.select("key", F.size(covered).alias("n_hit"))
+        # only now the items, which may be many for a window that they share
+        of_windows = near.select("key", F.explode(F.array_distinct("spans.window_id")).alias("window_id")).join(occurrences.select("window_id", "item"), "window_id")
+        items = of_windows.groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    out = base.join(result.join(items, "key", "left"), "key", "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     items = F.coalesce("items", F.array().cast("array<string>"))
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), ((n_hit > 0) & (n_hit * hit_share >= F.col("n_words"))).alias("contaminated"))
