@@ -7,9 +7,9 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from evidentia.llm import chat, gru, shard, tiff
+from evidentia.llm import chat, gru, shard, tiff, toxicity
 from evidentia.llm.bpe import BPE
-from evidentia.llm.pieces import Memo
+from evidentia.llm.pieces import Memo, flattened
 from evidentia.llm.tokenfile import Library
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -28,7 +28,7 @@ def texts():
 
 def test_bpe_equals_the_library(model):
     library = Tokenizer.from_file(PATH)
-    own, joined = Memo(model.pieces), Memo(Library(PATH))
+    own, joined = Memo(lambda pieces: flattened(model.pieces(pieces))), Memo(Library(PATH))
     for text, a, b in zip(texts(), own.texts(texts()), joined.texts(texts()), strict=True):
         ids = library.encode(text, add_special_tokens=False).ids
         assert ids == a.tolist() == b.tolist(), text
@@ -98,3 +98,46 @@ def test_packing_is_best_fit_decreasing():
             else:
                 left.append(100.0 - s)
         assert shard.bins_needed([(s, 1) for s in sizes], 100.0) == len(left)
+
+
+def test_rewriting_is_found_late_and_behind_a_declared_memory():
+    class Late(chat.MarkedTurns):
+        """Says that no turn changes another, but the hundredth one does."""
+
+        def render(self, turns):
+            return "?" * (len(turns) >= 100) + super().render(turns)
+
+    state = chat.Incremental(Late())
+    with pytest.raises(chat.HistoryRewritten):
+        for k in range(200):
+            state.add("user", f"turn {k}")
+        state.close()
+
+
+def test_long_conversations_are_let_go_piece_by_piece():
+    class Begun(chat.MarkedTurns):
+        def render(self, turns):
+            return "^" + super().render(turns) if turns else ""
+
+    state, whole = chat.Incremental(Begun(), kept_chars=200), []
+    for k in range(300):
+        whole.append(state.add("user" if k % 2 else "assistant", f"turn {k}")[0])
+    state.close()
+    assert "".join(whole) == Begun().render([("user" if k % 2 else "assistant", f"turn {k}") for k in range(300)])
+    assert len(state.turns) < 60
+
+
+def test_vectors_are_learned():
+    """Words that no count tells apart are told apart by their learned vectors."""
+    model = toxicity.Model(np.zeros(1 << toxicity.BITS, np.float32), np.zeros(1 << toxicity.BITS, np.float32), gru.AttentiveBiGRU(toxicity.WIDTH))
+    texts = [f"{'bad' if k % 2 else 'good'}{'' if k % 3 else 'ly'} word number {k}".encode() for k in range(200)]
+    y = np.array([k % 2 for k in range(200)], dtype=np.float32)
+    vectors = toxicity.Vectors(model, texts)
+    model.net.train(vectors, vectors.mask, y, np.ones(200, np.float32), epochs=12)
+    vectors.put(model)
+    got = model.logits([b"this is bad", b"this is good", b"badness"])
+    assert got[0] > got[1] and got[2] > got[1]
+    x, firsts = model.inputs(texts[:3])
+    for k in range(3):
+        n = firsts[k + 1] - firsts[k]
+        assert np.allclose(x[firsts[k] : firsts[k + 1]], vectors.of(np.array([k]))[0, :n], atol=1e-6)
