@@ -18,9 +18,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import Memo
-from .shared import small_batches, trimmed
+from .pieces import Memo, flattened
+from .shared import mapped
 
+# Fixed value: how byte-level pre-tokenization makes words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NONE = np.iinfo(np.int64).max
 #: Documents of one step in a worker.
@@ -41,6 +42,9 @@ class BPE:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        before = spec.get("pre_tokenizer") or {}
+        if spec.get("normalizer") or before.get("type") != "ByteLevel" or not before.get("use_regex", True) or before.get("add_prefix_space"):
+            raise ValueError(f"{path}: only byte-level files without normalizer and prefix space, whose words PATTERN makes")
         chars = byte_characters()
         vocab = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -71,6 +75,7 @@ class BPE:
         self.prefixes = {t[:n] for t in self.of for n in range(1, len(t) + 1)}
         self.pattern = regex.compile(PATTERN)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        self.openers = {t[0] for t in self.special if t}
         self.lengths = np.array([len(b) for b in self.bytes], dtype=np.int64)
         self.failed = self.tested = 0
 
@@ -162,7 +167,7 @@ class BPE:
         split: list[list[str | int]] = []
         known: dict[str, int] = {}
         for piece in pieces:
-            parts = self.specials.split(piece) if self.specials and "<" in piece else [piece]
+            parts = self.specials.split(piece) if self.specials and not self.openers.isdisjoint(piece) else [piece]
             out: list[str | int] = []
             for part in parts:
                 if part in self.special:
@@ -187,7 +192,7 @@ def memo(path: str) -> tuple[BPE, Memo]:
     """This Python worker's model and memo."""
     if path not in _memos:
         model = BPE(path)
-        _memos[path] = model, Memo(model.pieces)
+        _memos[path] = model, Memo(lambda pieces: flattened(model.pieces(pieces)))
     return _memos[path]
 
 
@@ -217,13 +222,12 @@ def _encoded(path: str):
 
 
 def _inputs(docs: DataFrame) -> DataFrame:
-    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids: array<int>) for every row of ``docs`` (doc_id, text); a null text is empty."""
-    return _inputs(docs).mapInArrow(trimmed(_encoded(path)), "doc_id long, ids array<int>")
+    return mapped(_inputs(docs), _encoded(path), "doc_id long, ids array<int>")
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
@@ -233,4 +237,4 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     token.  Null texts count as empty; a null doc_id stays null; repeated rows give repeated rows;
     other columns are not looked at.
     """
-    return _inputs(docs).mapInArrow(trimmed(_round_trip(path)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return mapped(_inputs(docs), _round_trip(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

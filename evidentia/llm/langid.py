@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches, trimmed
+from .shared import give_back, mapped
 
 BITS = 12
 DIMENSIONS = 1 << BITS
@@ -165,7 +165,7 @@ def fit(labelled: DataFrame, per_language: int = 800, clusters: int = 4) -> Mode
     key = F.xxhash64("doc_id", "text")
     rows = labelled.withColumn("half", F.pmod(F.shiftright(key, 20), F.lit(2)).cast("int"))
     chance = F.pmod(key, F.lit(1 << 20)) / float(1 << 20)
-    sample = rows.where(chance < share).select("lang", "half", "text").mapInArrow(trimmed(_sampled), "lang string, half int, counts binary").toArrow()
+    sample = mapped(rows.where(chance < share).select("lang", "half", "text"), _sampled, "lang string, half int, counts binary").toArrow()
     if not sample.num_rows:
         return None
     order = sorted(range(sample.num_rows), key=lambda i: (sample["lang"][i].as_py(), sample["counts"][i].as_py()))
@@ -177,15 +177,17 @@ def fit(labelled: DataFrame, per_language: int = 800, clusters: int = 4) -> Mode
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     model = _centroids(x, langs, idf, clusters)
     others = [_centroids(x[halves != h], langs[halves != h], idf, clusters) if (halves != h).any() else model for h in (0, 1)]
-    small_batches(labelled.sparkSession)
     shared = labelled.sparkSession.sparkContext.broadcast(others)
-    counted = rows.select("half", "text").mapInArrow(trimmed(_measured(shared)), "lang string, size int, step int").groupBy("lang", "size", "step").count().collect()
+    counted = mapped(rows.select("half", "text"), _measured(shared), "lang string, size int, step int").groupBy("lang", "size", "step").count().collect()
     seen = np.zeros((len(model.languages), SIZES, COSINE_STEPS + 1), dtype=np.int64)
+    shared.destroy()
     for r in counted:
         seen[model.languages.index(r["lang"]), r["size"], r["step"]] += r["count"]
     # where a language has too few rows of a size, the bound over all languages holds
     every = _bounds(seen.sum(axis=0))
     model.bound = np.stack([np.where(own > 0, own, every) for own in map(_bounds, seen)])
+    del sample, x, others, seen
+    give_back()
     return model
 
 
@@ -215,8 +217,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     looked at.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    small_batches(docs.sparkSession)
-    return docs.mapInArrow(trimmed(_predicted(docs.sparkSession.sparkContext.broadcast(model))), "doc_id long, lang_pred string, score double, rejected boolean")
+    return mapped(docs, _predicted(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def learnable(docs: DataFrame) -> DataFrame:
@@ -225,9 +226,11 @@ def learnable(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text, lang, any others) without the documents that are rejected."""
+    """``docs`` (doc_id, text, lang, any others) without the documents that are rejected.
+
+    A text that is null or has no letter goes; where no language can be learned, all others stay.
+    """
     model = fit(learnable(docs))
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,9 +238,9 @@ def keep_identified(docs: DataFrame) -> DataFrame:
             for a in range(0, batch.num_rows, 64):
                 part = batch.column("text").slice(a, 64).to_pylist()
                 some = [i for i, t in enumerate(part) if t and has_letter(t)]
-                if some and shared.value:
-                    rejected = shared.value.predict([part[i] for i in some])[2]
+                if some:
+                    rejected = shared.value.predict([part[i] for i in some])[2] if shared.value else [False] * len(some)
                     keep = [a + i for i, r in zip(some, rejected, strict=True) if not r]
                     yield batch.take(pa.array(keep, pa.int64()))
 
-    return docs.mapInArrow(trimmed(run), docs.schema)
+    return mapped(docs, run, docs.schema)

@@ -19,12 +19,15 @@ MEMO_PIECES = 300_000
 #: Characters of text that one step takes; a longer text is a step of its own.
 STEP_CHARS = 1 << 19
 _BESIDE_SPACE = re.compile(r" \s|\s ")
+#: White space other than the two kinds that nearly all texts have.
+_RARE_SPACE = re.compile(r"[^\S \n]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 def cut(text: str) -> list[str]:
     """The pieces of a text without the single spaces that separate them."""
-    return _CUT.split(text) if _BESIDE_SPACE.search(text) else text.split(" ")
+    beside = "  " in text or "\n " in text or " \n" in text or (_RARE_SPACE.search(text) and _BESIDE_SPACE.search(text))
+    return _CUT.split(text) if beside else text.split(" ")
 
 
 class _Index(dict):
@@ -37,12 +40,13 @@ class _Index(dict):
 
 
 class Memo:
-    """``encode`` gets distinct pieces, each but a text's first with its leading space.
+    """``encode`` gets distinct pieces, each but a text's first with its leading space, and gives the
+    numbers of their ids and all ids in order.
 
     The index has the pieces without that space; a text's first piece has a tuple around it.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]]):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
         self.encode = encode
         self._empty()
 
@@ -75,7 +79,7 @@ class Memo:
         words = [k for k, good in zip(old, often.tolist(), strict=True) if good]
         self._empty()
         self.index.update(zip(words, range(len(words)), strict=True))
-        self._add(lengths, ids[_ranges(starts, lengths)])
+        self._add(lengths, ids[ranges(starts, lengths)])
 
     def texts(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids (int32) of each text, in order."""
@@ -101,15 +105,12 @@ class Memo:
         index = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
         if self.index.new:
             gc.disable()
-            encoded = self.encode([" " + x if isinstance(x, str) else x[0] for x in self.index.new])
-            lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
-            self._add(lengths, np.fromiter(chain.from_iterable(encoded), np.int32, int(lengths.sum())))
+            self._add(*self.encode([" " + x if x.__class__ is str else x[0] for x in self.index.new]))
             self.index.new = []
-            del encoded
             gc.enable()
         self.hits[: len(self.index)] += np.bincount(index, minlength=len(self.index))
         lengths = self.lengths[index]
-        flat = self.ids[_ranges(self.starts[index], lengths)]
+        flat = self.ids[ranges(self.starts[index], lengths)]
         ends = np.cumsum(lengths)[np.cumsum(counts) - 1]
         place = 0
         for stop in ends.tolist():
@@ -117,7 +118,13 @@ class Memo:
             place = stop
 
 
-def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def flattened(lists: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The lengths of the lists, and their items in one array."""
+    lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+    return lengths, np.fromiter(chain.from_iterable(lists), np.int32, int(lengths.sum()))
+
+
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """start, start + 1, ... for each start, as often as its length says."""
     ends = np.cumsum(lengths)
     return np.repeat(starts - ends + lengths, lengths) + np.arange(int(ends[-1]) if len(ends) else 0)

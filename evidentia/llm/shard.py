@@ -9,7 +9,9 @@ the tightest still, and takes as many of the run as fit.  The driver therefore p
 * the groups of at least 1 / (shards * FINE) of all bytes or rows, of which there are at most
   2 * shards * FINE, one by one;
 * all others by size class: exact sizes below 4096, and 64 classes for each power of two above, each
-  with its count and its mean size; so the summary is bounded whatever the input.
+  with its count and its mean size; so the summary is bounded whatever the input.  What a bin gets of
+  a class differs from the mean by at most a 64th a group, and groups of a class are dealt by hash, so
+  the differences cancel out; each is under 1 / (64 * shards * FINE) of all bytes in any case.
 
 The groups of a class are numbered (in hashed cells, with offsets), and the numbers tell their bins.
 """
@@ -164,7 +166,6 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
     if not total.n:
         return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
     is_large = (F.col("bytes") * (shards * FINE) >= total.bytes) | (F.col("k") * (shards * FINE) >= total.k)
-    is_large = is_large & F.lit(total.n > 2 * shards * FINE)
     large = groups.where(is_large).select(*group, "bytes").orderBy(F.desc("bytes"), *group).collect()
     small = groups.where(~is_large)
     classes = small.groupBy("class").agg(F.count("*").alias("n"), F.avg("bytes").alias("mean")).collect()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import mapped, stored
 
 # Fixed values of the TIFF 6.0 specification.
 WIDTH_TAG, HEIGHT_TAG, BITS_TAG, COMPRESSION_TAG, PHOTOMETRIC_TAG = 256, 257, 258, 259, 262
@@ -260,7 +260,7 @@ def read_pages(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ("do
     file follow each other in page order.
     """
     types = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return df.select(*keep, media).mapInArrow(_paged(list(keep), media), f"{types}, {PAGE_SCHEMA}")
+    return mapped(df.select(*keep, media), _paged(list(keep), media), f"{types}, {PAGE_SCHEMA}")
 
 
 def _stored_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +279,7 @@ def text_media(docs: DataFrame) -> DataFrame:
     Null texts are empty; repeated rows give repeated rows; other columns are not looked at.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_stored_text, "doc_id long, n_bytes long, media_bytes long, media_sha256 string, media binary")
+    return mapped(docs, _stored_text, "doc_id long, n_bytes long, media_bytes long, media_sha256 string, media binary")
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,4 +325,4 @@ def media_digests(docs: DataFrame) -> DataFrame:
     media = stored(text_media(docs), "media")
     found = read_pages(media, keep=("doc_id", "n_bytes", "media_bytes", "media_sha256"))
     types = "doc_id long, n_bytes long, media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string"
-    return found.mapInArrow(_summed, types).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return mapped(found, _summed, types).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

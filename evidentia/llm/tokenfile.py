@@ -18,8 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .pieces import Memo
-from .shared import shared_dir
+from .pieces import Memo, flattened, ranges
+from .shared import mapped, shared_dir
 
 SCHEMA = "doc_id long, part int, local_start long, n_tokens int, ids array<int>"
 #: Bytes of a row group and of a page.
@@ -48,22 +48,28 @@ class Library:
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.lengths = np.array([len(added[i]) if i in added else sum(c in chars for c in self.tokenizer.id_to_token(i)) for i in range(size)], dtype=np.int64)
 
-    def __call__(self, pieces: list[str]) -> list[list[int]]:
-        plain = [k for k, p in enumerate(pieces) if len(p) > 1 and p[0] == " " and not p[1].isspace() and not p[-1].isspace()]
-        out: list[list[int]] = [[]] * len(pieces)
-        groups = [plain[a : a + JOINED] for a in range(0, len(plain), JOINED)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast(["".join([pieces[k] for k in group]) for group in groups], add_special_tokens=False), strict=True):
-            ids = e.ids
-            ends = np.cumsum([len(pieces[k].encode()) for k in group])
-            stops = np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1
-            a = 0
-            for k, b in zip(group, stops.tolist(), strict=True):
-                out[k] = ids[a:b]
-                a = b
-        rest = sorted(set(range(len(pieces))).difference(plain))
-        for k, e in zip(rest, self.tokenizer.encode_batch_fast([pieces[k] for k in rest], add_special_tokens=False), strict=True):
-            out[k] = e.ids
-        return out
+    def __call__(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of ids of the pieces, and their ids."""
+        plain = np.fromiter((len(p) > 1 and p[0] == " " and p[1] > " " and not (p[-1].isspace() or p[1].isspace()) for p in pieces), bool, len(pieces))
+        alone = [p for p, joins in zip(pieces, plain.tolist(), strict=True) if not joins]
+        joined = [p for p, joins in zip(pieces, plain.tolist(), strict=True) if joins]
+        groups = [joined[a : a + JOINED] for a in range(0, len(joined), JOINED)]
+        parts, counts = [], []
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast(["".join(group) for group in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype=np.int32)
+            sizes = [len(p) if p.isascii() else len(p.encode()) for p in group]
+            stops = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(sizes)) + 1
+            parts.append(ids)
+            counts.append(np.diff(stops, prepend=0))
+        rest = flattened([e.ids for e in self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)])
+        flat = np.concatenate([*parts, rest[1]]) if parts else rest[1]
+        # the joined ones come first in flat, the others after them
+        lengths = np.zeros(len(pieces), dtype=np.int64)
+        lengths[plain], lengths[~plain] = np.concatenate(counts) if counts else 0, rest[0]
+        starts = np.zeros(len(pieces), dtype=np.int64)
+        ends = np.cumsum(np.concatenate((lengths[plain], lengths[~plain])))
+        starts[np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain)))] = ends - np.concatenate((lengths[plain], lengths[~plain]))
+        return lengths, flat[ranges(starts, lengths)]
 
 
 def _memo(path: str) -> Memo:
@@ -103,7 +109,7 @@ def write_tokens(docs: DataFrame, target: str, path: str, end_id: int) -> None:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    out = ordered.mapInArrow(_encoded(path, end_id), SCHEMA)
+    out = mapped(ordered, _encoded(path, end_id), SCHEMA)
     # the writer keeps column and offset indexes of every page by default
     out.write.option("parquet.block.size", ROW_GROUP).option("parquet.page.size", PAGE).option("parquet.enable.dictionary", "true").option("parquet.dictionary.page.size", 1 << 20).parquet(target)
 
@@ -151,4 +157,4 @@ def token_digests(docs: DataFrame, path: str, end_id: int, target: str | None =
         place = spark._jvm.org.apache.hadoop.fs.Path(target)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     offsets = spark.sparkContext.broadcast(file_starts(spark, target))
-    return read_tokens(spark, target).mapInArrow(_digests(offsets), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return mapped(read_tokens(spark, target), _digests(offsets), "doc_id long, start long, n_tokens long, ids_crc32 long")
