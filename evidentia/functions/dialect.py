@@ -11,7 +11,7 @@ import re
 _SPELLING = {
     "spark": {
         "explode": "explode({0})", "size": "size({0})", "distinct": "array_distinct({0})", "firsts": "array_distinct({0})", "common": "array_intersect({0}, {1})",
-        "except": "array_except({0}, {1})", "quantile": "percentile({0}, {1})", "sha": "sha2({0}, 256)", "find": "regexp_extract_all({0}, {1}, 0)",
+        "except": "filter({0}, x -> NOT array_contains({1}, x))", "quantile": "percentile({0}, {1})", "sha": "sha2({0}, 256)", "find": "regexp_extract_all({0}, {1}, 0)",
         "matches": "regexp_like({0}, {1})", "replace": "regexp_replace({0}, {1}, {2})", "list": "array_sort(collect_list({0}))", "kept": "filter({0}, x -> {1})",
         "mapped": "transform({0}, x -> {1})", "joined": "array_join({0}, {1})", "hex": "conv({0}, 16, 10)", "dot": "aggregate(zip_with({0}, {1}, (x, y) -> cast(x as double) * cast(y as double)), 0e0, (a, x) -> a + x)",
         "at": "try_element_at({0}, {1})", "array": "array({0})", "raw": "r'{0}'", "least_by": "min_by({0}, {1})", "split": "split({0}, {1})", "range": "sequence({0}, {1})",

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Cost of a missed positive against a false alarm; strengths tried; resamples; folds.
@@ -102,12 +102,9 @@ def choose_strength(rows: DataFrame, features: Sequence[str], label: str, group:
     train, held, table = _outside(rows, group, strengths)
     scored = margins(held, features, fit(train, features, table))
     steps = scored.groupBy("model", "margin").agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
-    steps.createOrReplaceTempView("strength_steps")
-    precision = rows.sparkSession.sql(
-        """SELECT model, sum(pos / total * tp / seen) AS ap FROM (SELECT model, pos, sum(pos) OVER (PARTITION BY model) AS total,
-          sum(pos) OVER (PARTITION BY model ORDER BY margin DESC) AS tp, sum(n) OVER (PARTITION BY model ORDER BY margin DESC) AS seen FROM strength_steps)
-        WHERE total > 0 GROUP BY model"""
-    ).collect()
+    run = Window.partitionBy("model").orderBy(F.desc("margin"))
+    steps = steps.withColumns({"total": F.sum("pos").over(Window.partitionBy("model")), "tp": F.sum("pos").over(run), "seen": F.sum("n").over(run)}).where("total > 0")
+    precision = steps.groupBy("model").agg(F.sum(F.col("pos") / F.col("total") * F.col("tp") / F.col("seen")).alias("ap")).collect()
     by: dict[int, list[float]] = {}
     for r in precision:
         by.setdefault(r["model"] // FOLDS, []).append(r["ap"])

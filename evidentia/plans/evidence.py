@@ -1,26 +1,8 @@
-"""More plans: features of queries, domains, registry and manifest checks, label derivation, narrative."""
+"""More plans: features of queries, registry and manifest checks, label derivation."""
 
 from __future__ import annotations
 
-from evidentia.plans.catalog import CORPUS, EVENTS, LITERALS, REFANG, SIGNALS
-
-# File endings that look like a top-level domain, and domains that texts cite.
-FILE_ENDINGS = """
-exe dll sys bin dat log txt md pdf doc docx xls xlsx ppt pptx csv json xml yaml yml
-zip tar gz bz2 7z rar iso img png jpg jpeg gif svg webp mp4 avi
-py js ts jsx tsx java c cpp h hpp go rs rb php sh ps1 bat cmd
-conf cfg ini toml env lock sql db sqlite html htm css scss
-""".split()
-CITED = """
-cisa.gov nvd.nist.gov nist.gov mitre.org attack.mitre.org cve.mitre.org
-hhs.gov fda.gov cert.org us-cert.gov first.org
-github.com microsoft.com google.com apache.org kb.cert.org
-""".split()
-
-
-def _quoted(values: list[str]) -> str:
-    return ", ".join(f"'{v}'" for v in values)
-
+from evidentia.plans.catalog import CORPUS, EVENTS
 
 #: Sources 0 to 16 are registered; every fourth with another tier than the documents say.
 REGISTRY = "reg AS (SELECT concat('src', cast(i AS varchar(9))) AS source, 1 + (i + CASE WHEN i % 4 = 0 THEN 1 ELSE 0 END) % 3 AS tier FROM (SELECT ${explode(${range(0, 16)})} AS i) r)"
@@ -32,15 +14,6 @@ p AS (SELECT query_id, tok, ${explode(${range(1, length(tok))})} AS i FROM w),
 g AS (SELECT query_id, 'trigram' AS kind, substr(concat('#', tok, '#'), cast(i AS int), 3) AS gram FROM p
   UNION ALL SELECT query_id, 'bigram', ${explode(${mapped(${range(1, ${size(t)} - 1)}, concat(${at(t, cast(x AS int))}, '_', ${at(t, cast(x AS int) + 1)}))})} FROM q WHERE ${size(t)} > 1)
 SELECT query_id, kind, gram, count(*) AS n FROM g GROUP BY query_id, kind, gram""",
-    "entity_domain": f"WITH {LITERALS}, r AS (SELECT id, lower({REFANG}) AS txt FROM lit UNION ALL SELECT 1000 + doc_id, lower(text) FROM documents WHERE text IS NOT NULL), "
-    "u AS (SELECT id, ${find(txt, ${raw([a-z0-9][a-z0-9.-]*[.][a-z]{2,24})})} AS found, ${mapped(${find(txt, ${raw(https?://[^ \\n\\t/:<>]+)})}, ${replace(x, ${raw(^https?://)}, '')})} AS hosts FROM r), "
-    "d AS (SELECT id, ${explode(${except(found, hosts)})} AS value FROM u) "
-    "SELECT value, count(*) AS mentions, count(DISTINCT id) AS docs, min(id) AS first_doc FROM d WHERE ${replace(value, ${raw(^.*[.])}, '')} NOT IN (" + _quoted(FILE_ENDINGS) + ") AND value NOT IN (" + _quoted(CITED) + ") GROUP BY value",
-    "entity_hash": f"WITH {LITERALS}, r AS (SELECT id, lower(txt) AS txt FROM lit UNION ALL SELECT 1000 + doc_id, lower(text) FROM documents WHERE text IS NOT NULL), "
-    "m AS (SELECT id, ${explode(${find(txt, ${raw([0-9a-z_]{32,128})})})} AS value FROM r) "
-    "SELECT CASE length(value) WHEN 128 THEN 'sha512' WHEN 64 THEN 'sha256' WHEN 40 THEN 'sha1' ELSE 'md5' END AS kind, value, count(*) AS mentions, min(id) AS first_doc FROM m WHERE length(value) IN (32, 40, 64, 128) AND ${matches(value, ${raw(^[0-9a-f]+$)})} GROUP BY value",
-    "doc_conflict_max": f"WITH {SIGNALS}, pairs AS (SELECT a.query_id, a.doc_id AS one, b.doc_id AS two, abs(a.entailment - b.entailment) AS c FROM sig a JOIN sig b ON a.query_id = b.query_id AND a.rnk < b.rnk), "
-    "e AS (SELECT query_id, ${explode(${array(one, two)})} AS doc_id, c FROM pairs) SELECT query_id, doc_id, round(max(c), 6) AS conflict FROM e GROUP BY query_id, doc_id",
     "dq_registry": f"WITH {CORPUS}, {REGISTRY} SELECT doc_id, 'error' AS severity, CASE WHEN reg.source IS NULL THEN 'source is not registered' ELSE 'tier differs from the registry' END AS message "
     "FROM corpus LEFT JOIN reg ON reg.source = corpus.source WHERE reg.source IS NULL OR tier <> source_tier",
     "dq_manifest": "SELECT d.doc_id, 'error' AS severity, 'no label' AS message FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE l.doc_id IS NULL "

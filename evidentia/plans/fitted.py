@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.operators import clusters, logistic, text
+from evidentia.operators import clusters, logistic, retrieval, text
 from evidentia.streaming.score import event_windows
 
 FEATURES = ["insults", "is_tier1", "is_tier3"]
@@ -28,14 +28,17 @@ def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kmeans_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten nearest vectors of every fiftieth vector, clustered query by query."""
     every = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    asked = every.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("asked"))
-    dot = F.aggregate(F.zip_with("asked", "embedding", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, b: a + b)
-    near = every.join(asked, F.expr("query_id <> doc_id")).select("query_id", "doc_id", "embedding", F.round(dot, 6).alias("sim"))
-    near.createOrReplaceTempView("near_vectors")
-    hits = spark.sql("SELECT query_id, doc_id, embedding FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, doc_id) AS rnk FROM near_vectors) t WHERE rnk <= 10")
+    asked = every.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id")
+    hits = retrieval.nearest(every, asked, 10).join(every, "doc_id").select("query_id", "doc_id", "embedding")
     return clusters.cluster_anomaly(hits)
 
 
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth vector."""
+    every = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return retrieval.nearest(every, every.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id"), retrieval.TOP)
+
+
 def lr_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coefficients at the chosen strength, and the calibration's intercept and slope."""
     rows = training_rows(spark, sf_dir)
@@ -66,5 +69,5 @@ def events_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_windows(_read(spark, sf_dir, "events"))
 
 
-QUERIES = {f.__name__: f for f in (kmeans_anomaly, lr_fit, bootstrap_fit, chunks, entity_ipv6, events_hourly)}
-ORACLES = {"events_hourly": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2"}
+QUERIES = {f.__name__: f for f in (kmeans_anomaly, vector_topk, lr_fit, bootstrap_fit, chunks, entity_ipv6, events_hourly)}
+ORACLES = {"vector_topk": "SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(list_inner_product(q.embedding::double[], d.embedding::double[]), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_inner_product(q.embedding::double[], d.embedding::double[]), 6) DESC, d.vec_id)::int AS rnk FROM embeddings q JOIN embeddings d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0 QUALIFY rnk <= 5", "events_hourly": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2"}

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import words as W
@@ -185,10 +185,36 @@ def score_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Characters of evidence that a prompt holds.
+PROMPT_CHARS = 6000
+
+
+def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, blocks, prompt): the documents in rank order until one would break the budget, then the question."""
+    docs = corpus(spark, sf_dir).withColumn("tier", S.tier(F.col("source")))
+    rows = hits(spark, sf_dir).join(docs, "doc_id")
+    block = F.concat(F.lit("["), F.col("rnk").cast("string"), F.lit("] document "), F.col("doc_id").cast("string"), F.lit(", tier "), F.col("tier").cast("string"), F.lit("\n"), F.col("text"), F.lit("\n\n"))
+    used = F.sum(F.length("block")).over(Window.partitionBy("query_id").orderBy("rnk").rowsBetween(Window.unboundedPreceding, 0))
+    fits = rows.select("query_id", "rnk", block.alias("block")).withColumn("used", used).where(F.col("used") <= PROMPT_CHARS)
+    joined = fits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rnk", "block"))).alias("blocks"))
+    question = F.concat(F.lit("Answer from the documents and name them.\n\n"), F.array_join("blocks.block", ""), F.lit("Question: "), F.col("text"))
+    return asked(spark, sf_dir).join(joined, "query_id", "left").select("query_id", F.coalesce(F.size("blocks"), F.lit(0)).alias("n_blocks"), F.when(F.col("blocks").isNotNull(), question).otherwise(F.concat(F.lit("Answer without documents.\n\nQuestion: "), F.col("text"))).alias("prompt"))
+
+
+def prompt_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prompts(spark, sf_dir).select("query_id", "n_blocks", F.length("prompt").alias("chars"), F.sha2("prompt", 256).alias("prompt_sha256"))
+
+
+def extractive_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The beginnings of the first three documents; documents have no summary, so 300 characters stand for it."""
+    rows = hits(spark, sf_dir).where("rnk <= 3").join(corpus(spark, sf_dir), "doc_id").select("query_id", F.struct("rnk", F.substr("text", F.lit(1), F.lit(300)).alias("t")).alias("p"))
+    return rows.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list("p"))["t"], " ").alias("answer"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         bm25_topk, target_doc_rank, retrieval_log_summary, label_attach, reachability, salient_terms, claim_coverage, pairwise_conflict, doc_conflict_max, robust_z, fit_bands, assign_band, case_grid, response_cases,
-        classify_response, signal_readings, encode_features, standardize, risk_interval, n_eff, confidence, score_query,
+        classify_response, signal_readings, encode_features, standardize, risk_interval, n_eff, confidence, score_query, prompt_budget, extractive_answer,
     )
 }

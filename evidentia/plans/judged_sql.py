@@ -113,6 +113,8 @@ SQL = {
     "label_attach": f"WITH {RETRIEVED} SELECT query_id, doc_id, rnk::int AS rnk, toxic AS label, CASE toxic WHEN 1 THEN 'family:' || source ELSE 'doc:' || doc_id END AS grp FROM top JOIN labels USING (doc_id) JOIN corpus USING (doc_id)",
     "reachability": f"WITH {RETRIEVED} SELECT count(DISTINCT query_id) AS targets_reached, count(DISTINCT doc_id) AS poisoned_retrieved FROM top WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)",
     "salient_terms": rf"WITH t AS (SELECT item_id AS query_id, text, list_filter(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9.\-_]*'), lambda t: t NOT IN {SEARCH_STOP} AND length(t) >= 3) AS ts FROM benchmark), u AS (SELECT query_id, trim(rtrim(text, '?')) AS subject, list_filter(ts, lambda x, i: list_position(ts, x) = i) AS ts FROM t) SELECT query_id, 'This item addresses ' || regexp_replace(subject, '^(Is|Are|Do|Does|Should|What|Which|How) ', '') || '. It is filed against the following topics: ' || array_to_string(ts[1:6], ', ') || '.' AS segment FROM u",
+    "prompt_budget": f"WITH {RETRIEVED}, b AS (SELECT query_id, rnk, '[' || rnk || '] document ' || doc_id || ', tier ' || tier || chr(10) || text || chr(10) || chr(10) AS block FROM top JOIN corpus USING (doc_id)), u AS (SELECT *, sum(length(block)) OVER (PARTITION BY query_id ORDER BY rnk) AS used FROM b), p AS (SELECT query_id, count(*) AS n, string_agg(block, '' ORDER BY rnk) AS t FROM u WHERE used <= 6000 GROUP BY query_id), q AS (SELECT item_id AS query_id, coalesce(n, 0)::int AS n_blocks, CASE WHEN n IS NULL THEN 'Answer without documents.' || chr(10) || chr(10) ELSE 'Answer from the documents and name them.' || chr(10) || chr(10) || t END || 'Question: ' || text AS prompt FROM benchmark LEFT JOIN p ON p.query_id = item_id) SELECT query_id, n_blocks, length(prompt)::int AS chars, sha256(prompt) AS prompt_sha256 FROM q",
+    "extractive_answer": f"WITH {RETRIEVED} SELECT query_id, string_agg(substr(text, 1, 300), ' ' ORDER BY rnk) AS answer FROM top JOIN corpus USING (doc_id) WHERE rnk <= 3 GROUP BY query_id",
     "claim_coverage": f"WITH {SIGNALS} SELECT query_id, doc_id, round(entailment, 6) AS entailment, round(unsupport, 6) AS unsupport, round(1 - entailment, 6) AS neutral FROM sig",
     "pairwise_conflict": f"WITH {SIGNALS} SELECT query_id, round(max(conflict), 6) AS d_conflict_max, round(coalesce(max(conflict) FILTER (tier_a = 1 AND tier_b = 1), 0.0), 6) AS tier1_conflict_max, count(*) AS n_pairs FROM pairs GROUP BY query_id",
     "doc_conflict_max": f"WITH {SIGNALS} SELECT query_id, doc_id, round(conflict, 6) AS conflict FROM sig",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,8 +73,8 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("place", "line")).select("place", F.trim("line").alias("line"))
     name = F.regexp_extract("line", r"^#\s*(q\S*)", 1)
     kept = lines.select("place", "line", F.when(name != "", name).alias("name"))
-    kept.createOrReplaceTempView("query_lines")
-    return spark.sql("SELECT query_id, line AS query_text FROM (SELECT line, last(name, true) OVER (ORDER BY place) AS query_id FROM query_lines) t WHERE line <> '' AND line NOT LIKE '#%'")
+    named = kept.withColumn("query_id", F.last("name", ignorenulls=True).over(Window.orderBy("place")))  # one small file
+    return named.where("line <> '' AND line NOT LIKE '#%'").select("query_id", F.col("line").alias("query_text"))
 
 
 def with_controls(queries: DataFrame, docs: DataFrame, controls: int | None = None) -> DataFrame:

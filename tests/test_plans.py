@@ -5,7 +5,7 @@ import pytest
 
 from evidentia.functions.dialect import render
 from evidentia.plans import fitted
-from evidentia.plans.queries import PLANS, TABLES, plan
+from evidentia.plans.queries import PLANS, TABLES, WRITTEN_TWICE, plan
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,8 +31,16 @@ def test_plan(spark, duck, name):
     assert rows(found.columns, [tuple(r) for r in found.collect()]) == rows(told.columns, told.fetchall())
 
 
-def test_hourly_events(spark, duck):
-    found, told = fitted.events_hourly(spark, SF), duck.sql(fitted.ORACLES["events_hourly"])
+@pytest.mark.parametrize("name", sorted(n for _, module in WRITTEN_TWICE for n in module.SQL))
+def test_written_twice(spark, duck, name):
+    module, sql = next(pair for pair in WRITTEN_TWICE if name in pair[1].SQL)
+    found, told = module.QUERIES[name](spark, SF), duck.sql(sql.SQL[name])
+    assert rows(found.columns, [tuple(r) for r in found.collect()]) == rows(told.columns, told.fetchall())
+
+
+@pytest.mark.parametrize("name", sorted(fitted.ORACLES))
+def test_fitted_against_sql(spark, duck, name):
+    found, told = fitted.QUERIES[name](spark, SF), duck.sql(fitted.ORACLES[name])
     assert rows(found.columns, [tuple(r) for r in found.collect()]) == rows(told.columns, told.fetchall())
 
 
