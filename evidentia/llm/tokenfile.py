@@ -128,9 +128,33 @@ def _digests(offsets):
     return run
 
 
-def read_tokens(spark: SparkSession, target: str) -> DataFrame:
-    """The rows of the files as they are."""
-    return spark.read.schema(SCHEMA).parquet(target)
+def read_tokens(spark: SparkSession, target: str, ids: tuple[int, int] | None = None, slices: tuple[int, int] | None = None) -> DataFrame:
+    """The rows of the files; with ``ids`` those of documents from the first to the last id, both included.
+
+    Files and rows ascend by doc_id, so row groups and pages outside of the range are skipped by their
+    statistics.  With ``slices`` each row has only the tokens from the first to before the last place.
+    What is not selected afterwards (the ids, say) is not read.
+    """
+    rows = spark.read.schema(SCHEMA).parquet(target)
+    if ids is not None:
+        rows = rows.where(F.col("doc_id").between(*ids))
+    if slices is not None:
+        start, stop = slices
+        rows = rows.withColumn("ids", F.slice("ids", start + 1, max(0, stop - start)))
+    return rows
+
+
+def documents_at(spark: SparkSession, target: str, first: int, last: int) -> DataFrame:
+    """(doc_id, start, n_tokens, ids) of the documents that have one of the tokens ``first`` to before ``last`` of all.
+
+    Lengths alone tell which; only then are the ids of those rows read.
+    """
+    starts = file_starts(spark, target)
+    parts = [p for p, start in starts.items() if start < last]
+    before = F.element_at(F.create_map(*[F.lit(x) for kv in starts.items() for x in kv]), F.col("part")) if starts else F.lit(0)
+    start = (before + F.col("local_start")).cast("long")
+    rows = read_tokens(spark, target).where(F.col("part").isin(parts))
+    return rows.withColumn("start", start).where((F.col("start") < last) & (F.col("start") + F.col("n_tokens") > first)).select("doc_id", "start", "n_tokens", "ids")
 
 
 def file_starts(spark: SparkSession, target: str) -> dict[int, int]:
