@@ -104,3 +104,16 @@ def test_markdown_names_what_it_says(spark):
 
     for r in reports.report_markdown(spark, "/root/testdata/sf0.001").collect():
         assert r.report_id in r.markdown and "## Reasoning" in r.markdown and "| 1 |" in r.markdown
+
+
+def test_scratch_tables_go(spark):
+    from evidentia.functions.storage import scratch, written
+
+    with scratch(spark) as made:
+        written(spark.range(3).toDF("a"), "gone")
+        kept = written(spark.range(5).toDF("a"), "kept")
+        stays = made.pop()
+    assert kept.count() == 5 and len(made) == 1
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|not exist"):
+        spark.read.parquet(made[0]).count()
+    assert stays
