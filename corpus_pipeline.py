@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidentia.functions.storage import remove, scratch
 from evidentia.llm.bpe import round_trip
 from evidentia.llm.decontaminate import decontaminate
 from evidentia.llm.jaccard import jaccard_components
@@ -60,12 +61,21 @@ STAGES = [("language id", language_id), ("line dedup", line_dedup), ("near dupli
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each is written in the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each is written in the shared folder and read again.
+
+    What a stage wrote on its way, and the documents that it read, go once its result is written.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark) as made:
+            docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            own = made.pop()
+        if before:
+            remove(spark, before)
+        before = own
     return docs
 
 
-#: No SQL: language ID and BPE are not expressible; tests hold the stages against brute force.
+#: No SQL: language ID and BPE are not expressible.  tests/llm hold near duplicates and decontamination
+#: against brute force on rows with null, shared and repeated ids, and the encoding against the library.
 ORACLE_SQL = None
