@@ -53,7 +53,6 @@ PLANS: dict[str, str] = {
     "dq_document": "SELECT doc_id, 'warning' AS severity, CASE WHEN ${size(${kept(${find(text, ${raw([^ \\n]+)})}, x <> '')})} < 90 THEN 'short' ELSE 'long' END AS message FROM documents WHERE ${size(${find(text, ${raw([^ \\n]+)})})} < 90 OR ${size(${find(text, ${raw([^ \\n]+)})})} > 420",
     "dq_tiers": f"WITH {CORPUS} SELECT t.tier, count(corpus.doc_id) AS n, count(corpus.doc_id) < 8 AS below_floor FROM (VALUES (1), (2), (3), (4)) AS t(tier) LEFT JOIN corpus ON corpus.source_tier = t.tier GROUP BY t.tier",
     "dq_profile": "SELECT lang, min(n_chars) AS min_chars, max(n_chars) AS max_chars, round(avg(n_chars), 6) AS mean_chars, count(DISTINCT source) AS sources FROM documents GROUP BY lang",
-    "jaccard_near_dups": "WITH w AS (SELECT doc_id, ${distinct(${kept(${find(lower(text), ${raw([a-z0-9]+)})}, length(x) > 3)})} AS s FROM documents), e AS (SELECT doc_id, ${size(s)} AS n, ${explode(s)} AS t FROM w), f AS (SELECT t, count(*) AS df FROM e GROUP BY t), k AS (SELECT e.doc_id, n, e.t, row_number() OVER (PARTITION BY e.doc_id ORDER BY df, e.t) AS r FROM e JOIN f ON f.t = e.t), p AS (SELECT doc_id, n, t FROM k WHERE r <= n - ceil(0.7 * n) + 1), c AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM p a JOIN p b ON a.t = b.t AND a.doc_id < b.doc_id AND least(a.n, b.n) >= 0.7 * greatest(a.n, b.n)), j AS (SELECT a, b, ${size(${common(x.s, y.s)})} * 1.0 / (${size(x.s)} + ${size(y.s)} - ${size(${common(x.s, y.s)})}) AS jaccard FROM c JOIN w x ON x.doc_id = a JOIN w y ON y.doc_id = b) SELECT a, b, round(jaccard, 6) AS jaccard, CASE WHEN jaccard >= 0.85 THEN 'error' ELSE 'warning' END AS severity FROM j WHERE jaccard >= 0.7",
     # L: audit
     "audit_events": f"WITH {EVENTS} SELECT event_id, query_id, k, action, tier, headline, subtype FROM qe",
     "audit_checks": f"WITH {EVENTS} SELECT count(*) AS n, sum(CASE WHEN (headline = 'RED') <> (subtype IS NOT NULL) THEN 1 ELSE 0 END) AS red_breaks, sum(CASE WHEN headline NOT IN ('RED', 'ORANGE', 'GREEN') THEN 1 ELSE 0 END) AS enum_breaks FROM qe",
