@@ -9,8 +9,8 @@ All variants of a line with one character deleted are emitted as hashed keys:
 * a line that is one character longer has a variant equal to the shorter line.
 
 Equal keys are joined, the earliest line of each key is taken by a pre-aggregated minimum (so a group
-of many alike lines gives one link a line, not all pairs), and the edit distance of each link is
-verified on the texts.
+of many alike lines gives one link a line, not all pairs), and each link is verified on the texts: they
+must be equal but for the characters left out.
 
 To keep the keys few, a line is cut into blocks by its length alone.  An edit touches one block, so
 both lines agree before and after it; only blocks whose surroundings occur in some other line emit
@@ -127,15 +127,23 @@ def _near(lines: DataFrame, table: DataFrame, firsts: DataFrame) -> DataFrame:
     emitted = blocks.select("h1", "h2", F.explode(_variants(F.col("b"))).alias("x")).select("h1", "h2", "x.v", "x.at")
     equal = emitted.groupBy("v").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("v")
     rows = stored(emitted.join(equal, "v", "left_semi").distinct().join(texts.select("h1", "h2", "first"), ["h1", "h2"]), "variants")
-    me = F.struct("first", "h1", "h2")
+    me = F.struct("first", "h1", "h2", "at")
     whole = F.col("at") < 0
     per_key = rows.groupBy("v").agg(F.min(F.when(whole, me)).alias("short"), F.min(F.when(~whole, me)).alias("long"))
     per_place = rows.groupBy("v", "at").agg(F.min(me).alias("same"))
     links = rows.join(per_key, "v").join(per_place, ["v", "at"])
     earliest = F.when(whole, F.col("long")).otherwise(F.least("short", "same"))
-    links = links.withColumn("to", earliest).where("to.first < first").select("h1", "h2", F.col("to.h1").alias("g1"), F.col("to.h2").alias("g2")).distinct()
+    links = links.withColumn("to", earliest).where("to.first < first").select("h1", "h2", "at", F.col("to.h1").alias("g1"), F.col("to.h2").alias("g2"), F.col("to.at").alias("other_at")).distinct()
     line, other = texts.select("h1", "h2", "line"), texts.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("line").alias("other"))
-    return links.join(line, ["h1", "h2"]).join(other, ["g1", "g2"]).where(F.levenshtein("line", "other", 1) >= 0).select("h1", "h2").distinct()
+    return links.join(line, ["h1", "h2"]).join(other, ["g1", "g2"]).where(_one_edit(F.col("line"), F.col("at"), F.col("other"), F.col("other_at"))).select("h1", "h2").distinct()
+
+
+def _one_edit(a: Column, at: Column, b: Column, other_at: Column) -> Column:
+    """Whether the lines are equal but for the character at the place that each leaves out (-1: none), so
+    that one edit makes one the other; takes time in proportion to their length."""
+    place = F.greatest(at, other_at)
+    rest = lambda line, skip: F.substr(line, place + 1 + skip, F.greatest(F.length(line) - place - skip, F.lit(0)))
+    return (F.substr(a, F.lit(1), place) == F.substr(b, F.lit(1), place)) & (rest(a, (at >= 0).cast("int")) == rest(b, (other_at >= 0).cast("int")))
 
 
 def line_decisions(docs: DataFrame, min_chars: int = MIN_CHARS, fuzzy_chars: int = FUZZY_CHARS) -> DataFrame:
