@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -14,6 +15,20 @@ _made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 #: Used only by a session that names no shared folder and runs on one machine.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
+#: After so many written tables what the driver no longer names is collected.
+RELEASE_EVERY = 8
+_written = 0
+
+
+def release(spark: SparkSession) -> None:
+    """Has both halves of the driver collect their garbage.
+
+    Spark removes the shuffle files and broadcasts of finished plans when the driver's JVM collects the
+    plans, which a roomy heap puts off for long, while a chain of many small plans fills the disks.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a local master may go without, a cluster may not."""
@@ -36,6 +51,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     if (made := _made.get()) is not None:
         made.append(path)
     df.write.parquet(path)
+    global _written
+    _written += 1
+    if _written % RELEASE_EVERY == 0:
+        release(spark)
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
