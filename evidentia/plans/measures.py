@@ -21,9 +21,10 @@ INSULTS = "idiot|trash|stupid|moron|scum|clown|loser|pathetic|worthless|disgusti
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, y, s) of every labelled document."""
+    docs = judged.read(spark, sf_dir, "documents").select("doc_id", "text")
+    labelled = judged.read(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("y")).join(docs, "doc_id")
     hits = F.regexp_count(F.lower("text"), F.lit(INSULTS))
-    docs = judged.read(spark, sf_dir, "documents").select("doc_id", F.round(hits / (1 + hits), 6).alias("s"))
-    return judged.read(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("y")).join(docs, "doc_id")
+    return written(labelled.select("doc_id", "y", F.round(hits / (1 + hits), 6).alias("s")), "scores")
 
 
 def _table(spark: SparkSession, sf_dir: str) -> DataFrame:
