@@ -100,7 +100,8 @@ def choose_strength(rows: DataFrame, features: Sequence[str], label: str, group:
     if rows.where("y = 1").count() < 10:
         return 1.0
     train, held, table = _outside(rows, group, strengths)
-    scored = margins(held, features, fit(train, features, table))
+    # rounded, as equal rows may differ in their last bits
+    scored = margins(held, features, fit(train, features, table)).withColumn("margin", F.round("margin", 9))
     steps = scored.groupBy("model", "margin").agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
     run = Window.partitionBy("model").orderBy(F.desc("margin"))
     steps = steps.withColumns({"total": F.sum("pos").over(Window.partitionBy("model")), "tp": F.sum("pos").over(run), "seen": F.sum("n").over(run)}).where("total > 0")

@@ -50,7 +50,7 @@ def derive_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, doc_id, y, the signals, risk, blocked) of every retrieved document with a label."""
     rows = judged.signals(spark, sf_dir)
-    risk = J.risks(J.standardised(J.encoded(rows), list(J.COEFFICIENTS))).select("query_id", "doc_id", "risk")
+    risk = J.risks(J.standardised(J.encoded(rows), list(J.COEFFICIENTS))).select("query_id", "doc_id", F.round("risk", 9).alias("risk"))
     each = rows.select("query_id", F.explode("docs").alias("d")).select("query_id", "d.*")
     case = J.case_field(J.grid_case(F.col("tier"), J.band({s: F.col(s) for s in J.SIGNALS})), "action")
     each = each.select("query_id", "doc_id", *J.SIGNALS, case.isin("REJECT", "ESCALATE").alias("blocked")).join(risk, ["query_id", "doc_id"])
