@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, jaccard, langid, linededup, merkle, shard, tiff, tokenfile, toxicity
+from . import bpe, chat, decontaminate, filteraudit, jaccard, langid, linededup, merkle, shard, tiff, tokenfile, toxicity
 from .shared import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -69,5 +69,9 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), copy_text=merkle.tampered_text(F.col("doc_id"), F.col("text")))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_token_files, op3_decontamination, op4_bpe, op5_tiff, op6_language_id, op7_toxicity, op8_jaccard, op9_chat, op10_line_dedup, op11_merkle)}
-ORACLES = {"op3_decontamination": decontaminate.SQL, "op10_line_dedup": linededup.SQL, "op11_merkle": merkle.SQL}
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_token_files, op3_decontamination, op4_bpe, op5_tiff, op6_language_id, op7_toxicity, op8_jaccard, op9_chat, op10_line_dedup, op11_merkle, op12_filter_audit)}
+ORACLES = {"op3_decontamination": decontaminate.SQL, "op10_line_dedup": linededup.SQL, "op11_merkle": merkle.SQL, "op12_filter_audit": filteraudit.SQL}
