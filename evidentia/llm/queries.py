@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, filteraudit, jaccard, langid, linededup, merkle, shard, tiff, tokenfile, toxicity
+from . import bpe, chat, decontaminate, filteraudit, jaccard, langid, linededup, merkle, pii, shard, tiff, tokenfile, toxicity
 from .shared import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -73,5 +73,12 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_token_files, op3_decontamination, op4_bpe, op5_tiff, op6_language_id, op7_toxicity, op8_jaccard, op9_chat, op10_line_dedup, op11_merkle, op12_filter_audit)}
-ORACLES = {"op3_decontamination": decontaminate.SQL, "op10_line_dedup": linededup.SQL, "op11_merkle": merkle.SQL, "op12_filter_audit": filteraudit.SQL}
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.personal_data(table(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    counts = [of(kind).alias(f"n_{kind}") for kind in (*pii.KINDS, "term")]
+    return out.select("doc_id", *counts, F.sha2(pii.listed(F.col("base_spans")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_token_files, op3_decontamination, op4_bpe, op5_tiff, op6_language_id, op7_toxicity, op8_jaccard, op9_chat, op10_line_dedup, op11_merkle, op12_filter_audit, op13_pii)}
+ORACLES = {"op3_decontamination": decontaminate.SQL, "op10_line_dedup": linededup.SQL, "op11_merkle": merkle.SQL, "op12_filter_audit": filteraudit.SQL, "op13_pii": pii.SQL}
