@@ -7,10 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SIGNALS = ["unsupport", "anomaly", "injection", "conflict"]
-# Thresholds before any are fitted; injection's are declared.
-SUSPICIOUS = {"unsupport": 0.60, "anomaly": 0.60, "injection": 0.60, "conflict": 0.60}
-MALICIOUS = {"unsupport": 0.85, "anomaly": 0.85, "injection": 0.90, "conflict": 0.85}
+from evidentia.operators import thresholds as T
+
+SIGNALS = T.SIGNALS
 # The cases in the order in which the first match wins, with tier, band, priority and action.
 CASES = [
     ("C5", "1", "MALICIOUS", "P0", "ESCALATE"), ("C4", "1", "SUSPICIOUS", "P1", "ESCALATE"), ("C11", "any", "-", "P1", "ESCALATE"), ("C10", "1 vs 1", "-", "P2", "REVIEW"),
@@ -26,18 +25,24 @@ EPS, MEMBERS = 1e-3, 200
 KAPPA, AGREEMENT, N_EFF_ONE, SINGLETON, FLOOR = 2.0, 1.5, 0.40, 0.30, 0.35
 
 
-def _over(values: dict[str, Column], cuts: dict[str, float], names: list[str]) -> Column:
+def _over(values: dict[str, Column], cuts: Column, names: list[str]) -> Column:
+    """How many signals reach their cut; one that was not measured, or has no cut, does not."""
     return reduce(lambda a, b: a + b, [F.coalesce((values[s] >= cuts[s]).cast("int"), F.lit(0)) for s in names])
 
 
-def band(values: dict[str, Column]) -> Column:
-    """MALICIOUS for injection, for two signals over their upper cut, or for one with two others over the
-    lower one; SUSPICIOUS for any over its lower cut.  A null was not measured and counts for nothing."""
-    upper = _over(values, MALICIOUS, SIGNALS)
-    lower = _over(values, SUSPICIOUS, SIGNALS)
-    injected = F.coalesce(values["injection"] >= MALICIOUS["injection"], F.lit(False))
-    worst = injected | (upper >= 2) | ((upper == 1) & (lower - 1 >= 2))
-    return F.when(worst, "MALICIOUS").when(lower >= 1, "SUSPICIOUS").otherwise("CLEAN")
+def rule(values: dict[str, Column], cuts: Column | None = None) -> Column:
+    """The rule that decides a band: injection alone, two signals over their upper cut, one of them and two others
+    over the lower one, any over its lower cut, or none."""
+    cuts = T.provisional() if cuts is None else cuts
+    upper, lower = _over(values, cuts["malicious"], SIGNALS), _over(values, cuts["suspicious"], SIGNALS)
+    injected = F.coalesce(values["injection"] >= cuts["malicious"]["injection"], F.lit(False))
+    return F.when(injected, "injection_alone").when(upper >= 2, "two_signals_malicious").when((upper == 1) & (lower - 1 >= 2), "one_malicious_two_suspicious").when(lower >= 1, "one_suspicious").otherwise("none_over_threshold")
+
+
+def band(values: dict[str, Column], cuts: Column | None = None) -> Column:
+    """MALICIOUS, SUSPICIOUS or CLEAN, as ``rule`` says; ``cuts`` are provisional if not given."""
+    by = rule(values, cuts)
+    return F.when(by == "none_over_threshold", "CLEAN").when(by == "one_suspicious", "SUSPICIOUS").otherwise("MALICIOUS")
 
 
 def grid_case(tier: Column, of: Column) -> Column:
@@ -83,8 +88,11 @@ def classified(rows: DataFrame) -> DataFrame:
 
     tier (of the first hit), the signals' maxima (max_*), band, n_sources, n_tiers, n_eff, support
     (documents that cover half of the claim), d_conflict_max, tier1_conflict, matched (all cases in
-    order of precedence) and case_id.
+    order of precedence) and case_id.  Cut points come from the column ``cuts`` (see ``thresholds``), and
+    are provisional without it; one that is missing is never reached.
     """
+    cuts = F.col("cuts") if "cuts" in rows.columns else T.provisional()
+    reached = lambda kind, s, other=1.0: F.coalesce(cuts[kind][s], F.lit(other))
     weights = F.transform("docs", lambda d: F.greatest(d["score"], F.lit(0.0)))
     total = F.aggregate(weights, F.lit(0.0), lambda a, w: a + w)
     squares = F.aggregate(weights, F.lit(0.0), lambda a, w: a + w * w)
@@ -100,15 +108,15 @@ def classified(rows: DataFrame) -> DataFrame:
         "d_conflict_max": F.coalesce("max_conflict", F.lit(0.0)),
         "tier1_conflict": F.coalesce(F.array_max(apart), F.lit(0.0)),
         "n_tier1": F.size(first_tier),
-        "outliers": F.size(F.filter("docs", lambda d: F.coalesce(d["anomaly"], F.lit(0.0)) >= MALICIOUS["anomaly"])),
-        "band": band({s: F.col(f"max_{s}") for s in SIGNALS}),
+        "outliers": F.size(F.filter("docs", lambda d: F.coalesce(d["anomaly"], F.lit(0.0)) >= reached("malicious", "anomaly"))),
+        "rule": rule({s: F.col(f"max_{s}") for s in SIGNALS}, cuts), "band": band({s: F.col(f"max_{s}") for s in SIGNALS}, cuts),
     })
     rows = rows.withColumn("n_eff", F.when(total <= 0, F.col("n_docs").cast("double")).otherwise(F.least(F.try_divide(total * total, squares), F.col("n_sources").cast("double"))))
-    quiet = lambda s: F.coalesce(F.col(f"max_{s}"), F.lit(0.0)) < SUSPICIOUS[s]
+    quiet = lambda s: F.coalesce(F.col(f"max_{s}"), F.lit(0.0)) < reached("suspicious", s)
     grid = grid_case(F.col("tier"), F.col("band"))
     holds = {
         "C11": (F.col("outliers") == 1) & (F.coalesce("n_eff", F.lit(0.0)) <= 2) & (F.col("support") < 2),
-        "C10": (F.col("n_tier1") >= 2) & (F.col("tier1_conflict") >= MALICIOUS["unsupport"]) & quiet("injection") & quiet("anomaly"),
+        "C10": (F.col("n_tier1") >= 2) & (F.col("tier1_conflict") >= reached("malicious", "unsupport", 0.85)) & quiet("injection") & quiet("anomaly"),
     }
     matched = F.array_compact(F.array(*[F.when(holds.get(c[0], F.lit(False)) | (grid == c[0]), c[0]) for c in CASES]))
     return rows.withColumn("matched", matched).withColumn("case_id", F.get("matched", F.lit(0)))

@@ -15,6 +15,8 @@ from evidentia.operators.retrieval import TOP, bm25, hashed_vectors, ranked
 
 # What makes the median of deviations a standard deviation, and how fast a z fades.
 MAD_SCALE, FADE = 1.4826, 2.0
+#: Places of a reading, so that equal ones are equal whatever order their sums had.
+SIX = 6
 
 
 def tier(source: Column) -> Column:
@@ -38,19 +40,63 @@ def squash(z: Column) -> Column:
     return 1 - F.exp(-F.greatest(z, F.lit(0.0)) / FADE)
 
 
-def centroid_distance(hits: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(query_id, doc_id, distance) from the mean of the query's vectors, to six places.
+#: So many hits of a query are split in two clusters; below, all are one.
+CLUSTERED = 4
 
-    ``hits`` has query_id, doc_id and n, the number of hits; a document without features is the zero
-    vector.  All steps keep the partitioning by query.
+
+def gram(hits: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(query_id, gram): the inner products (i, j, g) of a query's hits, i <= j being their ranks; 0 where there is no entry.
+
+    ``hits`` has query_id, doc_id and rnk.  Products are summed by query and pair, of which few hits make few.
+    """
+    met = hits.select("query_id", "doc_id", "rnk").join(vectors, "doc_id")
+    cells = met.groupBy("query_id", "idx").agg(F.array_sort(F.collect_list(F.struct("rnk", "v"))).alias("c"))
+    pairs = F.flatten(F.transform("c", lambda a: F.transform(F.filter("c", lambda b: b["rnk"] >= a["rnk"]), lambda b: F.struct(a["rnk"].alias("i"), b["rnk"].alias("j"), (a["v"] * b["v"]).alias("p")))))
+    sums = cells.select("query_id", F.inline(pairs)).groupBy("query_id", "i", "j").agg(F.sum("p").alias("g"))
+    return sums.groupBy("query_id").agg(F.collect_list(F.struct("i", "j", "g")).alias("gram"))
+
+
+def _side(mask: Column, rank: Column) -> Column:
+    return F.try_mod(F.floor(mask / F.pow(F.lit(2.0), rank - 1)), F.lit(2)).cast("int")
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+
+
+def clusters(n: Column, gram: Column) -> Column:
+    """The split of ``n`` hits in two clusters with the least sum of squared distances to their means, exactly: bit
+    r - 1 of it is the cluster of rank r.
+
+    All splits are tried (15 for five hits), from the inner products alone: a cluster's sum is that of its
+    squares less the sum of all its products over its size.  Fewer than ``CLUSTERED`` hits are one cluster.  Of equal splits
+    (to nine places) the smallest number counts.
     """
-    met = hits.join(vectors, "doc_id", "left").repartition("query_id")
-    cell = Window.partitionBy("query_id", "idx")
-    met = met.withColumns({"mean": F.sum("v").over(cell) / F.col("n"), "share": F.count("*").over(cell)})
-    each = met.groupBy("query_id", "doc_id").agg(F.sum(F.col("v") * F.col("v")).alias("own"), F.sum(F.col("v") * F.col("mean")).alias("dot"), F.sum(F.col("mean") * F.col("mean") / F.col("share")).alias("part"))
-    middle = F.sum("part").over(Window.partitionBy("query_id"))
-    squared = F.coalesce("own", F.lit(0.0)) - 2 * F.coalesce("dot", F.lit(0.0)) + F.coalesce(middle, F.lit(0.0))
-    return each.select("query_id", "doc_id", F.round(F.sqrt(F.greatest(F.round(squared, 10), F.lit(0.0))), 6).alias("distance"))
+    squares = _sum(F.transform(F.filter(gram, lambda e: e["i"] == e["j"]), lambda e: e["g"]))
+
+    def cost(mask: Column) -> Column:
+        size = lambda side: F.when(side == 1, F.bit_count(mask)).otherwise(n - F.bit_count(mask))
+        inside = F.filter(gram, lambda e: _side(mask, e["i"]) == _side(mask, e["j"]))
+        return squares - _sum(F.transform(inside, lambda e: F.when(e["i"] == e["j"], e["g"]).otherwise(2 * e["g"]) / size(_side(mask, e["i"]))))
+
+    splits = F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), n - 1) - 1)
+    best = F.array_min(F.transform(splits, lambda m: F.struct(F.round(cost(m), 9).alias("cost"), m.alias("mask"))))["mask"]
+    return F.when(n < CLUSTERED, F.lit(0)).otherwise(best)
+
+
+def distances(n: Column, gram: Column, mask: Column) -> Column:
+    """How far each hit, in rank order, is from the mean of its cluster, to six places."""
+
+    def one(r: Column) -> Column:
+        mine = lambda k: _side(mask, k) == _side(mask, r)
+        size = F.when(_side(mask, r) == 1, F.bit_count(mask)).otherwise(n - F.bit_count(mask))
+        own = _sum(F.transform(F.filter(gram, lambda e: (e["i"] == r) & (e["j"] == r)), lambda e: e["g"]))
+        among = F.filter(gram, lambda e: mine(e["i"]) & mine(e["j"]))
+        to = _sum(F.transform(F.filter(among, lambda e: (e["i"] == r) | (e["j"] == r)), lambda e: e["g"]))
+        every = _sum(F.transform(among, lambda e: F.when(e["i"] == e["j"], e["g"]).otherwise(2 * e["g"])))
+        return F.round(F.sqrt(F.greatest(F.round(own - 2 * to / size + every / (size * size), 10), F.lit(0.0))), 6)
+
+    return F.transform(F.sequence(F.lit(1), n), one)
 
 
 def conflicts(hits: Column) -> Column:
@@ -61,24 +107,26 @@ def conflicts(hits: Column) -> Column:
 def measured(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, docs): the retrieved documents of each query in rank order.
 
-    Each has rnk, doc_id, score, source, tier, entailment, unsupport, distance, anomaly_z, anomaly,
+    Each has rnk, doc_id, score, source, tier, entailment, unsupport, cluster, distance, anomaly_z, anomaly,
     injection and conflict.  ``docs`` has doc_id, text and source, ``queries`` query_id and text.
     Queries that retrieve nothing have no row.
     """
     top = ranked(bm25(docs, queries), TOP)
     hits = top.join(docs, "doc_id").join(queries.select("query_id", F.col("text").alias("claim")), "query_id")
     hits = hits.select(
-        "query_id", "doc_id", "rnk", "score", "source", tier(F.col("source")).alias("tier"), F.col("text"), W.coverage(F.col("text"), F.col("claim")).alias("entailment"),
-        W.noisy_or(W.injection_hits(F.col("text"))).alias("injection"), F.count("*").over(Window.partitionBy("query_id")).alias("n"),
+        "query_id", "doc_id", "rnk", "score", "source", tier(F.col("source")).alias("tier"), F.col("text"), F.round(W.coverage(F.col("text"), F.col("claim")), SIX).alias("entailment"),
+        F.round(W.noisy_or(W.injection_hits(F.col("text"))), SIX).alias("injection"),
     )
     hits = written(hits, "hits")
     vectors = hashed_vectors(hits.select("doc_id", "text").dropDuplicates(["doc_id"]))
-    hits = hits.join(centroid_distance(hits.select("query_id", "doc_id", "n"), vectors), ["query_id", "doc_id"])
-    row = F.struct("rnk", "doc_id", "score", "source", "tier", "entailment", "injection", "distance")
-    out = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("hits"))
-    out = out.withColumns({"z": robust_z(F.col("hits.distance")), "conflict": conflicts(F.col("hits"))})
+    row = F.struct("rnk", "doc_id", "score", "source", "tier", "entailment", "injection")
+    out = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("hits")).join(gram(hits, vectors), "query_id", "left")
+    # written, so that each step is computed once a query and not once a use
+    out = out.withColumns({"n": F.size("hits"), "gram": F.coalesce("gram", F.array().cast("array<struct<i: int, j: int, g: double>>"))}).withColumn("mask", clusters(F.col("n"), F.col("gram")))
+    out = written(out.withColumn("distance", distances(F.col("n"), F.col("gram"), F.col("mask"))), "clusters")
+    out = out.withColumns({"z": robust_z(F.col("distance")), "conflict": conflicts(F.col("hits"))})
     fields = lambda d, i: F.struct(
         d["rnk"].alias("rnk"), d["doc_id"].alias("doc_id"), d["score"].alias("score"), d["source"].alias("source"), d["tier"].alias("tier"), d["entailment"].alias("entailment"),
-        (1 - d["entailment"]).alias("unsupport"), d["distance"].alias("distance"), F.get("z", i).alias("anomaly_z"), squash(F.get("z", i)).alias("anomaly"), d["injection"].alias("injection"), F.get("conflict", i).alias("conflict"),
+        F.round(1 - d["entailment"], SIX).alias("unsupport"), _side(F.col("mask"), i + 1).alias("cluster"), F.get("distance", i).alias("distance"), F.get("z", i).alias("anomaly_z"), F.round(squash(F.get("z", i)), SIX).alias("anomaly"), d["injection"].alias("injection"), F.round(F.get("conflict", i), SIX).alias("conflict"),
     )
     return out.select("query_id", F.transform("hits", fields).alias("docs"))

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 CORPUS = "corpus AS (SELECT doc_id, text AS content, source, 1 + cast(substr(source, 4) AS int) % 3 AS source_tier FROM documents)"
 HEADLINE = "CASE WHEN action IN ('REJECT', 'ESCALATE') THEN 'RED' WHEN action = 'REVIEW' OR tier IS NULL OR tier <> 1 THEN 'ORANGE' WHEN action = 'ACCEPT' THEN 'GREEN' ELSE 'ORANGE' END"
-SEVERITY = "CASE %s WHEN 'ACCEPT' THEN 0 WHEN 'REVIEW' THEN 1 WHEN 'REJECT' THEN 2 WHEN 'ESCALATE' THEN 3 END"
 SCORES = """sc AS (SELECT labels.doc_id, toxic AS y, source, lang, 1 + cast(substr(source, 4) AS int) % 3 AS tier,
   round(${size(${find(lower(text), ${raw(idiot|trash|stupid|moron|scum|clown|loser|pathetic|worthless|disgusting)})})} * 1.0 / (1 + ${size(${find(lower(text), ${raw(idiot|trash|stupid|moron|scum|clown|loser|pathetic|worthless|disgusting)})})}), 6) AS s
   FROM labels JOIN documents ON documents.doc_id = labels.doc_id),
@@ -34,13 +33,8 @@ PLANS: dict[str, str] = {
     "hash_embedding": "WITH src AS (SELECT 'query' AS kind, item_id AS id, text FROM benchmark UNION ALL SELECT 'document', doc_id, text FROM documents), q AS (SELECT kind, id, ${find(lower(text), ${raw([a-z0-9]+)})} AS t FROM src), w AS (SELECT kind, id, ${explode(t)} AS tok FROM q), wc AS (SELECT kind, id, tok, count(*) AS n FROM w GROUP BY kind, id, tok), p AS (SELECT kind, id, tok, n, ${explode(${range(1, length(tok))})} AS i FROM wc), f AS (SELECT kind, id, tok AS feat, n FROM wc UNION ALL SELECT kind, id, substr(concat('#', tok, '#'), cast(i AS int), 3), n FROM p UNION ALL SELECT kind, id, ${explode(${mapped(${range(1, ${size(t)} - 1)}, concat(${at(t, cast(x AS int))}, '_', ${at(t, cast(x AS int) + 1)}))})}, 1 FROM q WHERE ${size(t)} > 1), b AS (SELECT kind, id, cast(${hex(substr(md5(feat), 1, 8))} AS bigint) % 384 AS idx, sum(CASE WHEN cast(${hex(substr(md5(feat), 9, 2))} AS bigint) % 2 = 1 THEN 1.0 * n ELSE -1.0 * n END) AS v FROM f GROUP BY 1, 2, 3) SELECT kind, id, idx, round(v / sqrt(sum(v * v) OVER (PARTITION BY kind, id)), 6) AS v FROM b WHERE v <> 0",
     # D: retrieval and joins
     "manifest_diff": "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, d.doc_id IS NULL AS missing_document, l.doc_id IS NULL AS missing_label FROM documents d FULL OUTER JOIN labels l ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL",
-    # E, F: signals, bands, cases
+    # E: anomaly
     "anomaly_centroid": "WITH e AS (SELECT vec_id, label, ${explode(${range(1, 64)})} AS i, embedding FROM embeddings), x AS (SELECT vec_id, label, i, cast(${at(embedding, i)} AS double) AS v FROM e), c AS (SELECT label, i, avg(v) AS m FROM x GROUP BY label, i), d AS (SELECT vec_id, x.label, sqrt(sum((v - m) * (v - m))) AS d FROM x JOIN c ON c.label = x.label AND c.i = x.i GROUP BY vec_id, x.label), q AS (SELECT label, median(d) AS m FROM d GROUP BY label), a AS (SELECT d.label, m, median(abs(d - m)) AS mad FROM d JOIN q ON q.label = d.label GROUP BY d.label, m) SELECT vec_id, round(d, 6) AS distance, round(1 - exp(-greatest(CASE WHEN mad > 0 THEN (d - m) / (1.4826 * mad) ELSE 0.0 END, 0.0) / 2), 6) AS anomaly FROM d JOIN a ON a.label = d.label",
-    "dominance_matrix": f"WITH a AS (SELECT * FROM (VALUES ('ACCEPT'), ('REVIEW'), ('REJECT'), ('ESCALATE'), ('UNKNOWN')) AS t(x)) SELECT a.x AS one, b.x AS two, CASE greatest({SEVERITY % 'a.x'}, {SEVERITY % 'b.x'}) WHEN 0 THEN 'ACCEPT' WHEN 1 THEN 'REVIEW' WHEN 2 THEN 'REJECT' WHEN 3 THEN 'ESCALATE' END AS action FROM a CROSS JOIN a b",
-    "headline_truth_table": f"WITH a AS (SELECT action, tier FROM (VALUES ('ACCEPT'), ('REVIEW'), ('REJECT'), ('ESCALATE'), ('UNKNOWN')) AS t(action) CROSS JOIN (VALUES (1), (2), (3), (NULL)) AS u(tier)) SELECT action, tier, {HEADLINE} AS headline, CASE WHEN action IN ('REJECT', 'ESCALATE') THEN CASE WHEN tier = 1 THEN 'TRUSTED_SOURCE_COMPROMISE' ELSE 'ATTACK_DETECTED' END END AS subtype FROM a",
-    "risk_tier": "WITH a AS (SELECT p, act, CASE p WHEN 'P0' THEN 4 WHEN 'P1' THEN 3 WHEN 'P2' THEN 3 WHEN 'P3' THEN 2 WHEN 'P4' THEN 1 WHEN 'P5' THEN 0 ELSE 3 END AS base, CASE act WHEN 'ACCEPT' THEN 0 WHEN 'REVIEW' THEN 2 WHEN 'REJECT' THEN 3 ELSE 4 END AS flr FROM (VALUES ('P0'), ('P1'), ('P2'), ('P3'), ('P4'), ('P5'), ('P9')) AS t(p) CROSS JOIN (VALUES ('ACCEPT'), ('REVIEW'), ('REJECT'), ('ESCALATE')) AS u(act)) SELECT p, act, CASE greatest(base, flr) WHEN 4 THEN 'CRITICAL' WHEN 3 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' WHEN 1 THEN 'LOW' ELSE 'INFORMATIONAL' END AS risk_tier FROM a",
-    # G: features, risk, confidence
-    "score_action": "WITH g AS (SELECT hi, ok FROM (VALUES (0.05), (0.13), (0.4), (0.61), (0.99)) AS t(hi) CROSS JOIN (VALUES (true), (false)) AS u(ok)) SELECT cast(hi AS double) AS hi, ok, CASE WHEN NOT ok THEN CASE WHEN hi >= 0.129559 THEN 'REVIEW' ELSE 'ACCEPT' END WHEN hi >= 0.600176 THEN 'REJECT' WHEN hi >= 0.129559 THEN 'REVIEW' ELSE 'ACCEPT' END AS action FROM g",
     # H: evaluation
     "confusion_metrics": f"WITH {SCORES}, c AS (SELECT sum(CASE WHEN y = 1 AND s >= 0.5 THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN y = 0 AND s >= 0.5 THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN y = 1 AND s < 0.5 THEN 1 ELSE 0 END) AS fn, sum(CASE WHEN y = 0 AND s < 0.5 THEN 1 ELSE 0 END) AS tn, avg((s - y) * (s - y)) AS brier FROM sc) SELECT cast(tp AS bigint) AS tp, cast(fp AS bigint) AS fp, cast(fn AS bigint) AS fn, cast(tn AS bigint) AS tn, round(coalesce(tp * 1.0 / nullif(tp + fp, 0), 0.0), 6) AS prec, round(coalesce(tp * 1.0 / nullif(tp + fn, 0), 0.0), 6) AS recall, round(coalesce(10.0 * tp / nullif(10.0 * tp + 9 * fn + fp, 0), 0.0), 6) AS f3, round(brier, 6) AS brier, cast(10 * fn + fp AS bigint) AS expected_cost FROM c",
     "prevalence_precision": f"WITH {SCORES}, r AS (SELECT sum(CASE WHEN y = 1 AND s >= 0.5 THEN 1.0 ELSE 0.0 END) / nullif(sum(y), 0) AS tpr, sum(CASE WHEN y = 0 AND s >= 0.5 THEN 1.0 ELSE 0.0 END) / nullif(sum(1 - y), 0) AS fpr FROM sc) SELECT cast(pi AS double) AS pi, round(coalesce(tpr * pi / nullif(tpr * pi + fpr * (1 - pi), 0), 0.0), 6) AS prec FROM r CROSS JOIN (VALUES (0.05), (0.01)) AS t(pi)",

@@ -6,16 +6,16 @@ own in ``judged_sql``.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import words as W
 from evidentia.functions.storage import written
 from evidentia.operators import judgement as J
+from evidentia.operators import report as P
 from evidentia.operators import retrieval as R
 from evidentia.operators import signals as S
+from evidentia.operators import thresholds as T
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,19 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(S.measured(corpus(spark, sf_dir), asked(spark, sf_dir)), "signals")
 
 
+def thresholds(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    """The cut points that the readings of clean documents among ``rows`` (see ``signals``) give, written."""
+    clean = read(spark, sf_dir, "labels").where("toxic = 0").select("doc_id").distinct()
+    docs = rows.select(F.explode("docs").alias("d")).select("d.*").join(clean, "doc_id", "left_semi")
+    return written(T.fitted(docs.unpivot(["doc_id"], J.SIGNALS, "signal", "v")), "thresholds")
+
+
+def cut_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``signals`` with the cuts that are fitted on them."""
+    rows = signals(spark, sf_dir)
+    return T.joined(rows, thresholds(spark, sf_dir, rows))
+
+
 def each(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each query and document."""
     return S.measured(corpus(spark, sf_dir), asked(spark, sf_dir)).select("query_id", F.explode("docs").alias("d")).select("query_id", "d.*")
@@ -53,10 +66,15 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def target_doc_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where each query's first document of the lowest tier stands, and its best competitor's score."""
-    docs = corpus(spark, sf_dir)
-    every = R.ranked(R.bm25(docs, asked(spark, sf_dir))).join(docs.select("doc_id", S.tier(F.col("source")).alias("tier")), "doc_id")
-    return every.groupBy("query_id").agg(F.min_by("doc_id", "rnk").alias("best_doc"), F.min(F.when(F.col("tier") == 3, F.col("rnk"))).alias("target_rank"), F.max(F.when(F.col("tier") != 3, F.col("score"))).alias("top_competitor"))
+    """Where each query's first document of the lowest tier stands, and its best competitor's score.
+
+    A rank is one more than the number of scores that come before, so they are counted and not sorted."""
+    tiers = corpus(spark, sf_dir).select("doc_id", S.tier(F.col("source")).alias("tier"))
+    scores = written(R.bm25(corpus(spark, sf_dir), asked(spark, sf_dir)).join(tiers, "doc_id"), "scores")
+    place = F.struct((-F.col("score")).alias("below"), "doc_id")
+    best = scores.groupBy("query_id").agg(F.min(place)["doc_id"].alias("best_doc"), F.min(F.when(F.col("tier") == 3, place)).alias("target"), F.max(F.when(F.col("tier") != 3, F.col("score"))).alias("top_competitor"))
+    rank = scores.join(best.select("query_id", "target"), "query_id").groupBy("query_id").agg(F.when(F.first("target").isNotNull(), F.count_if(place < F.col("target")) + 1).cast("int").alias("target_rank"))
+    return best.join(rank, "query_id").select("query_id", "best_doc", "target_rank", "top_competitor")
 
 
 def retrieval_log_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +109,7 @@ def claim_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairwise_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = J.classified(S.measured(corpus(spark, sf_dir), asked(spark, sf_dir))).where("n_docs > 1")
+    out = J.classified(signals(spark, sf_dir)).where("n_docs > 1")
     return out.select("query_id", *six("d_conflict_max"), F.round("tier1_conflict", 6).alias("tier1_conflict_max"), (F.col("n_docs") * (F.col("n_docs") - 1) / 2).cast("long").alias("n_pairs"))
 
 
@@ -100,58 +118,52 @@ def doc_conflict_max(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def robust_z(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return each(spark, sf_dir).select("query_id", "doc_id", "distance", F.round("anomaly_z", 6).alias("z"), *six("anomaly"))
+    return each(spark, sf_dir).select("query_id", "doc_id", F.col("cluster").cast("long").alias("cluster"), "distance", F.round("anomaly_z", 6).alias("z"), *six("anomaly"))
 
 
 def fit_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cut points by signal: high quantiles, but for injection and few readings declared ones."""
-    long = each(spark, sf_dir).unpivot(["doc_id"], J.SIGNALS, "signal", "v").where("v is not null")
-    q = long.groupBy("signal").agg(F.count("*").alias("n"), F.percentile("v", 0.95).alias("q95"), F.percentile("v", 0.99).alias("q99"), (F.max("v") - F.min("v")).alias("spread"))
-    declared, few = F.col("signal") == "injection", F.col("n") < 20
-    low = F.when(declared | few, 0.6).otherwise(F.col("q95"))
-    high = F.when(declared, 0.9).when(few, 0.85).when(F.col("q99") <= F.col("q95"), F.col("q95") + 1e-6).otherwise(F.col("q99"))
-    flat = (F.col("spread") < 1e-6) | (F.col("q95") <= 1e-6) | (F.col("q95") >= 1 - 1e-6)
-    return q.select("signal", "n", F.round(low, 6).alias("suspicious"), F.round(high, 6).alias("malicious"), (~declared & ~few & flat).alias("unusable"))
+    """The cut points of the signals, and why one has none."""
+    return thresholds(spark, sf_dir, signals(spark, sf_dir)).select("signal", "n", *six("suspicious", "malicious"), "origin", "unusable")
+
+
+def _each_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each query and document, with the cuts."""
+    return cut_signals(spark, sf_dir).select("query_id", "cuts", F.explode("docs").alias("d")).select("query_id", "cuts", "d.*")
 
 
-def _readings(spark: SparkSession) -> DataFrame:
-    """(id, the four signals): every combination of four readings, a missing one among them."""
-    v = spark.createDataFrame([(0, 0.1), (1, 0.7), (2, 0.95), (3, None)], "i long, x double").coalesce(1)
-    parts = [v.select(F.col("i").alias(f"i_{s}"), F.col("x").alias(s)) for s in J.SIGNALS]
-    every = reduce(lambda a, b: a.crossJoin(b), parts)  # 256 literal rows
-    return every.select(reduce(lambda a, b: a * 4 + b, [F.col(f"i_{s}") for s in J.SIGNALS]).alias("id"), *J.SIGNALS)
+def _banded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = {s: F.col(s) for s in J.SIGNALS}
+    return _each_cut(spark, sf_dir).select("query_id", "doc_id", "tier", J.band(values, F.col("cuts")).alias("band"), J.rule(values, F.col("cuts")).alias("rule"))
 
 
 def assign_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _readings(spark).select("id", J.band({s: F.col(s) for s in J.SIGNALS}).alias("band"))
+    """The band of every retrieved document on its own, and the rule that gave it."""
+    return _banded(spark, sf_dir).select("query_id", "doc_id", "band", "rule")
 
 
 def case_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(t, b) for t in (1, 2, 3) for b in ("CLEAN", "SUSPICIOUS", "MALICIOUS")], "tier int, band string")
-    rows = rows.withColumn("case_id", J.grid_case(F.col("tier"), F.col("band")))
-    return rows.select("tier", "band", "case_id", *[J.case_field(F.col("case_id"), f).alias(f) for f in ("priority", "action")])
+    """How many retrieved documents are in each tier and band, and the case that this is."""
+    rows = _banded(spark, sf_dir).groupBy("tier", "band").agg(F.count("*").alias("n")).withColumn("case_id", J.grid_case(F.col("tier"), F.col("band")))
+    return rows.select("tier", "band", "n", "case_id", *[J.case_field(F.col("case_id"), f).alias(f) for f in ("priority", "action")])
 
 
 def response_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The response's case for every combination of readings and tier, beside a quiet document of tier 1."""
-    rows = _readings(spark).crossJoin(spark.createDataFrame([(1,), (2,), (3,)], "t int").coalesce(1))  # literal rows
-    first = F.struct(F.lit(1).alias("rnk"), F.lit(10).alias("doc_id"), F.lit(2.0).alias("score"), F.lit("src10").alias("source"), F.col("t").alias("tier"), (1 - F.coalesce("unsupport", F.lit(0.5))).alias("entailment"), *J.SIGNALS)
-    other = F.struct(F.lit(2).alias("rnk"), F.lit(20).alias("doc_id"), F.lit(1.0).alias("score"), F.lit("src20").alias("source"), F.lit(1).alias("tier"), F.lit(0.95).alias("entailment"), F.lit(0.05).alias("unsupport"), F.lit(0.0).alias("anomaly"), F.lit(0.0).alias("injection"), F.lit(None).cast("double").alias("conflict"))
-    out = J.classified(rows.select((F.col("id") * 3 + F.col("t")).alias("query_id"), F.array(first, other).alias("docs")))
-    return out.select("query_id", "tier", "band", *six("n_eff", "tier1_conflict"), F.array_join("matched", ",").alias("matched"), "case_id", J.case_field(F.col("case_id"), "action").alias("case_action"))
+    """What decides a response's case beside its band."""
+    out = J.classified(cut_signals(spark, sf_dir))
+    return out.select("query_id", "tier", "band", "rule", *six("n_eff", "tier1_conflict"), "support", "outliers", F.array_join("matched", ",").alias("matched"), "case_id", J.case_field(F.col("case_id"), "action").alias("case_action"))
 
 
 def classify_response(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = J.classified(S.measured(corpus(spark, sf_dir), asked(spark, sf_dir)))
+    out = J.classified(cut_signals(spark, sf_dir))
     return out.select("query_id", "tier", "band", F.array_join("matched", ",").alias("matched"), "case_id", *[J.case_field(F.col("case_id"), f).alias(f) for f in ("priority", "action")])
 
 
 def signal_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each reading against its two cut points."""
-    long = each(spark, sf_dir).unpivot(["query_id", "doc_id"], J.SIGNALS, "signal", "v")
-    cut = lambda cuts: F.element_at(F.create_map(*[F.lit(x) for kv in cuts.items() for x in kv]), F.col("signal"))
-    sus, mal = cut(J.SUSPICIOUS), cut(J.MALICIOUS)
-    status = F.when(F.col("v").isNull(), "missing").when(F.col("v") >= mal, "over_malicious").when(F.col("v") >= sus, "over_suspicious").otherwise("below")
+    """Each reading against the two cut points of its signal; one without cut points is not usable."""
+    long = _each_cut(spark, sf_dir).unpivot(["query_id", "doc_id", "cuts"], J.SIGNALS, "signal", "v")
+    cut = lambda kind: F.coalesce(*[F.when(F.col("signal") == s, F.col("cuts")[kind][s]) for s in J.SIGNALS])
+    sus, mal = cut("suspicious"), cut("malicious")
+    status = F.when(F.col("v").isNull(), "missing").when(mal.isNull(), "unusable").when(F.col("v") >= mal, "over_malicious").when(F.col("v") >= sus, "over_suspicious").otherwise("below")
     return long.select("query_id", "doc_id", "signal", status.alias("status"), F.round(F.col("v") - sus, 6).alias("margin_suspicious"), F.round(F.col("v") - mal, 6).alias("margin_malicious"))
 
 
@@ -169,22 +181,43 @@ def risk_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def n_eff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.classified(S.measured(corpus(spark, sf_dir), asked(spark, sf_dir))).select("query_id", "n_sources", *six("n_eff"))
+    return J.classified(signals(spark, sf_dir)).select("query_id", "n_sources", *six("n_eff"))
 
 
 def confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.scored(signals(spark, sf_dir)).select("query_id", *six("volume", "agreement", "independence", "coherence", "stability"), "confidence", "forced_review")
+    return J.scored(cut_signals(spark, sf_dir)).select("query_id", *six("volume", "agreement", "independence", "coherence", "stability"), "confidence", "forced_review")
 
 
 def score_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item retrieved and judged: case, risk with interval, confidence, action, headline."""
-    out = J.scored(signals(spark, sf_dir))
+    out = J.scored(cut_signals(spark, sf_dir))
     return out.select(
         "query_id", "tier", "band", F.array_join("matched", ",").alias("matched"), "case_id", "priority", "case_action", "score_action", "action", "headline", "subtype",
         *six("risk", "risk_lo", "risk_hi"), F.round(100 * (1 - F.col("risk")), 2).alias("trust_percent"), "confidence", "forced_review", F.round("n_eff", 4).alias("n_eff"), "n_docs",
     )
 
 
+def dominance_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which actions cases and score asked for together, and what was done: the severer one, or more for want of confidence."""
+    rows = J.scored(cut_signals(spark, sf_dir)).groupBy("case_action", "score_action", "forced_review", "action").agg(F.count("*").alias("n"))
+    return rows.select("case_action", "score_action", "forced_review", J.dominant(F.col("case_action"), F.col("score_action")).alias("severer"), "action", "n")
+
+
+def headline_truth_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.scored(cut_signals(spark, sf_dir)).groupBy("action", "tier", "headline", "subtype").agg(F.count("*").alias("n"))
+
+
+def risk_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = J.scored(cut_signals(spark, sf_dir)).groupBy("priority", "action").agg(F.count("*").alias("n"))
+    return rows.select("priority", "action", P.risk_tier(F.col("priority"), F.col("action")).alias("risk_tier"), "n")
+
+
+def score_action(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the upper bound of a query's risk asks for, with consistent bands and without."""
+    worst = J.worst_risk(J.risks(J.standardised(J.encoded(signals(spark, sf_dir)), list(J.COEFFICIENTS))))
+    return worst.select("query_id", *six("risk_hi"), *[J.score_action(F.col("risk_hi"), F.lit(ok)).alias(name) for ok, name in ((True, "three_band"), (False, "review_only"))])
+
+
 #: Characters of evidence that a prompt holds.
 PROMPT_CHARS = 6000
 
@@ -215,6 +248,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         bm25_topk, target_doc_rank, retrieval_log_summary, label_attach, reachability, salient_terms, claim_coverage, pairwise_conflict, doc_conflict_max, robust_z, fit_bands, assign_band, case_grid, response_cases,
-        classify_response, signal_readings, encode_features, standardize, risk_interval, n_eff, confidence, score_query, prompt_budget, extractive_answer,
+        classify_response, signal_readings, encode_features, standardize, risk_interval, n_eff, confidence, score_query, dominance_matrix, headline_truth_table, risk_tier, score_action, prompt_budget, extractive_answer,
     )
 }

@@ -41,26 +41,40 @@ feats AS (
   UNION ALL SELECT doc_id, a || '_' || b FROM (SELECT doc_id, unnest(ws[:-2]) AS a, unnest(ws[2:]) AS b FROM w WHERE len(ws) > 1)),
 raw AS (SELECT doc_id, ('0x' || substr(md5(f), 1, 8))::bigint % 384 AS idx, sum(CASE WHEN ('0x' || substr(md5(f), 9, 2))::bigint % 2 = 1 THEN 1 ELSE -1 END)::double AS v FROM feats GROUP BY ALL),
 norms AS (SELECT doc_id, sqrt(sum(v * v)) AS len FROM raw GROUP BY doc_id),
-dense AS (SELECT top.query_id, top.doc_id, g.idx, coalesce(raw.v / norms.len, 0.0) AS v
+dense AS (SELECT top.query_id, top.doc_id, top.rnk, g.idx, coalesce(raw.v / norms.len, 0.0) AS v
   FROM top, (SELECT unnest(range(384)) AS idx) g LEFT JOIN raw ON raw.doc_id = top.doc_id AND raw.idx = g.idx LEFT JOIN norms ON norms.doc_id = top.doc_id),
-centre AS (SELECT query_id, idx, avg(v) AS m FROM dense GROUP BY ALL),
-dist AS (SELECT query_id, doc_id, round(sqrt(greatest(round(sum((v - m) * (v - m)), 10), 0)), 6) AS distance FROM dense JOIN centre USING (query_id, idx) GROUP BY ALL),
+sets AS (SELECT query_id, count(*) AS size FROM top GROUP BY query_id),
+ways AS (SELECT query_id, unnest(CASE WHEN size < 4 THEN [0::bigint] ELSE range(1, (2 ^ (size - 1))::bigint) END) AS way FROM sets),
+sided AS MATERIALIZED (SELECT dense.*, way, way // (2 ^ (rnk - 1))::bigint % 2 AS side FROM dense JOIN ways USING (query_id)),
+centre AS (SELECT query_id, way, side, idx, avg(v) AS m FROM sided GROUP BY ALL),
+apart AS MATERIALIZED (SELECT s.query_id, s.way, s.side, s.doc_id, sum((v - m) * (v - m)) AS sq FROM sided s JOIN centre c ON c.query_id = s.query_id AND c.way = s.way AND c.side = s.side AND c.idx = s.idx GROUP BY ALL),
+best AS (SELECT query_id, way FROM (SELECT query_id, way, round(sum(sq), 9) AS cost FROM apart GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cost, way) = 1),
+dist AS MATERIALIZED (SELECT query_id, doc_id, side AS cluster, round(sqrt(greatest(round(sq, 10), 0)), 6) AS distance FROM apart JOIN best USING (query_id, way)),
 mid AS (SELECT query_id, median(distance) AS med FROM dist GROUP BY query_id),
 mad AS (SELECT query_id, any_value(med) AS med, 1.4826 * median(abs(distance - med)) AS spread FROM dist JOIN mid USING (query_id) GROUP BY query_id),
 base AS (
-  SELECT top.query_id, top.doc_id, top.score, top.rnk, source, tier, CASE WHEN len(h) = 0 THEN 0.0 ELSE len(list_intersect(p, h)) / len(h) END AS entailment,
-    injection, distance, CASE WHEN spread > 0 THEN (distance - med) / spread ELSE 0.0 END AS z
+  SELECT top.query_id, top.doc_id, top.score, top.rnk, source, tier, round(CASE WHEN len(h) = 0 THEN 0.0 ELSE len(list_intersect(p, h)) / len(h) END, 6) AS entailment,
+    round(injection, 6) AS injection, cluster, distance, CASE WHEN spread > 0 THEN (distance - med) / spread ELSE 0.0 END AS z
   FROM top JOIN seen USING (doc_id) JOIN inj USING (doc_id) JOIN claims USING (query_id) JOIN dist ON dist.query_id = top.query_id AND dist.doc_id = top.doc_id JOIN mad ON mad.query_id = top.query_id),
 pairs AS (SELECT a.query_id, a.doc_id AS doc_a, b.doc_id AS doc_b, a.tier AS tier_a, b.tier AS tier_b, abs(a.entailment - b.entailment) AS conflict FROM base a JOIN base b ON a.query_id = b.query_id AND a.rnk < b.rnk),
 touching AS (SELECT query_id, doc_id, max(conflict) AS conflict FROM (SELECT query_id, doc_a AS doc_id, conflict FROM pairs UNION ALL SELECT query_id, doc_b, conflict FROM pairs) GROUP BY ALL),
-sig AS (SELECT base.*, 1 - entailment AS unsupport, 1 - exp(-greatest(z, 0) / 2) AS anomaly, conflict FROM base LEFT JOIN touching USING (query_id, doc_id))"""
+sig AS MATERIALIZED (SELECT base.*, round(1 - entailment, 6) AS unsupport, round(1 - exp(-greatest(z, 0) / 2), 6) AS anomaly, round(conflict, 6) AS conflict FROM base LEFT JOIN touching USING (query_id, doc_id)),
+clean_read AS (UNPIVOT (SELECT unsupport, anomaly, injection, conflict FROM sig WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 0)) ON unsupport, anomaly, injection, conflict INTO NAME signal VALUE v),
+fit AS (SELECT signal, count(v) AS n, quantile_cont(v, 0.95) AS q95, quantile_cont(v, 0.99) AS q99, max(v) - min(v) AS spread FROM (VALUES ('unsupport'), ('anomaly'), ('injection'), ('conflict')) s(signal) LEFT JOIN clean_read USING (signal) GROUP BY signal),
+why AS (SELECT *, CASE WHEN signal = 'injection' THEN NULL WHEN n = 0 THEN 'never read' WHEN n >= 20 AND (spread < 1e-6 OR q95 <= 1e-6 OR q95 >= 0.999999) THEN 'flat: would ' || CASE WHEN q95 <= 1e-6 THEN 'always' ELSE 'never' END || ' fire' END AS unusable FROM fit),
+thr AS (SELECT signal, n, unusable, CASE WHEN signal = 'injection' THEN 'declared' WHEN n < 20 THEN 'fallback' ELSE 'fitted' END AS origin, CASE WHEN unusable IS NULL THEN round(CASE WHEN signal = 'injection' OR n < 20 THEN 0.6 ELSE q95 END, 9) END AS suspicious,
+  CASE WHEN unusable IS NULL THEN round(CASE WHEN signal = 'injection' THEN 0.9 WHEN n < 20 THEN 0.85 WHEN q99 <= q95 THEN q95 + 1e-6 ELSE q99 END, 9) END AS malicious FROM why),
+cut AS MATERIALIZED (SELECT max(suspicious) FILTER (signal = 'unsupport') AS us, max(malicious) FILTER (signal = 'unsupport') AS um, max(suspicious) FILTER (signal = 'anomaly') AS ans, max(malicious) FILTER (signal = 'anomaly') AS anm,
+  max(suspicious) FILTER (signal = 'injection') AS ins, max(malicious) FILTER (signal = 'injection') AS inm, max(suspicious) FILTER (signal = 'conflict') AS cs, max(malicious) FILTER (signal = 'conflict') AS cm FROM thr)"""
 
-BAND = """CASE WHEN {i} >= 0.9 THEN 'MALICIOUS'
-  WHEN (coalesce({u} >= 0.85, false)::int + coalesce({a} >= 0.85, false)::int + coalesce({i} >= 0.9, false)::int + coalesce({c} >= 0.85, false)::int) >= 2 THEN 'MALICIOUS'
-  WHEN {u} >= 0.85 AND coalesce({a} >= 0.6, false)::int + coalesce({i} >= 0.6, false)::int + coalesce({c} >= 0.6, false)::int >= 2 THEN 'MALICIOUS'
-  WHEN {a} >= 0.85 AND coalesce({u} >= 0.6, false)::int + coalesce({i} >= 0.6, false)::int + coalesce({c} >= 0.6, false)::int >= 2 THEN 'MALICIOUS'
-  WHEN {c} >= 0.85 AND coalesce({u} >= 0.6, false)::int + coalesce({a} >= 0.6, false)::int + coalesce({i} >= 0.6, false)::int >= 2 THEN 'MALICIOUS'
-  WHEN {u} >= 0.6 OR {a} >= 0.6 OR {i} >= 0.6 OR {c} >= 0.6 THEN 'SUSPICIOUS' ELSE 'CLEAN' END"""
+# beside the relation ``cut``; what is null is not over anything
+RULE = """CASE WHEN {i} >= inm THEN 'injection_alone'
+  WHEN len(list_filter([{u} >= um, {a} >= anm, {i} >= inm, {c} >= cm], lambda x: x)) >= 2 THEN 'two_signals_malicious'
+  WHEN {u} >= um AND len(list_filter([{a} >= ans, {i} >= ins, {c} >= cs], lambda x: x)) >= 2 THEN 'one_malicious_two_suspicious'
+  WHEN {a} >= anm AND len(list_filter([{u} >= us, {i} >= ins, {c} >= cs], lambda x: x)) >= 2 THEN 'one_malicious_two_suspicious'
+  WHEN {c} >= cm AND len(list_filter([{u} >= us, {a} >= ans, {i} >= ins], lambda x: x)) >= 2 THEN 'one_malicious_two_suspicious'
+  WHEN {u} >= us OR {a} >= ans OR {i} >= ins OR {c} >= cs THEN 'one_suspicious' ELSE 'none_over_threshold' END"""
+BAND = "CASE " + RULE + " WHEN 'one_suspicious' THEN 'SUSPICIOUS' WHEN 'none_over_threshold' THEN 'CLEAN' ELSE 'MALICIOUS' END"
 CASE_TABLE = """case_of(precedence, case_id, tier, band, priority, action) AS (VALUES
   (1, 'C5', 1, 'MALICIOUS', 'P0', 'ESCALATE'), (2, 'C4', 1, 'SUSPICIOUS', 'P1', 'ESCALATE'), (3, 'C11', 0, '-', 'P1', 'ESCALATE'), (4, 'C10', 0, '-', 'P2', 'REVIEW'),
   (5, 'C7', 2, 'MALICIOUS', 'P2', 'REJECT'), (6, 'C9', 3, 'MALICIOUS', 'P2', 'REJECT'), (7, 'C6', 2, 'SUSPICIOUS', 'P3', 'REVIEW'), (8, 'C8', 3, 'SUSPICIOUS', 'P3', 'REJECT'),
@@ -71,14 +85,14 @@ def classified(rows: str) -> str:
     """The response's case from a relation of signals by query and document."""
     return f"""
 set_of AS (SELECT query_id, max(unsupport) AS u, max(anomaly) AS a, max(injection) AS i, max(conflict) AS c, arg_min(tier, rnk) AS tier, count(*) AS n_docs, count(DISTINCT source) AS n_sources,
-  count(DISTINCT tier) AS n_tiers, count(*) FILTER (entailment >= 0.5) AS support, count(*) FILTER (tier = 1) AS n_tier1, count(*) FILTER (anomaly >= 0.85) AS outliers,
+  count(DISTINCT tier) AS n_tiers, count(*) FILTER (entailment >= 0.5) AS support, count(*) FILTER (tier = 1) AS n_tier1, count(*) FILTER (anomaly >= coalesce((SELECT anm FROM cut), 1.0)) AS outliers,
   CASE WHEN sum(greatest(score, 0)) <= 0 THEN count(*)::double ELSE least(sum(greatest(score, 0)) ^ 2 / sum(greatest(score, 0) ^ 2), count(DISTINCT source)) END AS n_eff,
   coalesce(max(entailment) FILTER (tier = 1) - min(entailment) FILTER (tier = 1), 0.0) AS tier1_conflict FROM {rows} GROUP BY query_id),
-banded AS (SELECT *, coalesce(c, 0.0) AS d_conflict_max, {BAND.format(u="u", a="a", i="i", c="c")} AS band FROM set_of),
+banded AS (SELECT *, coalesce(c, 0.0) AS d_conflict_max, {BAND.format(u="u", a="a", i="i", c="c")} AS band, {RULE.format(u="u", a="a", i="i", c="c")} AS rule FROM set_of, cut),
 {CASE_TABLE},
 matches AS (SELECT b.query_id, k.* FROM banded b JOIN case_of k ON (k.tier = b.tier AND k.band = b.band)
   OR (k.case_id = 'C11' AND b.outliers = 1 AND b.n_eff <= 2 AND b.support < 2)
-  OR (k.case_id = 'C10' AND b.n_tier1 >= 2 AND b.tier1_conflict >= 0.85 AND coalesce(b.i, 0) < 0.6 AND coalesce(b.a, 0) < 0.6)),
+  OR (k.case_id = 'C10' AND b.n_tier1 >= 2 AND b.tier1_conflict >= coalesce(b.um, 0.85) AND coalesce(b.i, 0) < coalesce(b.ins, 1.0) AND coalesce(b.a, 0) < coalesce(b.ans, 1.0))),
 won AS (SELECT query_id, arg_min(case_id, precedence) AS case_id, arg_min(action, precedence) AS case_action, arg_min(priority, precedence) AS priority, string_agg(case_id, ',' ORDER BY precedence) AS matched FROM matches GROUP BY query_id),
 judged AS (SELECT * FROM banded JOIN won USING (query_id))"""
 
@@ -104,7 +118,6 @@ final AS (SELECT asked.*, (SELECT act FROM sev WHERE s = greatest(x.s, y.s, (ask
 """
 HEADLINE = "CASE WHEN action = 'REJECT' OR action = 'ESCALATE' THEN 'RED' WHEN action = 'REVIEW' THEN 'ORANGE' WHEN tier IS DISTINCT FROM 1 THEN 'ORANGE' WHEN action = 'ACCEPT' THEN 'GREEN' ELSE 'ORANGE' END"
 SUBTYPE = "CASE WHEN action = 'REJECT' OR action = 'ESCALATE' THEN CASE WHEN tier = 1 THEN 'TRUSTED_SOURCE_COMPROMISE' ELSE 'ATTACK_DETECTED' END END"
-GRID_ROWS = "v(i, x) AS (VALUES (0, 0.1), (1, 0.7), (2, 0.95), (3, NULL)), grid AS (SELECT t.tier, p.i * 64 + q.i * 16 + r.i * 4 + s.i AS id, p.x::double AS u, q.x::double AS a, r.x::double AS i, s.x::double AS c FROM v p, v q, v r, v s, (VALUES (1), (2), (3)) t(tier))"
 
 SQL = {
     "bm25_topk": f"WITH {RETRIEVED} SELECT query_id, doc_id, score, rnk::int AS rnk FROM top",
@@ -118,13 +131,17 @@ SQL = {
     "claim_coverage": f"WITH {SIGNALS} SELECT query_id, doc_id, round(entailment, 6) AS entailment, round(unsupport, 6) AS unsupport, round(1 - entailment, 6) AS neutral FROM sig",
     "pairwise_conflict": f"WITH {SIGNALS} SELECT query_id, round(max(conflict), 6) AS d_conflict_max, round(coalesce(max(conflict) FILTER (tier_a = 1 AND tier_b = 1), 0.0), 6) AS tier1_conflict_max, count(*) AS n_pairs FROM pairs GROUP BY query_id",
     "doc_conflict_max": f"WITH {SIGNALS} SELECT query_id, doc_id, round(conflict, 6) AS conflict FROM sig",
-    "robust_z": f"WITH {SIGNALS} SELECT query_id, doc_id, distance, round(z, 6) AS z, round(anomaly, 6) AS anomaly FROM sig",
-    "fit_bands": f"WITH {SIGNALS}, long AS (UNPIVOT (SELECT unsupport, anomaly, injection, conflict FROM sig) ON unsupport, anomaly, injection, conflict INTO NAME signal VALUE v), f AS (SELECT signal, count(*) AS n, quantile_cont(v, 0.95) AS q95, quantile_cont(v, 0.99) AS q99, max(v) - min(v) AS spread FROM long GROUP BY signal) SELECT signal, n, round(CASE WHEN signal = 'injection' OR n < 20 THEN 0.6 ELSE q95 END, 6) AS suspicious, round(CASE WHEN signal = 'injection' THEN 0.9 WHEN n < 20 THEN 0.85 WHEN q99 <= q95 THEN q95 + 1e-6 ELSE q99 END, 6) AS malicious, signal <> 'injection' AND n >= 20 AND (spread < 1e-6 OR q95 <= 1e-6 OR q95 >= 1 - 1e-6) AS unusable FROM f",
-    "assign_band": f"WITH {GRID_ROWS} SELECT id, {BAND.format(u='u', a='a', i='i', c='c')} AS band FROM grid WHERE tier = 1",
-    "case_grid": f"WITH {CASE_TABLE} SELECT tier, band, case_id, priority, action FROM case_of WHERE tier > 0",
-    "response_cases": f"WITH {GRID_ROWS}, rowed AS (SELECT id * 3 + tier AS query_id, g.*, n.rnk, n.doc_id FROM grid g, (VALUES (1, 10), (2, 20)) n(rnk, doc_id)), sigs AS (SELECT query_id, doc_id, rnk, CASE rnk WHEN 1 THEN tier ELSE 1 END AS tier, 'src' || doc_id AS source, 2.0 / rnk AS score, CASE rnk WHEN 1 THEN 1 - coalesce(u, 0.5) ELSE 0.95 END AS entailment, CASE rnk WHEN 1 THEN u ELSE 0.05 END AS unsupport, CASE rnk WHEN 1 THEN a ELSE 0.0 END AS anomaly, CASE rnk WHEN 1 THEN i ELSE 0.0 END AS injection, CASE rnk WHEN 1 THEN c END AS conflict FROM rowed), {classified('sigs').strip()} SELECT query_id, tier, band, round(n_eff, 6) AS n_eff, round(tier1_conflict, 6) AS tier1_conflict, matched, case_id, case_action FROM judged",
+    "robust_z": f"WITH {SIGNALS} SELECT query_id, doc_id, cluster, distance, round(z, 6) AS z, round(anomaly, 6) AS anomaly FROM sig",
+    "fit_bands": f"WITH {SIGNALS} SELECT signal, n, round(suspicious, 6) AS suspicious, round(malicious, 6) AS malicious, origin, unusable FROM thr",
+    "assign_band": f"WITH {SIGNALS} SELECT query_id, doc_id, {BAND.format(u='unsupport', a='anomaly', i='injection', c='conflict')} AS band, {RULE.format(u='unsupport', a='anomaly', i='injection', c='conflict')} AS rule FROM sig, cut",
+    "case_grid": f"WITH {SIGNALS}, {CASE_TABLE}, b AS (SELECT tier, {BAND.format(u='unsupport', a='anomaly', i='injection', c='conflict')} AS band FROM sig, cut) SELECT b.tier, b.band, count(*) AS n, any_value(case_id) AS case_id, any_value(priority) AS priority, any_value(action) AS action FROM b JOIN case_of k ON k.tier = b.tier AND k.band = b.band GROUP BY b.tier, b.band",
+    "response_cases": f"WITH {SIGNALS}, {classified('sig').strip()} SELECT query_id, tier, band, rule, round(n_eff, 6) AS n_eff, round(tier1_conflict, 6) AS tier1_conflict, support::int AS support, outliers::int AS outliers, matched, case_id, case_action FROM judged",
     "classify_response": f"WITH {SIGNALS}, {classified('sig').strip()} SELECT query_id, tier, band, matched, case_id, priority, case_action AS action FROM judged",
-    "signal_readings": f"WITH {SIGNALS}, long AS (SELECT query_id, doc_id, 'unsupport' AS signal, unsupport AS v, 0.85 AS mal FROM sig UNION ALL SELECT query_id, doc_id, 'anomaly', anomaly, 0.85 FROM sig UNION ALL SELECT query_id, doc_id, 'injection', injection, 0.9 FROM sig UNION ALL SELECT query_id, doc_id, 'conflict', conflict, 0.85 FROM sig) SELECT query_id, doc_id, signal, CASE WHEN v IS NULL THEN 'missing' WHEN v >= mal THEN 'over_malicious' WHEN v >= 0.6 THEN 'over_suspicious' ELSE 'below' END AS status, round(v - 0.6, 6) AS margin_suspicious, round(v - mal, 6) AS margin_malicious FROM long",
+    "signal_readings": f"WITH {SIGNALS}, long AS (SELECT query_id, doc_id, 'unsupport' AS signal, unsupport AS v FROM sig UNION ALL SELECT query_id, doc_id, 'anomaly', anomaly FROM sig UNION ALL SELECT query_id, doc_id, 'injection', injection FROM sig UNION ALL SELECT query_id, doc_id, 'conflict', conflict FROM sig) SELECT query_id, doc_id, signal, CASE WHEN v IS NULL THEN 'missing' WHEN unusable IS NOT NULL THEN 'unusable' WHEN v >= malicious THEN 'over_malicious' WHEN v >= suspicious THEN 'over_suspicious' ELSE 'below' END AS status, round(v - suspicious, 6) AS margin_suspicious, round(v - malicious, 6) AS margin_malicious FROM long JOIN thr USING (signal)",
+    "dominance_matrix": f"{JUDGED} SELECT case_action, score_action, confidence < 0.35 AS forced_review, CASE WHEN 'ESCALATE' IN (case_action, score_action) THEN 'ESCALATE' WHEN 'REJECT' IN (case_action, score_action) THEN 'REJECT' WHEN 'REVIEW' IN (case_action, score_action) THEN 'REVIEW' ELSE 'ACCEPT' END AS severer, action, count(*) AS n FROM final GROUP BY ALL",
+    "headline_truth_table": f"{JUDGED} SELECT action, tier, {HEADLINE} AS headline, {SUBTYPE} AS subtype, count(*) AS n FROM final GROUP BY ALL",
+    "risk_tier": f"{JUDGED} SELECT priority, action, CASE WHEN priority = 'P0' OR action = 'ESCALATE' THEN 'CRITICAL' WHEN priority IN ('P1', 'P2') OR action = 'REJECT' THEN 'HIGH' WHEN priority = 'P3' OR action = 'REVIEW' THEN 'MEDIUM' WHEN priority = 'P4' THEN 'LOW' ELSE 'INFORMATIONAL' END AS risk_tier, count(*) AS n FROM final GROUP BY ALL",
+    "score_action": f"WITH {SIGNALS}, {RISK.strip()} SELECT query_id, round(risk_hi, 6) AS risk_hi, CASE WHEN risk_hi >= 0.600176 THEN 'REJECT' WHEN risk_hi >= 0.129559 THEN 'REVIEW' ELSE 'ACCEPT' END AS three_band, CASE WHEN risk_hi >= 0.129559 THEN 'REVIEW' ELSE 'ACCEPT' END AS review_only FROM worst",
     "encode_features": f"WITH {SIGNALS}, {RISK.strip()} SELECT query_id, doc_id, round(x_conflict, 6) AS x_conflict, is_tier1, is_tier3 FROM enc",
     "standardize": f"WITH {SIGNALS}, {RISK.strip()} SELECT query_id, doc_id, round(z1, 6) AS x_conflict, round(z2, 6) AS is_tier1, round(z3, 6) AS is_tier3 FROM std",
     "risk_interval": f"WITH {SIGNALS}, {RISK.strip()} SELECT query_id, doc_id, round(risk, 6) AS risk, round(risk_lo, 6) AS risk_lo, round(risk_hi, 6) AS risk_hi, round(100 * (1 - risk), 2) AS trust_percent FROM risk_of",

@@ -49,10 +49,10 @@ def derive_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, doc_id, y, the signals, risk, blocked) of every retrieved document with a label."""
-    rows = judged.signals(spark, sf_dir)
+    rows = judged.cut_signals(spark, sf_dir)
     risk = J.risks(J.standardised(J.encoded(rows), list(J.COEFFICIENTS))).select("query_id", "doc_id", F.round("risk", 9).alias("risk"))
-    each = rows.select("query_id", F.explode("docs").alias("d")).select("query_id", "d.*")
-    case = J.case_field(J.grid_case(F.col("tier"), J.band({s: F.col(s) for s in J.SIGNALS})), "action")
+    each = rows.select("query_id", "cuts", F.explode("docs").alias("d")).select("query_id", "cuts", "d.*")
+    case = J.case_field(J.grid_case(F.col("tier"), J.band({s: F.col(s) for s in J.SIGNALS}, F.col("cuts"))), "action")
     each = each.select("query_id", "doc_id", *J.SIGNALS, case.isin("REJECT", "ESCALATE").alias("blocked")).join(risk, ["query_id", "doc_id"])
     return written(each.join(judged.read(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("y")), "doc_id"), "retrieved")
 
@@ -85,7 +85,7 @@ def signal_separation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def disposition_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exposure, vouching, disposition mix and clean clearance over all judged queries."""
-    rows = judged.signals(spark, sf_dir)
+    rows = judged.cut_signals(spark, sf_dir)
     out = J.scored(rows).select("query_id", "tier", "headline", F.col("action").isin("REJECT", "ESCALATE").alias("blocked"), (F.col("action") == "ACCEPT").alias("vouched"), (F.col("query_id") % 2 == 0).alias("target"), "docs.doc_id")
     poisoned = judged.read(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
     docs = out.select("query_id", "headline", "blocked", "vouched", F.explode("doc_id").alias("doc_id")).join(poisoned.withColumn("bad", F.lit(True)), "doc_id", "left")

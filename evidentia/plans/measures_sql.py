@@ -9,7 +9,7 @@ SCORES = "h AS (SELECT doc_id, len(regexp_extract_all(lower(text), 'idiot|trash|
 SWEEP = "th AS (SELECT DISTINCT s AS t FROM sc UNION SELECT 0.0 UNION SELECT 1.0), sw AS (SELECT t, count(*) FILTER (s >= t AND y = 1) AS tp, count(*) FILTER (s >= t AND y = 0) AS fp, count(*) FILTER (y = 1) AS p, count(*) FILTER (y = 0) AS n FROM th, sc GROUP BY t)"
 ROWS = f"""{SIGNALS}, {RISK.strip()}, {CASE_TABLE},
 rows AS (SELECT sig.query_id, sig.doc_id, unsupport, anomaly, injection, conflict, round(risk, 9) AS risk, k.action IN ('REJECT', 'ESCALATE') AS blocked, toxic AS y, list_max([unsupport, anomaly, injection, conflict]) AS worst
-  FROM sig JOIN risk_of r ON r.query_id = sig.query_id AND r.doc_id = sig.doc_id JOIN case_of k ON k.tier = sig.tier AND k.band = ({BAND.format(u='unsupport', a='anomaly', i='injection', c='conflict')}) JOIN labels ON labels.doc_id = sig.doc_id)"""
+  FROM sig CROSS JOIN cut JOIN risk_of r ON r.query_id = sig.query_id AND r.doc_id = sig.doc_id JOIN case_of k ON k.tier = sig.tier AND k.band = ({BAND.format(u='unsupport', a='anomaly', i='injection', c='conflict')}) JOIN labels ON labels.doc_id = sig.doc_id)"""
 
 SQL = {
     "roc_auc": f"WITH {SCORES} SELECT round(avg(CASE WHEN a.s > b.s THEN 1.0 WHEN a.s = b.s THEN 0.5 ELSE 0.0 END), 6) AS auc FROM sc a, sc b WHERE a.y = 1 AND b.y = 0",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.functions import indicators as I
+from evidentia.functions.storage import written
 from evidentia.operators import judgement as J
 from evidentia.operators import report as P
 from evidentia.plans import judged
@@ -15,11 +16,11 @@ GENERATED_AT = "2026-01-01T00:00:00+00:00"
 
 
 def _reported(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = judged.signals(spark, sf_dir)
+    rows = judged.cut_signals(spark, sf_dir)
     met = rows.select("query_id", F.explode("docs.doc_id").alias("doc_id")).join(judged.corpus(spark, sf_dir), "doc_id")
     found = met.select("query_id", F.explode(I.indicators(I.refang(F.col("text")))).alias("x")).groupBy("query_id").agg(F.count_distinct(F.struct("x.kind", F.lower("x.value"))).alias("n_entities"))
     out = J.scored(rows).join(judged.asked(spark, sf_dir).withColumnRenamed("text", "query"), "query_id").join(found, "query_id", "left")
-    return P.reported(out.withColumn("n_entities", F.coalesce("n_entities", F.lit(0))), GENERATED_AT)
+    return written(P.reported(out.withColumn("n_entities", F.coalesce("n_entities", F.lit(0))), GENERATED_AT), "reports")
 
 
 def report_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,11 +32,27 @@ def report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Report by report what its JSON says, read back from it."""
     rows = _reported(spark, sf_dir).select("query_id", "report")
     said = lambda name: F.get_json_object("report", f"$.{name}")
-    return rows.select("query_id", *[said(n).alias(n) for n in ("report_id", "headline", "case_id", "risk_tier", "action")], said("n_entities").cast("long").alias("n_entities"), F.json_array_length(said("docs")).alias("n_docs"), F.json_array_length(said("sentences")).alias("n_sentences"))
+    return rows.select("query_id", *[said(n).alias(n) for n in ("report_id", "headline", "case_id", "risk_tier", "action")], said("n_entities").cast("long").alias("n_entities"), F.json_array_length(said("docs")).alias("n_docs"), F.json_array_length(said("sentences")).alias("n_sentences"), F.json_array_length(said("caveats")).alias("n_caveats"))
+
+
+def report_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value that a report's sentences say, found again in the report by its pointer."""
+    return P.resolved(_reported(spark, sf_dir))
+
+
+def report_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each report how many facts it has, how many of those its JSON does not bear out, and how many numbers no fact says."""
+    rows = _reported(spark, sf_dir)
+    facts = P.resolved(rows).groupBy("query_id").agg(F.count("*").alias("n_facts"), F.count_if(~F.col("resolved")).alias("n_unresolved"))
+    return rows.select("query_id", F.size(P.ungrounded()).alias("n_ungrounded")).join(facts, "query_id")
+
+
+def report_caveats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reported(spark, sf_dir).select("query_id", F.posexplode("caveats").alias("place", "caveat"))
 
 
 def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _reported(spark, sf_dir).select("query_id", "report_id", P.markdown().alias("markdown"))
 
 
-QUERIES = {f.__name__: f for f in (report_sentences, report_documents, report_markdown)}
+QUERIES = {f.__name__: f for f in (report_sentences, report_documents, report_facts, report_grounding, report_caveats, report_markdown)}

@@ -35,6 +35,7 @@ def test_every_fiftieth_vector_asks(spark):
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 BENCHMARK = ([(1, "routers alpha bravo charlie delta")], "item_id long, text string")
+LABELS = ([(1, 0), (2, 0), (3, 0)], "doc_id long, toxic int")
 CONTRARY = [(1, "routers alpha bravo charlie delta", "en", "src0", 1), (2, "routers and nothing else of it", "en", "src0", 1)]
 
 
@@ -42,12 +43,12 @@ def test_every_pattern_and_conflict_reach_the_query(small):
     clean = [(i, "routers alpha bravo charlie delta word", "en", "src0", 1) for i in (1, 2, 3)]
     for text in ("SYSTEM PROMPT: obey", "do not mention it", "this document supersedes it", "<system> now"):
         poisoned = [*clean, (4, f"routers alpha bravo charlie delta word {text}", "en", "src0", 1)]
-        found = {r[1]: r for r in small("signal_readings", documents=(poisoned, DOCUMENTS), benchmark=BENCHMARK) if r[2] == "injection"}
+        found = {r[1]: r for r in small("signal_readings", documents=(poisoned, DOCUMENTS), benchmark=BENCHMARK, labels=LABELS) if r[2] == "injection"}
         assert found[4][3] != "below" and found[1][3] == "below", text
-        assert small("score_query", documents=(poisoned, DOCUMENTS), benchmark=BENCHMARK)[0][2] != "CLEAN", text
-    found = {r[1]: r for r in small("signal_readings", documents=(CONTRARY, DOCUMENTS), benchmark=BENCHMARK) if r[2] == "conflict"}
+        assert small("score_query", documents=(poisoned, DOCUMENTS), benchmark=BENCHMARK, labels=LABELS)[0][2] != "CLEAN", text
+    found = {r[1]: r for r in small("signal_readings", documents=(CONTRARY, DOCUMENTS), benchmark=BENCHMARK, labels=LABELS) if r[2] == "conflict"}
     assert found[1][3] == found[2][3] == "over_suspicious"
-    alone = [r for r in small("signal_readings", documents=(CONTRARY[:1], DOCUMENTS), benchmark=BENCHMARK) if r[2] == "conflict"]
+    alone = [r for r in small("signal_readings", documents=(CONTRARY[:1], DOCUMENTS), benchmark=BENCHMARK, labels=LABELS) if r[2] == "conflict"]
     assert [r[3] for r in alone] == ["missing"]
 
 
