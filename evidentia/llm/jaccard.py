@@ -63,12 +63,12 @@ SIGNATURE = [f"s{k}" for k in range(16)]
 U64 = np.uint64
 
 
-def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[list[int | None], list[np.ndarray]]]:
-    """Document ids and shingle sets, step by step."""
+def _sets(batches: Iterator[pa.RecordBatch], width: int, name: str = "doc_id") -> Iterator[tuple[list, list[np.ndarray]]]:
+    """Document ids (or another column) and shingle sets, step by step."""
     for batch in batches:
         for k in range(0, batch.num_rows, 512):
             rows = batch.slice(k, 512)
-            ids = rows.column("doc_id").to_pylist()
+            ids = rows.column(name).to_pylist()
             raw = [t.encode() if t is not None else b"" for t in rows.column("text").to_pylist()]
             for a, b in K.steps(raw):
                 yield ids[a:b], list(K.shingles(*K.words(raw[a:b]), width))
@@ -108,9 +108,9 @@ def _set(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def _profile(width: int):
-    """Rows of kind 0 for documents (doc_id, node, n, parts), and of kind 1 for rarity (slot, count)."""
+    """Rows of kind 0 for documents (doc_id, node, n, parts, key), and of kind 1 for rarity (slot, count)."""
 
-    names = ["kind", "a", "b", "n", "parts", *SIGNATURE]
+    names = ["kind", "a", "b", "n", "parts", "key", *SIGNATURE]
 
     def counted(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         tokens, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -118,14 +118,14 @@ def _profile(width: int):
         for a in range(0, len(slots), 50_000):
             k = len(slots[a : a + 50_000])
             zero = pa.array(np.zeros(k, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, dtype=np.int32)), pa.array(slots[a : a + k]), pa.array(counts[a : a + k].astype(np.int64)), zero, pa.nulls(k, pa.binary()), *[zero] * len(SIGNATURE)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, dtype=np.int32)), pa.array(slots[a : a + k]), pa.array(counts[a : a + k].astype(np.int64)), zero, pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), *[zero] * len(SIGNATURE)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        for ids, sets in _sets(batches, width):
+        for named, sets in _sets(batches, width, "named"):
             held += [s for s in sets if len(s)]
-            k = len(ids)
-            columns = [pa.array([0] * k, pa.int32()), pa.array(ids, pa.int64()), pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_parts(s) for s in sets], pa.binary())]
+            k = len(named)
+            columns = [pa.array([0] * k, pa.int32()), pa.array([x["doc_id"] for x in named], pa.int64()), pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_parts(s) for s in sets], pa.binary()), pa.array([x["key"] for x in named], pa.binary())]
             yield pa.RecordBatch.from_arrays([*columns, *[pa.array(c) for c in np.array([_parity(s) for s in sets]).reshape(-1, len(SIGNATURE)).T.copy()]], names)
             if sum(map(len, held)) > COUNTED:
                 yield from counted(held)
@@ -286,10 +286,17 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 75, den: int
     their own doc_id.  Rows with a null doc_id take part and get the component of their group (null
     if nobody else is in it).  Repeated rows give repeated rows.  Other columns are not looked at.
     """
+    return jaccard_classes(docs, F.lit(None), width, num, den).select("doc_id", "n_shingles", "component_id")
+
+
+def jaccard_classes(docs: DataFrame, key: Column, width: int = 5, num: int = 75, den: int = 100) -> DataFrame:
+    """``jaccard_components`` with ``key``, a binary expression over ``docs`` that names a row whatever its doc_id, and
+    ``class``, a number that the rows of one component alone have (null without shingles)."""
     spark = docs.sparkSession
+    keyed = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), key.cast("binary").alias("key")).alias("named"), F.col("text").cast("string").alias("text"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profile = stored(mapped(docs, _profile(width), "kind int, a long, b long, n long, parts binary, " + ", ".join(f"{c} long" for c in SIGNATURE)), "profile")
-    rows = profile.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), "n", "parts", *SIGNATURE)
+    profile = stored(mapped(keyed, _profile(width), "kind int, a long, b long, n long, parts binary, key binary, " + ", ".join(f"{c} long" for c in SIGNATURE)), "profile")
+    rows = profile.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), "n", "parts", "key", *SIGNATURE)
     counts = np.zeros(1 << RARITY_BITS, dtype=np.int32)
     slots = profile.where("kind = 1").groupBy("a").agg(F.sum("b").alias("b")).toArrow()
     counts[np.array(slots.column("a"), dtype=np.int64)] = np.minimum(np.array(slots.column("b"), dtype=np.int64), 1 << 30)
@@ -349,6 +356,6 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 75, den: int
     where = nodes.join(parts, "node", "left").select("node", "n", F.coalesce("component", "node").alias("class"), "doc_id")
     # written, so that a class with many nodes is an ordinary skewed side of the join
     least = stored(where.groupBy("class").agg(F.min("doc_id").alias("component_id")), "classes")
-    where = where.join(least, "class").select("node", "n", "component_id")
-    out = rows.where("n > 0").join(where, ["node", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return out.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    where = where.join(least, "class").select("node", "n", "component_id", "class")
+    out = rows.where("n > 0").join(where, ["node", "n"]).select("doc_id", "key", F.col("n").alias("n_shingles"), "component_id", "class")
+    return out.unionByName(rows.where("n = 0").select("doc_id", "key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("class")))

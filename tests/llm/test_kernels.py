@@ -116,6 +116,8 @@ def test_rewriting_is_found_late_and_behind_a_declared_memory():
 
 def test_long_conversations_are_let_go_piece_by_piece():
     class Begun(chat.MarkedTurns):
+        memory = 0
+
         def render(self, turns):
             return "^" + super().render(turns) if turns else ""
 
@@ -127,6 +129,36 @@ def test_long_conversations_are_let_go_piece_by_piece():
     assert len(state.turns) < 60
 
 
+def test_history_that_is_rewritten_and_put_right_again_is_found():
+    class Healing(chat.MarkedTurns):
+        """Declares nothing itself, and changes the whole at five turns only."""
+
+        def render(self, turns):
+            return "!" * (len(turns) == 5) + super().render(turns)
+
+    class Declared(Healing):
+        memory = 0
+
+    for template in (Healing(), Declared()):
+        state = chat.Incremental(template)
+        with pytest.raises(chat.HistoryRewritten):
+            for k in range(8):
+                state.add("user", f"turn {k}")
+        assert state.seen in (4, 5)
+
+
+def test_an_undeclared_template_is_held_whole_at_any_length():
+    class Far(chat.MarkedTurns):
+        def render(self, turns):
+            return "!" * (len(turns) > 90) + super().render(turns)
+
+    state = chat.Incremental(Far(), kept_chars=100)
+    with pytest.raises(chat.HistoryRewritten):
+        for k in range(120):
+            state.add("assistant", f"turn {k}")
+    assert state.seen == 90
+
+
 def test_vectors_are_learned():
     """Words that no count tells apart are told apart by their learned vectors."""
     model = toxicity.Model(np.zeros(1 << toxicity.BITS, np.float32), np.zeros(1 << toxicity.BITS, np.float32), gru.AttentiveBiGRU(toxicity.WIDTH))

@@ -57,3 +57,30 @@ def test_contaminated_rows_go_by_row(spark, tmp_path):
     assert sum(contaminated(t) for _, t in ROWS) == 3
     want = sorted(((i, t) for i, t in ROWS if not contaminated(t)), key=str)
     assert found(corpus_pipeline.decontamination(spark, table(spark), str(tmp_path))) == want
+
+
+CLASHING = ["row_key", "key", "row", "kept", "stay", "lines", "named", "class", "n", "n_words", "spans", "new"]
+
+
+def test_other_columns_stay_as_they_are(spark, tmp_path):
+    spark.createDataFrame([(1, PASSAGE)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(i, t, "en", *[f"{k} of {c}" for c in CLASHING]) for k, (i, t) in enumerate(ROWS)]
+    docs = spark.createDataFrame(rows, SCHEMA + "".join(f", {c} string" for c in CLASHING))
+    for stage in (corpus_pipeline.near_duplicates, corpus_pipeline.decontamination):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and set(map(tuple, out.collect())) < set(rows)
+    lines = corpus_pipeline.line_dedup(spark, docs, str(tmp_path))
+    assert lines.columns == docs.columns and {r[3:] for r in map(tuple, lines.collect())} <= {r[3:] for r in rows}
+
+
+def test_the_same_one_of_repeated_rows_stays(spark):
+    rows = [(1, A, lang) for lang in ("de", "en", "fr", None)]
+    kept = [tuple(corpus_pipeline.near_duplicates(spark, spark.createDataFrame(some, SCHEMA).repartition(3), "").collect()[0]) for some in (rows, rows[::-1])]
+    assert kept[0] == kept[1] and kept[0] in rows
+
+
+def test_no_documents(spark, tmp_path):
+    spark.createDataFrame([(1, PASSAGE)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = table(spark).where("false")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, str(tmp_path)).isEmpty(), name
