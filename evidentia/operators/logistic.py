@@ -10,14 +10,21 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.functions.storage import written
+from evidentia.operators import sweep
+from evidentia.operators.folds import stratified_folds, with_folds
+from evidentia.operators.resample import exploded, resampled
+
 #: Cost of a missed positive against a false alarm; strengths tried; resamples; folds.
 POSITIVE_WEIGHT = 10.0
 STRENGTHS = (0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0)
 RESAMPLES = 200
 FOLDS = 5
+#: Folds of the calibrated ensemble, and the strength that leaves a sigmoid as free as can be.
+CALIBRATIONS, UNBOUNDED = 3, 1e6
 
 
 def standardised(rows: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -72,11 +79,6 @@ def weighted(rows: DataFrame, label: str) -> DataFrame:
     return rows.withColumn("y", F.col(label).cast("double")).withColumn("w", F.when(F.col(label) == 1, POSITIVE_WEIGHT).otherwise(1.0))
 
 
-def fold(group: str):
-    """The fold of a group: groups never straddle folds."""
-    return F.conv(F.substring(F.md5(F.col(group).cast("string")), 1, 8), 16, 10).cast("long") % FOLDS
-
-
 def margins(rows: DataFrame, features: Sequence[str], beta: dict[object, np.ndarray]) -> DataFrame:
     """``rows`` with the margin of their own model."""
     d = len(features) + 1
@@ -86,26 +88,29 @@ def margins(rows: DataFrame, features: Sequence[str], beta: dict[object, np.ndar
     return rows.join(F.broadcast(table), "model").withColumn("margin", margin).drop(*[f"b{i}" for i in range(d)])
 
 
-def _outside(rows: DataFrame, group: str, strengths: Sequence[float]) -> tuple[DataFrame, DataFrame, dict[int, float]]:
-    """Training and held-out rows of every (strength, fold); model = strength's place * FOLDS + fold."""
-    cells = F.explode(F.sequence(F.lit(0), F.lit(len(strengths) * FOLDS - 1)))
-    every = rows.withColumn("fold", fold(group)).withColumn("model", cells)
-    held = F.col("model") % FOLDS == F.col("fold")
-    return every.where(~held), every.where(held), {k: strengths[k // FOLDS] for k in range(len(strengths) * FOLDS)}
+def _outside(rows: DataFrame, folds: int, strengths: Sequence[float]) -> tuple[DataFrame, DataFrame, dict[int, float]]:
+    """Training and held-out rows, which have a fold, of every (strength, fold); model = strength's place * folds + fold."""
+    every = rows.withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(len(strengths) * folds - 1))))
+    held = F.col("model") % folds == F.col("fold")
+    return every.where(~held), every.where(held), {k: strengths[k // folds] for k in range(len(strengths) * folds)}
+
+
+def folded(rows: DataFrame, label: str, group: str, folds: int = FOLDS) -> DataFrame:
+    """``weighted`` rows in stratified folds of whole groups, written, as every step of a fit reads them."""
+    return written(with_folds(weighted(rows, label), stratified_folds(rows, group, label, folds), group), "folded")
 
 
 def choose_strength(rows: DataFrame, features: Sequence[str], label: str, group: str, strengths: Sequence[float] = STRENGTHS) -> float:
     """The strength with the best mean average precision over grouped folds; 1.0 with fewer than ten positives."""
-    rows = weighted(rows, label)
-    if rows.where("y = 1").count() < 10:
+    if rows.where(F.col(label) == 1).count() < 10:
         return 1.0
-    train, held, table = _outside(rows, group, strengths)
+    train, held, table = _outside(folded(rows, label, group), FOLDS, strengths)
     # rounded, as equal rows may differ in their last bits
     scored = margins(held, features, fit(train, features, table)).withColumn("margin", F.round("margin", 9))
-    steps = scored.groupBy("model", "margin").agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
-    run = Window.partitionBy("model").orderBy(F.desc("margin"))
-    steps = steps.withColumns({"total": F.sum("pos").over(Window.partitionBy("model")), "tp": F.sum("pos").over(run), "seen": F.sum("n").over(run)}).where("total > 0")
-    precision = steps.groupBy("model").agg(F.sum(F.col("pos") / F.col("total") * F.col("tp") / F.col("seen")).alias("ap")).collect()
+    # swept by score, so that no task sees all rows of a model
+    squashed = scored.select("model", F.col("y").cast("int").alias("y"), F.round(1 / (1 + F.exp(-F.col("margin"))), 12).alias("s"))
+    table = sweep.swept(squashed, ["model"]).where("n_pos > 0")
+    precision = table.groupBy("model").agg(F.sum(F.col("pos") / F.col("n_pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("ap")).collect()
     by: dict[int, list[float]] = {}
     for r in precision:
         by.setdefault(r["model"] // FOLDS, []).append(r["ap"])
@@ -114,21 +119,38 @@ def choose_strength(rows: DataFrame, features: Sequence[str], label: str, group:
 
 
 def calibrate(rows: DataFrame, features: Sequence[str], label: str, group: str, strength: float) -> tuple[float, float]:
-    """(intercept, slope) of the sigmoid that maps out-of-fold margins to probabilities."""
-    train, held, table = _outside(weighted(rows, label), group, [strength])
+    """(intercept, slope) of the one sigmoid that maps all out-of-fold margins to probabilities."""
+    train, held, table = _outside(folded(rows, label, group), FOLDS, [strength])
     out = margins(held, features, fit(train, features, table)).select(F.lit(0).alias("model"), "y", F.lit(1.0).alias("w"), "margin")
-    found = fit(out.withColumnRenamed("margin", "x0"), ["x0"], {0: 1e6})
+    found = fit(out.withColumnRenamed("margin", "x0"), ["x0"], {0: UNBOUNDED})
     return tuple(map(float, found.get(0, (0.0, 1.0))))
 
 
-def bootstrap(rows: DataFrame, features: Sequence[str], label: str, key: str, strength: float, resamples: int = RESAMPLES) -> dict[int, np.ndarray]:
-    """One model for each resample.
+def calibrated(rows: DataFrame, features: Sequence[str], label: str, group: str, strength: float) -> DataFrame:
+    """The calibrated ensemble as a relation: (model, b0, b1, ..., intercept, slope), one row for each fold.
 
-    A row's count in a resample is a Poisson(1) draw from a hash of (row, resample): resampling needs
-    no global draw and gives the same rows however they are partitioned.
+    As many folds as there are positives, two at least and ``CALIBRATIONS`` at most.  A fold's model is fitted outside of the fold and its
+    sigmoid inside; a fold that has one class only is left out.
     """
-    u = F.pmod(F.xxhash64(F.col(key), F.col("model"), F.lit(20)), F.lit(1 << 40)) / float(1 << 40)
-    bars = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, k + 1)) if k else np.exp(-1.0) for k in range(8)])
-    count = sum((F.when(u >= float(b), 1).otherwise(0) for b in bars), F.lit(0))
-    every = weighted(rows, label).withColumn("model", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("w", F.col("w") * count)
-    return fit(every.where("w > 0"), features, {k: strength for k in range(1, resamples + 1)}, tol=1e-6)
+    positives = rows.where(F.col(label) == 1).count()
+    folds = min(CALIBRATIONS, max(2, positives))
+    train, held, table = _outside(folded(rows, label, group, folds), folds, [strength])
+    beta = fit(train, features, table)
+    out = margins(held, features, beta).select("model", "y", F.lit(1.0).alias("w"), F.col("margin").alias("x0"))
+    sigmoids = fit(written(out, "margins"), ["x0"], {k: UNBOUNDED for k in beta})
+    schema = "model int, " + ", ".join(f"b{i} double" for i in range(len(features) + 1)) + ", intercept double, slope double"
+    return rows.sparkSession.createDataFrame([(int(m), *map(float, beta[m]), *map(float, sigmoids[m])) for m in sorted(beta) if m in sigmoids], schema)
+
+
+def probabilities(rows: DataFrame, features: Sequence[str], ensemble: DataFrame, key: str) -> DataFrame:
+    """(key, p): the mean over the ensemble of each member's calibrated probability; null without members."""
+    margin = _logit(features, {f: f"b{i + 1}" for i, f in enumerate(features)})
+    met = rows.crossJoin(F.broadcast(ensemble))  # CALIBRATIONS rows at most
+    p = 1 / (1 + F.exp(-(F.col("intercept") + F.col("slope") * margin)))
+    return met.groupBy(key).agg(F.avg(p).alias("p"))
+
+
+def bootstrap(rows: DataFrame, features: Sequence[str], label: str, key: str, strength: float, resamples: int = RESAMPLES) -> dict[int, np.ndarray]:
+    """One model for each resample of as many rows as there are; resamples of one class are left out."""
+    every = exploded(resampled(weighted(rows, label), key, resamples)).withColumn("w", F.col("w") * F.col("times"))
+    return fit(every, features, {k: strength for k in range(1, resamples + 1)}, tol=1e-6)

@@ -38,7 +38,6 @@ PLANS: dict[str, str] = {
     # H: evaluation
     "confusion_metrics": f"WITH {SCORES}, c AS (SELECT sum(CASE WHEN y = 1 AND s >= 0.5 THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN y = 0 AND s >= 0.5 THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN y = 1 AND s < 0.5 THEN 1 ELSE 0 END) AS fn, sum(CASE WHEN y = 0 AND s < 0.5 THEN 1 ELSE 0 END) AS tn, avg((s - y) * (s - y)) AS brier FROM sc) SELECT cast(tp AS bigint) AS tp, cast(fp AS bigint) AS fp, cast(fn AS bigint) AS fn, cast(tn AS bigint) AS tn, round(coalesce(tp * 1.0 / nullif(tp + fp, 0), 0.0), 6) AS prec, round(coalesce(tp * 1.0 / nullif(tp + fn, 0), 0.0), 6) AS recall, round(coalesce(10.0 * tp / nullif(10.0 * tp + 9 * fn + fp, 0), 0.0), 6) AS f3, round(brier, 6) AS brier, cast(10 * fn + fp AS bigint) AS expected_cost FROM c",
     "prevalence_precision": f"WITH {SCORES}, r AS (SELECT sum(CASE WHEN y = 1 AND s >= 0.5 THEN 1.0 ELSE 0.0 END) / nullif(sum(y), 0) AS tpr, sum(CASE WHEN y = 0 AND s >= 0.5 THEN 1.0 ELSE 0.0 END) / nullif(sum(1 - y), 0) AS fpr FROM sc) SELECT cast(pi AS double) AS pi, round(coalesce(tpr * pi / nullif(tpr * pi + fpr * (1 - pi), 0), 0.0), 6) AS prec FROM r CROSS JOIN (VALUES (0.05), (0.01)) AS t(pi)",
-    "group_split": "SELECT source AS grp, cast(${hex(substr(md5(source), 1, 8))} AS bigint) % 5 AS fold, count(*) AS n FROM documents GROUP BY source",
     "config_comparison": f"WITH {SCORES} SELECT cfg, sum(CASE WHEN y = 1 AND blocked = 0 THEN 1 ELSE 0 END) AS attacks_through, sum(CASE WHEN y = 0 AND blocked = 1 THEN 1 ELSE 0 END) AS clean_blocked FROM (SELECT cfg, y, CASE cfg WHEN 'vanilla' THEN 0 WHEN 'none' THEN 1 ELSE CASE WHEN s >= 0.5 THEN 1 ELSE 0 END END AS blocked FROM sc CROSS JOIN (VALUES ('none'), ('vanilla'), ('full')) AS c(cfg)) z GROUP BY cfg",
     "weakness_grouping_sets": f"WITH {SCORES} SELECT lang, tier, count(*) AS total, sum(CASE WHEN s >= 0.5 THEN 1 ELSE 0 END) AS caught FROM sc WHERE y = 1 GROUP BY GROUPING SETS ((lang), (tier), ())",
     "clean_calibration": f"WITH {SCORES} SELECT tier, count(*) AS n, round(${{quantile(s, 0.5)}}, 6) AS p50, round(${{quantile(s, 0.95)}}, 6) AS p95, round(100.0 * sum(CASE WHEN s < 0.6 THEN 1 ELSE 0 END) / count(*), 6) AS pct_clean FROM sc WHERE y = 0 GROUP BY ROLLUP (tier)",

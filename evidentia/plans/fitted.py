@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.operators import clusters, logistic, retrieval, text
+from evidentia.functions.storage import written
+from evidentia.operators import clusters, folds, logistic, retrieval, text
 from evidentia.streaming.score import event_windows
 
 FEATURES = ["insults", "is_tier1", "is_tier3"]
@@ -22,7 +23,7 @@ def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = F.regexp_count(F.lower("text"), F.lit(INSULTS))
     docs = _read(spark, sf_dir, "documents").select("doc_id", "source", F.log1p(hits).alias("insults"), (tier == 1).cast("int").alias("is_tier1"), (tier == 3).cast("int").alias("is_tier3"))
     rows = _read(spark, sf_dir, "labels").where("toxic IN (0, 1)").select("doc_id", "toxic").join(docs, "doc_id")
-    return logistic.standardised(rows, FEATURES)
+    return written(logistic.standardised(rows, FEATURES), "training-rows")
 
 
 def kmeans_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +51,25 @@ def lr_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(n, round(float(v), 6)) for n, v in named], "name string, value double")
 
 
+def group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fold of every source among the labelled documents: whole sources, alike shares of poisoned documents."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source")
+    rows = _read(spark, sf_dir, "labels").select("doc_id", "toxic").join(docs, "doc_id")
+    return folds.stratified_folds(rows, "source", "toxic").select(F.col("group").alias("grp"), "pos", "neg", "fold")
+
+
+def fold_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each fold holds of the groups, of the rows and of the poisoned rows."""
+    return group_split(spark, sf_dir).groupBy("fold").agg(F.count("*").alias("groups"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.round(F.sum("pos") / F.sum(F.col("pos") + F.col("neg")), 6).alias("share"))
+
+
+def calibrated_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The probability that each labelled document is poisoned, as the mean of the calibrated folds."""
+    rows = training_rows(spark, sf_dir)
+    found = logistic.probabilities(rows, FEATURES, logistic.calibrated(rows, FEATURES, "toxic", "source", 1.0), "doc_id")
+    return found.select("doc_id", F.round("p", 6).alias("p"))
+
+
 def bootstrap_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row of coefficients for each resample."""
     found = logistic.bootstrap(training_rows(spark, sf_dir), FEATURES, "toxic", "doc_id", 1.0)
@@ -69,5 +89,13 @@ def events_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_windows(_read(spark, sf_dir, "events"))
 
 
-QUERIES = {f.__name__: f for f in (kmeans_anomaly, vector_topk, lr_fit, bootstrap_fit, chunks, entity_ipv6, events_hourly)}
-ORACLES = {"vector_topk": "SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(list_inner_product(q.embedding::double[], d.embedding::double[]), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_inner_product(q.embedding::double[], d.embedding::double[]), 6) DESC, d.vec_id)::int AS rnk FROM embeddings q JOIN embeddings d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0 QUALIFY rnk <= 5", "events_hourly": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2"}
+QUERIES = {f.__name__: f for f in (kmeans_anomaly, vector_topk, lr_fit, group_split, fold_shares, calibrated_risk, bootstrap_fit, chunks, entity_ipv6, events_hourly)}
+# the groups one by one, with what the folds hold carried along
+_TRIED = "list_stddev_pop(list_transform(w.{0}, lambda x, i: (x + CASE WHEN i = j THEN o.{1} ELSE 0 END) / greatest(t.{0}, 1e-300)))"
+_FOLDS = f"""WITH RECURSIVE g AS (SELECT source AS grp, sum(toxic)::bigint AS pos, sum(1 - toxic)::bigint AS neg FROM labels JOIN documents USING (doc_id) WHERE toxic IN (0, 1) GROUP BY source),
+o AS (SELECT *, row_number() OVER (ORDER BY abs(pos - neg) DESC, grp NULLS FIRST) AS nth FROM g), t AS (SELECT sum(pos) AS p, sum(neg) AS n FROM g),
+walk AS (SELECT 0::bigint AS nth, [0, 0, 0, 0, 0]::double[] AS p, [0, 0, 0, 0, 0]::double[] AS n, NULL::varchar AS grp, 0::bigint AS pos, 0::bigint AS neg, 0::bigint AS best
+  UNION ALL SELECT nth, list_transform(p, lambda x, i: x + CASE WHEN i = best THEN pos ELSE 0 END), list_transform(n, lambda x, i: x + CASE WHEN i = best THEN neg ELSE 0 END), grp, pos, neg, best
+  FROM (SELECT o.nth, w.p, w.n, o.grp, o.pos, o.neg, list_sort(list_transform(range(1, 6), lambda j: {{'c': round(({_TRIED.format("n", "neg")} + {_TRIED.format("p", "pos")}) / 2, 12), 'r': w.p[j] + w.n[j], 'j': j}}))[1].j AS best FROM walk w JOIN o ON o.nth = w.nth + 1, t)),
+f AS (SELECT grp, pos, neg, (best - 1)::int AS fold FROM walk WHERE nth > 0)"""
+ORACLES = {"group_split": f"{_FOLDS} SELECT * FROM f", "fold_shares": f"{_FOLDS} SELECT fold, count(*) AS groups, sum(pos)::bigint AS pos, sum(neg)::bigint AS neg, round(sum(pos) / sum(pos + neg), 6) AS share FROM f GROUP BY fold", "vector_topk": "SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(list_inner_product(q.embedding::double[], d.embedding::double[]), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_inner_product(q.embedding::double[], d.embedding::double[]), 6) DESC, d.vec_id)::int AS rnk FROM embeddings q JOIN embeddings d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0 QUALIFY rnk <= 5", "events_hourly": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2"}
