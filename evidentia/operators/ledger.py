@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 GENESIS = "0" * 64
 DECISIONS = ["ACCEPT", "REJECT", "OVERRIDE"]
 OVERRIDES = ["ACCEPT", "REVIEW", "REJECT", "ESCALATE"]
-CONTENT = ["decision_id", "event_id", "decision", "override_action", "reason_code", "reason_text", "decided_at", "supersedes"]
+SOURCES = ["analyst_ui", "import", "backfill", "test_fixture"]
+CONTENT = ["decision_id", "event_id", "decision", "override_action", "reason_code", "reason_text", "decided_at", "supersedes", "decision_source"]
 
 
 def refusals(decisions: DataFrame, events: DataFrame) -> DataFrame:
@@ -34,6 +35,7 @@ def refusals(decisions: DataFrame, events: DataFrame) -> DataFrame:
         "override without action and reason": override & (F.col("override_action").isNull() | F.col("reason_code").isNull()),
         "unknown override action": override & F.col("override_action").isNotNull() & ~F.col("override_action").isin(OVERRIDES),
         "reason OTHER without text": override & (F.col("reason_code") == "OTHER") & (F.coalesce(F.trim("reason_text"), F.lit("")) == ""),
+        "unknown source": ~F.coalesce(F.col("decision_source").isin(SOURCES), F.lit(False)),
         "no such event": F.col("known").isNull(),
     }
     told = F.array_compact(F.array(*[F.when(when, reason) for reason, when in rules.items()]))
@@ -90,3 +92,29 @@ def current(decisions: DataFrame) -> DataFrame:
     """The decisions that no other one supersedes."""
     gone = decisions.where("supersedes is not null").select(F.col("supersedes").alias("decision_id")).distinct()
     return decisions.join(gone, "decision_id", "left_anti")
+
+
+def learnable(decisions: DataFrame, events: DataFrame) -> DataFrame:
+    """The decisions that labels may come from, beside what ``events`` says of theirs: they stand, an analyst made them, and they judge."""
+    rows = current(decisions).where((F.col("decision_source") == "analyst_ui") & ~F.col("reason_code").eqNullSafe("INSUFFICIENT_EVIDENCE_TO_JUDGE"))
+    return rows.join(events, "event_id")
+
+
+def listed(events: DataFrame, decisions: DataFrame, limit: int = 200, decision: str | None = None, **equal: str) -> DataFrame:
+    """The newest ``limit`` events with the decision that stands (null: none), after filters.
+
+    ``equal`` names columns of ``events`` (headline, subtype, case_id) and what they must be; ``decision`` is what the standing decision must be, or UNREVIEWED
+    for events without one.  Filters on events come before anything is joined, and only the page that is shown is sorted.
+    """
+    for name, value in equal.items():
+        events = events.where(F.col(name) == value)
+    stands = current(decisions).groupBy("event_id").agg(F.max_by(F.struct("decision_id", "decision", "override_action", "reason_code", "decided_at"), "decision_id").alias("d")).select("event_id", "d.*")
+    newest = lambda rows: rows.orderBy(F.desc("created_at"), F.desc("event_id")).limit(limit)
+    if decision is None:
+        events = newest(events)
+    rows = events.join(stands, "event_id", "left")
+    if decision == "UNREVIEWED":
+        rows = newest(rows.where("decision is null"))
+    elif decision is not None:
+        rows = newest(rows.where(F.col("decision") == decision))
+    return rows

@@ -5,6 +5,8 @@ events stand for the log of judged queries; every seventh and its successor carr
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,16 +31,22 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         n.alias("decision_id"), (n - n % 7).alias("event_id"), F.when(override, "OVERRIDE").when(n % 2 == 0, "ACCEPT").otherwise("REJECT").alias("decision"), F.when(override, "REVIEW").alias("override_action"),
         F.when(override, reason).alias("reason_code"), F.when(override & (n % 3 > 0), F.concat(F.lit("seen by "), F.col("user_id").cast("string"))).alias("reason_text"), F.col("ts").alias("decided_at"),
-        F.when((n % 7 == 1) & (n % 3 == 0), n - 1).alias("supersedes"), F.to_date("ts").alias("chain"), n.alias("seq"),
+        F.when((n % 7 == 1) & (n % 3 == 0), n - 1).alias("supersedes"), F.when(n % 13 == 0, "import").otherwise("analyst_ui").alias("decision_source"), F.to_date("ts").alias("chain"), n.alias("seq"),
     )
 
 
 def audit_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest 50 red events with the decision that stands."""
-    stands = L.current(decisions(spark, sf_dir)).groupBy("event_id").agg(F.max("decision_id").alias("decision_id"))
-    newest = events(spark, sf_dir).where("headline = 'RED'").orderBy(F.desc("created_at"), F.desc("event_id")).limit(50)
-    placed = newest.withColumn("place", F.row_number().over(Window.orderBy(F.desc("created_at"), F.desc("event_id"))))  # of 50 rows
-    return placed.join(stands, "event_id", "left").select("event_id", "headline", "subtype", "decision_id", "place")
+    rows = L.listed(events(spark, sf_dir), decisions(spark, sf_dir), 50, headline="RED")
+    placed = rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("created_at"), F.desc("event_id"))))  # of 50 rows
+    return placed.select("event_id", "headline", "subtype", "decision_id", "place")
+
+
+def audit_list_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by filter: attacks that nobody looked at, attacks whose rejection stands, and whatever was overridden."""
+    pages = {"unreviewed attacks": {"decision": "UNREVIEWED", "subtype": "ATTACK_DETECTED"}, "rejected attacks": {"decision": "REJECT", "subtype": "ATTACK_DETECTED", "headline": "RED"}, "overridden": {"decision": "OVERRIDE"}}
+    shown = [L.listed(events(spark, sf_dir), decisions(spark, sf_dir), 100, **of).select(F.lit(name).alias("page"), "event_id", "headline", "subtype", "decision_id", "decision", "override_action", "reason_code") for name, of in pages.items()]
+    return reduce(DataFrame.unionByName, shown)
 
 
 def audit_current(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,10 +59,10 @@ def audit_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The decisions that stand and can be learned from, with their labels."""
-    rows = L.current(decisions(spark, sf_dir)).where(~F.col("reason_code").eqNullSafe("INSUFFICIENT_EVIDENCE_TO_JUDGE"))
+    """The decisions that can be learned from, with their labels and what their events were."""
+    rows = L.learnable(decisions(spark, sf_dir), events(spark, sf_dir))
     label = F.when(F.col("decision") == "REJECT", 1).when(F.col("decision") == "ACCEPT", 0)
-    return rows.join(events(spark, sf_dir), "event_id").select("decision_id", "decision", "reason_code", "headline", label.alias("label"))
+    return rows.select("decision_id", "decision", "reason_code", "headline", "subtype", "action", "tier", label.alias("label"))
 
 
 def decision_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,4 +94,4 @@ def audit_chain_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("chain", "decision_id", "edited", "unlinked")
 
 
-QUERIES = {f.__name__: f for f in (audit_list, audit_current, audit_pending, audit_labelled, decision_refusals, ledger_append, audit_chain_verify)}
+QUERIES = {f.__name__: f for f in (audit_list, audit_list_filtered, audit_current, audit_pending, audit_labelled, decision_refusals, ledger_append, audit_chain_verify)}

@@ -76,11 +76,11 @@ def test_sweep_without_positives_or_rows(spark):
     assert sweep.swept(none.where("false")).count() == 0
 
 
-CONTENT = "chain string, seq long, decision_id long, event_id long, decision string, override_action string, reason_code string, reason_text string, decided_at string, supersedes long"
+CONTENT = "chain string, seq long, decision_id long, event_id long, decision string, override_action string, reason_code string, reason_text string, decided_at string, supersedes long, decision_source string"
 
 
 def test_ledger(spark):
-    row = lambda chain, seq, decision="ACCEPT": (chain, seq, seq, 1, decision, None, None, None, "t", None)
+    row = lambda chain, seq, decision="ACCEPT": (chain, seq, seq, 1, decision, None, None, None, "t", None, "analyst_ui")
     rows = spark.createDataFrame([row("a", 1), row("a", 2), row("b", 3)], CONTENT)
     first = L.append(None, rows)
     second = L.append(first, spark.createDataFrame([row("a", 4), row("c", 5)], CONTENT))
