@@ -9,12 +9,6 @@ from __future__ import annotations
 
 CORPUS = "corpus AS (SELECT doc_id, text AS content, source, 1 + cast(substr(source, 4) AS int) % 3 AS source_tier FROM documents)"
 HEADLINE = "CASE WHEN action IN ('REJECT', 'ESCALATE') THEN 'RED' WHEN action = 'REVIEW' OR tier IS NULL OR tier <> 1 THEN 'ORANGE' WHEN action = 'ACCEPT' THEN 'GREEN' ELSE 'ORANGE' END"
-SCORES = """sc AS (SELECT labels.doc_id, toxic AS y, source, lang, 1 + cast(substr(source, 4) AS int) % 3 AS tier,
-  round(${size(${find(lower(text), ${raw(idiot|trash|stupid|moron|scum|clown|loser|pathetic|worthless|disgusting)})})} * 1.0 / (1 + ${size(${find(lower(text), ${raw(idiot|trash|stupid|moron|scum|clown|loser|pathetic|worthless|disgusting)})})}), 6) AS s
-  FROM labels JOIN documents ON documents.doc_id = labels.doc_id),
-tot AS (SELECT sum(y) AS pos, count(*) - sum(y) AS neg FROM sc),
-th AS (SELECT s AS t, sum(y) AS p, count(*) - sum(y) AS n FROM sc GROUP BY s),
-cum AS (SELECT t, sum(p) OVER (ORDER BY t DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tp, sum(n) OVER (ORDER BY t DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fp, p, n FROM th)"""
 EVENTS = """ev AS (SELECT event_id, ts AS created_at, concat('q', cast(event_id AS varchar(20))) AS query_id, cast(${json(props, k)} AS bigint) AS k, value,
   CASE event_type WHEN 'view' THEN 'ACCEPT' WHEN 'click' THEN 'REVIEW' WHEN 'signup' THEN 'REJECT' WHEN 'purchase' THEN 'ACCEPT' ELSE 'ESCALATE' END AS action, 1 + user_id % 3 AS tier, user_id FROM events),
 qe AS (SELECT ev.*, """ + HEADLINE + """ AS headline, CASE WHEN action IN ('REJECT', 'ESCALATE') THEN CASE WHEN tier = 1 THEN 'TRUSTED_SOURCE_COMPROMISE' ELSE 'ATTACK_DETECTED' END END AS subtype FROM ev),
@@ -36,11 +30,6 @@ PLANS: dict[str, str] = {
     # E: anomaly
     "anomaly_centroid": "WITH e AS (SELECT vec_id, label, ${explode(${range(1, 64)})} AS i, embedding FROM embeddings), x AS (SELECT vec_id, label, i, cast(${at(embedding, i)} AS double) AS v FROM e), c AS (SELECT label, i, avg(v) AS m FROM x GROUP BY label, i), d AS (SELECT vec_id, x.label, sqrt(sum((v - m) * (v - m))) AS d FROM x JOIN c ON c.label = x.label AND c.i = x.i GROUP BY vec_id, x.label), q AS (SELECT label, median(d) AS m FROM d GROUP BY label), a AS (SELECT d.label, m, median(abs(d - m)) AS mad FROM d JOIN q ON q.label = d.label GROUP BY d.label, m) SELECT vec_id, round(d, 6) AS distance, round(1 - exp(-greatest(CASE WHEN mad > 0 THEN (d - m) / (1.4826 * mad) ELSE 0.0 END, 0.0) / 2), 6) AS anomaly FROM d JOIN a ON a.label = d.label",
     # H: evaluation
-    "confusion_metrics": f"WITH {SCORES}, c AS (SELECT sum(CASE WHEN y = 1 AND s >= 0.5 THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN y = 0 AND s >= 0.5 THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN y = 1 AND s < 0.5 THEN 1 ELSE 0 END) AS fn, sum(CASE WHEN y = 0 AND s < 0.5 THEN 1 ELSE 0 END) AS tn, avg((s - y) * (s - y)) AS brier FROM sc) SELECT cast(tp AS bigint) AS tp, cast(fp AS bigint) AS fp, cast(fn AS bigint) AS fn, cast(tn AS bigint) AS tn, round(coalesce(tp * 1.0 / nullif(tp + fp, 0), 0.0), 6) AS prec, round(coalesce(tp * 1.0 / nullif(tp + fn, 0), 0.0), 6) AS recall, round(coalesce(10.0 * tp / nullif(10.0 * tp + 9 * fn + fp, 0), 0.0), 6) AS f3, round(brier, 6) AS brier, cast(10 * fn + fp AS bigint) AS expected_cost FROM c",
-    "prevalence_precision": f"WITH {SCORES}, r AS (SELECT sum(CASE WHEN y = 1 AND s >= 0.5 THEN 1.0 ELSE 0.0 END) / nullif(sum(y), 0) AS tpr, sum(CASE WHEN y = 0 AND s >= 0.5 THEN 1.0 ELSE 0.0 END) / nullif(sum(1 - y), 0) AS fpr FROM sc) SELECT cast(pi AS double) AS pi, round(coalesce(tpr * pi / nullif(tpr * pi + fpr * (1 - pi), 0), 0.0), 6) AS prec FROM r CROSS JOIN (VALUES (0.05), (0.01)) AS t(pi)",
-    "config_comparison": f"WITH {SCORES} SELECT cfg, sum(CASE WHEN y = 1 AND blocked = 0 THEN 1 ELSE 0 END) AS attacks_through, sum(CASE WHEN y = 0 AND blocked = 1 THEN 1 ELSE 0 END) AS clean_blocked FROM (SELECT cfg, y, CASE cfg WHEN 'vanilla' THEN 0 WHEN 'none' THEN 1 ELSE CASE WHEN s >= 0.5 THEN 1 ELSE 0 END END AS blocked FROM sc CROSS JOIN (VALUES ('none'), ('vanilla'), ('full')) AS c(cfg)) z GROUP BY cfg",
-    "weakness_grouping_sets": f"WITH {SCORES} SELECT lang, tier, count(*) AS total, sum(CASE WHEN s >= 0.5 THEN 1 ELSE 0 END) AS caught FROM sc WHERE y = 1 GROUP BY GROUPING SETS ((lang), (tier), ())",
-    "clean_calibration": f"WITH {SCORES} SELECT tier, count(*) AS n, round(${{quantile(s, 0.5)}}, 6) AS p50, round(${{quantile(s, 0.95)}}, 6) AS p95, round(100.0 * sum(CASE WHEN s < 0.6 THEN 1 ELSE 0 END) / count(*), 6) AS pct_clean FROM sc WHERE y = 0 GROUP BY ROLLUP (tier)",
     "metric_diff": "SELECT coalesce(a.lang, b.lang) AS lang, a.n AS before_n, b.n AS after_n, coalesce(a.n, 0) <> coalesce(b.n, 0) AS changed FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang) a FULL OUTER JOIN (SELECT lang, count(*) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY lang) b ON a.lang = b.lang",
     # I: quality
     "dq_document": "SELECT doc_id, 'warning' AS severity, CASE WHEN ${size(${kept(${find(text, ${raw([^ \\n]+)})}, x <> '')})} < 90 THEN 'short' ELSE 'long' END AS message FROM documents WHERE ${size(${find(text, ${raw([^ \\n]+)})})} < 90 OR ${size(${find(text, ${raw([^ \\n]+)})})} > 420",
@@ -51,5 +40,4 @@ PLANS: dict[str, str] = {
     "audit_checks": f"WITH {EVENTS} SELECT count(*) AS n, sum(CASE WHEN (headline = 'RED') <> (subtype IS NOT NULL) THEN 1 ELSE 0 END) AS red_breaks, sum(CASE WHEN headline NOT IN ('RED', 'ORANGE', 'GREEN') THEN 1 ELSE 0 END) AS enum_breaks FROM qe",
     "audit_stats": f"WITH {EVENTS} SELECT headline, action, count(*) AS n FROM qe GROUP BY GROUPING SETS ((headline), (action), ())",
     "audit_agreement": f"WITH {EVENTS} SELECT action, decision, count(*) AS n FROM de JOIN qe ON qe.event_id = de.about GROUP BY action, decision",
-    "trust_grades": f"WITH {SCORES} SELECT CASE WHEN 100 * (1 - s) >= 85 THEN 'High' WHEN 100 * (1 - s) >= 70 THEN 'Moderate' WHEN 100 * (1 - s) >= 40 THEN 'Low' ELSE 'Very low' END AS grade, count(*) AS n FROM sc GROUP BY 1",
 }

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from evidentia.functions.storage import written
 from evidentia.operators import clusters, folds, logistic, retrieval, text
+from evidentia.operators import judgement as J
+from evidentia.plans import judged
 from evidentia.streaming.score import event_windows
 
-FEATURES = ["insults", "is_tier1", "is_tier3"]
-INSULTS = "idiot|trash|stupid|moron|scum|clown|loser|pathetic|worthless|disgusting"
+FEATURES = list(J.COEFFICIENTS)
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,11 +19,15 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled documents with standardised features; the group is the source."""
-    tier = 1 + F.substring("source", 4, 9).cast("int") % 3
-    hits = F.regexp_count(F.lower("text"), F.lit(INSULTS))
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", F.log1p(hits).alias("insults"), (tier == 1).cast("int").alias("is_tier1"), (tier == 3).cast("int").alias("is_tier3"))
-    rows = _read(spark, sf_dir, "labels").where("toxic IN (0, 1)").select("doc_id", "toxic").join(docs, "doc_id")
+    """(row, query_id, doc_id, grp, toxic, the standardised features) of every retrieved document with a label.
+
+    The poisoned documents of a source are one group, as they are of one hand; every clean document is one of its own.
+    """
+    labels = _read(spark, sf_dir, "labels").where("toxic IN (0, 1)").select("doc_id", "toxic")
+    sources = _read(spark, sf_dir, "documents").select("doc_id", "source")
+    rows = J.encoded(judged.signals(spark, sf_dir)).join(labels, "doc_id").join(sources, "doc_id")
+    group = F.when(F.col("toxic") == 1, F.concat(F.lit("family:"), "source")).otherwise(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")))
+    rows = rows.select(F.concat_ws(":", "query_id", "doc_id").alias("row"), "query_id", "doc_id", group.alias("grp"), "toxic", *FEATURES)
     return written(logistic.standardised(rows, FEATURES), "training-rows")
 
 
@@ -43,10 +48,10 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lr_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coefficients at the chosen strength, and the calibration's intercept and slope."""
     rows = training_rows(spark, sf_dir)
-    strength = logistic.choose_strength(rows, FEATURES, "toxic", "source")
+    strength = logistic.choose_strength(rows, FEATURES, "toxic", "grp")
     one = logistic.weighted(rows, "toxic").withColumn("model", F.lit(0))
     beta = logistic.fit(one, FEATURES, {0: strength}).get(0, [0.0] * (1 + len(FEATURES)))
-    intercept, slope = logistic.calibrate(rows, FEATURES, "toxic", "source", strength)
+    intercept, slope = logistic.calibrate(rows, FEATURES, "toxic", "grp", strength)
     named = [*zip(["intercept", *FEATURES], beta, strict=True), ("platt_intercept", intercept), ("platt_slope", slope), ("strength", strength)]
     return spark.createDataFrame([(n, round(float(v), 6)) for n, v in named], "name string, value double")
 
@@ -64,15 +69,15 @@ def fold_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def calibrated_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The probability that each labelled document is poisoned, as the mean of the calibrated folds."""
+    """The probability that each retrieved document with a label is poisoned, as the mean of the calibrated folds."""
     rows = training_rows(spark, sf_dir)
-    found = logistic.probabilities(rows, FEATURES, logistic.calibrated(rows, FEATURES, "toxic", "source", 1.0), "doc_id")
-    return found.select("doc_id", F.round("p", 6).alias("p"))
+    found = logistic.probabilities(rows, FEATURES, logistic.calibrated(rows, FEATURES, "toxic", "grp", 1.0), "row")
+    return found.join(rows.select("row", "query_id", "doc_id"), "row").select("query_id", "doc_id", F.round("p", 6).alias("p"))
 
 
 def bootstrap_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row of coefficients for each resample."""
-    found = logistic.bootstrap(training_rows(spark, sf_dir), FEATURES, "toxic", "doc_id", 1.0)
+    found = logistic.bootstrap(training_rows(spark, sf_dir), FEATURES, "toxic", "row", 1.0)
     schema = "resample int, intercept double, " + ", ".join(f"{f} double" for f in FEATURES)
     return spark.createDataFrame([(k, *(round(float(v), 6) for v in b)) for k, b in sorted(found.items())], schema)
 

@@ -1,30 +1,32 @@
-"""How well scores and dispositions separate poisoned from clean documents.
+"""How well risk, signals and dispositions separate poisoned from clean documents.
 
-labels.toxic marks poisoned documents; the score of a document is the share that insults make, and
-that of a retrieved document is its risk.  Benchmark items with even ids are the attacked queries.
+labels.toxic marks poisoned documents.  What is scored is every retrieved document that has a label, by its
+risk.  Benchmark items with even ids are the attacked queries, the others are clean ones.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.functions.storage import written
 from evidentia.operators import judgement as J
 from evidentia.operators import sweep
+from evidentia.operators.quantiles import quantiles
 from evidentia.plans import judged
 
-# The alert budget, and the score at which one signal alone would block.
-BUDGET, NAIVE = 0.10, 0.5
-INSULTS = "idiot|trash|stupid|moron|scum|clown|loser|pathetic|worthless|disgusting"
+# The alert budget, the score at which one signal alone would block, the cost of a missed attack,
+# the weight of recall, the prevalences that precision is restated for, and the least trust of each grade.
+BUDGET, NAIVE, MISSED, BETA = 0.10, 0.5, 10, 3
+PREVALENCES = (0.05, 0.01)
+GRADES = ((85, "High"), (70, "Moderate"), (40, "Low"))
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, y, s) of every labelled document."""
-    docs = judged.read(spark, sf_dir, "documents").select("doc_id", "text")
-    labelled = judged.read(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("y")).join(docs, "doc_id")
-    hits = F.regexp_count(F.lower("text"), F.lit(INSULTS))
-    return written(labelled.select("doc_id", "y", F.round(hits / (1 + hits), 6).alias("s")), "scores")
+    """(y, s): label and risk of every retrieved document that has a label."""
+    return _retrieved(spark, sf_dir).select("y", F.col("risk").alias("s"))
 
 
 def _table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,28 +85,122 @@ def signal_separation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("signal", F.round("mp", 6).alias("mean_poisoned"), F.round("mn", 6).alias("mean_clean"), F.round(F.col("mp") - F.col("mn"), 6).alias("difference"), "auc", (F.col("auc") < 0.5).alias("inverted"))
 
 
+def _outcomes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """What became of each query, and of each document that it retrieved, both written."""
+    out = J.scored(judged.cut_signals(spark, sf_dir))
+    gates = {"tier_rule": ~F.col("tier").eqNullSafe(1), "taxonomy": F.col("case_action") != "ACCEPT", "score_track": F.col("score_action") != "ACCEPT", "confidence_floor": F.col("forced_review")}
+    out = out.select("query_id", "tier", "case_id", "headline", F.col("action").isin("REJECT", "ESCALATE").alias("blocked"), (F.col("action") == "ACCEPT").alias("vouched"), (F.col("query_id") % 2 == 0).alias("target"), *[c.alias(n) for n, c in gates.items()], "docs")
+    poisoned = judged.read(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct().withColumn("bad", F.lit(True))
+    docs = out.select("query_id", "case_id", "headline", "blocked", "vouched", F.explode("docs").alias("d")).select("query_id", "case_id", "headline", "blocked", "vouched", "d.doc_id", "d.source", "d.tier").join(poisoned, "doc_id", "left")
+    docs = written(docs.withColumn("bad", F.coalesce("bad", F.lit(False))), "judged-docs")
+    return written(out.drop("docs").join(docs.groupBy("query_id").agg(F.bool_or("bad").alias("reached")), "query_id"), "outcomes"), docs
+
+
+def _ratio(when: Column, of: Column) -> Column:
+    return F.round(F.try_divide(F.count_if(of & when), F.count_if(of)), 6)
+
+
 def disposition_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exposure, vouching, disposition mix and clean clearance over all judged queries."""
-    rows = judged.cut_signals(spark, sf_dir)
-    out = J.scored(rows).select("query_id", "tier", "headline", F.col("action").isin("REJECT", "ESCALATE").alias("blocked"), (F.col("action") == "ACCEPT").alias("vouched"), (F.col("query_id") % 2 == 0).alias("target"), "docs.doc_id")
-    poisoned = judged.read(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
-    docs = out.select("query_id", "headline", "blocked", "vouched", F.explode("doc_id").alias("doc_id")).join(poisoned.withColumn("bad", F.lit(True)), "doc_id", "left")
-    docs = written(docs.withColumn("bad", F.coalesce("bad", F.lit(False))), "judged-docs")
-    out = out.drop("doc_id").join(docs.groupBy("query_id").agg(F.bool_or("bad").alias("reached")), "query_id")
-    ratio = lambda when, of: F.round(F.try_divide(F.count_if(of & when), F.count_if(of)), 6)
+    out, docs = _outcomes(spark, sf_dir)
     every, opportunity, clean = F.lit(True), F.col("target") & F.col("reached"), ~F.col("target")
     by_query = out.agg(
-        F.count("*").alias("n_queries"), F.count_if(opportunity).alias("n_opportunities"), ratio(~F.col("blocked"), opportunity).alias("asr_exposure"), ratio(F.col("vouched"), opportunity).alias("asr_vouched"),
-        ratio(F.col("vouched"), every).alias("auto_accept_rate"), ratio(~F.col("vouched") & ~F.col("blocked"), every).alias("review_rate"), ratio(F.col("blocked"), every).alias("blocked_rate"),
-        ratio(~F.col("vouched"), clean).alias("clean_not_accepted"), ratio((F.col("headline") == "GREEN") & F.col("vouched"), clean).alias("clean_queries_cleared"), ratio(F.col("tier") == 1, clean).alias("green_eligible"),
+        F.count("*").alias("n_queries"), F.count_if(opportunity).alias("n_opportunities"), _ratio(~F.col("blocked"), opportunity).alias("asr_exposure"), _ratio(F.col("vouched"), opportunity).alias("asr_vouched"),
+        _ratio(F.col("vouched"), every).alias("auto_accept_rate"), _ratio(~F.col("vouched") & ~F.col("blocked"), every).alias("review_rate"), _ratio(F.col("blocked"), every).alias("blocked_rate"),
+        _ratio(~F.col("vouched"), clean).alias("clean_not_accepted"), _ratio((F.col("headline") == "GREEN") & F.col("vouched"), clean).alias("clean_queries_cleared"), _ratio(F.col("tier") == 1, clean).alias("green_eligible"),
     )
     by_doc = docs.agg(
-        ratio(F.col("blocked"), ~F.col("bad")).alias("false_positive_rate"), ratio((F.col("headline") == "GREEN") & F.col("vouched"), ~F.col("bad")).alias("clean_docs_cleared"),
-        ratio(F.col("vouched"), F.col("bad")).alias("false_negative_rate"), ratio(~F.col("blocked"), F.col("bad")).alias("poisoned_exposure"),
+        _ratio(F.col("blocked"), ~F.col("bad")).alias("false_positive_rate"), _ratio((F.col("headline") == "GREEN") & F.col("vouched"), ~F.col("bad")).alias("clean_docs_cleared"),
+        _ratio(F.col("vouched"), F.col("bad")).alias("false_negative_rate"), _ratio(~F.col("blocked"), F.col("bad")).alias("poisoned_exposure"),
     )
     return by_query.crossJoin(F.broadcast(by_doc))  # one row each
 
 
+def config_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same queries without retrieval, with plain retrieval, and judged: one pass over one relation of outcomes.
+
+    Without retrieval nothing can be reached or blocked, so those zeros say nothing of quality (``structural``)."""
+    out, docs = _outcomes(spark, sf_dir)
+    none, every = F.lit(False), F.lit(True)
+    as_if = lambda rows, configs, keep: rows.select(*keep, F.explode(F.array(*[F.struct(F.lit(n).alias("config"), *[c.alias(k) for k, c in of.items()]) for n, of in configs.items()])).alias("x")).select(*keep, "x.*")
+    judged_ = {"blocked": F.col("blocked"), "vouched": F.col("vouched")}
+    plain = {"blocked": none, "vouched": every}
+    queries = as_if(out, {"none": {"reached": none, **plain}, "vanilla": {"reached": F.col("reached"), **plain}, "full": {"reached": F.col("reached"), **judged_}}, ["query_id", "target"])
+    opportunity = F.col("target") & F.col("reached")
+    by_query = queries.groupBy("config").agg(
+        F.count("*").alias("n_queries"), F.count_if(opportunity).alias("n_opportunities"), F.count_if(opportunity & ~F.col("blocked")).alias("attacks_through"), F.count_if(opportunity & F.col("vouched")).alias("attacks_vouched"),
+        _ratio(~F.col("blocked"), opportunity).alias("asr_exposure"), _ratio(F.col("vouched"), opportunity).alias("asr_vouched"), _ratio(F.col("vouched"), every).alias("accepted"), _ratio(F.col("blocked"), every).alias("blocked_queries"),
+    )
+    rows = as_if(docs, {"vanilla": plain, "full": judged_}, ["bad"])
+    by_doc = rows.groupBy("config").agg(F.count("*").alias("n_docs"), F.count_if(~F.col("bad") & F.col("blocked")).alias("clean_blocked"), _ratio(F.col("blocked"), ~F.col("bad")).alias("clean_blocked_rate"), _ratio(~F.col("blocked"), F.col("bad")).alias("poisoned_exposure"))
+    met = by_query.join(by_doc, "config", "left").withColumn("structural", F.col("n_docs").isNull())
+    return met.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_docs", "clean_blocked")})
+
+
+def weakness_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retrieved poisoned documents by family (their source), tier and case: how many there are, are blocked, and are vouched for."""
+    _, docs = _outcomes(spark, sf_dir)
+    rows = docs.where("bad").select(F.col("source").alias("family"), "tier", "case_id", "blocked", "vouched")
+    sets = rows.groupingSets([["family"], ["tier"], ["case_id"], []], "family", "tier", "case_id")
+    return sets.agg(F.count("*").alias("total"), F.count_if("blocked").alias("caught"), F.count_if("vouched").alias("vouched_for"), F.grouping_id().cast("int").alias("level")).where("total > 0")
+
+
+def _clean_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(signal, tier, v, suspicious, malicious) of the documents not known to be poisoned that clean queries retrieve; each also under tier all."""
+    poisoned = judged.read(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
+    docs = judged.cut_signals(spark, sf_dir).where("query_id % 2 = 1").select("cuts", F.explode("docs").alias("d")).select("cuts", "d.*").join(poisoned, "doc_id", "left_anti")
+    read = F.array(*[F.struct(F.lit(s).alias("signal"), F.col(s).alias("v"), F.col("cuts")["suspicious"][s].alias("suspicious"), F.col("cuts")["malicious"][s].alias("malicious")) for s in J.SIGNALS])
+    long = docs.select("tier", F.inline(read)).where("v is not null")
+    return written(long.withColumn("tier", F.explode(F.array(F.col("tier").cast("string"), F.lit("all")))), "clean-readings")
+
+
+def clean_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the signals read what is clean, by tier and over all: exact quantiles, and the share in each band."""
+    rows = _clean_readings(spark, sf_dir)
+    at = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+    q = quantiles(rows, ["signal", "tier"], F.col("v"), tuple(at.values())).groupBy("signal", "tier").agg(*[F.round(F.max(F.when(F.col("q") == x, F.col("value"))), 6).alias(n) for n, x in at.items()])
+    percent = lambda when: F.round(100 * F.count_if(when) / F.count("*"), 4)
+    low, high = F.col("suspicious").isNull() | (F.col("v") < F.col("suspicious")), F.col("malicious").isNotNull() & (F.col("v") >= F.col("malicious"))
+    shares = rows.groupBy("signal", "tier").agg(F.count("*").alias("n"), F.max("v").alias("highest"), percent(low).alias("pct_clean"), percent(~low & ~high).alias("pct_suspicious"), percent(high).alias("pct_malicious"))
+    return shares.join(q, ["signal", "tier"])
+
+
+def clean_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands between a clean query and GREEN, by gate: how many queries it stops, and whether it alone stops all."""
+    out, _ = _outcomes(spark, sf_dir)
+    gates = ["tier_rule", "taxonomy", "score_track", "confidence_floor"]
+    green = reduce(lambda a, b: a & b, [~F.col(g) for g in gates]) & (F.col("headline") == "GREEN") & F.col("vouched")
+    counts = out.where(~F.col("target")).agg(F.count("*").alias("n"), *[F.count_if(g).alias(g) for g in gates], F.count_if(green).alias("reached_green"))
+    return counts.unpivot(["n"], [*gates, "reached_green"], "gate", "queries").select("gate", "queries", "n", ((F.col("gate") != "reached_green") & (F.col("queries") == F.col("n"))).alias("binding"))
+
+
+def confusion_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The risk as a classifier that blocks from one half on."""
+    y, said = F.col("y") == 1, F.col("s") >= NAIVE
+    counts = scores(spark, sf_dir).where("y is not null and s is not null").agg(F.count_if(y & said).alias("tp"), F.count_if(~y & said).alias("fp"), F.count_if(y & ~said).alias("fn"), F.count_if(~y & ~said).alias("tn"), F.round(F.avg((F.col("s") - F.col("y")) * (F.col("s") - F.col("y"))), 6).alias("brier"))
+    share = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 6)
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    f = (1 + BETA * BETA) * tp
+    return counts.select("tp", "fp", "fn", "tn", share(tp, tp + fp).alias("prec"), share(tp, tp + fn).alias("recall"), share(f, f + BETA * BETA * fn + fp).alias("f3"), "brier", (MISSED * fn + fp).alias("expected_cost"))
+
+
+def prevalence_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision restated for rarer attacks, from the rates that do not depend on how many there are."""
+    y, said = F.col("y") == 1, F.col("s") >= NAIVE
+    rates = scores(spark, sf_dir).agg(F.try_divide(F.count_if(y & said), F.count_if(y)).alias("tpr"), F.try_divide(F.count_if(~y & said), F.count_if(~y)).alias("fpr"))
+    rows = rates.select("tpr", "fpr", F.explode(F.array(*map(F.lit, PREVALENCES))).alias("pi"))
+    return rows.select("pi", F.round(F.coalesce(F.try_divide(F.col("tpr") * F.col("pi"), F.col("tpr") * F.col("pi") + F.col("fpr") * (1 - F.col("pi"))), F.lit(0.0)), 6).alias("prec"))
+
+
+def trust_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retrieved documents by the grade of their trust."""
+    trust = 100 * (1 - F.col("s"))
+    grade = F.lit("Very low")
+    for least, name in reversed(GRADES):
+        grade = F.when(trust >= least, name).otherwise(grade)
+    return scores(spark, sf_dir).groupBy(grade.alias("grade")).agg(F.count("*").alias("n"))
+
+
 def direction_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether poisoned documents support a claim better than the clean ones that answer it.
 
@@ -115,4 +211,4 @@ def direction_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.agg(F.count("*").alias("n"), F.round(F.avg("poisoned"), 6).alias("poisoned"), F.round(F.avg("clean"), 6).alias("clean"), (F.avg("poisoned") > F.avg("clean")).alias("holds"))
 
 
-QUERIES = {f.__name__: f for f in (roc_auc, average_precision, recall_at_budget, derive_thresholds, naive_baseline, attack_success, signal_separation, disposition_metrics, direction_check)}
+QUERIES = {f.__name__: f for f in (roc_auc, average_precision, recall_at_budget, derive_thresholds, naive_baseline, attack_success, signal_separation, disposition_metrics, config_comparison, weakness_grouping_sets, clean_calibration, clean_gates, confusion_metrics, prevalence_precision, trust_grades, direction_check)}

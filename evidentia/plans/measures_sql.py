@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from evidentia.plans.judged_sql import BAND, CASE_TABLE, HEADLINE, JUDGED, RISK, SIGNALS
 
-SCORES = "h AS (SELECT doc_id, len(regexp_extract_all(lower(text), 'idiot|trash|stupid|moron|scum|clown|loser|pathetic|worthless|disgusting')) AS k FROM documents WHERE text IS NOT NULL), sc AS (SELECT toxic AS y, round(k / (1.0 + k), 6) AS s FROM labels JOIN h USING (doc_id) WHERE toxic IS NOT NULL)"
 # every threshold against every row: slow, and plain
 SWEEP = "th AS (SELECT DISTINCT s AS t FROM sc UNION SELECT 0.0 UNION SELECT 1.0), sw AS (SELECT t, count(*) FILTER (s >= t AND y = 1) AS tp, count(*) FILTER (s >= t AND y = 0) AS fp, count(*) FILTER (y = 1) AS p, count(*) FILTER (y = 0) AS n FROM th, sc GROUP BY t)"
 ROWS = f"""{SIGNALS}, {RISK.strip()}, {CASE_TABLE},
 rows AS (SELECT sig.query_id, sig.doc_id, unsupport, anomaly, injection, conflict, round(risk, 9) AS risk, k.action IN ('REJECT', 'ESCALATE') AS blocked, toxic AS y, list_max([unsupport, anomaly, injection, conflict]) AS worst
   FROM sig CROSS JOIN cut JOIN risk_of r ON r.query_id = sig.query_id AND r.doc_id = sig.doc_id JOIN case_of k ON k.tier = sig.tier AND k.band = ({BAND.format(u='unsupport', a='anomaly', i='injection', c='conflict')}) JOIN labels ON labels.doc_id = sig.doc_id)"""
 
+SCORES = f"{ROWS}, sc AS (SELECT y, risk AS s FROM rows WHERE y IS NOT NULL AND risk IS NOT NULL)"
+OUTCOMES = f"""{JUDGED}, o AS MATERIALIZED (SELECT query_id, tier, case_id, {HEADLINE} AS headline, action IN ('REJECT', 'ESCALATE') AS blocked, action = 'ACCEPT' AS vouched, query_id % 2 = 0 AS target, EXISTS (SELECT 1 FROM top JOIN labels USING (doc_id) WHERE toxic = 1 AND top.query_id = final.query_id) AS reached,
+  tier IS DISTINCT FROM 1 AS tier_rule, case_action <> 'ACCEPT' AS taxonomy, score_action <> 'ACCEPT' AS score_track, confidence < 0.35 AS confidence_floor FROM final),
+d AS MATERIALIZED (SELECT o.query_id, o.case_id, o.headline, o.blocked, o.vouched, sig.doc_id, sig.source, sig.tier, sig.doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS bad FROM o JOIN sig ON sig.query_id = o.query_id)"""
+
 SQL = {
     "roc_auc": f"WITH {SCORES} SELECT round(avg(CASE WHEN a.s > b.s THEN 1.0 WHEN a.s = b.s THEN 0.5 ELSE 0.0 END), 6) AS auc FROM sc a, sc b WHERE a.y = 1 AND b.y = 0",
     "average_precision": f"WITH {SCORES}, {SWEEP}, g AS (SELECT t, tp, fp, p, tp - coalesce(lag(tp) OVER (ORDER BY t DESC), 0) AS more FROM sw) SELECT round(sum(more / p * tp / (tp + fp)) FILTER (tp + fp > 0), 6) AS ap FROM g",
@@ -19,11 +23,28 @@ SQL = {
     "naive_baseline": f"WITH {ROWS} SELECT query_id, doc_id, round(worst, 6) AS score, worst >= 0.5 AS blocked FROM rows",
     "attack_success": f"WITH {ROWS}, rate AS (SELECT count(*) FILTER (y = 1) AS np, count(*) FILTER (y = 0) AS nn, count(*) FILTER (y = 1 AND worst < 0.5) AS bp, count(*) FILTER (y = 1 AND NOT blocked) AS cp, count(*) FILTER (y = 0 AND worst >= 0.5) AS bf, count(*) FILTER (y = 0 AND blocked) AS cf FROM rows), sc AS (SELECT y, risk AS s FROM rows), {SWEEP} SELECT round(coalesce(bp / nullif(np, 0), 0), 6) AS asr_baseline, round(coalesce(cp / nullif(np, 0), 0), 6) AS asr_cases, round(coalesce(bf / nullif(nn, 0), 0), 6) AS baseline_false, round(coalesce(cf / nullif(nn, 0), 0), 6) AS cases_false, (SELECT round(min(1 - tp / p), 6) FROM sw WHERE fp * nn <= bf * n) AS asr_at_baseline_false, np AS n_poisoned, nn AS n_clean FROM rate",
     "signal_separation": f"WITH {ROWS}, wide AS (UNPIVOT (SELECT y, unsupport, anomaly, injection, conflict FROM rows) ON unsupport, anomaly, injection, conflict INTO NAME signal VALUE v), long AS (SELECT y, signal, round(v, 9) AS s FROM wide), m AS (SELECT signal, avg(s) FILTER (y = 1) AS mp, avg(s) FILTER (y = 0) AS mn FROM long GROUP BY signal), u AS (SELECT a.signal, round(avg(CASE WHEN a.s > b.s THEN 1.0 WHEN a.s = b.s THEN 0.5 ELSE 0.0 END), 6) AS auc FROM long a JOIN long b ON a.signal = b.signal AND a.y = 1 AND b.y = 0 GROUP BY a.signal) SELECT signal, round(mp, 6) AS mean_poisoned, round(mn, 6) AS mean_clean, round(mp - mn, 6) AS difference, coalesce(auc, 0.0) AS auc, coalesce(auc, 0.0) < 0.5 AS inverted FROM m LEFT JOIN u USING (signal)",
-    "disposition_metrics": f"""{JUDGED}, o AS (SELECT query_id, tier, {HEADLINE} AS headline, action IN ('REJECT', 'ESCALATE') AS blocked, action = 'ACCEPT' AS vouched, query_id % 2 = 0 AS target, EXISTS (SELECT 1 FROM top JOIN labels USING (doc_id) WHERE toxic = 1 AND top.query_id = final.query_id) AS reached FROM final),
-d AS (SELECT o.*, top.doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS bad FROM o JOIN top ON top.query_id = o.query_id)
+    "disposition_metrics": f"""{OUTCOMES}
 SELECT * FROM (SELECT count(*) AS n_queries, count(*) FILTER (target AND reached) AS n_opportunities, round(count(*) FILTER (target AND reached AND NOT blocked) / nullif(count(*) FILTER (target AND reached), 0), 6) AS asr_exposure, round(count(*) FILTER (target AND reached AND vouched) / nullif(count(*) FILTER (target AND reached), 0), 6) AS asr_vouched,
   round(count(*) FILTER (vouched) / count(*), 6) AS auto_accept_rate, round(count(*) FILTER (NOT vouched AND NOT blocked) / count(*), 6) AS review_rate, round(count(*) FILTER (blocked) / count(*), 6) AS blocked_rate, round(count(*) FILTER (NOT target AND NOT vouched) / count(*) FILTER (NOT target), 6) AS clean_not_accepted,
   round(count(*) FILTER (NOT target AND vouched AND headline = 'GREEN') / count(*) FILTER (NOT target), 6) AS clean_queries_cleared, round(count(*) FILTER (NOT target AND tier = 1) / count(*) FILTER (NOT target), 6) AS green_eligible FROM o) a,
 (SELECT round(count(*) FILTER (NOT bad AND blocked) / nullif(count(*) FILTER (NOT bad), 0), 6) AS false_positive_rate, round(count(*) FILTER (NOT bad AND vouched AND headline = 'GREEN') / nullif(count(*) FILTER (NOT bad), 0), 6) AS clean_docs_cleared, round(count(*) FILTER (bad AND vouched) / nullif(count(*) FILTER (bad), 0), 6) AS false_negative_rate, round(count(*) FILTER (bad AND NOT blocked) / nullif(count(*) FILTER (bad), 0), 6) AS poisoned_exposure FROM d) b""",
+    "config_comparison": f"""{OUTCOMES}, c(config) AS (VALUES ('none'), ('vanilla'), ('full')),
+q AS (SELECT config, target AND reached AND config <> 'none' AS chance, blocked AND config = 'full' AS blocked, vouched OR config <> 'full' AS vouched FROM o, c),
+e AS (SELECT config, bad, blocked AND config = 'full' AS blocked FROM d, c WHERE config <> 'none'),
+b AS (SELECT config, count(*) AS n_docs, count(*) FILTER (blocked AND NOT bad) AS clean_blocked, round(count(*) FILTER (blocked AND NOT bad) / nullif(count(*) FILTER (NOT bad), 0), 6) AS clean_blocked_rate, round(count(*) FILTER (bad AND NOT blocked) / nullif(count(*) FILTER (bad), 0), 6) AS poisoned_exposure FROM e GROUP BY config)
+SELECT q.config, count(*) AS n_queries, count(*) FILTER (chance) AS n_opportunities, count(*) FILTER (chance AND NOT blocked) AS attacks_through, count(*) FILTER (chance AND vouched) AS attacks_vouched, round(count(*) FILTER (chance AND NOT blocked) / nullif(count(*) FILTER (chance), 0), 6) AS asr_exposure, round(count(*) FILTER (chance AND vouched) / nullif(count(*) FILTER (chance), 0), 6) AS asr_vouched,
+  round(avg(vouched::int), 6) AS accepted, round(avg(blocked::int), 6) AS blocked_queries, coalesce(any_value(n_docs), 0) AS n_docs, coalesce(any_value(clean_blocked), 0) AS clean_blocked, any_value(clean_blocked_rate) AS clean_blocked_rate, any_value(poisoned_exposure) AS poisoned_exposure, q.config = 'none' AS structural FROM q LEFT JOIN b ON b.config = q.config GROUP BY q.config""",
+    "weakness_grouping_sets": f"""{OUTCOMES}, bad_docs AS (SELECT * FROM d WHERE bad), weak AS (SELECT source AS family, NULL::int AS tier, NULL::varchar AS case_id, blocked, vouched, 3 AS level FROM bad_docs UNION ALL SELECT NULL, tier, NULL, blocked, vouched, 5 FROM bad_docs UNION ALL SELECT NULL, NULL, case_id, blocked, vouched, 6 FROM bad_docs UNION ALL SELECT NULL, NULL, NULL, blocked, vouched, 7 FROM bad_docs)
+SELECT family, tier, case_id, count(*) AS total, count(*) FILTER (blocked) AS caught, count(*) FILTER (vouched) AS vouched_for, level FROM weak GROUP BY family, tier, case_id, level""",
+    "clean_calibration": f"""WITH {SIGNALS}, l AS (UNPIVOT (SELECT tier, unsupport, anomaly, injection, conflict FROM sig WHERE query_id % 2 = 1 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)) ON unsupport, anomaly, injection, conflict INTO NAME signal VALUE v),
+r AS (SELECT signal, tier::varchar AS tier, v FROM l UNION ALL SELECT signal, 'all', v FROM l)
+SELECT r.signal, r.tier, count(*) AS n, max(v) AS highest, round(100 * count(*) FILTER (suspicious IS NULL OR v < suspicious) / count(*), 4) AS pct_clean, round(100 * count(*) FILTER (v >= suspicious AND v < malicious) / count(*), 4) AS pct_suspicious, round(100 * count(*) FILTER (v >= malicious) / count(*), 4) AS pct_malicious,
+  round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.9), 6) AS p90, round(quantile_cont(v, 0.95), 6) AS p95, round(quantile_cont(v, 0.99), 6) AS p99 FROM r JOIN thr ON thr.signal = r.signal GROUP BY r.signal, r.tier""",
+    "clean_gates": f"""{OUTCOMES}, c AS (SELECT * FROM o WHERE NOT target), g AS (SELECT 'tier_rule' AS gate, tier_rule AS stops FROM c UNION ALL SELECT 'taxonomy', taxonomy FROM c UNION ALL SELECT 'score_track', score_track FROM c UNION ALL SELECT 'confidence_floor', confidence_floor FROM c
+  UNION ALL SELECT 'reached_green', NOT (tier_rule OR taxonomy OR score_track OR confidence_floor) AND headline = 'GREEN' AND vouched FROM c)
+SELECT gate, count(*) FILTER (stops) AS queries, count(*) AS n, gate <> 'reached_green' AND count(*) = count(*) FILTER (stops) AS binding FROM g GROUP BY gate""",
+    "confusion_metrics": f"WITH {SCORES}, c AS (SELECT sum((y = 1 AND s >= 0.5)::int)::bigint AS tp, sum((y = 0 AND s >= 0.5)::int)::bigint AS fp, sum((y = 1 AND s < 0.5)::int)::bigint AS fn, sum((y = 0 AND s < 0.5)::int)::bigint AS tn, round(avg((s - y) ^ 2), 6) AS brier FROM sc) SELECT tp, fp, fn, tn, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS prec, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS recall, round(CASE WHEN 10 * tp + 9 * fn + fp > 0 THEN 10 * tp / (10 * tp + 9 * fn + fp) ELSE 0 END, 6) AS f3, brier, 10 * fn + fp AS expected_cost FROM c",
+    "prevalence_precision": f"WITH {SCORES}, r AS (SELECT avg((s >= 0.5)::int) FILTER (y = 1) AS tpr, avg((s >= 0.5)::int) FILTER (y = 0) AS fpr FROM sc) SELECT pi::double AS pi, round(coalesce(tpr * pi / nullif(tpr * pi + fpr * (1 - pi), 0), 0), 6) AS prec FROM r, (VALUES (0.05), (0.01)) t(pi)",
+    "trust_grades": f"WITH {SCORES} SELECT CASE WHEN 100 * (1 - s) >= 85 THEN 'High' WHEN 100 * (1 - s) >= 70 THEN 'Moderate' WHEN 100 * (1 - s) >= 40 THEN 'Low' ELSE 'Very low' END AS grade, count(*) AS n FROM sc GROUP BY 1",
     "direction_check": f"WITH {ROWS}, per AS (SELECT query_id, max(1 - unsupport) FILTER (y = 1) AS p, max(1 - unsupport) FILTER (y = 0) AS c FROM rows GROUP BY query_id) SELECT count(*) AS n, round(avg(p), 6) AS poisoned, round(avg(c), 6) AS clean, avg(p) > avg(c) AS holds FROM per WHERE p IS NOT NULL AND c IS NOT NULL",
 }
