@@ -14,7 +14,7 @@ PLACES, CELLS = 9, 1 << 16
 
 
 def quantiles(rows: DataFrame, by: Sequence[str], value: Column, at: Sequence[float]) -> DataFrame:
-    """(by..., q, n, value): for each group and each q of ``at`` the quantile of ``value``, linear between the neighbours.
+    """(by..., q, n, value, lower): for each group and each q of ``at`` the quantile of ``value``, linear between the neighbours, and the lower neighbour.
 
     Values are rounded to ``PLACES``; those below 0 or above 1 are right too, but share the first or last
     cell.  Null values are left out, groups without any have no row; keys must not be null.  Rows are
@@ -36,4 +36,4 @@ def quantiles(rows: DataFrame, by: Sequence[str], value: Column, at: Sequence[fl
     picked = picked.withColumn("start", F.col("before") + F.coalesce(F.sum("k").over(within), F.lit(0))).select(*by, "cell", "v", "k", "start")
     met = wanted.select(*by, "cell", "q", "n", "place", "low", "high").join(picked, [*by, "cell"])
     found = met.groupBy(*by, "q", "n", "place", "low").agg(F.max(F.when(holds("low", "start", "k"), F.col("v"))).alias("a"), F.max(F.when(holds("high", "start", "k"), F.col("v"))).alias("b"))
-    return found.select(*by, "q", "n", (F.col("a") + (F.col("place") - F.col("low")) * (F.col("b") - F.col("a"))).alias("value"))
+    return found.select(*by, "q", "n", (F.col("a") + (F.col("place") - F.col("low")) * (F.col("b") - F.col("a"))).alias("value"), F.col("a").alias("lower"))

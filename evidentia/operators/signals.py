@@ -111,7 +111,11 @@ def measured(docs: DataFrame, queries: DataFrame) -> DataFrame:
     injection and conflict.  ``docs`` has doc_id, text and source, ``queries`` query_id and text.
     Queries that retrieve nothing have no row.
     """
-    top = ranked(bm25(docs, queries), TOP)
+    return of_hits(ranked(bm25(docs, queries), TOP), docs, queries)
+
+
+def of_hits(top: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """``measured`` for hits (query_id, doc_id, score, rnk) that are found already."""
     hits = top.join(docs, "doc_id").join(queries.select("query_id", F.col("text").alias("claim")), "query_id")
     hits = hits.select(
         "query_id", "doc_id", "rnk", "score", "source", tier(F.col("source")).alias("tier"), F.col("text"), F.round(W.coverage(F.col("text"), F.col("claim")), SIX).alias("entailment"),

@@ -43,6 +43,12 @@ SQL = {
     "report_facts": f"{_ROWS} SELECT query_id, place, template_id, split_part(f, '|', 1) AS slot, split_part(f, '|', 2) AS pointer, split_part(f, '|', 3) AS said, true AS resolved FROM (SELECT *, unnest(facts) AS f FROM told)",
     "report_grounding": f"{_ROWS} SELECT query_id, 0 AS n_ungrounded, sum(len(facts))::bigint AS n_facts, 0::bigint AS n_unresolved FROM told GROUP BY query_id",
     "report_caveats": f"{_ROWS} SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY o) - 1)::int AS place, caveat FROM cav",
+    "audit_recorded": f"""{_ROWS}, ev AS (SELECT query_id, string_agg(doc_id, ',' ORDER BY rnk) AS ids, max(tier)::int AS tier_min, string_agg((tier = 1)::int || '/' || (tier = 3)::int, ',' ORDER BY rnk) AS tiers FROM sig GROUP BY query_id)
+SELECT 'evt-' || substr(sha256(query || '|2026-01-01T00:00:00+00:00'), 1, 32) AS event_id, '2026-01-01T00:00:00+00:00' AS created_at, sha256(query) AS query_hash, ids AS retrieved_doc_ids, u AS unsupport_max, a AS anomaly_max, i AS injection_max, c AS conflict_max, d_conflict_max, tier AS tier_governing, tier_min, n_docs::int AS n_retrieved,
+  round(n_eff, 6) AS n_eff, band, rule AS band_rule, case_id, matched AS all_matched_cases, tiers AS feature_tiers, case_action AS taxonomy_action, round(risk, 6) AS risk_score, round(risk_hi, 6) AS risk_p_upper, round(100 * (1 - round(risk, 6)), 6) AS trust_percent, round(100 * (1 - round(risk_hi, 6)), 6) AS trust_low, round(100 * (1 - round(risk_lo, 6)), 6) AS trust_high,
+  score_action, confidence, confidence < 0.35 AS forced_review, action AS final_action, priority AS risk_priority, headline, subtype AS headline_subtype,
+  CASE WHEN priority = 'P0' OR action = 'ESCALATE' THEN 'CRITICAL' WHEN priority IN ('P1', 'P2') OR action = 'REJECT' THEN 'HIGH' WHEN priority = 'P3' OR action = 'REVIEW' THEN 'MEDIUM' WHEN priority = 'P4' THEN 'LOW' ELSE 'INFORMATIONAL' END AS risk_tier, n_entities AS entities, (SELECT count(*) FROM line WHERE line.query_id = rep.query_id)::int AS n_reasons,
+  'published' AS model_version, 'design-v1.2' AS taxonomy_version, 'patterns' AS injection_version, false AS backends_are_models, false AS is_verification_sample FROM rep JOIN ev USING (query_id)""",
     "report_documents": f"""{_ROWS} SELECT query_id, 'rpt-' || substr(sha256(query || '|2026-01-01T00:00:00+00:00'), 1, 16) AS report_id, headline, case_id, action, n_entities, n_docs::int AS n_docs, (SELECT count(*) FROM line WHERE line.query_id = rep.query_id)::int AS n_sentences, (SELECT count(*) FROM cav WHERE cav.query_id = rep.query_id)::int AS n_caveats,
   CASE greatest(CASE priority WHEN 'P0' THEN 4 WHEN 'P1' THEN 3 WHEN 'P2' THEN 3 WHEN 'P3' THEN 2 WHEN 'P4' THEN 1 ELSE 0 END, CASE action WHEN 'ACCEPT' THEN 0 WHEN 'REVIEW' THEN 2 WHEN 'REJECT' THEN 3 ELSE 4 END) WHEN 4 THEN 'CRITICAL' WHEN 3 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' WHEN 1 THEN 'LOW' ELSE 'INFORMATIONAL' END AS risk_tier FROM rep""",
 }

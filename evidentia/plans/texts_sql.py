@@ -5,6 +5,7 @@ from __future__ import annotations
 from evidentia.plans.judged_sql import PATTERNS
 from evidentia.plans.texts import LITERALS
 
+# Fixed values, spelled again so that a slip in one writing shows: endings of file names, cited domains, and the patterns below.
 _VALUES = ", ".join(f"({i}, '{t}')" for i, t in enumerate(LITERALS, 1))
 TEXTS = f"texts AS (SELECT * FROM (VALUES {_VALUES}) v(id, txt) UNION ALL SELECT doc_id + 1000, text FROM documents WHERE text IS NOT NULL)"
 _REFANGED = "txt"
@@ -28,6 +29,7 @@ SQL = {
     "refang": f"WITH {TEXTS} SELECT id, {_REFANGED} AS refanged FROM texts",
     "indicators": f"WITH {FOUND} SELECT id, kind, value FROM found",
     "entity_merge": f"WITH {FOUND} SELECT kind, lower(value) AS value, count(DISTINCT id) AS texts, min(id) AS first, max(id) AS last FROM found GROUP BY ALL",
+    "entity_members": f"WITH {FOUND}, m AS (SELECT DISTINCT kind, lower(value) AS value, id FROM found) SELECT kind, value, id, row_number() OVER (PARTITION BY kind, value ORDER BY id) - 1 AS place FROM m",
     "jaccard_near_dups": """WITH w AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) > 3))) AS s FROM documents WHERE text IS NOT NULL),
 c AS (SELECT s, min(doc_id) AS a FROM w WHERE len(s) > 0 GROUP BY s), e AS (SELECT a, len(s) AS n, unnest(s) AS t FROM c), k AS (SELECT x.a, y.a AS b, count(*) AS m, any_value(x.n) AS p, any_value(y.n) AS q FROM e x JOIN e y ON x.t = y.t AND x.a < y.a GROUP BY x.a, y.a),
 j AS (SELECT a, b, m / (p + q - m) AS jaccard FROM k UNION ALL SELECT DISTINCT c.a, w.doc_id, 1.0 FROM w JOIN c ON c.s = w.s WHERE w.doc_id <> c.a)
