@@ -10,6 +10,8 @@ from evidentia.functions.storage import written
 
 # From which Jaccard similarity on a pair is a warning, and an error.
 WARN, FAIL = 0.70, 0.85
+#: Classes of a word that one task compares with the others.
+SHARE = 1000
 
 
 def content_words(docs: DataFrame) -> DataFrame:
@@ -23,7 +25,7 @@ def similar(docs: DataFrame, least: float = WARN) -> DataFrame:
 
     Equal sets are one class: its smallest id is paired with each other member, with 1, and stands for
     the class in pairs with other classes.  Texts without content words are alike to nothing.  Sets are
-    joined on their rarest words only, and a pair is left out where sizes and places of a common word
+    joined on their rarest words only, of which a frequent one is no task of its own, and a pair is left out where sizes and places of a common word
     cannot add up to the similarity.
     """
     each = content_words(docs).where("size(words) > 0").withColumns({"h1": F.xxhash64("words"), "h2": F.xxhash64(F.lit(1), "words")})
@@ -35,12 +37,14 @@ def similar(docs: DataFrame, least: float = WARN) -> DataFrame:
     rarity = words.groupBy("w").agg(F.count("*").alias("df")).where("df > 1")
     # words that no other class has cannot be shared; they come first in the order and only take up places
     placed = words.join(rarity, "w").groupBy("a", "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("order"))
-    first = placed.select("a", "n", (F.col("n") - F.size("order")).alias("alone"), F.posexplode("order").alias("at", "o")).select("a", "n", (F.col("alone") + F.col("at")).alias("i"), F.col("o.w").alias("w"))
-    first = first.where(F.col("i") < F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
-    x, y = first.alias("x"), first.alias("y")
+    first = placed.select("a", "n", (F.col("n") - F.size("order")).alias("alone"), F.posexplode("order").alias("at", "o")).select("a", "n", (F.col("alone") + F.col("at")).alias("i"), F.col("o.w").alias("w"), F.ceil(F.col("o.df") / SHARE).cast("int").alias("parts"))
+    first = written(first.where(F.col("i") < F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1), "prefixes")
+    # the classes of a frequent word are split in parts on one side, and each part meets all of the other side
+    x = first.withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).alias("x")
+    y = first.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
     overlap = F.least("x.i", "y.i") + 1 + F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i")) - 1
     may = (F.col("x.a") < F.col("y.a")) & (F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n") - 1e-9) & (overlap * (1 + least) >= least * (F.col("x.n") + F.col("y.n")) - 1e-9)
-    pairs = x.join(y, (F.col("x.w") == F.col("y.w")) & may).select(F.col("x.a").alias("a"), F.col("y.a").alias("b")).distinct()
+    pairs = x.join(y, (F.col("x.w") == F.col("y.w")) & (F.col("x.part") == F.col("y.part")) & may).select(F.col("x.a").alias("a"), F.col("y.a").alias("b")).distinct()
     one, two = classes.select("a", F.col("words").alias("s")), classes.select(F.col("a").alias("b"), F.col("words").alias("t"))
     common = F.size(F.array_intersect("s", "t"))
     tested = pairs.join(one, "a").join(two, "b").select("a", "b", (common / (F.size("s") + F.size("t") - common)).alias("jaccard"))
