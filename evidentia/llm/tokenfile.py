@@ -147,14 +147,21 @@ def read_tokens(spark: SparkSession, target: str, ids: tuple[int, int] | None =
 def documents_at(spark: SparkSession, target: str, first: int, last: int) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of the documents that have one of the tokens ``first`` to before ``last`` of all.
 
-    Lengths alone tell which; only then are the ids of those rows read.
+    The files' lengths tell which of them hold the range, and the lengths in those which documents; only then are ids read, of
+    the row groups and pages of those files that can hold these documents.
     """
     starts = file_starts(spark, target)
-    parts = [p for p, start in starts.items() if start < last]
-    before = F.element_at(F.create_map(*[F.lit(x) for kv in starts.items() for x in kv]), F.col("part")) if starts else F.lit(0)
-    start = (before + F.col("local_start")).cast("long")
-    rows = read_tokens(spark, target).where(F.col("part").isin(parts))
-    return rows.withColumn("start", start).where((F.col("start") < last) & (F.col("start") + F.col("n_tokens") > first)).select("doc_id", "start", "n_tokens", "ids")
+    order = sorted(starts, key=starts.get)
+    ends = {p: starts[q] for p, q in zip(order, order[1:])}
+    parts = {p: starts[p] for p in order if starts[p] < last and ends.get(p, last + first + 1) > first}
+    before = F.element_at(F.create_map(*[F.lit(x) for kv in parts.items() for x in kv]), F.col("part")) if parts else F.lit(0)
+    rows = read_tokens(spark, target).where(F.col("part").isin(list(parts))).withColumn("start", (before + F.col("local_start")).cast("long"))
+    inside = (F.col("start") < last) & (F.col("start") + F.col("n_tokens") > first)
+    found = rows.where(inside).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count_if(F.col("doc_id").isNull()).alias("unnamed")).first()
+    near = F.lit(False) if found["low"] is None else F.col("doc_id").between(found["low"], found["high"])
+    if found["unnamed"]:
+        near = near | F.col("doc_id").isNull()
+    return rows.where(near & inside).select("doc_id", "start", "n_tokens", "ids")
 
 
 def file_starts(spark: SparkSession, target: str) -> dict[int, int]:

@@ -84,6 +84,14 @@ def test_token_files_are_read_in_part(spark, tmp_path, library):
     assert {r.doc_id: list(r.ids) for r in got} == {i: want[i][1][2:5] for i in range(100, 120)}
     got = tokenfile.documents_at(spark, target, 5000, 5200).collect()
     assert {r.doc_id: (r.start, list(r.ids)) for r in got} == {i: w for i, w in want.items() if w[0] < 5200 and w[0] + len(w[1]) > 5000}
+    late = tokenfile.documents_at(spark, target, start - 300, start - 100)
+    assert {r.doc_id: (r.start, list(r.ids)) for r in late.collect()} == {i: w for i, w in want.items() if w[0] < start - 100 and w[0] + len(w[1]) > start - 300}
+    low, high = min(r.doc_id for r in late.collect()), max(r.doc_id for r in late.collect())
+    spark.conf.set("spark.sql.maxMetadataStringLength", 4000)
+    plan = tokenfile.documents_at(spark, target, start - 300, start - 100)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert f"GreaterThanOrEqual(doc_id,{low})" in plan and f"LessThanOrEqual(doc_id,{high})" in plan and "EqualTo(part,3)" in plan.replace("In(part, [3])", "EqualTo(part,3)")
+    assert tokenfile.documents_at(spark, target, start, start + 9).isEmpty() and tokenfile.documents_at(spark, target, 0, 1).count() == 1
     plan = tokenfile.read_tokens(spark, target, ids=(100, 119)).select("doc_id", "n_tokens")._jdf.queryExecution().executedPlan().toString()
     assert "ids:" not in plan.split("ReadSchema")[1] and "GreaterThanOrEqual(doc_id,100)" in plan
     for file in spark.read.parquet(target).inputFiles():
