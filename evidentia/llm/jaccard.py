@@ -13,7 +13,7 @@ Groups of copies, and of texts that lie around the threshold, don't expand into
   After the first round, a shingle has one leader in the component that is commonest there, and one
   outside of it, and only nodes of other components are tested with them;
 * components are renewed after each round, and shingles whose nodes are all in one component leave.
-  Rounds end when one finds no link, or when few pairs are left;
+  Rounds end when one finds no link or hardly lessens the pairs that are left, or when those are few;
 * then all pairs of different components that still share a prefix shingle and pass the filters
   are tested.  Pairs inside a component need no test, as they change nothing in the result.  A pair
   is left out at a shingle when it also shares one of the ``RECALL`` shingles before it in both
@@ -51,8 +51,9 @@ FILTER_BITS = 24
 PARTS = 256
 #: How many earlier prefix shingles a row carries to leave out pairs that were taken before.
 RECALL = 12
-#: Another round of leaders is worth its tables while so many pairs for each open row could be left.
-PAIRS_LEFT = 64
+#: Another round of leaders is worth its tables while so many pairs for each open row could be left, and the round
+#: before left no more than so much of them: texts that share a common passage and nothing else stay apart in any round.
+PAIRS_LEFT, PAIRS_KEPT = 64, 0.9
 #: Ids of nodes that are broadcast to pick their rows; with more of them the same join shuffles.
 BROADCAST_NODES = 400_000
 #: Nodes that a task remembers, so as to ship the rows of copies once.
@@ -324,11 +325,13 @@ def jaccard_classes(docs: DataFrame, key: Column, width: int = 5, num: int = 75,
 
     # more rounds, with the other nodes only
     members = members.where(~leads & F.col("more")).select("token", "node", "place")
+    before = float("inf")
     while True:
         open_ = _open(members, parts)
         left = open_.select("token", "rows", "most").distinct().agg(F.sum("rows").alias("rows"), F.sum((F.col("rows") - F.col("most")) * F.col("rows").cast("double")).alias("pairs")).first()
-        if not left["rows"] or left["pairs"] <= PAIRS_LEFT * left["rows"]:
+        if not left["rows"] or left["pairs"] <= PAIRS_LEFT * left["rows"] or left["pairs"] > PAIRS_KEPT * before:
             break
+        before = left["pairs"]
         key = _key(F.col("node"), F.col("place"))
         inner = F.col("component") == F.col("major")
         chosen = open_.groupBy("token").agg(F.min(F.when(inner, key)).alias("in_key"), F.min(F.when(~inner, key)).alias("out_key"))
