@@ -202,4 +202,5 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped,
   coalesce(string_agg(place::varchar, ',' ORDER BY place) FILTER (NOT stays), '') AS dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (stays), '')) AS text_sha256
 FROM x GROUP BY doc_id
+UNION ALL SELECT doc_id, 0, 0, '', sha256('') FROM documents WHERE text IS NULL
 """
