@@ -137,6 +137,20 @@ def config_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_docs", "clean_blocked")})
 
 
+#: Measures of a configuration, and whether more of one is better.
+COMPARED = {"asr_exposure": False, "asr_vouched": False, "accepted": True, "blocked_queries": False, "clean_blocked_rate": False, "poisoned_exposure": False}
+
+
+def outcome_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What judging changes against plain retrieval, measure by measure; null where one of them has no value."""
+    rows = written(config_comparison(spark, sf_dir).where("config IN ('vanilla', 'full')"), "configurations").unpivot(["config"], list(COMPARED), "measure", "value")
+    met = rows.groupBy("measure").agg(F.max(F.when(F.col("config") == "vanilla", F.col("value"))).alias("before"), F.max(F.when(F.col("config") == "full", F.col("value"))).alias("after"))
+    change = F.round(F.col("after") - F.col("before"), 6)
+    more = F.col("measure").isin([m for m, better in COMPARED.items() if better])
+    verdict = F.when(change.isNull(), None).when(change == 0, "same").when((change > 0) == more, "better").otherwise("worse")
+    return met.select("measure", "before", "after", change.alias("change"), verdict.alias("verdict"))
+
+
 def weakness_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retrieved poisoned documents by family (their source), tier and case: how many there are, are blocked, and are vouched for."""
     _, docs = _outcomes(spark, sf_dir)
@@ -211,4 +225,4 @@ def direction_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.agg(F.count("*").alias("n"), F.round(F.avg("poisoned"), 6).alias("poisoned"), F.round(F.avg("clean"), 6).alias("clean"), (F.avg("poisoned") > F.avg("clean")).alias("holds"))
 
 
-QUERIES = {f.__name__: f for f in (roc_auc, average_precision, recall_at_budget, derive_thresholds, naive_baseline, attack_success, signal_separation, disposition_metrics, config_comparison, weakness_grouping_sets, clean_calibration, clean_gates, confusion_metrics, prevalence_precision, trust_grades, direction_check)}
+QUERIES = {f.__name__: f for f in (roc_auc, average_precision, recall_at_budget, derive_thresholds, naive_baseline, attack_success, signal_separation, disposition_metrics, config_comparison, outcome_diff, weakness_grouping_sets, clean_calibration, clean_gates, confusion_metrics, prevalence_precision, trust_grades, direction_check)}
