@@ -20,6 +20,10 @@ __all__ = ["ascii_lower", "document_key", "give_back", "mapped", "shared_dir", "
 #: executor's heap, and again in the worker; Spark's own bound is 10,000 rows.
 BATCH_ROWS = 2000
 
+#: Bytes of rows that go to a Python worker at once, beyond which a batch ends before it has BATCH_ROWS
+#: rows.  One longer row is a batch of its own.
+BATCH_BYTES = 64 << 20
+
 #: Writes a table in the shared folder, which cuts the lineage, and reads it back.
 stored = written
 
@@ -35,10 +39,13 @@ def reachable(spark: SparkSession) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most BATCH_ROWS rows in this session; a smaller setting stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
+    """Arrow batches of at most BATCH_ROWS rows and about BATCH_BYTES bytes in this session; smaller settings stay."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
+    now = spark.conf.get(size).lower()
+    if not (now.rstrip("b").isdigit() and 0 < int(now.rstrip("b")) <= BATCH_BYTES):
+        spark.conf.set(size, BATCH_BYTES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +66,7 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     """``df.mapInArrow`` with workers that find this package and give unused memory back after every batch.
 
     A worker outlives its task, and what it keeps stands beside the executor's heap in later stages.
-    Batches have at most BATCH_ROWS rows from here on in this session, as Spark has no such setting
+    Batches are bounded in rows and bytes from here on in this session, as Spark has no such setting
     for one plan.
     """
     reachable(df.sparkSession)
