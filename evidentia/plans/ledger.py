@@ -16,10 +16,11 @@ from evidentia.operators import ledger as L
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(event_id, created_at, action, tier, headline, subtype)."""
+    """(event_id, query_id, created_at, k, action, tier, headline, subtype)."""
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
     action = F.when(F.col("event_type").isin("view", "purchase"), "ACCEPT").when(F.col("event_type") == "click", "REVIEW").when(F.col("event_type") == "signup", "REJECT").otherwise("ESCALATE")
-    rows = rows.select("event_id", F.col("ts").alias("created_at"), action.alias("action"), (1 + F.col("user_id") % 3).alias("tier"))
+    number = F.get_json_object("props", "$.k").cast("long")
+    rows = rows.select("event_id", F.concat(F.lit("q"), F.col("event_id").cast("string")).alias("query_id"), F.col("ts").alias("created_at"), number.alias("k"), action.alias("action"), (1 + F.col("user_id") % 3).alias("tier"))
     return rows.withColumns({"headline": J.headline(F.col("action"), F.col("tier")), "subtype": J.subtype(F.col("action"), F.col("tier"))})
 
 

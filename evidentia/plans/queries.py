@@ -2,45 +2,26 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.functions.dialect import render
-from evidentia.plans import catalog, evidence, fitted, judged, judged_sql, ledger, ledger_sql, measures, measures_sql, reports, reports_sql, texts, texts_sql
+from evidentia.plans import fitted, judged, judged_sql, ledger, ledger_sql, measures, measures_sql, reports, reports_sql, tables, tables_sql, texts, texts_sql
 
 #: Queries in the DataFrame API, with SQL of its own where SQL can say the same.
-WRITTEN_TWICE = [(judged, judged_sql), (texts, texts_sql), (measures, measures_sql), (ledger, ledger_sql), (reports, reports_sql)]
-#: Plans whose one text is rendered for both engines.
-PLANS = catalog.PLANS | evidence.PLANS
+WRITTEN_TWICE = [(tables, tables_sql), (judged, judged_sql), (texts, texts_sql), (measures, measures_sql), (ledger, ledger_sql), (reports, reports_sql)]
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-def plan(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    """A plan's query; its tables are named by their files, so that no session keeps views of them."""
-    text = render(PLANS[name], "spark")
-    used = [t for t in TABLES if re.search(rf"\b{t}\b", text)]
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        tables = [f"{t} AS (SELECT * FROM parquet.`{sf_dir}/{t}.parquet`)" for t in used]
-        if text.startswith("WITH "):
-            return spark.sql("WITH " + ", ".join([*tables, text[5:]]))
-        return spark.sql(f"WITH {', '.join(tables)} {text}" if tables else text)
-
-    run.__name__ = name
-    return run
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    out = {name: plan(name) for name in PLANS} | fitted.QUERIES
+    out = dict(fitted.QUERIES)
     for module, _ in WRITTEN_TWICE:
         out |= module.QUERIES
     return out
 
 
 def oracles() -> dict[str, str]:
-    out = {name: render(text, "duckdb") for name, text in PLANS.items()} | fitted.ORACLES
+    out = dict(fitted.ORACLES)
     for _, module in WRITTEN_TWICE:
         out |= module.SQL
     return out

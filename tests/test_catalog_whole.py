@@ -6,9 +6,8 @@ from math import sqrt
 
 import pytest
 
-from evidentia.functions.dialect import render
 from evidentia.plans import fitted
-from evidentia.plans.queries import PLANS, plan, queries
+from evidentia.plans.queries import queries
 
 SF = "/root/testdata/sf0.01"
 

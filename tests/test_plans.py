@@ -3,9 +3,8 @@
 import duckdb
 import pytest
 
-from evidentia.functions.dialect import render
 from evidentia.plans import fitted
-from evidentia.plans.queries import PLANS, TABLES, WRITTEN_TWICE, plan
+from evidentia.plans.queries import TABLES, WRITTEN_TWICE
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,13 +23,6 @@ def duck():
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(PLANS))
-def test_plan(spark, duck, name):
-    found = plan(name)(spark, SF)
-    told = duck.sql(render(PLANS[name], "duckdb"))
-    assert rows(found.columns, [tuple(r) for r in found.collect()]) == rows(told.columns, told.fetchall())
-
-
 @pytest.mark.parametrize("name", sorted(n for _, module in WRITTEN_TWICE for n in module.SQL))
 def test_written_twice(spark, duck, name):
     module, sql = next(pair for pair in WRITTEN_TWICE if name in pair[1].SQL)
