@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,42 +17,154 @@ from evidentia.functions.storage import written
 
 # From which Jaccard similarity on a pair is a warning, and an error.
 WARN, FAIL = 0.70, 0.85
-#: Classes of a word that one task compares with the others.
-SHARE = 1000
+#: Words that a task remembers, and rows that it takes at a time.
+KEPT, ROWS = 1 << 18, 500
+#: Parities of a set's words by parts of their hashes, 64 in a column, and how many columns stand in for all in a first look.
+SIGNATURE, FOLDED = [f"s{k}" for k in range(16)], 4
+#: Blocks that all classes are dealt into, of at least so many classes; a task holds two of them.
+BLOCKS, LEAST_BLOCK = 12, 500
+#: Words of sets in a block of those that are compared exactly, and blocks of them at least.
+BLOCK_WORDS, LEAST_BLOCKS = 6_000_000, 4
+#: Ids of documents that are broadcast to pick their rows; with more of them the same join shuffles.
+BROADCAST_IDS = 400_000
+
+
+def _sets(docs: DataFrame, whole: bool) -> DataFrame:
+    """(doc_id, node, n) of each document with content words, the distinct words of more than three characters.
+
+    ``node`` stands for the set and ``n`` is its size.  Beside them stand the words' hashes if ``whole``, else ``SIGNATURE``.
+    """
+    word, kept, size, step = W.WORD.encode()[:-1] + b"{4,}", KEPT, 64 * len(SIGNATURE), ROWS
+    names = ["doc_id", "node", "n", *(["codes"] if whole else SIGNATURE)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pattern = re.compile(word)
+
+        @lru_cache(kept)
+        def code(w: bytes) -> int:
+            return int.from_bytes(md5(w).digest()[:8], "little")
+
+        for batch in (b.slice(a, step) for b in batches for a in range(0, b.num_rows, step)):
+            which, nodes, sets = [], [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                if found := set(pattern.findall(text)):
+                    which.append(i)
+                    nodes.append(int.from_bytes(md5(b" ".join(sorted(found))).digest()[:8], "little", signed=True))
+                    sets.append(np.fromiter(map(code, found), np.uint64, len(found)))
+            if not which:
+                continue
+            sizes = [len(s) for s in sets]
+            if whole:
+                more = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(np.concatenate(sets).view(np.int64)))]
+            else:
+                odd = [np.packbits((np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)).view(np.int64) for s in sets]
+                more = [pa.array(c) for c in np.array(odd).T.copy()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(which)), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), *more], names)
+
+    kind = dict(docs.dtypes)["doc_id"]
+    rows = docs.where("text is not null").select("doc_id", F.lower("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, node long, n long, " + ("codes array<long>" if whole else ", ".join(f"{s} long" for s in SIGNATURE)))
+
+
+def candidates(classes: DataFrame, least: float) -> DataFrame:
+    """(u, v): the pairs of ``classes`` (node, n, SIGNATURE), each once, whose sizes and parities allow the similarity.
+
+    Two sets differ in at least as many words as their parities.  Classes are dealt into a bounded number of blocks, and each two
+    blocks are compared in one task, so a class is shuffled once a block whatever words it shares, and a pair that cannot be similar never.
+    """
+    signature, folded, share = SIGNATURE, FOLDED, (1 - least) / (1 + least)
+    blocks = max(1, min(BLOCKS, classes.count() // LEAST_BLOCK))
+    own = F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")
+    rows = classes.select("node", "n", *SIGNATURE, own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    rows = rows.withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")}).drop("other")
+
+    def compared(key: tuple, rows: pa.Table) -> pa.Table:
+        p, q = (k.as_py() for k in key)
+        of, n, node = (rows.column(c).to_numpy() for c in ("own", "n", "node"))
+        signs = np.stack([rows.column(s).to_numpy() for s in signature]).view(np.uint64)
+        short = np.bitwise_xor.reduce(signs.reshape(-1, folded, len(n)), axis=0)
+        mine, order = np.flatnonzero(of == p), np.argsort(n, kind="stable")
+        order = order[of[order] == q]
+        m, quick, full = n[order], np.ascontiguousarray(short[:, order]), np.ascontiguousarray(signs[:, order])
+        # a set is met by no smaller one of its own block, nor by itself
+        place = np.full(len(n), -1)
+        place[order] = np.arange(len(order))
+        first = place[mine] + 1 if p == q else np.searchsorted(m, n[mine] * least - 1e-9)
+        last = np.searchsorted(m, n[mine] / least + 1e-9, side="right")
+        us, vs = [], []
+        for i, a, b in zip(mine, first, last, strict=True):
+            limit = (n[i] + m[a:b]) * share + 1e-9
+            near = a + np.flatnonzero(np.bitwise_count(quick[:, a:b] ^ short[:, i, None]).sum(axis=0, dtype=np.int64) <= limit)
+            near = near[np.bitwise_count(full[:, near] ^ signs[:, i, None]).sum(axis=0, dtype=np.int64) <= limit[near - a]]
+            us.append(np.full(len(near), node[i]))
+            vs.append(node[order[near]])
+        return pa.table({c: np.concatenate(x) if x else np.zeros(0, np.int64) for c, x in (("u", us), ("v", vs))})
+
+    return rows.groupBy("p", "q").applyInArrow(compared, "u long, v long")
+
+
+def compared(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(u, v, jaccard) of the ``pairs`` (u, v) of ``sets`` (node, n, codes) that reach ``least``, exactly.
+
+    Sets are dealt into blocks that a task holds two of; a set is shuffled once for each block that has one it is paired with.
+    """
+    words = sets.agg(F.sum("n").alias("n")).first()["n"] or 0
+    blocks = max(LEAST_BLOCKS, -(-words // BLOCK_WORDS))
+    of = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    placed = pairs.select("u", "v", F.least(of("u"), of("v")).alias("p"), F.greatest(of("u"), of("v")).alias("q"))
+    wanted = placed.select(F.explode(F.array("u", "v")).alias("node"), F.col("p").alias("hp"), F.col("q").alias("hq")).distinct()
 
+    def shared(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        every = pairs.sort_by("u")
+        v, (u, first) = every.column("v").to_numpy(), np.unique(every.column("u").to_numpy(), return_index=True)
+        first = np.append(first, len(v))
+        node, lists = sets.column("node").to_numpy(), sets.column("codes").combine_chunks()
+        sizes = sets.column("n").to_numpy()
+        known, flat = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        ends = np.cumsum(sizes)
+        by = np.argsort(node, kind="stable")
+        at = lambda x: by[np.searchsorted(node[by], x)]
+        found: list[list[np.ndarray]] = [[], [], []]
+        mark = np.zeros(len(known), dtype=bool)
+        for k, x in enumerate(at(u)):
+            mine = flat[ends[x] - sizes[x] : ends[x]]
+            mark[mine] = True
+            for a in range(first[k], first[k + 1], 1000):
+                some = v[a : min(a + 1000, first[k + 1])]
+                y = at(some)
+                many = sizes[y]
+                total = np.cumsum(many)
+                theirs = flat[np.repeat((ends - sizes)[y] - total + many, many) + np.arange(total[-1])]
+                common = np.add.reduceat(mark[theirs].astype(np.int64), total - many)
+                value = common / (sizes[x] + many - common)
+                good = value >= least
+                for out, part in zip(found, (np.full(int(good.sum()), u[k]), some[good], value[good]), strict=True):
+                    out.append(part)
+            mark[mine] = False
+        return pa.table({c: np.concatenate(x) if x else np.zeros(0, kind) for c, x, kind in zip(("u", "v", "jaccard"), found, (np.int64, np.int64, float), strict=True)})
 
-def content_words(docs: DataFrame) -> DataFrame:
-    """(doc_id, words): the sorted distinct words of more than three characters; none for a null text."""
-    found = F.filter(W.words(F.col("text")), lambda w: F.length(w) > 3)
-    return docs.select("doc_id", F.array_sort(F.array_distinct(F.coalesce(found, F.array().cast("array<string>")))).alias("words"))
+    held = sets.join(wanted, "node").groupBy("hp", "hq")
+    return placed.groupBy("p", "q").cogroup(held).applyInArrow(shared, "u long, v long, jaccard double")
 
 
 def similar(docs: DataFrame, least: float = WARN) -> DataFrame:
     """(a, b, jaccard) of ``docs`` (doc_id, text).
 
     Equal sets are one class: its smallest id is paired with each other member, with 1, and stands for
-    the class in pairs with other classes.  Texts without content words are alike to nothing.  Sets are
-    joined on their rarest words only, of which a frequent one is no task of its own, and a pair is left out where sizes and places of a common word
-    cannot add up to the similarity.
+    the class in pairs with other classes.  Texts without content words are alike to nothing.  All classes meet as
+    signatures of fixed size; the words of the pairs that are left are taken from their texts again and compared exactly.
     """
-    each = content_words(docs).where("size(words) > 0").withColumns({"h1": F.xxhash64("words"), "h2": F.xxhash64(F.lit(1), "words")})
-    each = written(each, "word-sets")
-    classes = written(each.groupBy("h1", "h2").agg(F.min("doc_id").alias("a"), F.first("words").alias("words")).withColumn("n", F.size("words")), "classes")
-    members = each.select("doc_id", "h1", "h2").join(classes.select("h1", "h2", "a"), ["h1", "h2"]).where("doc_id <> a").select("a", F.col("doc_id").alias("b"), F.lit(1.0).alias("jaccard")).distinct()
-
-    words = classes.select("a", "n", F.explode("words").alias("w"))
-    rarity = words.groupBy("w").agg(F.count("*").alias("df")).where("df > 1")
-    # words that no other class has cannot be shared; they come first in the order and only take up places
-    placed = words.join(rarity, "w").groupBy("a", "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("order"))
-    first = placed.select("a", "n", (F.col("n") - F.size("order")).alias("alone"), F.posexplode("order").alias("at", "o")).select("a", "n", (F.col("alone") + F.col("at")).alias("i"), F.col("o.w").alias("w"), F.ceil(F.col("o.df") / SHARE).cast("int").alias("parts"))
-    first = written(first.where(F.col("i") < F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1), "prefixes")
-    # the classes of a frequent word are split in parts on one side, and each part meets all of the other side
-    x = first.withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).alias("x")
-    y = first.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
-    overlap = F.least("x.i", "y.i") + 1 + F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i")) - 1
-    may = (F.col("x.a") < F.col("y.a")) & (F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n") - 1e-9) & (overlap * (1 + least) >= least * (F.col("x.n") + F.col("y.n")) - 1e-9)
-    pairs = x.join(y, (F.col("x.w") == F.col("y.w")) & (F.col("x.part") == F.col("y.part")) & may).select(F.col("x.a").alias("a"), F.col("y.a").alias("b")).distinct()
-    one, two = classes.select("a", F.col("words").alias("s")), classes.select(F.col("a").alias("b"), F.col("words").alias("t"))
-    common = F.size(F.array_intersect("s", "t"))
-    tested = pairs.join(one, "a").join(two, "b").select("a", "b", (common / (F.size("s") + F.size("t") - common)).alias("jaccard"))
-    return members.unionByName(tested.where(F.col("jaccard") >= least))
+    docs = docs.select("doc_id", "text")
+    each = written(_sets(docs, False), "word-sets")
+    classes = written(each.groupBy("node", "n").agg(F.min("doc_id").alias("a"), *[F.first(s).alias(s) for s in SIGNATURE]), "classes")
+    members = each.select("doc_id", "node", "n").join(classes.select("node", "n", "a"), ["node", "n"]).where("doc_id <> a").select("a", F.col("doc_id").alias("b"), F.lit(1.0).alias("jaccard")).distinct()
+    pairs = written(candidates(classes.where("a is not null").drop("a"), least), "pairs")
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    ends = written(classes.select("node", "n", "a").join(ends, "node", "left_semi"), "ends")
+    ids = ends.select(F.col("a").alias("doc_id")).distinct()
+    texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    sets = written(_sets(texts, True).groupBy("node", "n").agg(F.first("codes").alias("codes")), "sets")
+    found = written(compared(pairs, sets, least), "similar")
+    one, two = ends.select(F.col("node").alias("u"), F.col("a").alias("x")), ends.select(F.col("node").alias("v"), F.col("a").alias("y"))
+    tested = found.join(one, "u").join(two, "v").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
+    return members.unionByName(tested)
