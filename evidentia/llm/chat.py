@@ -10,9 +10,9 @@ the turn that makes it.  A template's class may declare how many turns before a
 is rendered (``memory``); only what the class itself declares counts, as a subclass may render in another
 way.  Then only those turns are rendered again, and a long conversation takes time in proportion to its
 length.  The declaration is held against whole prefixes: against each of the first ``WHOLE`` turns, then after
-twice as many each time, and at the end, as long as the conversation has at most ``KEPT_CHARS`` characters.
-Beyond that a declared template is taken at its word, which is what bounds the memory; one that
-declares nothing is rendered whole at any length.
+twice as many each time, and at the end, at any length, so a task holds such a conversation, as it does one whose
+template declares nothing.  A template that inherits ``render`` from ``Turnwise`` and says itself how one turn is
+rendered has nothing to hold: its whole is its turns one by one, so its conversations are streamed at any length.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .shared import mapped
 
-#: Characters of a conversation that a task keeps to hold a declared memory against the whole, and turns that are all held.
-KEPT_CHARS, WHOLE = 1 << 24, 32
+#: So many turns are each held against the whole.
+WHOLE = 32
 Turn = tuple[str, str]
 
 
@@ -36,7 +36,17 @@ class HistoryRewritten(ValueError):
     """The template's output for a longer conversation does not begin with that for a shorter one."""
 
 
-class MarkedTurns:
+class Turnwise:
+    """A template whose whole is what its turns are one by one."""
+
+    def turn(self, role: str, text: str) -> str:
+        raise NotImplementedError
+
+    def render(self, turns: Sequence[Turn]) -> str:
+        return "".join(self.turn(role, text) for role, text in turns)
+
+
+class MarkedTurns(Turnwise):
     """User turns stand between [INST] and [/INST], all others between <s> and </s> with their role.
 
     Within roles and texts a backslash is doubled, and one is put into every control string, after
@@ -56,8 +66,8 @@ class MarkedTurns:
     def unescape(self, text: str) -> str:
         return self._escaped.sub(r"\1", text)
 
-    def render(self, turns: Sequence[Turn]) -> str:
-        return "".join(f"[INST]{self.escape(text)}[/INST]" if role == "user" else f"<s>{self.escape(role)}[:]{self.escape(text)}</s>" for role, text in turns)
+    def turn(self, role: str, text: str) -> str:
+        return f"[INST]{self.escape(text)}[/INST]" if role == "user" else f"<s>{self.escape(role)}[:]{self.escape(text)}</s>"
 
     def parse(self, text: str) -> list[Turn]:
         """The turns that were rendered to ``text``."""
@@ -76,16 +86,17 @@ class Incremental:
     """Takes a conversation turn by turn: (formatted, loss start and stop in it, or None).
 
     ``close`` ends it; it and ``add`` raise HistoryRewritten where the template changes what was
-    rendered before.
+    rendered before.  With ``kept_chars`` a declared memory is trusted beyond so many characters.
     """
 
-    def __init__(self, template, learned: frozenset[str] = frozenset(("assistant",)), kept_chars: int = KEPT_CHARS):
+    def __init__(self, template, learned: frozenset[str] = frozenset(("assistant",)), kept_chars: int | None = None):
         self.template, self.learned, self.kept_chars = template, learned, kept_chars
         self.memory: int | None = vars(type(template)).get("memory")
         self.turns: list[Turn] = []
         self.pieces: list[str] = []
         self.before = ""
-        self.chars, self.seen, self.checked, self.whole = 0, 0, 0, True
+        turnwise = type(template).render is Turnwise.render and "turn" in vars(type(template)) and self.memory == 0
+        self.chars, self.seen, self.checked, self.whole = 0, 0, 0, not turnwise
 
     def add(self, role: str, text: str) -> tuple[str, int | None, int | None]:
         if self.memory is None:
@@ -109,12 +120,14 @@ class Incremental:
         if self.memory is None:
             self.before = now
             return piece, start, stop
+        over = self.kept_chars is not None and self.chars > self.kept_chars
         if self.whole:
             self.pieces.append(piece)
-            if self.seen <= WHOLE or self.seen >= 2 * self.checked or self.chars > self.kept_chars:
+            if self.seen <= WHOLE or self.seen >= 2 * self.checked or over:
                 self.close()
-        if self.chars > self.kept_chars:
+        if over:
             self.whole, self.pieces = False, []
+        if not self.whole:
             del self.turns[: len(self.turns) - max(1, self.memory)]
         return piece, start, stop
 
