@@ -10,7 +10,7 @@ the document's score.
 
 The log-odds come from one part of the learnable rows (crc32 of the id is 0 modulo 3), the network is
 trained on a bounded sample of the other part (2 modulo 3), so that it sees inputs as unseen texts
-have them.
+have them.  All rows of that part that it was not trained on set the threshold.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ COUNTED, LEARNED = 6, 4
 WIDTH = COUNTED + 2 * LEARNED
 #: Bytes of a window that may be trained on; longer ones have words that are no words.
 TRAINED_BYTES = 1 << 14
+#: Steps of a logit in which scores are counted for the threshold, and how far they are told apart.
+FINE, FAR = 1000, 60
 #: Windows that the network reads at a time.
 BATCH = 4096
 U64 = np.uint64
@@ -247,12 +249,29 @@ def _rated(shared, keep: list[str], final: bool):
     return run
 
 
+@dataclass
+class Steps:
+    """The lowest score of each step that has rows, in order, and how many rows of each label it has."""
+
+    least: np.ndarray
+    clean: np.ndarray
+    toxic: np.ndarray
+
+
+def _steps(rows: DataFrame, model: Model) -> Steps:
+    """Counts of ``rows`` (text, toxic) by score; what comes back has a bound, as steps end at ``FAR``."""
+    rated = mapped(rows.select("text", "toxic"), _rated(rows.sparkSession.sparkContext.broadcast(model), ["toxic"], False), "toxic int, score double")
+    step = F.floor(F.greatest(F.lit(-FAR), F.least(F.lit(FAR), F.col("score"))) * FINE)
+    found = rated.groupBy(step.alias("step")).agg(F.min("score").alias("least"), F.count_if(F.col("toxic") == 0).alias("clean"), F.count_if(F.col("toxic") == 1).alias("toxic")).toArrow().sort_by("least")
+    return Steps(*(found.column(c).to_numpy() for c in ("least", "clean", "toxic")))
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = 1500) -> Model | None:
     """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic); None without both labels in
     both parts.  Of several labels of one document the highest counts.
 
     Rows whose crc32 of the id is 1 modulo 3 are never learned from.  ``per_label`` bounds the sample
-    that trains the network and sets its threshold, for each label.
+    that trains the network, for each label; the threshold comes from all rows of that part that the network has not seen.
     """
     spark = docs.sparkSession
     part = F.expr("crc32(cast(doc_id as string)) % 3")
@@ -290,20 +309,23 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = 1500) -> Model | No
     model.net.train(vectors, vectors.mask, y, weight * len(y))
     vectors.put(model)
 
-    # the threshold comes from a third of the sample that the network has not seen
-    rated = mapped(sample.where(third), _rated(spark.sparkContext.broadcast(model), ["toxic"], False), "toxic int, score double").toArrow()
-    if len(set(rated.column("toxic").to_pylist())) < 2:
-        rated = mapped(sample, _rated(spark.sparkContext.broadcast(model), ["toxic"], False), "toxic int, score double").toArrow()
-    score, label = np.array(rated.column("score"), dtype=float), np.array(rated.column("toxic"))
-    grid = np.unique(np.quantile(score, np.linspace(0, 1, 400)))
-    high, low = np.sort(score[label == 1]), np.sort(score[label == 0])
-    recall = 1 - np.searchsorted(high, grid) / max(1, len(high))
-    alarms = 1 - np.searchsorted(low, grid) / max(1, len(low))
+    # the threshold comes from all rows of the part that the network has not seen, counted by steps of the score
+    unseen = texts.where("of = 2").join(labels.where("part = 2").hint("merge"), "doc_id").where(third | (chance >= share))
+    counts = _steps(unseen, model)
+    if not counts.toxic.any() or not counts.clean.any():
+        counts = _steps(sample, model)
+    n = np.stack([counts.clean, counts.toxic])
+    # the value of a step's lowest score is its place in the grid, so a threshold between two steps parts their rows
+    grid, at_least = counts.least, np.cumsum(n[:, ::-1], axis=1)[:, ::-1] / np.maximum(1, n.sum(axis=1, keepdims=True))
+    alarms, recall = at_least
     # an alarm on a clean document counts ten times a miss
     good = recall - 10 * alarms
     best = np.flatnonzero(good >= good.max() - 1e-9)
     model.middle = float((grid[best[0]] + grid[max(0, best[0] - 1)]) / 2)
-    model.slope = float(1.5 / max(0.25, np.std(score)))
+    # both labels weigh alike, as there are far more clean rows
+    weights = (n / np.maximum(1, n.sum(axis=1, keepdims=True))).mean(axis=0)
+    mean = (weights * grid).sum()
+    model.slope = float(1.5 / max(0.25, np.sqrt((weights * (grid - mean) ** 2).sum())))
     return model
 
 
