@@ -13,6 +13,8 @@ from collections.abc import Callable, Iterator, Sequence
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pieces in the memo of one Python worker.  When it is full, it keeps those that came up again.
 MEMO_PIECES = 300_000
@@ -22,6 +24,8 @@ _BESIDE_SPACE = re.compile(r" \s|\s ")
 #: White space other than the two kinds that nearly all texts have.
 _RARE_SPACE = re.compile(r"[^\S \n]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Texts in which a space may stand beside white space, for Arrow's patterns.
+MAYBE_BESIDE = r"  |\n | \n|[\x09\x0b-\x0d\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def cut(text: str) -> list[str]:
@@ -30,6 +34,26 @@ def cut(text: str) -> list[str]:
     return _CUT.split(text) if beside else text.split(" ")
 
 
+def distinct(texts: pa.Array) -> tuple[list[str | tuple[str]], np.ndarray, np.ndarray]:
+    """The distinct pieces of texts as ``Memo`` lists them, the place in them of each piece, and how many a text has."""
+    beside = pc.match_substring_regex(texts, MAYBE_BESIDE).to_numpy(zero_copy_only=False)
+    lists = pc.split_pattern(texts.filter(pa.array(~beside)), " ")
+    if beside.any():
+        odd = pa.array([cut(t) for t in texts.filter(pa.array(beside)).to_pylist()], lists.type)
+        lists = pa.concat_arrays([lists, odd]).take(pa.array(np.argsort(np.argsort(beside, kind="stable"))))
+    counts = pc.list_value_length(lists).to_numpy()
+    first = np.cumsum(counts) - counts
+    coded = lists.flatten().dictionary_encode()
+    codes, keys = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    used = np.flatnonzero(np.bincount(np.delete(codes, first), minlength=len(keys)))
+    place = np.zeros(len(keys), dtype=np.int64)
+    place[used] = np.arange(len(used))
+    heads = [(keys[c],) for c in codes[first].tolist()]
+    codes = place[codes]
+    codes[first] = len(used) + np.arange(len(first))
+    return [keys[c] for c in used.tolist()] + heads, codes, counts
+
+
 class _Index(dict):
     """Numbers new keys in order, and lists them in ``new``."""
 
@@ -39,15 +63,13 @@ class _Index(dict):
         return n
 
 
-class Memo:
-    """``encode`` gets distinct pieces, each but a text's first with its leading space, and gives the
-    numbers of their ids and all ids in order.
-
-    The index has the pieces without that space; a text's first piece has a tuple around it.
+class Seen:
+    """Ids of distinct keys, each encoded once while it is kept; ``encode`` gets the new ones in order and gives the
+    numbers of their ids and all ids in order.  With more than ``limit`` keys it keeps those that came up again.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
-        self.encode = encode
+    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], limit: int):
+        self.encode, self.limit = encode, limit
         self._empty()
 
     def _empty(self) -> None:
@@ -72,7 +94,7 @@ class Memo:
     def _shrink(self) -> None:
         old, n = self.index, len(self.index)
         often = self.hits[:n] > 1
-        if often.sum() > MEMO_PIECES // 2:
+        if often.sum() > self.limit // 2:
             often &= self.hits[:n] > np.median(self.hits[:n][often])
         keep = np.flatnonzero(often)
         ids, starts, lengths = self.ids, self.starts[keep], self.lengths[keep]
@@ -81,36 +103,57 @@ class Memo:
         self.index.update(zip(words, range(len(words)), strict=True))
         self._add(lengths, ids[ranges(starts, lengths)])
 
-    def texts(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """The ids (int32) of each text, in order."""
+    def encoded(self, keys: list, codes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of ids of the keys, and all their ids in order; with ``codes`` of the keys at those places."""
+        if len(self.index) > self.limit:
+            self._shrink()
+        index = np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))
+        if self.index.new:
+            enabled = gc.isenabled()
+            gc.disable()
+            self._add(*self.encode(self.index.new))
+            self.index.new = []
+            if enabled:
+                gc.enable()
+        index = index if codes is None else index[codes]
+        self.hits[: len(self.index)] += np.bincount(index, minlength=len(self.index))
+        lengths = self.lengths[index]
+        return lengths, self.ids[ranges(self.starts[index], lengths)]
+
+
+class Memo(Seen):
+    """``encode`` gets distinct pieces, each but a text's first with its leading space, and gives the
+    numbers of their ids and all ids in order.
+
+    The index has the pieces without that space; a text's first piece has a tuple around it.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
+        super().__init__(lambda keys: encode([" " + x if x.__class__ is str else x[0] for x in keys]), MEMO_PIECES)
+
+    def texts(self, texts: list[str] | pa.StringArray) -> Iterator[np.ndarray]:
+        """The ids (int32) of each text, in order; an array has no nulls."""
         a, size = 0, 0
-        for b, text in enumerate(texts):
-            if size and size + len(text) > STEP_CHARS:
+        for b, n in enumerate(pc.binary_length(texts).to_pylist() if isinstance(texts, pa.Array) else map(len, texts)):
+            if size and size + n > STEP_CHARS:
                 yield from self._step(texts[a:b])
                 a, size = b, 0
-            size += len(text)
+            size += n
         if a < len(texts):
             yield from self._step(texts[a:])
 
-    def _step(self, texts: list[str]) -> Iterator[np.ndarray]:
-        if len(self.index) > MEMO_PIECES:
-            self._shrink()
+    def _step(self, texts: list[str] | pa.StringArray) -> Iterator[np.ndarray]:
         pieces: list[str | tuple[str]] = []
-        counts = []
-        for text in texts:
-            part = cut(text)
-            part[0] = (part[0],)
-            pieces += part
-            counts.append(len(part))
-        index = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
-        if self.index.new:
-            gc.disable()
-            self._add(*self.encode([" " + x if x.__class__ is str else x[0] for x in self.index.new]))
-            self.index.new = []
-            gc.enable()
-        self.hits[: len(self.index)] += np.bincount(index, minlength=len(self.index))
-        lengths = self.lengths[index]
-        flat = self.ids[ranges(self.starts[index], lengths)]
+        counts, codes = [], None
+        if isinstance(texts, pa.Array):
+            pieces, codes, counts = distinct(texts)
+        else:
+            for text in texts:
+                part = cut(text)
+                part[0] = (part[0],)
+                pieces += part
+                counts.append(len(part))
+        lengths, flat = self.encoded(pieces, codes)
         ends = np.cumsum(lengths)[np.cumsum(counts) - 1]
         place = 0
         for stop in ends.tolist():

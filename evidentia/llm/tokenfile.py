@@ -8,17 +8,21 @@ a range of documents without the other row groups.
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .pieces import Memo, flattened, ranges
+from .pieces import Memo, Seen, flattened, ranges
 from .shared import mapped, shared_dir
 
 SCHEMA = "doc_id long, part int, local_start long, n_tokens int, ids array<int>"
@@ -26,6 +30,11 @@ SCHEMA = "doc_id long, part int, local_start long, n_tokens int, ids array<int>"
 ROW_GROUP, PAGE = 16 << 20, 256 << 10
 #: Pieces that the library encodes in one call.
 JOINED = 2000
+#: Distinct words that a Python worker remembers beside its pieces, and words whose merges the library makes in one text.
+MEMO_WORDS, MERGED = 500_000, 32
+#: The words that byte-level pre-tokenization makes of a piece of ASCII without apostrophes and control characters and of the
+#: letters of Latin-1; whatever else is in a piece is not found.
+WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[!-&(-/:-@\[-`{-~]+|\n(?=[!-&(-~À-ÖØ-öø-ÿ])")
 
 _memos: dict[str, Memo] = {}
 
@@ -33,8 +42,9 @@ _memos: dict[str, Memo] = {}
 class Library:
     """The tokenizers library over distinct pieces.
 
-    Pieces that begin with a space and end without white space keep their borders when they are
-    joined, so many of them are encoded as one text; the tokens' lengths tell where a piece ends.
+    A piece of plain words is cut into them as the file's own pre-tokenizer does (``WORD``), and each distinct word is merged
+    once while it is remembered: the library's model gets words with a byte between them that no merge has, so that none goes
+    across it.  All other pieces, and those of files that are not plain byte-level BPE, are encoded as they are.
     """
 
     def __init__(self, path: str):
@@ -47,14 +57,62 @@ class Library:
         chars = byte_characters()
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.lengths = np.array([len(added[i]) if i in added else sum(c in chars for c in self.tokenizer.id_to_token(i)) for i in range(size)], dtype=np.int64)
+        self.added = [t.decode() for t in added.values()]
+        self.characters = {b: c for c, b in chars.items()}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, before = spec["model"], spec.get("pre_tokenizer") or {}
+        plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+        plain = plain and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not spec.get("normalizer")
+        # an added token that begins like a word could go across the end of one
+        plain = plain and not any(t[0].isspace() or t[0].isalnum() for t in self.added) and self.characters[0] in model["vocab"]
+        self.plain = plain and not any(self.characters[0] in "".join(m) for m in model["merges"])
+        if self.plain:
+            self.merger, self.between = Tokenizer(self.tokenizer.model), self.tokenizer.model.token_to_id(self.characters[0])
+        self.words = Seen(self._merged, MEMO_WORDS)
 
     def __call__(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of ids of the pieces, and their ids."""
+        if not self.plain:
+            return self._whole(pieces)
+        words = list(map(WORD.findall, pieces))
+        counts = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(counts)
+        known = _sums(np.fromiter(map(len, chain.from_iterable(words)), np.int64, int(counts.sum())), ends, counts) == np.fromiter(map(len, pieces), np.int64, len(pieces))
+        every = "\0".join(pieces)
+        if found := [t for t in self.added if t in every]:
+            known &= np.array([not any(t in p for t in found) for p in pieces])
+        if known.all():
+            return self._of_words(words, counts)
+        rest = self._whole([pieces[i] for i in np.flatnonzero(~known)])
+        return _interleaved(known, self._of_words([words[i] for i in np.flatnonzero(known)], counts[known]), rest)
+
+    def _of_words(self, words: list[list[str]], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lengths, flat = self.words.encoded(list(chain.from_iterable(words)))
+        return _sums(lengths, np.cumsum(counts), counts), flat
+
+    def _merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The library's merges of words that its pre-tokenizer would make."""
+        between = self.characters[0]
+        spelled = "\0".join(words).encode().decode("latin-1").translate(self.characters).split(between)
+        texts = [between.join(spelled[a : a + MERGED]) + between for a in range(0, len(spelled), MERGED)]
+        _, flat = flattened([e.ids for e in self.merger.encode_batch_fast(texts, add_special_tokens=False)])
+        ends = np.flatnonzero(flat == self.between)
+        if len(ends) != len(words):
+            raise ValueError("a merge went across the end of a word")
+        return np.diff(ends, prepend=-1) - 1, np.delete(flat, ends)
+
+    def _whole(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces as they are.
+
+        Those that begin with a space and end without white space keep their borders when they are
+        joined, so many of them are encoded as one text; the tokens' lengths tell where a piece ends.
+        """
         plain = np.fromiter((len(p) > 1 and p[0] == " " and p[1] > " " and not (p[-1].isspace() or p[1].isspace()) for p in pieces), bool, len(pieces))
         alone = [p for p, joins in zip(pieces, plain.tolist(), strict=True) if not joins]
         joined = [p for p, joins in zip(pieces, plain.tolist(), strict=True) if joins]
         groups = [joined[a : a + JOINED] for a in range(0, len(joined), JOINED)]
-        parts, counts = [], []
+        parts, counts = [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int64)]
         for group, e in zip(groups, self.tokenizer.encode_batch_fast(["".join(group) for group in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, dtype=np.int32)
             sizes = [len(p) if p.isascii() else len(p.encode()) for p in group]
@@ -62,14 +120,22 @@ class Library:
             parts.append(ids)
             counts.append(np.diff(stops, prepend=0))
         rest = flattened([e.ids for e in self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)])
-        flat = np.concatenate([*parts, rest[1]]) if parts else rest[1]
-        # the joined ones come first in flat, the others after them
-        lengths = np.zeros(len(pieces), dtype=np.int64)
-        lengths[plain], lengths[~plain] = np.concatenate(counts) if counts else 0, rest[0]
-        starts = np.zeros(len(pieces), dtype=np.int64)
-        ends = np.cumsum(np.concatenate((lengths[plain], lengths[~plain])))
-        starts[np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain)))] = ends - np.concatenate((lengths[plain], lengths[~plain]))
-        return lengths, flat[ranges(starts, lengths)]
+        return _interleaved(plain, (np.concatenate(counts), np.concatenate(parts)), rest)
+
+
+def _sums(values: np.ndarray, ends: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The sum of each run of ``values``, of which there are ``counts``; a run may be empty."""
+    until = np.concatenate(([0], np.cumsum(values)))
+    return until[ends] - until[ends - counts]
+
+
+def _interleaved(first: np.ndarray, one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and ids in order, of which ``one`` has those where ``first`` is true and ``other`` the rest."""
+    lengths, starts = np.zeros(len(first), dtype=np.int64), np.zeros(len(first), dtype=np.int64)
+    lengths[first], lengths[~first] = one[0], other[0]
+    both = np.concatenate((one[0], other[0]))
+    starts[np.concatenate((np.flatnonzero(first), np.flatnonzero(~first)))] = np.cumsum(both) - both
+    return lengths, np.concatenate((one[1], other[1]))[ranges(starts, lengths)]
 
 
 def _memo(path: str) -> Memo:
@@ -84,7 +150,7 @@ def _encoded(path: str, end_id: int):
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 rows = batch.slice(a, 500)
-                ids = list(memo.texts([t or "" for t in rows.column("text").to_pylist()]))
+                ids = list(memo.texts(pc.fill_null(rows.column("text"), "")))
                 lengths = np.array([len(i) + 1 for i in ids], dtype=np.int64)
                 ends = np.cumsum(lengths)
                 flat = np.full(int(ends[-1]), end_id, dtype=np.int32)
