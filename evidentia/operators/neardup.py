@@ -21,98 +21,186 @@ WARN, FAIL = 0.70, 0.85
 KEPT, ROWS = 1 << 18, 500
 #: Parities of a set's words by parts of their hashes, 64 in a column, and how many columns stand in for all in a first look.
 SIGNATURE, FOLDED = [f"s{k}" for k in range(16)], 4
-#: Blocks that all classes are dealt into, of at least so many classes; a task holds two of them.
-BLOCKS, LEAST_BLOCK = 12, 500
-#: Words of sets in a block of those that are compared exactly, and blocks of them at least.
-BLOCK_WORDS, LEAST_BLOCKS = 6_000_000, 4
-#: Ids of documents that are broadcast to pick their rows; with more of them the same join shuffles.
-BROADCAST_IDS = 400_000
+#: Words whose order is that of their frequency, at most; all others come before them.
+FREQUENT = 1 << 17
+#: Words of sets in a block, a task holding two of them; blocks that there are in any case, but of so many classes at least.
+BLOCK_WORDS, BLOCKS, LEAST_BLOCK = 12_000_000, 12, 500
+#: Pairs that a task takes at a time.
+PAIRS = 1 << 21
+#: What rounding may take from a bound.
+SLACK = 1e-9
 
 
-def _sets(docs: DataFrame, whole: bool) -> DataFrame:
-    """(doc_id, node, n) of each document with content words, the distinct words of more than three characters.
+def _sets(docs: DataFrame, unnamed: bool) -> DataFrame:
+    """(doc_id, node, n, codes) of each document with content words, the distinct words of more than three characters.
 
-    ``node`` stands for the set and ``n`` is its size.  Beside them stand the words' hashes if ``whole``, else ``SIGNATURE``.
+    ``node`` stands for the set, ``n`` is its size and ``codes`` are its words' hashes in order.  Documents without an id come out if ``unnamed``.
     """
-    word, kept, size, step = W.WORD.encode()[:-1] + b"{4,}", KEPT, 64 * len(SIGNATURE), ROWS
-    names = ["doc_id", "node", "n", *(["codes"] if whole else SIGNATURE)]
+    word, kept, step = W.WORD.encode()[:-1] + b"{4,}", KEPT, ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pattern = re.compile(word)
 
         @lru_cache(kept)
         def code(w: bytes) -> int:
-            return int.from_bytes(md5(w).digest()[:8], "little")
+            return int.from_bytes(md5(w).digest()[:8], "little", signed=True)
 
         for batch in (b.slice(a, step) for b in batches for a in range(0, b.num_rows, step)):
             which, nodes, sets = [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 if found := set(pattern.findall(text)):
                     which.append(i)
-                    nodes.append(int.from_bytes(md5(b" ".join(sorted(found))).digest()[:8], "little", signed=True))
-                    sets.append(np.fromiter(map(code, found), np.uint64, len(found)))
+                    sets.append(np.sort(np.fromiter(map(code, found), np.int64, len(found))))
+                    nodes.append(int.from_bytes(md5(sets[-1].tobytes()).digest()[:8], "little", signed=True))
             if not which:
                 continue
             sizes = [len(s) for s in sets]
-            if whole:
-                more = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(np.concatenate(sets).view(np.int64)))]
-            else:
-                odd = [np.packbits((np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)).view(np.int64) for s in sets]
-                more = [pa.array(c) for c in np.array(odd).T.copy()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(which)), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), *more], names)
+            codes = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(np.concatenate(sets)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(which)), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), codes], ["doc_id", "node", "n", "codes"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.where("text is not null").select("doc_id", F.lower("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, node long, n long, " + ("codes array<long>" if whole else ", ".join(f"{s} long" for s in SIGNATURE)))
+    rows = docs.where("text is not null" if unnamed else "text is not null and doc_id is not null")
+    return rows.select("doc_id", F.lower("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, node long, n long, codes array<long>")
+
+
+def _frequent(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes, in order, of the words that most ``classes`` have, and their places by frequency from 1 on."""
+    counted = classes.select(F.explode("codes").alias("code")).groupBy("code").count().where("count > 1")
+    counts = written(counted.withColumn("level", F.floor(8 * F.log2("count")).cast("int")), "words")
+    cut, room = None, FREQUENT
+    for level, many in sorted(((r["level"], r["count"]) for r in counts.groupBy("level").count().collect()), reverse=True):
+        if (room := room - many) < 0:
+            break
+        cut = level
+    if cut is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int32)
+    most = counts.where(F.col("level") >= cut).select("code", "count").toArrow()
+    code, count = (most.column(c).to_numpy() for c in ("code", "count"))
+    places = np.empty(len(code), np.int32)
+    places[np.lexsort((code, count))] = np.arange(1, len(code) + 1)
+    order = np.argsort(code)
+    return code[order], places[order]
+
+
+def _prefixes(classes: DataFrame, least: float) -> DataFrame:
+    """(node, n, own, SIGNATURE, rare) of ``classes`` (node, n, own, codes).
+
+    ``rare`` are the words, rarest first, of which a set shares one with any similar set that is no larger, as parts of their hashes.
+    """
+    size, step, signature = 64 * len(SIGNATURE), ROWS, SIGNATURE
+    shared = classes.sparkSession.sparkContext.broadcast(_frequent(classes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, places = shared.value
+        for batch in (b.slice(a, step) for b in batches for a in range(0, b.num_rows, step)):
+            sizes, flat = batch.column("n").to_numpy(), batch.column("codes").flatten().to_numpy()
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            odd = np.bincount(row * size + (flat & (size - 1)), minlength=len(sizes) * size).astype(np.uint8) & 1
+            signs = np.packbits(odd.reshape(-1, size), axis=1).view(np.int64)
+            place = np.zeros(len(flat), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+                place = np.where(known[at] == flat, places[at], 0)
+            flat = flat[np.argsort(row << 32 | place, kind="stable")]
+            most = sizes - np.ceil(least * sizes - SLACK).astype(np.int64) + 1
+            first = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < most[row]
+            rare = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(most)).astype(np.int32)), pa.array((flat[first] >> 32).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("node", "n", "own")], *[pa.array(c) for c in signs.T.copy()], rare], ["node", "n", "own", *signature, "rare"])
+
+    schema = "node long, n long, own long, " + ", ".join(f"{s} long" for s in SIGNATURE) + ", rare array<int>"
+    return classes.select("node", "n", "own", "codes").mapInArrow(run, schema)
+
+
+def _columns(rows: list[tuple[int, ...]], *names: str) -> pa.Table:
+    return pa.table({name: pa.array([row[k] for row in rows], pa.int64()) for k, name in enumerate(names)})
+
+
+def _placed(classes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """``classes`` with ``own``, the block each is dealt to in the order of sizes, and (own, p, q) of the blocks p and q that may have similar sets."""
+    sizes = sorted((r["n"], r["count"]) for r in classes.groupBy("n").count().collect())
+    blocks = max(1, min(BLOCKS, sum(c for _, c in sizes) // LEAST_BLOCK))
+    room = max(1, min(BLOCK_WORDS, -(-sum(n * c for n, c in sizes) // blocks)))
+    ranges, dealt, filled = [], [], room
+    for n, count in sizes:
+        parts = -(-n * count // room)
+        if parts > 1 or filled + n * count > room:
+            ranges += [[n, n] for _ in range(parts)]
+            filled = 0
+        filled = room if parts > 1 else filled + n * count
+        ranges[-1][1] = n
+        dealt.append((n, len(ranges) - parts, parts))
+    meet = [(p, q) for q, (low, _) in enumerate(ranges) for p in range(q + 1) if ranges[p][1] >= least * low - SLACK]
+    spark = classes.sparkSession
+    of = F.broadcast(spark.createDataFrame(_columns(dealt, "n", "first", "parts")))
+    own = (F.col("first") + F.pmod(F.xxhash64("node"), F.col("parts")))
+    pairs = spark.createDataFrame(_columns(sorted({(b, p, q) for p, q in meet for b in (p, q)}), "own", "p", "q"))
+    return classes.join(of, "n").withColumn("own", own).drop("first", "parts"), pairs
 
 
 def candidates(classes: DataFrame, least: float) -> DataFrame:
-    """(u, v): the pairs of ``classes`` (node, n, SIGNATURE), each once, whose sizes and parities allow the similarity.
+    """(u, v, p, q): the pairs of ``classes`` (node, n, codes), each once, that share a rare word and whose sizes and parities allow the similarity.
 
-    Two sets differ in at least as many words as their parities.  Classes are dealt into a bounded number of blocks, and each two
-    blocks are compared in one task, so a class is shuffled once a block whatever words it shares, and a pair that cannot be similar never.
+    Of two sets that are similar the larger has one of its rarest words among those of the smaller, and what comes after the first of
+    these must suffice.  Two sets differ in at least as many words as their parities.  Classes are dealt into blocks of like sizes and
+    bounded words, and each two blocks that may have a pair, p and q, are compared in one task.
     """
-    signature, folded, share = SIGNATURE, FOLDED, (1 - least) / (1 + least)
-    blocks = max(1, min(BLOCKS, classes.count() // LEAST_BLOCK))
-    own = F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")
-    rows = classes.select("node", "n", *SIGNATURE, own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
-    rows = rows.withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")}).drop("other")
+    signature, folded, limit = SIGNATURE, FOLDED, PAIRS
+    share, both = (1 - least) / (1 + least), least / (1 + least)
+    classes, meet = _placed(classes, least)
+    rows = _prefixes(classes, least).join(F.broadcast(meet), "own")
 
     def compared(key: tuple, rows: pa.Table) -> pa.Table:
         p, q = (k.as_py() for k in key)
+        rows = rows.sort_by("n")
         of, n, node = (rows.column(c).to_numpy() for c in ("own", "n", "node"))
-        signs = np.stack([rows.column(s).to_numpy() for s in signature]).view(np.uint64)
-        short = np.bitwise_xor.reduce(signs.reshape(-1, folded, len(n)), axis=0)
-        mine, order = np.flatnonzero(of == p), np.argsort(n, kind="stable")
-        order = order[of[order] == q]
-        m, quick, full = n[order], np.ascontiguousarray(short[:, order]), np.ascontiguousarray(signs[:, order])
-        # a set is met by no smaller one of its own block, nor by itself
-        place = np.full(len(n), -1)
-        place[order] = np.arange(len(order))
-        first = place[mine] + 1 if p == q else np.searchsorted(m, n[mine] * least - 1e-9)
-        last = np.searchsorted(m, n[mine] / least + 1e-9, side="right")
-        us, vs = [], []
-        for i, a, b in zip(mine, first, last, strict=True):
-            limit = (n[i] + m[a:b]) * share + 1e-9
-            near = a + np.flatnonzero(np.bitwise_count(quick[:, a:b] ^ short[:, i, None]).sum(axis=0, dtype=np.int64) <= limit)
-            near = near[np.bitwise_count(full[:, near] ^ signs[:, i, None]).sum(axis=0, dtype=np.int64) <= limit[near - a]]
-            us.append(np.full(len(near), node[i]))
-            vs.append(node[order[near]])
-        return pa.table({c: np.concatenate(x) if x else np.zeros(0, np.int64) for c, x in (("u", us), ("v", vs))})
-
-    return rows.groupBy("p", "q").applyInArrow(compared, "u long, v long")
+        signs = np.stack([rows.column(s).to_numpy() for s in signature], axis=1).view(np.uint64)
+        short = np.bitwise_xor.reduce(signs.reshape(len(n), -1, folded), axis=1)
+        rare = rows.column("rare").combine_chunks()
+        many = rare.value_lengths().to_numpy()
+        row = np.repeat(np.arange(len(n)), many)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+        word = rare.flatten().to_numpy().view(np.uint32).astype(np.int64) << 31
+        # the largest size of a set that may be similar if this is the first word that it shares
+        top = np.floor((n[row] - place) / both - n[row] + SLACK).astype(np.int64)
+        held = np.flatnonzero((of[row] == p) & (top >= n[row]))
+        held = held[np.argsort(word[held] | n[row[held]], kind="stable")]
+        keys, theirs, tops = word[held] | n[row[held]], row[held], top[held]
+        mine = np.flatnonzero(of[row] == q)
+        least_n = np.ceil(least * n[row[mine]] - SLACK).astype(np.int64)
+        first = np.searchsorted(keys, word[mine] | least_n)
+        last = np.searchsorted(keys, word[mine] | np.maximum(np.minimum(n[row[mine]], top[mine]), 0), side="right")
+        mine, first, last = (x[last > first] for x in (mine, first, last))
+        bits = len(n).bit_length()
+        ends, found, a = np.cumsum(last - first), [np.zeros(0, np.int64)], 0
+        while a < len(mine):
+            done = ends[a - 1] if a else 0
+            b = max(a + 1, int(np.searchsorted(ends, done + limit, side="right")))
+            step = (last - first)[a:b]
+            x = np.repeat(row[mine[a:b]], step)
+            at = np.arange(ends[b - 1] - done) + np.repeat(first[a:b] - (ends[a:b] - step - done), step)
+            y = theirs[at]
+            good = n[x] <= tops[at]
+            if p == q:
+                good &= y < x
+            pair = np.unique(x[good] << bits | y[good])
+            for signed in (short, signs):
+                x, y = pair >> bits, pair & ((1 << bits) - 1)
+                pair = pair[np.bitwise_count(signed.take(x, 0) ^ signed.take(y, 0)).sum(axis=1, dtype=np.int64) <= (n[x] + n[y]) * share + SLACK]
+            found.append(pair)
+            a = b
+        pair = np.unique(np.concatenate(found))
+        x, y = pair >> bits, pair & ((1 << bits) - 1)
+        return pa.table({"u": node[x], "v": node[y], "p": np.full(len(x), p), "q": np.full(len(x), q)})
+
+    return rows.groupBy("p", "q").applyInArrow(compared, "u long, v long, p long, q long")
 
 
 def compared(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """(u, v, jaccard) of the ``pairs`` (u, v) of ``sets`` (node, n, codes) that reach ``least``, exactly.
+    """(x, y, jaccard) of the ``pairs`` (u, v, p, q) of ``sets`` (node, n, a, codes) that reach ``least``, exactly, ``x`` and ``y`` being their ``a``.
 
-    Sets are dealt into blocks that a task holds two of; a set is shuffled once for each block that has one it is paired with.
+    A task takes the pairs of two blocks p and q; a set is shuffled once for each two that have a pair with it.
     """
-    words = sets.agg(F.sum("n").alias("n")).first()["n"] or 0
-    blocks = max(LEAST_BLOCKS, -(-words // BLOCK_WORDS))
-    of = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
-    placed = pairs.select("u", "v", F.least(of("u"), of("v")).alias("p"), F.greatest(of("u"), of("v")).alias("q"))
-    wanted = placed.select(F.explode(F.array("u", "v")).alias("node"), F.col("p").alias("hp"), F.col("q").alias("hq")).distinct()
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node"), F.col("p").alias("hp"), F.col("q").alias("hq")).distinct()
 
     def shared(pairs: pa.Table, sets: pa.Table) -> pa.Table:
         every = pairs.sort_by("u")
@@ -125,46 +213,39 @@ def compared(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
         by = np.argsort(node, kind="stable")
         at = lambda x: by[np.searchsorted(node[by], x)]
         found: list[list[np.ndarray]] = [[], [], []]
-        mark = np.zeros(len(known), dtype=bool)
-        for k, x in enumerate(at(u)):
-            mine = flat[ends[x] - sizes[x] : ends[x]]
-            mark[mine] = True
+        mark, parts = np.zeros(len(known), np.int32), np.split(flat.astype(np.int32), ends[:-1])
+        u, v = at(u), at(v)
+        for k, x in enumerate(u):
+            mine = parts[x]
+            mark[mine] = 1
             for a in range(first[k], first[k + 1], 1000):
-                some = v[a : min(a + 1000, first[k + 1])]
-                y = at(some)
+                y = v[a : min(a + 1000, first[k + 1])]
                 many = sizes[y]
-                total = np.cumsum(many)
-                theirs = flat[np.repeat((ends - sizes)[y] - total + many, many) + np.arange(total[-1])]
-                common = np.add.reduceat(mark[theirs].astype(np.int64), total - many)
+                common = np.add.reduceat(mark.take(np.concatenate([parts[i] for i in y.tolist()])), np.cumsum(many) - many)
                 value = common / (sizes[x] + many - common)
                 good = value >= least
-                for out, part in zip(found, (np.full(int(good.sum()), u[k]), some[good], value[good]), strict=True):
+                for out, part in zip(found, (np.full(int(good.sum()), x), y[good], value[good]), strict=True):
                     out.append(part)
-            mark[mine] = False
-        return pa.table({c: np.concatenate(x) if x else np.zeros(0, kind) for c, x, kind in zip(("u", "v", "jaccard"), found, (np.int64, np.int64, float), strict=True)})
+            mark[mine] = 0
+        x, y, value = (np.concatenate(f) if f else np.zeros(0, kind) for f, kind in zip(found, (np.int64, np.int64, float), strict=True))
+        ids = sets.column("a")
+        return pa.table({"x": ids.take(pa.array(x)), "y": ids.take(pa.array(y)), "jaccard": value})
 
     held = sets.join(wanted, "node").groupBy("hp", "hq")
-    return placed.groupBy("p", "q").cogroup(held).applyInArrow(shared, "u long, v long, jaccard double")
+    kind = dict(sets.dtypes)["a"]
+    return pairs.groupBy("p", "q").cogroup(held).applyInArrow(shared, f"x {kind}, y {kind}, jaccard double")
 
 
 def similar(docs: DataFrame, least: float = WARN) -> DataFrame:
     """(a, b, jaccard) of ``docs`` (doc_id, text).
 
     Equal sets are one class: its smallest id is paired with each other member, with 1, and stands for
-    the class in pairs with other classes.  Texts without content words are alike to nothing.  All classes meet as
-    signatures of fixed size; the words of the pairs that are left are taken from their texts again and compared exactly.
+    the class in pairs with other classes.  Texts without content words are alike to nothing.  Classes that share a rare
+    word meet by it and as signatures of fixed size; those that are left are compared exactly.
     """
-    docs = docs.select("doc_id", "text")
-    each = written(_sets(docs, False), "word-sets")
-    classes = written(each.groupBy("node", "n").agg(F.min("doc_id").alias("a"), *[F.first(s).alias(s) for s in SIGNATURE]), "classes")
+    each = written(_sets(docs.select("doc_id", "text"), False), "word-sets")
+    classes = written(each.groupBy("node", "n").agg(F.min("doc_id").alias("a"), F.first("codes").alias("codes")), "classes")
     members = each.select("doc_id", "node", "n").join(classes.select("node", "n", "a"), ["node", "n"]).where("doc_id <> a").select("a", F.col("doc_id").alias("b"), F.lit(1.0).alias("jaccard")).distinct()
-    pairs = written(candidates(classes.where("a is not null").drop("a"), least), "pairs")
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    ends = written(classes.select("node", "n", "a").join(ends, "node", "left_semi"), "ends")
-    ids = ends.select(F.col("a").alias("doc_id")).distinct()
-    texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-    sets = written(_sets(texts, True).groupBy("node", "n").agg(F.first("codes").alias("codes")), "sets")
-    found = written(compared(pairs, sets, least), "similar")
-    one, two = ends.select(F.col("node").alias("u"), F.col("a").alias("x")), ends.select(F.col("node").alias("v"), F.col("a").alias("y"))
-    tested = found.join(one, "u").join(two, "v").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
+    pairs = written(candidates(classes, least), "pairs")
+    tested = compared(pairs, classes, least).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
     return members.unionByName(tested)
