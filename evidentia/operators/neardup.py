@@ -149,6 +149,11 @@ def candidates(classes: DataFrame, least: float) -> DataFrame:
     classes, meet = _placed(classes, least)
     rows = _prefixes(classes, least).join(F.broadcast(meet), "own")
 
+    def distinct(pair: np.ndarray) -> np.ndarray:
+        """What np.unique gives, which hashes and takes many times as long."""
+        pair = np.sort(pair)
+        return pair[np.diff(pair, prepend=-1) != 0]
+
     def compared(key: tuple, rows: pa.Table) -> pa.Table:
         p, q = (k.as_py() for k in key)
         rows = rows.sort_by("n")
@@ -163,13 +168,16 @@ def candidates(classes: DataFrame, least: float) -> DataFrame:
         # the largest size of a set that may be similar if this is the first word that it shares
         top = np.floor((n[row] - place) / both - n[row] + SLACK).astype(np.int64)
         held = np.flatnonzero((of[row] == p) & (top >= n[row]))
-        held = held[np.argsort(word[held] | n[row[held]], kind="stable")]
+        held = held[np.argsort(word[held] | n[row[held]])]
         keys, theirs, tops = word[held] | n[row[held]], row[held], top[held]
         mine = np.flatnonzero(of[row] == q)
+        mine = mine[np.argsort(word[mine] | n[row[mine]])]  # what is looked up comes in order, which is many times faster
         least_n = np.ceil(least * n[row[mine]] - SLACK).astype(np.int64)
         first = np.searchsorted(keys, word[mine] | least_n)
         last = np.searchsorted(keys, word[mine] | np.maximum(np.minimum(n[row[mine]], top[mine]), 0), side="right")
         mine, first, last = (x[last > first] for x in (mine, first, last))
+        order = np.argsort(mine)
+        mine, first, last = mine[order], first[order], last[order]
         bits = len(n).bit_length()
         ends, found, a = np.cumsum(last - first), [np.zeros(0, np.int64)], 0
         while a < len(mine):
@@ -182,13 +190,13 @@ def candidates(classes: DataFrame, least: float) -> DataFrame:
             good = n[x] <= tops[at]
             if p == q:
                 good &= y < x
-            pair = np.unique(x[good] << bits | y[good])
+            pair = distinct(x[good] << bits | y[good])
             for signed in (short, signs):
                 x, y = pair >> bits, pair & ((1 << bits) - 1)
                 pair = pair[np.bitwise_count(signed.take(x, 0) ^ signed.take(y, 0)).sum(axis=1, dtype=np.int64) <= (n[x] + n[y]) * share + SLACK]
             found.append(pair)
             a = b
-        pair = np.unique(np.concatenate(found))
+        pair = distinct(np.concatenate(found))
         x, y = pair >> bits, pair & ((1 << bits) - 1)
         return pa.table({"u": node[x], "v": node[y], "p": np.full(len(x), p), "q": np.full(len(x), q)})
 
