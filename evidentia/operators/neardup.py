@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.functions import words as W
-from evidentia.functions.storage import written
+from evidentia.functions.storage import release, scratch, written
 
 # From which Jaccard similarity on a pair is a warning, and an error.
 WARN, FAIL = 0.70, 0.85
@@ -251,9 +251,16 @@ def similar(docs: DataFrame, least: float = WARN) -> DataFrame:
     the class in pairs with other classes.  Texts without content words are alike to nothing.  Classes that share a rare
     word meet by it and as signatures of fixed size; those that are left are compared exactly.
     """
-    each = written(_sets(docs.select("doc_id", "text"), False), "word-sets")
-    classes = written(each.groupBy("node", "n").agg(F.min("doc_id").alias("a"), F.first("codes").alias("codes")), "classes")
-    members = each.select("doc_id", "node", "n").join(classes.select("node", "n", "a"), ["node", "n"]).where("doc_id <> a").select("a", F.col("doc_id").alias("b"), F.lit(1.0).alias("jaccard")).distinct()
+    spark = docs.sparkSession
+    with scratch(spark) as made:
+        sets = written(_sets(docs.select("doc_id", "text"), False), "word-sets")
+        kept = len(made)
+        classes = written(sets.groupBy("node", "n").agg(F.min("doc_id").alias("a"), F.first("codes").alias("codes")), "classes")
+        each = written(sets.select("doc_id", "node", "n"), "nodes")
+        del sets, made[kept:]  # the words of classes stay, those of all documents go
+    release(spark)
+    members = each.join(classes.select("node", "n", "a"), ["node", "n"]).where("doc_id <> a").select("a", F.col("doc_id").alias("b"), F.lit(1.0).alias("jaccard")).distinct()
     pairs = written(candidates(classes, least), "pairs")
+    release(spark)
     tested = compared(pairs, classes, least).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
     return members.unionByName(tested)
